@@ -28,6 +28,7 @@ SELECT k + 1000 AS target_id, CAST(0 AS BIGINT) AS snapshot_id, collected_at, da
        k % 4 AS replica_count, k % 3 AS sync_count, (k*7) % 200 AS connections_used,
        CAST(CASE WHEN k % 6 = 0 THEN 500 ELSE 200 END AS BIGINT) AS connections_max,
        b*2200 AS max_xid_age, (b*1700 + k*1000) % 2100000000 AS max_mxid_age, last_archived_at, last_failed_at, failed_count,
+       CASE WHEN k % 13 = 0 THEN failed_count ELSE 0 END AS failed_increase,
        CASE WHEN k % 9 <> 0 THEN CAST(n AS DOUBLE)*1.5 END AS wal_bytes_per_sec,
        CASE WHEN k % 4 <> 0 THEN price*40 END AS wal_dir_bytes, urgent AS checkpoints_req, n - urgent AS checkpoints_timed,
        k % 8 <> 0 AS statements_enabled, k % 6 AS statements_dealloc, 4000 + (k*13) % 1200 AS statements_count,

@@ -36,10 +36,10 @@ def index_reports(indexes: DataFrame, unused: DataFrame, redundant: DataFrame, o
             j = j.withColumn(n, F.lit(None).cast(t))
     flag = lambda n: F.coalesce(F.col(n), F.lit(False))
     grade = (F.when(flag("is_invalid"), "catalog_proven").when(F.col("covered_by").isNotNull(), "catalog_proven")
-             .when(cold(), "inconclusive").when(F.coalesce("method", F.lit("")).isin("", "btree") == F.lit(False), "inconclusive")
+             .when(cold(), "inconclusive").when(~F.coalesce("method", F.lit("")).isin("", "btree"), "inconclusive")
              .when(flag("is_expression") | flag("is_partial"), "inconclusive").otherwise("needs_code_check"))
     reason = (F.when(flag("is_invalid"), "invalid").when(F.col("covered_by").isNotNull(), "redundant").when(cold(), "cold_window")
-              .when(F.coalesce("method", F.lit("")).isin("", "btree") == F.lit(False), "other_method")
+              .when(~F.coalesce("method", F.lit("")).isin("", "btree"), "other_method")
               .when(flag("is_expression"), "expression").when(flag("is_partial"), "partial").otherwise("zero_scans"))
     j = j.withColumn("grade", grade).withColumn("reason", reason)
     return j.select(

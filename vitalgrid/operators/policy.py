@@ -17,7 +17,7 @@ RULE_SCHEMA = "ordinal long, finding string, object string, reason string, expir
 SNAP = ["target_id", "snapshot_id"]
 
 # Keys that must never appear in a committed configuration, threshold keys, severities.
-CREDENTIAL_KEYS = ("dsn", "password", "passwd", "pgpassword", "connection_string", "connstr", "uri", "url", "secret", "token")
+CREDENTIAL_KEYS = ("dsn", "conn", "connection_string", "url", "password", "user")
 THRESHOLDS = {"unused_index_min_size_mb": (0.0, None), "dead_ratio_warn": (0.0, 1.0), "replica_lag_warn_seconds": (0.0, None)}
 SEVERITIES = ("critical", "warn", "info")
 

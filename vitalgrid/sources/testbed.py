@@ -85,6 +85,7 @@ class Testbed:
             used.cast("long").alias("connections_used"), maxc.cast("long").alias("connections_max"),
             (b * 2200).cast("long").alias("max_xid_age"), ((b * 1700 + k * 1000) % 2_100_000_000).alias("max_mxid_age"),
             "last_archived_at", "last_failed_at", F.coalesce("failed_count", F.lit(0)).alias("failed_count"),
+            F.when(k % 13 == 0, F.coalesce("failed_count", F.lit(0))).otherwise(F.lit(0)).alias("failed_increase"),
             F.when(k % 9 != 0, n.cast("double") * 1.5).alias("wal_bytes_per_sec"),
             F.when(k % 4 != 0, F.coalesce("price", F.lit(0)) * 40).alias("wal_dir_bytes"),
             F.coalesce("urgent", F.lit(0)).alias("checkpoints_req"),
