@@ -272,4 +272,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     views = {**VIEWS, **(extra or {})}
     needed = _needed(sql, views)
     ctes = [f"{name} AS ({body})" for name, body in views.items() if name in needed]
-    return (f"WITH {', '.join(ctes)}\n" if ctes else "") + sql.strip()
+    body = sql.strip()
+    if body.startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
+    return (f"WITH {', '.join(ctes)}\n" if ctes else "") + body

@@ -9,8 +9,10 @@ from vitalgrid.functions.numbers import col
 
 # What counts as a literal, a credential-like setting, or session noise.
 DOLLAR_QUOTED = r"\$[A-Za-z0-9_]*\$[\s\S]*?\$[A-Za-z0-9_]*\$"
-SINGLE_QUOTED = r"'(?:[^']|'')*'"
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
+# A literal with doubled quotes is a run of adjacent plain ones. The possessive forms match
+# iteratively, so the length of a text never shows up as stack depth.
+SINGLE_QUOTED = r"(?:'[^']*+')++"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\-]))[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 UUID = (r"(?<![A-Za-z0-9_])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}"
         r"-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9_])")
 BARE_NUMBER = r"(?<![$A-Za-z0-9_])\d+(?:\.\d+)?(?![A-Za-z0-9_])"
@@ -73,12 +75,17 @@ def first_ten(items: Column | str) -> Column:
     return F.when(F.size(a) > 10, F.concat(F.slice(a, 1, 10), F.array(F.lit(ELLIPSIS)))).otherwise(a)
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """Fixed-point text, ties to even, as figures are printed elsewhere."""
+    return F.format_string(f"%.{places}f", F.bround(x, places))
+
+
 def human_count(v: Column | str) -> Column:
     x = col(v).cast("long")
     d = x.cast("double")
-    return (F.when(x >= 10**9, F.format_string("%.1fG", d / 1e9))
-            .when(x >= 10**6, F.format_string("%.1fM", d / 1e6))
-            .when(x >= 10**3, F.format_string("%.1fk", d / 1e3))
+    return (F.when(x >= 10**9, F.concat(_fixed(d / 1e9, 1), F.lit("G")))
+            .when(x >= 10**6, F.concat(_fixed(d / 1e6, 1), F.lit("M")))
+            .when(x >= 10**3, F.concat(_fixed(d / 1e3, 1), F.lit("k")))
             .otherwise(x.cast("string")))
 
 
@@ -87,16 +94,16 @@ def human_bytes(v: Column | str) -> Column:
     d = x.cast("double")
     out = F.when(x < 1024, F.format_string("%d B", x))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), start=1):
-        out = out.when(x < F.lit(1024 ** (power + 1)), F.format_string(f"%.1f {unit}", d / float(1024**power)))
-    return out.otherwise(F.format_string("%.1f EiB", d / float(1024**6)))
+        out = out.when(x < F.lit(1024 ** (power + 1)), F.concat(_fixed(d / float(1024**power), 1), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(_fixed(d / float(1024**6), 1), F.lit(" EiB")))
 
 
 def short_duration(sec: Column | str) -> Column:
     s = col(sec).cast("long")
     d = s.cast("double")
-    return (F.when(s >= 86400, F.format_string("%.0fd", d / 86400))
-            .when(s >= 3600, F.format_string("%.0fh", d / 3600))
-            .when(s >= 60, F.format_string("%.0fm", d / 60))
+    return (F.when(s >= 86400, F.concat(_fixed(d / 86400, 0), F.lit("d")))
+            .when(s >= 3600, F.concat(_fixed(d / 3600, 0), F.lit("h")))
+            .when(s >= 60, F.concat(_fixed(d / 60, 0), F.lit("m")))
             .otherwise(F.format_string("%ds", s)))
 
 
