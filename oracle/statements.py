@@ -146,7 +146,7 @@ S["wait_by_event"] = f"""SELECT *, CAST(samples AS DOUBLE)/total AS share FROM (
   WHERE wait_event_type IS NOT NULL AND wait_event <> '' GROUP BY 1, 2, 3, 4) JOIN {_T} USING (target_id, window_id)"""
 S["wait_by_query"] = """
 WITH c AS (SELECT target_id, window_id, query_id, coalesce(wait_event_type, 'CPU') AS t, coalesce(wait_event, '') AS e, count(*) AS n FROM fx_ash GROUP BY ALL),
-     ty AS (SELECT target_id, window_id, query_id, t, sum(n) AS n FROM c GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY target_id, window_id, query_id ORDER BY sum(n) DESC, t) = 1),
+     ty AS (SELECT * FROM (SELECT target_id, window_id, query_id, t, sum(n) AS n FROM c GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY target_id, window_id, query_id ORDER BY n DESC, t) = 1),
      ev AS (SELECT target_id, window_id, query_id, CASE WHEN e = '' THEN t ELSE t || ':' || e END AS l FROM c QUALIFY row_number() OVER (PARTITION BY target_id, window_id, query_id ORDER BY n DESC, CASE WHEN e = '' THEN t ELSE t || ':' || e END) = 1)
 SELECT q.target_id, q.window_id, q.query_id, samples, total, CAST(samples AS DOUBLE)/total AS share, CAST(lock AS DOUBLE)/samples AS lock_share, CAST(io AS DOUBLE)/samples AS io_share, lock, ty.t AS top_type, ev.l AS top_event
 FROM v_wait_query q JOIN ty USING (target_id, window_id, query_id) JOIN ev USING (target_id, window_id, query_id)"""
@@ -408,6 +408,107 @@ S["code_search_terms"] = f"""
 SELECT target_id, index, pos, string_split(terms, ',')[pos] AS term FROM (SELECT r.target_id, r.index, t.terms, unnest(range(1, len(string_split(t.terms, ',')) + 1)) AS pos
 FROM v_reports r JOIN ({S['search_terms']}) t ON t.target_id = r.target_id AND t.index = r.index WHERE grade = 'needs_code_check')"""
 
+# --- L4-L7 ---
+EXTRA["v_plans"] = """
+SELECT CAST(p_size % 25 AS BIGINT) AS target_id, p_partkey AS queryid,
+  '[{"Plan":{"Node Type":"Hash Join","Total Cost":' || (p_partkey % 900 + 100) || '.25,"Plans":[{"Node Type":"Seq Scan","Relation Name":"t' || (p_partkey % 40)
+  || '","Schema":"public","Filter":"((a' || (p_partkey % 5) || ' = $1) AND (b <= $3) AND NOT = $4)"},{"Node Type":"Seq Scan","Relation Name":"pg_class","Schema":"pg_catalog","Filter":"(oid = $1)"},'
+  || repeat('{"Node Type":"Subquery Scan","Plans":[', p_partkey % 17) || '{"Node Type":"Seq Scan","Schema":"app","Relation Name":"d' || (p_partkey % 9)
+  || '","Filter":"((created_at > $2) AND (owner_id = $1))","Total Cost":5.5}' || repeat(']}', p_partkey % 17) || ']}}]' AS plan FROM part"""
+EXTRA["v_plan_nodes"] = """
+SELECT target_id, queryid, t.parent, max(CASE WHEN t.key = 'Node Type' THEN t.atom->>'$' END) AS node_type, max(CASE WHEN t.key = 'Relation Name' THEN t.atom->>'$' END) AS relation,
+  max(CASE WHEN t.key = 'Schema' THEN t.atom->>'$' END) AS schema, max(CASE WHEN t.key = 'Filter' THEN t.atom->>'$' END) AS filter, min(t.path) AS path
+FROM v_plans, json_tree(plan) t WHERE t.key IN ('Node Type','Relation Name','Schema','Filter') GROUP BY 1, 2, 3"""
+EXTRA["v_candidates"] = r"""
+SELECT DISTINCT target_id, queryid, coalesce(schema, 'public') AS schema, relation AS "table", array_to_string(list_filter(cols, lambda x, i: list_position(cols, x) = i)[1:4], ',') AS columns
+FROM (SELECT *, list_filter(list_concat(regexp_extract_all(filter, '([A-Za-z_][A-Za-z0-9_]*)\s*=\s*\$\d+', 1), regexp_extract_all(filter, '([A-Za-z_][A-Za-z0-9_]*)\s*(?:<|>|<=|>=)\s*\$\d+', 1)),
+        lambda x: lower(x) NOT IN ('and','or','not','null','true','false','is','in','any','all')) AS cols FROM v_plan_nodes WHERE node_type = 'Seq Scan' AND relation <> '' AND filter <> '')
+WHERE len(cols) > 0 AND coalesce(schema, 'public') NOT IN ('pg_catalog','information_schema','pg_toast')""".replace("\\\\", "\\")
+S["plan_candidates"] = """SELECT *, 'CREATE INDEX ON ' || schema || '.' || "table" || ' (' || replace(columns, ',', ', ') || ')' AS ddl FROM v_candidates"""
+S["plan_nodes"] = "SELECT target_id, node_type, count(*) AS nodes, count(*) FILTER (path = '$[0].Plan') AS roots FROM v_plan_nodes GROUP BY 1, 2"
+EXTRA["v_validated"] = """
+SELECT * FROM (SELECT target_id, queryid, 't' || (queryid % 40) AS "table", CAST((queryid % 900 + 100) || '0.25' AS DOUBLE) AS cost_before,
+  CAST(((queryid % 900 + 100)*CASE WHEN queryid % 2 = 0 THEN 1 ELSE 9 END) || '.5' AS DOUBLE) AS cost_after, CAST(queryid % 100 AS DOUBLE) AS share_pct,
+  'a' || (queryid % 5) AS a FROM v_plans WHERE queryid % 3 = 0) WHERE cost_after < cost_before*0.5"""
+S["candidate_validation"] = 'SELECT target_id, queryid, "table", cost_before, cost_after, round((cost_before - cost_after)/cost_before*100*1000000)/1000000 AS improvement_pct FROM v_validated'
+S["recommendations"] = """SELECT target_id, "table", queryid, share_pct, cost_before, cost_after, 'CREATE INDEX ON public.' || "table" || ' (' || a || ', b)' AS ddl, CAST(0.6 AS DOUBLE) AS confidence
+FROM v_validated QUALIFY row_number() OVER (PARTITION BY target_id, "table", a ORDER BY share_pct DESC, queryid) = 1"""
+EXTRA["v_advice_tables"] = """SELECT target_id, "table", (mk % 6 = 0) OR mods > 0.2*live + 50 AS stale, writes > 100000 AS heavy FROM (
+  SELECT CAST(p_size % 25 AS BIGINT) AS target_id, 't' || (p_partkey % 40) AS "table", count(*)*100 AS live, max(p_partkey) AS mk, max(p_partkey) % 500 AS mods, max(p_partkey)*200 AS writes FROM part GROUP BY 1, 2)"""
+EXTRA["v_guarded"] = """SELECT c.*, coalesce(a.heavy, false) AS write_heavy FROM v_candidates c LEFT JOIN v_advice_tables a ON c.schema = 'public' AND a.target_id = c.target_id AND a."table" = c."table" WHERE NOT coalesce(a.stale, false)"""
+S["advice_guards"] = 'SELECT target_id, schema, "table", count(*) AS candidates, bool_or(write_heavy) AS write_heavy FROM v_guarded GROUP BY 1, 2, 3'
+S["advice_stats"] = r"""
+SELECT s.target_id, considered, plannable, coalesce(planned, 0) AS planned, coalesce(tested, 0) AS tested, coalesce(candidates, 0) - coalesce(tested, 0) AS skipped_stale
+FROM (SELECT target_id, count(*) AS considered, count(*) FILTER (regexp_matches(query, '(?i)^\s*select\b') AND NOT contains(query, ';')) AS plannable FROM fx_statements GROUP BY 1) s
+LEFT JOIN (SELECT target_id, count(*) AS planned FROM v_plans GROUP BY 1) p USING (target_id) LEFT JOIN (SELECT target_id, count(*) AS candidates FROM v_candidates GROUP BY 1) c USING (target_id)
+LEFT JOIN (SELECT target_id, count(*) AS tested FROM v_guarded GROUP BY 1) g USING (target_id)"""
+
+# --- M ---
+S["view_tables"] = """SELECT target_id, snapshot_id, schema, "table", row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY total_bytes DESC, schema, "table") AS rank,
+  total_bytes, live_tuples, dead_ratio, seq_scans, index_scans FROM v_tables QUALIFY rank <= 4"""
+S["vacuum_due"] = """SELECT target_id, snapshot_id, schema, "table", row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY dead_tuples DESC, total_bytes DESC) AS rank, live_tuples, dead_tuples, dead_ratio,
+  coalesce(rel_autovacuum_enabled, '') <> 'off' AND dead_tuples > vac_trigger AS due FROM v_tables"""
+S["vacuum_behind"] = """SELECT target_id, snapshot_id, count(*) FILTER (coalesce(rel_autovacuum_enabled, '') <> 'off'
+  AND dead_tuples > coalesce(rel_vacuum_threshold, target_id*100.0) + coalesce(rel_vacuum_scale, CAST(0.3 AS DOUBLE))*live_tuples) AS behind, count(*) AS tables FROM fx_table_stats GROUP BY 1, 2"""
+S["view_unused_indexes"] = """SELECT target_id, snapshot_id, "table", index, bytes, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) AS rank,
+  CAST(sum(bytes) OVER (PARTITION BY target_id, snapshot_id) AS BIGINT) AS reclaimable_bytes, count(*) OVER (PARTITION BY target_id, snapshot_id) AS unused FROM v_unused"""
+S["view_diff"] = """
+WITH n AS (SELECT * FROM fx_db_counters QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY collected_at DESC) = 1),
+     j AS (SELECT n.target_id, n.snapshot_id, b.snapshot_id AS base_snapshot_id, n.collected_at - b.collected_at AS actual_seconds, n.numbackends*12 AS a, b.numbackends*12 AS b,
+       CASE WHEN n.stats_reset_at > b.stats_reset_at THEN 'stats_reset' WHEN n.postmaster_start_at > b.postmaster_start_at THEN 'server_restart' END AS reset_reason,
+       n.blks_read // 5000 > b.blks_read // 5000 AS statements_evicted
+     FROM n ASOF JOIN fx_db_counters b ON b.target_id = n.target_id AND b.collected_at <= n.collected_at - 604800)
+SELECT target_id, snapshot_id, base_snapshot_id, CAST(604800 AS BIGINT) AS requested_seconds, actual_seconds, actual_seconds > 1.25*604800 AS stretched, reset_reason, statements_evicted,
+  CAST(CASE WHEN reset_reason IS NULL AND b > 0 AND abs(a - b) >= 20 AND abs(a - b) >= 0.5*b THEN 1 ELSE 0 END AS BIGINT) AS changes,
+  CAST(CASE WHEN reset_reason IS NULL AND b > 0 AND a - b >= 20 AND a - b >= 0.5*b THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM j"""
+EXTRA["v_metrics"] = f"""
+SELECT target_id, 'fleet_finding' AS family, CAST(1 AS DOUBLE) AS value FROM v_muted
+UNION ALL SELECT target_id, 'fleet_findings_total', CAST(unnest([count(*) FILTER (NOT suppressed AND severity='critical'), count(*) FILTER (NOT suppressed AND severity='warn'), count(*) FILTER (NOT suppressed AND severity='info')]) AS DOUBLE)
+  FROM v_muted GROUP BY target_id, snapshot_id
+UNION ALL SELECT target_id, 'fleet_xid_age', CAST(max_xid_age AS DOUBLE) FROM fx_instances UNION ALL SELECT target_id, 'fleet_mxid_age', CAST(max_mxid_age AS DOUBLE) FROM fx_instances
+UNION ALL SELECT target_id, 'fleet_connections_used', CAST(connections_used AS DOUBLE) FROM fx_instances UNION ALL SELECT target_id, 'fleet_connections_max', CAST(connections_max AS DOUBLE) FROM fx_instances
+UNION ALL SELECT target_id, 'fleet_wal_dir_bytes', CAST(wal_dir_bytes AS DOUBLE) FROM fx_instances WHERE wal_dir_bytes IS NOT NULL
+UNION ALL SELECT target_id, 'fleet_replica_lag_seconds', replay_lag_sec FROM fx_replicas WHERE replay_lag_sec IS NOT NULL"""
+S["export_metrics"] = "SELECT target_id, family, count(*) AS series, sum(round(value*100)) AS total FROM v_metrics GROUP BY 1, 2"
+S["export_metric_text"] = "SELECT family, false AS header, count(*) AS lines FROM v_metrics GROUP BY 1 UNION ALL SELECT DISTINCT family, true, CAST(2 AS BIGINT) FROM v_metrics"
+_lv = "CASE severity WHEN 'critical' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END"
+_sc = "CAST(CASE severity WHEN 'critical' THEN 9.0 WHEN 'warn' THEN 5.5 ELSE 2.0 END AS DOUBLE)"
+S["export_scan_results"] = f"""SELECT target_id, snapshot_id, id AS rule_id, {_lv} AS level, {_sc} AS score, CASE WHEN object = '' THEN 'cluster' ELSE object END AS location,
+  CASE WHEN suppressed THEN coalesce(nullif(['known','batch tables','','analytics fleet','small tables','managed elsewhere',''][ord + 1], ''), 'suppressed by configuration') END AS suppression FROM v_muted"""
+S["export_scan_rules"] = f"SELECT id AS rule_id, min(dimension) AS dimension, max({_sc}) AS score FROM ({_all(['instances', 'tables', 'horizon'])}) GROUP BY 1"
+S["export_test_cases"] = f"""SELECT target_id, snapshot_id, CASE WHEN object = '' THEN id ELSE id || ' ' || object END AS name, dimension AS class,
+  CASE WHEN suppressed THEN 'skipped' WHEN severity IN ('critical','warn') THEN 'failed' ELSE 'passed' END AS status
+FROM v_muted JOIN (SELECT DISTINCT id, dimension FROM ({_all(['tables', 'slots'])})) USING (id)"""
+S["export_test_suites"] = """SELECT target_id, snapshot_id, count(*) AS tests, count(*) FILTER (NOT suppressed AND severity = 'critical') AS failures, count(*) FILTER (suppressed) AS skipped FROM v_muted GROUP BY 1, 2"""
+S["finding_documents"] = f"""
+SELECT f.target_id, f.snapshot_id, count(*) AS findings, CAST(sum(least(n_objects, 10)) AS BIGINT) AS evidence, min_by(id, [CASE WHEN dimension = 'risk' THEN 0 ELSE 1 END, -score, -{_rank}]) AS first_id
+FROM v_family_tables f GROUP BY 1, 2"""
+S["finding_documents"] = f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY dimension = 'risk' DESC, score DESC, {_rank} DESC, id) AS r FROM v_family_tables)
+SELECT target_id, snapshot_id, count(*) AS findings, CAST(sum(least(n_objects, 10)) AS BIGINT) AS evidence, max(CASE WHEN r = 1 THEN id END) AS first_id FROM o GROUP BY 1, 2"""
+S["context_findings"] = "SELECT * FROM v_family_tables"
+S["context_tables"] = 'SELECT target_id, "table", count(*) AS readings, CAST(sum(live_tuples) AS BIGINT) AS live_tuples, count(last_vacuum) AS vacuumed FROM v_tables GROUP BY 1, 2'
+
+# --- N: append mode emits the windows that end at or before the final watermark ---
+_MARK = "(SELECT max(at_us) - 600000000 FROM (SELECT epoch_us(date_trunc('second', ts)) AS at_us FROM events))"
+S["stream_wait_rollup"] = f"SELECT * FROM v_minute WHERE (bucket_at + 60)*1000000 <= {_MARK}"
+S["stream_wait_profile"] = f"""
+SELECT target_id, window_start, wait_type, samples, CAST(sum(samples) OVER (PARTITION BY target_id, window_start) AS BIGINT) AS total, CAST(samples AS DOUBLE)/sum(samples) OVER (PARTITION BY target_id, window_start) AS share
+FROM (SELECT target_id, (sample_at // 60)*60 - 60*o AS window_start, coalesce(wait_event_type, 'CPU') AS wait_type, count(*) AS samples
+      FROM fx_ash, (SELECT unnest(range(0, 5)) AS o) GROUP BY 1, 2, 3) WHERE (window_start + 300)*1000000 <= {_MARK}"""
+S["stream_incident_sessions"] = f"""
+WITH l AS (SELECT target_id, query_id, sample_at, CASE WHEN sample_at - lag(sample_at) OVER w < 21600 THEN 0 ELSE 1 END AS brk FROM fx_ash WHERE wait_event_type = 'Lock' WINDOW w AS (PARTITION BY target_id, query_id ORDER BY sample_at)),
+     s AS (SELECT *, sum(brk) OVER (PARTITION BY target_id, query_id ORDER BY sample_at ROWS UNBOUNDED PRECEDING) AS g FROM l)
+SELECT * FROM (SELECT target_id, query_id, min(sample_at) AS started_at, max(sample_at) + 21600 AS ended_at, count(*) AS samples FROM s GROUP BY target_id, query_id, g) WHERE ended_at*1000000 <= {_MARK}"""
+S["stream_counter_rates"] = S["health_rates"]
+S["finding_transitions"] = f"""
+WITH f AS (SELECT target_id, snapshot_id AS run, id, object, max({_rank}) AS rk FROM v_family_tables GROUP BY ALL),
+     h AS (SELECT target_id, run, lag(run) OVER (PARTITION BY target_id ORDER BY run) AS prev FROM (SELECT DISTINCT target_id, run FROM f)),
+     b AS (SELECT h.target_id, h.run, f.id, f.object, f.rk AS prk FROM h JOIN f ON f.target_id = h.target_id AND f.run = h.prev)
+SELECT target_id, run, id, object, CASE WHEN prk IS NULL THEN 'opened' WHEN rk IS NULL THEN 'closed' ELSE 'escalated' END AS change
+FROM f FULL OUTER JOIN b USING (target_id, run, id, object) WHERE prk IS NULL OR rk IS NULL OR rk > prk"""
+S["stream_finding_transitions"] = S["finding_transitions"]
+
 
 def statements() -> dict[str, str]:
     return {name: with_views(sql, EXTRA) for name, sql in S.items()}

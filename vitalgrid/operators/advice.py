@@ -111,14 +111,13 @@ def plan_pairs(pairs: DataFrame) -> DataFrame:
 
     ``pairs``: target_id, queryid, schema, table, columns, index_name, plan_before, plan_after.
     """
-    key = ["target_id", "queryid", "index_name"]
-    before = plan_nodes(pairs.select(*key, "plan_before"), "plan_before").where("is_root").select(*key, F.col("total_cost").alias("cost_before"))
-    hypo = pairs.select("target_id", "queryid", "index_name", "plan_after", F.col("index_name").alias("wanted"))
-    after = plan_nodes(hypo.select("target_id", "queryid", "wanted", "plan_after"), "plan_after").groupBy("target_id", "queryid", F.col("wanted").alias("wanted")).agg(
+    key = ["target_id", "queryid", "wanted"]
+    p = pairs.withColumnRenamed("index_name", "wanted")
+    before = plan_nodes(p.select(*key, "plan_before"), "plan_before").where("is_root").select(*key, F.col("total_cost").alias("cost_before"))
+    after = plan_nodes(p.select(*key, "plan_after"), "plan_after").groupBy(*key).agg(
         F.max(F.when(F.col("is_root"), F.col("total_cost"))).alias("cost_after"),
         F.max(F.coalesce(F.col("index_name") == F.col("wanted"), F.lit(False))).alias("used"))
-    return pairs.drop("plan_before", "plan_after").join(before, key).join(
-        after.withColumnRenamed("wanted", "index_name"), key)
+    return p.drop("plan_before", "plan_after").join(before, key).join(after, key).withColumnRenamed("wanted", "index_name")
 
 
 def validate_candidates(pairs: DataFrame, min_improvement: float = MIN_IMPROVEMENT) -> DataFrame:

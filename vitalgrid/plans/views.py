@@ -66,3 +66,14 @@ def view_unused_indexes(unused: DataFrame) -> DataFrame:
     """Unused indexes with the running rank and each snapshot's total."""
     total = unused.groupBy(*SNAP).agg(F.sum("bytes").alias("reclaimable_bytes"), F.count("*").alias("unused"))
     return unused.select(*SNAP, "schema", "table", "index", "bytes", "rank").join(total, SNAP)
+
+
+def view_diff(honesty: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Changes of each target's newest snapshot with what limits the comparison.
+
+    ``honesty`` is ``baseline.diff_since``; nothing is listed across a counter reset.
+    """
+    j = honesty.join(deltas, SNAP, "left")
+    shown = F.col("reset_reason").isNull()
+    return j.groupBy(*SNAP, "base_snapshot_id", "requested_seconds", "actual_seconds", "stretched", "reset_reason", "statements_evicted").agg(
+        F.count(F.when(shown, F.col("id"))).alias("changes"), F.count_if(shown & (F.col("severity") == "warn")).alias("warnings"))

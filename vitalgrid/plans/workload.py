@@ -818,3 +818,278 @@ def _(t):
 @query("code_search_terms")
 def _(t):
     return evidence.code_search_rows(_reports(t)).select("target_id", "index", "pos", "term")
+
+
+# --- L4-L7: advice ---------------------------------------------------------------
+
+
+def _plans(t) -> DataFrame:
+    """Stored plans: a join of two scans under a varying depth of subquery nodes."""
+    k = c("p_partkey")
+    txt = k.cast("string")
+    deep = F.concat(F.repeat(F.lit('{"Node Type":"Subquery Scan","Plans":['), (k % 17).cast("int")),
+                    F.lit('{"Node Type":"Seq Scan","Schema":"app","Relation Name":"d'), (k % 9).cast("string"),
+                    F.lit('","Filter":"((created_at > $2) AND (owner_id = $1))","Total Cost":5.5}'), F.repeat(F.lit("]}"), (k % 17).cast("int")))
+    doc = F.concat(F.lit('[{"Plan":{"Node Type":"Hash Join","Total Cost":'), (k % 900 + 100).cast("string"), F.lit('.25,"Plans":[{"Node Type":"Seq Scan","Relation Name":"t'),
+                   (k % 40).cast("string"), F.lit('","Schema":"public","Filter":"((a'), (k % 5).cast("string"), F.lit(' = $1) AND (b <= $3) AND NOT = $4)"},'),
+                   F.lit('{"Node Type":"Seq Scan","Relation Name":"pg_class","Schema":"pg_catalog","Filter":"(oid = $1)"},'), deep, F.lit("]}}]"))
+    return t.raw("part").select((c("p_size") % 25).cast("long").alias("target_id"), k.alias("queryid"), doc.alias("plan"), txt.alias("k"))
+
+
+def _candidates(t) -> DataFrame:
+    from vitalgrid.operators.advice import plan_candidates
+    return plan_candidates(_plans(t))
+
+
+@query("plan_candidates")
+def _(t):
+    from vitalgrid.functions.text import index_ddl
+    return _candidates(t).select("target_id", "queryid", "schema", "table", F.array_join("columns", ",").alias("columns"),
+                                 index_ddl("schema", "table", "columns").alias("ddl"))
+
+
+@query("plan_nodes")
+def _(t):
+    from vitalgrid.operators.advice import plan_nodes
+    return plan_nodes(_plans(t).select("target_id", "queryid", "plan"), "plan").groupBy("target_id", "node_type").agg(
+        F.count("*").alias("nodes"), F.count_if("is_root").alias("roots"))
+
+
+def _pairs(t) -> DataFrame:
+    k = c("queryid")
+    used = F.when(k % 3 == 0, F.concat(F.lit("hypo"), k.cast("string"))).otherwise("other")
+    after = F.concat(F.lit('[{"Plan":{"Node Type":"Hash Join","Total Cost":'), ((k % 900 + 100) * F.when(k % 2 == 0, 1).otherwise(9)).cast("string"),
+                     F.lit('.5,"Plans":[{"Node Type":"Index Scan","Index Name":"'), used, F.lit('"}]}}]'))
+    return _plans(t).select("target_id", "queryid", F.lit("public").alias("schema"), F.concat(F.lit("t"), (k % 40).cast("string")).alias("table"),
+                            F.array(F.concat(F.lit("a"), (k % 5).cast("string")), F.lit("b")).alias("columns"), F.concat(F.lit("hypo"), k.cast("string")).alias("index_name"),
+                            (k % 100).cast("double").alias("share_pct"), F.replace(c("plan"), F.lit(".25,"), F.lit("0.25,")).alias("plan_before"), after.alias("plan_after"))
+
+
+@query("candidate_validation")
+def _(t):
+    from vitalgrid.operators.advice import validate_candidates
+    v = validate_candidates(_pairs(t))
+    return v.select("target_id", "queryid", "table", "cost_before", "cost_after", round_dp("improvement_pct", 6).alias("improvement_pct"))
+
+
+@query("recommendations")
+def _(t):
+    from vitalgrid.operators.advice import recommendations, validate_candidates
+    r = recommendations(validate_candidates(_pairs(t)))
+    return r.select("target_id", "table", "queryid", "share_pct", "cost_before", "cost_after", "ddl", "confidence")
+
+
+def _advice_tables(t) -> DataFrame:
+    """Analyze state and write volume of the tables plans mention."""
+    k = c("p_partkey")
+    return (t.raw("part").groupBy((c("p_size") % 25).cast("long").alias("target_id"), F.lit("public").alias("schema"), F.concat(F.lit("t"), (k % 40).cast("string")).alias("table"))
+            .agg(F.count("*").alias("n"), F.max("p_partkey").alias("mk")).select(
+                "target_id", "schema", "table", (c("n") * 100).alias("live_tuples"), (c("mk") % 500).alias("mods_since_analyze"), (c("mk") * 200).alias("writes"),
+                F.when(c("mk") % 6 != 0, c("mk")).alias("last_analyze"), F.lit(None).cast("long").alias("last_autoanalyze")))
+
+
+@query("advice_guards")
+def _(t):
+    from vitalgrid.operators.advice import advice_guards
+    return advice_guards(_candidates(t), _advice_tables(t)).groupBy("target_id", "schema", "table").agg(
+        F.count("*").alias("candidates"), F.bool_or("write_heavy").alias("write_heavy"))
+
+
+@query("advice_stats")
+def _(t):
+    from vitalgrid.operators.advice import advice_guards, advice_stats
+    cand = _candidates(t)
+    return advice_stats(t.statements(), _plans(t), cand, advice_guards(cand, _advice_tables(t)))
+
+
+# --- M: views, exports, documents ------------------------------------------------
+
+
+@query("view_tables")
+def _(t):
+    from vitalgrid.plans.views import view_tables
+    return view_tables(R.dead_ratio(t.table_stats()), k=4)
+
+
+@query("vacuum_due")
+def _(t):
+    from vitalgrid.plans.views import view_vacuum
+    return view_vacuum(R.dead_ratio(t.table_stats())).drop("last_autovacuum")
+
+
+@query("vacuum_behind")
+def _(t):
+    from vitalgrid.plans.views import vacuum_behind
+    settings = t.raw("nation").select(c("n_nationkey").cast("long").alias("target_id"), (c("n_nationkey") * 100.0).alias("vacuum_threshold"), F.lit(0.3).alias("vacuum_scale"))
+    return vacuum_behind(R.dead_ratio(t.table_stats()), settings)
+
+
+@query("view_unused_indexes")
+def _(t):
+    from vitalgrid.plans.views import view_unused_indexes
+    return view_unused_indexes(catalog.unused_indexes(t.indexes())).drop("schema")
+
+
+@query("view_diff")
+def _(t):
+    from vitalgrid.plans.views import view_diff
+    s = t.db_counters().withColumn("dealloc", F.floor(c("blks_read") / 5000))
+    honesty = baseline.diff_since(s, 7 * DAY)
+    a = baseline.asof(s.select(*SNAP, "collected_at", "numbackends"), s, ["target_id"], c("collected_at") - 7 * DAY, "collected_at", ["collected_at", "numbackends"])
+    conn = a.where(c("base_collected_at").isNotNull()).select(*SNAP, (c("numbackends") * 12).alias("connections"), (c("base_numbackends") * 12).alias("base_connections"),
+                                                                c("base_collected_at").alias("base_at"), F.lit("db").alias("database"))
+    return view_diff(honesty, deltas.connection_deltas(conn))
+
+
+def _export_findings(t) -> DataFrame:
+    f, _rows = _muted(t)
+    return f
+
+
+@query("export_metrics")
+def _(t):
+    from vitalgrid.plans.exports import metric_rows
+    facts = t.instances().withColumn("target_id", c("target_id"))
+    return metric_rows(_export_findings(t), facts, t.replicas()).groupBy("target_id", "family").agg(F.count("*").alias("series"), round_dp(F.sum(F.round(c("value") * 100)), 0).alias("total"))
+
+
+@query("export_metric_text")
+def _(t):
+    from vitalgrid.plans.exports import metric_rows, metric_text
+    return metric_text(metric_rows(_export_findings(t), t.instances(), t.replicas())).groupBy(
+        F.regexp_extract("line", r"^(?:# (?:HELP|TYPE) )?(\w+)", 1).alias("family"), c("line").startswith("#").alias("header")).agg(F.count("*").alias("lines"))
+
+
+@query("export_scan_results")
+def _(t):
+    from vitalgrid.plans.exports import scan_results
+    return scan_results(_export_findings(t)).drop("message")
+
+
+@query("export_scan_rules")
+def _(t):
+    from vitalgrid.plans.exports import scan_rules
+    return scan_rules(FM.fleet_findings(t, families=["instances", "tables", "horizon"]))
+
+
+@query("export_test_cases")
+def _(t):
+    from vitalgrid.plans.exports import test_cases
+    return test_cases(_export_findings(t), "warn").drop("title")
+
+
+@query("export_test_suites")
+def _(t):
+    from vitalgrid.plans.exports import test_cases, test_suites
+    return test_suites(test_cases(_export_findings(t), "critical"))
+
+
+@query("finding_documents")
+def _(t):
+    from vitalgrid.plans.exports import finding_documents
+    f = fleet.order_findings(FM.fleet_findings(t, families=["tables"]))
+    d = finding_documents(f, FM.table_evidence(t))
+    return d.select(*SNAP, F.size("findings").cast("long").alias("findings"), F.aggregate("findings", F.lit(0).cast("long"), lambda a, x: a + F.size(x["evidence"])).alias("evidence"),
+                    F.get("findings", F.lit(0))["id"].alias("first_id"))
+
+
+def _documents(t) -> DataFrame:
+    """Context documents as JSON text, from the table statistics (at most thirty tables each)."""
+    tt = FM.largest_tables(t.table_stats())
+    ts = lambda n: F.timestamp_seconds(n).alias(n)
+    row = F.struct("schema", "table", "total_bytes", "live_tuples", "dead_tuples", "dead_ratio", "seq_scans", "index_scans", "mods_since_analyze", "updates", "hot_updates",
+                   ts("last_analyze"), ts("last_autoanalyze"), ts("last_vacuum"), ts("last_autovacuum"), (c("rel_autovacuum_enabled") == "off").alias("autovacuum_disabled"),
+                   c("rel_vacuum_scale").alias("vacuum_scale_override"), c("rel_vacuum_threshold").alias("vacuum_threshold_override"),
+                   c("rel_analyze_scale").alias("analyze_scale_override"), c("rel_analyze_threshold").alias("analyze_threshold_override"))
+    g = tt.groupBy(*SNAP, "collected_at").agg(F.sum("total_bytes").alias("size"), F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))).alias("rows"))
+    doc = F.struct(F.lit("1.2.0").alias("schema_version"), F.timestamp_seconds("collected_at").alias("collected_at"), c("target_id").cast("string").alias("fingerprint"),
+                   F.struct(F.lit(True).alias("enabled")).alias("queries"), F.lit("kept by newer versions").alias("unknown_section"),
+                   F.struct(c("size").alias("db_size_bytes"), F.transform("rows", lambda x: x["row"]).alias("top")).alias("tables"))
+    return g.select(F.to_json(doc).alias("document"))
+
+
+@query("context_findings")
+def _(t):
+    from vitalgrid.plans.context_findings import context_findings
+    from vitalgrid.sources.contexts import parse_contexts
+    f, _rows = context_findings(parse_contexts(_documents(t)))
+    back = f.withColumn("target_id", c("target_id").cast("long")).withColumn("snapshot_id", (c("snapshot_id") / (365 * DAY)).cast("long") + 1970)
+    return _compare_header(back)
+
+
+@query("context_tables")
+def _(t):
+    """Documents written to the shared folder as JSON lines, read back and taken apart."""
+    from vitalgrid.session import staging_path
+    from vitalgrid.sources.contexts import read_contexts, section_rows
+    path = staging_path(t.spark, "contexts")
+    _documents(t).write.text(path)
+    rows = section_rows(read_contexts(t.spark, path, lines=True), "tables")
+    return rows.groupBy(c("target_id").cast("long").alias("target_id"), "table").agg(F.count("*").alias("readings"), F.sum("live_tuples").alias("live_tuples"),
+                                                                                      F.count("last_vacuum").alias("vacuumed"))
+
+
+# --- N: streams ------------------------------------------------------------------
+
+
+def _stream_query(name: str):
+    def add(fn):
+        from vitalgrid.sources.testbed import StreamBed
+        QUERIES[name] = lambda spark, sf_dir: fn(StreamBed(spark, sf_dir))
+        return fn
+    return add
+
+
+@_stream_query("stream_wait_rollup")
+def _(t):
+    from vitalgrid.streaming.jobs import drain, wait_rollup
+    return drain(wait_rollup(t.ash()), "wait-rollup")
+
+
+@_stream_query("stream_wait_profile")
+def _(t):
+    from vitalgrid.streaming.jobs import drain, profile_shares, wait_profile
+    return profile_shares(drain(wait_profile(t.ash()), "wait-profile"))
+
+
+@_stream_query("stream_incident_sessions")
+def _(t):
+    from vitalgrid.streaming.jobs import drain, incident_sessions
+    return drain(incident_sessions(t.ash(), gap="6 hours"), "incidents")
+
+
+def _as_stream(df: DataFrame, at: str, cuts: int, name: str) -> DataFrame:
+    """Write a table in time order as a few files and read it back as a stream of that many batches."""
+    from vitalgrid.session import staging_path
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    step = (high - low) // cuts + 1
+    for i in range(cuts):
+        part = df.where((c(at) >= low + i * step) & (c(at) < low + (i + 1) * step))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_counter_rates")
+def _(t):
+    from vitalgrid.streaming.jobs import counter_rates, drain_carried
+    s = _as_stream(t.db_counters(), "collected_at", 3, "counters")
+    return drain_carried(lambda root: counter_rates(s, root), t.spark, "counter-rates").drop("stats_reset_at", "postmaster_start_at")
+
+
+def _table_runs(t) -> DataFrame:
+    return FM.fleet_findings(t, families=["tables"]).select("target_id", c("snapshot_id").alias("run"), "id", "object", "severity")
+
+
+@query("finding_transitions")
+def _(t):
+    from vitalgrid.streaming.jobs import finding_transitions
+    return finding_transitions(_table_runs(t))
+
+
+@query("stream_finding_transitions")
+def _(t):
+    from vitalgrid.streaming.jobs import drain_carried, stream_transitions
+    s = _as_stream(_table_runs(t), "run", 3, "runs")
+    return drain_carried(lambda root: stream_transitions(s, root), t.spark, "transitions")

@@ -419,3 +419,13 @@ class Testbed:
         return self.raw("documents").select("doc_id", F.concat(
             F.lit("SELECT * FROM t WHERE a = $1 AND b = '"), t, F.lit("' AND n = "), F.col("doc_id").cast("string"),
             F.lit(".5 "), t).alias("query"))
+
+
+class StreamBed(Testbed):
+    """The same mappings over file streams, for the row-wise ones (sessions, samples)."""
+
+    def raw(self, name: str) -> DataFrame:
+        path = f"{self.dir}/{name}.parquet"
+        schema = self.spark.read.parquet(path).schema
+        # A pattern, so that a table may be one file or a folder of files.
+        return self.spark.readStream.schema(schema).parquet(path[:-1] + "[t]")
