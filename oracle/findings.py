@@ -100,11 +100,12 @@ SELECT *, coalesce(round(CAST(last_value AS DOUBLE)/ceiling*10000)/10000, 0) AS
        row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY CAST(last_value AS DOUBLE)/ceiling DESC NULLS LAST, name) AS rank
 FROM fx_sequences WHERE last_value IS NOT NULL QUALIFY rank <= 50""",
     "v_roots": """
-SELECT child, coalesce(e2.parent, e.parent) AS root FROM fx_partition_edges e LEFT JOIN (SELECT child AS c2, parent FROM fx_partition_edges) e2 ON e2.c2 = e.parent""",
+SELECT e.target_id, e.snapshot_id, e.child, coalesce(e2.parent, e.parent) AS root FROM fx_partition_edges e
+LEFT JOIN fx_partition_edges e2 ON e2.child = e.parent AND e2.target_id = e.target_id""",
     "v_partitions": """
-SELECT r.root, count(*) AS partitions, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(live_tuples) AS BIGINT) AS live_tuples,
+SELECT r.target_id, r.snapshot_id, r.root, count(*) AS partitions, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(live_tuples) AS BIGINT) AS live_tuples,
        CAST(sum(seq_scans) AS BIGINT) AS seq_scans, CAST(sum(index_scans) AS BIGINT) AS index_scans
-FROM v_roots r JOIN fx_partition_leaves l USING (child) GROUP BY 1""",
+FROM v_roots r JOIN fx_partition_leaves l USING (target_id, child) GROUP BY 1, 2, 3""",
     "v_baselines": """
 SELECT target_id, snapshot_id, lag(snapshot_id) OVER w AS base_snapshot_id, lag(seen) OVER w AS base_at
 FROM (SELECT target_id, snapshot_id, max(collected_at) AS seen FROM fx_statements GROUP BY 1, 2) WINDOW w AS (PARTITION BY target_id ORDER BY seen)""",
@@ -192,7 +193,7 @@ FAMILY_SQL["tables"] = "\nUNION ALL ".join([
     grouped("v_tables", "low_hot_update_ratio", "updates >= 10000 AND CAST(hot_updates AS DOUBLE)/updates < 0.5", "throughput", "40", "0.7")])
 
 FAMILY_SQL["partitions"] = grouped(
-    "(SELECT CAST(0 AS BIGINT) AS target_id, CAST(1 AS BIGINT) AS snapshot_id, * FROM v_partitions ORDER BY total_bytes DESC, root LIMIT 20)", "partition_seq_scan_heavy",
+    "(SELECT * FROM v_partitions QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY total_bytes DESC, root) <= 20)", "partition_seq_scan_heavy",
     "live_tuples >= 50000 AND seq_scans >= 1000 AND NOT (index_scans > 0 AND seq_scans < index_scans)", "latency", "55", "0.7")
 
 FAMILY_SQL["unused"] = grouped(

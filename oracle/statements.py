@@ -496,10 +496,11 @@ S["stream_wait_profile"] = f"""
 SELECT target_id, window_start, wait_type, samples, CAST(sum(samples) OVER (PARTITION BY target_id, window_start) AS BIGINT) AS total, CAST(samples AS DOUBLE)/sum(samples) OVER (PARTITION BY target_id, window_start) AS share
 FROM (SELECT target_id, (sample_at // 60)*60 - 60*o AS window_start, coalesce(wait_event_type, 'CPU') AS wait_type, count(*) AS samples
       FROM fx_ash, (SELECT unnest(range(0, 5)) AS o) GROUP BY 1, 2, 3) WHERE (window_start + 300)*1000000 <= {_MARK}"""
+# The lock filter runs below the watermark, so only lock samples advance it.
 S["stream_incident_sessions"] = f"""
 WITH l AS (SELECT target_id, query_id, sample_at, CASE WHEN sample_at - lag(sample_at) OVER w < 21600 THEN 0 ELSE 1 END AS brk FROM fx_ash WHERE wait_event_type = 'Lock' WINDOW w AS (PARTITION BY target_id, query_id ORDER BY sample_at)),
      s AS (SELECT *, sum(brk) OVER (PARTITION BY target_id, query_id ORDER BY sample_at ROWS UNBOUNDED PRECEDING) AS g FROM l)
-SELECT * FROM (SELECT target_id, query_id, min(sample_at) AS started_at, max(sample_at) + 21600 AS ended_at, count(*) AS samples FROM s GROUP BY target_id, query_id, g) WHERE ended_at*1000000 <= {_MARK}"""
+SELECT * FROM (SELECT target_id, query_id, min(sample_at) AS started_at, max(sample_at) + 21600 AS ended_at, count(*) AS samples FROM s GROUP BY target_id, query_id, g) WHERE ended_at <= (SELECT max(sample_at) - 600 FROM l)"""
 S["stream_counter_rates"] = S["health_rates"]
 S["finding_transitions"] = f"""
 WITH f AS (SELECT target_id, snapshot_id AS run, id, object, max({_rank}) AS rk FROM v_family_tables GROUP BY ALL),

@@ -170,12 +170,12 @@ SELECT CAST(s_nationkey AS BIGINT) AS target_id, CAST(1 AS BIGINT) AS snapshot_i
 FROM supplier"""
 
 VIEWS["fx_partition_edges"] = """
-SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer
-UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0"""
+SELECT CAST(n_regionkey AS BIGINT) AS target_id, CAST(1 AS BIGINT) AS snapshot_id, 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT CAST(n_regionkey AS BIGINT), CAST(1 AS BIGINT), 'n' || n_nationkey, 'r' || n_regionkey FROM nation WHERE n_nationkey % 2 = 0"""
 
 VIEWS["fx_partition_leaves"] = """
-SELECT 'c' || c_custkey AS child, abs(CAST(round(c_acctbal*100) AS BIGINT))*1000 AS total_bytes, c_custkey % 500 * 10 AS live_tuples,
-       c_custkey % 97 AS seq_scans, c_custkey % 89 AS index_scans FROM customer"""
+SELECT CAST(n_regionkey AS BIGINT) AS target_id, CAST(1 AS BIGINT) AS snapshot_id, 'c' || c_custkey AS child, abs(CAST(round(c_acctbal*100) AS BIGINT))*1000 AS total_bytes, c_custkey % 500 * 10 AS live_tuples,
+       c_custkey % 97 AS seq_scans, c_custkey % 89 AS index_scans FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 
 VIEWS["fx_schema_objects"] = """
 SELECT CAST(p_size % 25 AS BIGINT) AS target_id, s.snapshot_id, s.snapshot_id*86400 AS collected_at,

@@ -127,34 +127,34 @@ def narrow_identity(columns: DataFrame) -> DataFrame:
     return columns.where(F.col("type").isin("int2", "int4") & (F.col("is_identity") | F.col("owns_sequence")))
 
 
-def partition_roots(edges: DataFrame, *, settle_every: int = 2) -> DataFrame:
-    """(child, root) for every child, by pointer doubling over the inner nodes.
+def partition_roots(edges: DataFrame, keys: list[str] = SNAP, *, settle_every: int = 2) -> DataFrame:
+    """(keys, child, root) for every child, by pointer doubling over the inner nodes.
 
     Each round doubles the distance covered, so a hierarchy of depth d needs log2(d)
     rounds. Only nodes that are parents themselves move; leaves join once at the end.
     """
-    inner = edges.select("child", "parent").join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-    up = inner
+    nodes = edges.select(*keys, F.col("parent").alias("child")).distinct()
+    up = edges.select(*keys, "child", "parent").join(nodes, [*keys, "child"], "left_semi")
     rounds = 0
     while True:
-        step = up.select(F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        nxt = (up.join(step, "parent", "left")
-               .select("child", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
+        step = up.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("grand"))
+        nxt = (up.join(step, [*keys, "parent"], "left")
+               .select(*keys, "child", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
         rounds += 1
         if rounds % settle_every == 0:
             nxt = cut_lineage(nxt, "partition-roots")
         if nxt.where("moved").isEmpty():
             break
         up = nxt.drop("moved")
-    roots = nxt.select(F.col("child").alias("parent"), F.col("parent").alias("root"))
-    return edges.join(roots, "parent", "left").select("child", F.coalesce("root", "parent").alias("root"))
+    roots = nxt.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("root"))
+    return edges.join(roots, [*keys, "parent"], "left").select(*keys, "child", F.coalesce("root", "parent").alias("root"))
 
 
-def partition_rollup(edges: DataFrame, leaves: DataFrame) -> DataFrame:
+def partition_rollup(edges: DataFrame, leaves: DataFrame, keys: list[str] = SNAP) -> DataFrame:
     """Leaf statistics summed at the topmost parent. Sums combine before the shuffle."""
-    inner = edges.select(F.col("parent").alias("child")).distinct()
-    leaf_roots = partition_roots(edges).join(inner, "child", "left_anti")
-    return leaf_roots.join(leaves, "child").groupBy("root").agg(
+    inner = edges.select(*keys, F.col("parent").alias("child")).distinct()
+    leaf_roots = partition_roots(edges, keys).join(inner, [*keys, "child"], "left_anti")
+    return leaf_roots.join(leaves, [*keys, "child"]).groupBy(*keys, "root").agg(
         F.count("*").alias("partitions"), *[F.sum(c).alias(c) for c in ("total_bytes", "live_tuples", "seq_scans", "index_scans")])
 
 

@@ -105,9 +105,7 @@ def narrow_evidence(src) -> DataFrame:
 
 
 def partition_evidence(src) -> DataFrame:
-    """The testbed's partition trees are one fleet-wide forest; it is graded as one target."""
-    p = (catalog.partition_rollup(src.partition_edges(), src.partition_leaves())
-         .withColumn("target_id", F.lit(0).cast("long")).withColumn("snapshot_id", F.lit(1).cast("long")))
+    p = catalog.partition_rollup(src.partition_edges(), src.partition_leaves())
     return R.partition_rows(top_k(p, SNAP, [F.col("total_bytes").desc(), F.col("root")], TOP_PARTITIONED))
 
 

@@ -1010,9 +1010,12 @@ def _documents(t) -> DataFrame:
 
 @query("context_findings")
 def _(t):
+    """JSON documents landed as columns once, then graded by every rule."""
     from vitalgrid.plans.context_findings import context_findings
-    from vitalgrid.sources.contexts import parse_contexts
-    f, _rows = context_findings(parse_contexts(_documents(t)))
+    from vitalgrid.session import staging_path
+    from vitalgrid.sources.contexts import ingest_contexts, parse_contexts
+    landed = ingest_contexts(parse_contexts(_documents(t)), staging_path(t.spark, "contexts"))
+    f, _rows = context_findings(landed)
     back = f.withColumn("target_id", c("target_id").cast("long")).withColumn("snapshot_id", (c("snapshot_id") / (365 * DAY)).cast("long") + 1970)
     return _compare_header(back)
 

@@ -92,6 +92,17 @@ def parse_contexts(texts: DataFrame, column: str = "document") -> DataFrame:
     return texts.select(F.from_json(column, CONTEXT_SCHEMA).alias("c")).select("c.*")
 
 
+def ingest_contexts(contexts: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Land documents as columns, partitioned by day, and return the landed table.
+
+    Every later job reads only the sections it names; JSON would be parsed again for each.
+    """
+    spark = contexts.sparkSession
+    dated = contexts.withColumn("date", F.to_date("collected_at"))
+    dated.write.mode(mode).partitionBy("date").parquet(path)
+    return spark.read.schema(dated.schema).parquet(path)
+
+
 def keyed(contexts: DataFrame) -> DataFrame:
     """Add the (target_id, snapshot_id) key every job uses."""
     at = epoch_seconds("collected_at")

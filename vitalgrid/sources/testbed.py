@@ -285,17 +285,23 @@ class Testbed:
             F.slice(F.array(1 + k % 3, 1 + k % 2), F.lit(1), (1 + k % 2).cast("int")).cast("array<long>").alias("conkey"),
             (F.abs(cents("s_acctbal")) * 10_000).alias("child_bytes"))
 
+    def _regions(self) -> DataFrame:
+        return self.raw("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("target_id"))
+
     def partition_edges(self) -> DataFrame:
-        leaf = self.raw("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"),
-                                           F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"))
-        inner = self.raw("nation").where(F.col("n_nationkey") % 2 == 0).select(
-            F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child"),
-            F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"))
+        """Customers below nations, even nations below their region; one target per region."""
+        one = F.lit(1).cast("long").alias("snapshot_id")
+        nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+        leaf = self.raw("customer").join(self._regions(), "c_nationkey").select(
+            "target_id", one, F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("child"), nation.alias("parent"))
+        inner = self._regions().where(F.col("c_nationkey") % 2 == 0).select(
+            "target_id", one, nation.alias("child"), F.concat(F.lit("r"), F.col("target_id").cast("string")).alias("parent"))
         return leaf.unionByName(inner)
 
     def partition_leaves(self) -> DataFrame:
         b, k = F.abs(cents("c_acctbal")), F.col("c_custkey")
-        return self.raw("customer").select(
+        return self.raw("customer").join(self._regions(), "c_nationkey").select(
+            "target_id", F.lit(1).cast("long").alias("snapshot_id"),
             F.concat(F.lit("c"), k.cast("string")).alias("child"), (b * 1000).alias("total_bytes"),
             (k % 500 * 10).alias("live_tuples"), (k % 97).alias("seq_scans"), (k % 89).alias("index_scans"))
 
