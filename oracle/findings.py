@@ -60,7 +60,7 @@ FROM (SELECT *, collected_at - lag(collected_at) OVER w AS dt, lag(xact_commit)
     "v_health": """
 SELECT *, CAST(collected_at - stats_reset_at AS BIGINT) AS window_age_seconds FROM v_rates""",
     "v_activity": """
-SELECT a.*, 30.0*av_age AS autovacuum_max_age_s, l.blocked, l.max_wait_s, a.target_id % 3 + 1 AS max_workers FROM (
+SELECT a.*, av_age AS autovacuum_max_age_s, l.blocked, l.max_wait_s, a.target_id % 3 + 1 AS max_workers FROM (
   SELECT target_id, snapshot_id, count(*) AS total, count(*) FILTER (state='active') AS active, count(*) FILTER (state='idle') AS idle,
          count(*) FILTER (state LIKE 'idle in transaction%') AS idle_in_transaction,
          count(*) FILTER (wait_event_type NOT IN ('', 'Client')) AS waiting, CAST(max(xact_age_s) AS DOUBLE) AS longest_xact_s,
@@ -205,7 +205,7 @@ FAMILY_SQL["redundant"] = grouped("v_redundant", "redundant_indexes", "true", "s
 FAMILY_SQL["fks"] = grouped("(SELECT * FROM v_fks QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY child_bytes DESC, \"constraint\") <= 50)",
                             "fk_unindexed", "true", "latency", size_score("max(child_bytes)"), "0.85")
 FAMILY_SQL["invalid"] = grouped(
-    "(SELECT o.*, b.target_id IS NOT NULL AS building FROM fx_schema_objects o LEFT JOIN (SELECT DISTINCT target_id FROM fx_progress WHERE operation = 'create_index') b USING (target_id))",
+    "(SELECT o.*, b.target_id IS NOT NULL AS building FROM fx_schema_objects o LEFT JOIN (SELECT DISTINCT target_id, snapshot_id FROM fx_progress WHERE operation = 'create_index') b USING (target_id, snapshot_id))",
     "index_invalid", "kind = 'index' AND invalid", "risk", "CASE WHEN bool_or(live AND ready) THEN 85 ELSE 45 END", "CASE WHEN bool_or(building) THEN 0.5 ELSE 1.0 END",
     "CASE WHEN bool_or(live AND ready) AND NOT bool_or(building) THEN 'critical' ELSE 'warn' END")
 FAMILY_SQL["sequences"] = grouped("v_sequences", "sequence_exhaustion", "pct_used >= 0.8", "risk", "max(pct_used)*100", "0.9", "CASE WHEN max(pct_used) >= 0.9 THEN 'critical' ELSE 'warn' END")

@@ -114,7 +114,7 @@ SELECT target_id, sec // 86400 AS snapshot_id, event_id AS pid,
        WHEN event_type = 'purchase' THEN 'idle in transaction' ELSE 'idle in transaction (aborted)' END AS state,
   CASE WHEN event_type = 'error' THEN 'Lock' WHEN event_type IN ('view','purchase') THEN 'Client' ELSE '' END AS wait_event_type,
   CASE WHEN k % 6 = 0 THEN '' ELSE 'app' || (k % 6) END AS app_name, 'u' || (user_id % 3) AS username,
-  CAST(3*floor(value) AS BIGINT) AS xact_age_s, CAST(floor(value) AS BIGINT) AS query_age_s,
+  CAST(3*floor(value)*CASE WHEN event_id % 20 = 0 THEN 30 ELSE 1 END AS BIGINT) AS xact_age_s, CAST(floor(value) AS BIGINT) AS query_age_s,
   CASE WHEN event_id % 20 = 0 THEN 'autovacuum worker' ELSE 'client backend' END AS backend_type
 FROM fx_events"""
 

@@ -60,9 +60,9 @@ def health_facts(src) -> DataFrame:
 
 
 def activity_facts(src) -> DataFrame:
-    a = sessions.activity_rollup(src.activity()).withColumn("autovacuum_max_age_s", F.col("autovacuum_max_age_s") * 30)
-    workers = (F.col("target_id") % 3 + 1).cast("string")
-    return a.join(sessions.blocked_sessions(src.lock_waits()), SNAP, "left").withColumn("p_autovacuum_max_workers", workers)
+    limits = R.pivot_settings(src.session_params(), ["autovacuum_max_workers"])
+    return (sessions.activity_rollup(src.activity()).join(sessions.blocked_sessions(src.lock_waits()), SNAP, "left")
+            .join(limits, "target_id", "left"))
 
 
 def wait_facts(src) -> DataFrame:
@@ -75,7 +75,7 @@ def wait_facts(src) -> DataFrame:
 
 def statement_deltas(src) -> DataFrame:
     st = src.statements()
-    return deltas.query_deltas(st, deltas.snapshot_baselines(st, chunk_seconds=deltas.YEAR_CHUNK))
+    return deltas.query_deltas(st, deltas.snapshot_baselines(st))
 
 
 def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
@@ -83,11 +83,7 @@ def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
 
 
 def unused_evidence(src) -> DataFrame:
-    tables = src.table_stats().select("target_id", "snapshot_id", "schema", "table", "mods_since_analyze")
-    # Index statistics are one snapshot; a table counts as write-heavy by its newest reading.
-    newest = tables.groupBy("target_id", "schema", "table").agg(F.max_by("mods_since_analyze", "snapshot_id").alias("mods_since_analyze"))
-    heavy = newest.where(F.col("mods_since_analyze") > R.WRITE_HEAVY_MODS).withColumn("snapshot_id", F.lit(1).cast("long"))
-    return R.unused_index_rows(catalog.unused_indexes(src.indexes()), heavy)
+    return R.unused_index_rows(catalog.unused_indexes(src.indexes()), R.write_heavy(src.index_table_stats()))
 
 
 def invalid_evidence(src) -> DataFrame:
@@ -110,7 +106,11 @@ def partition_evidence(src) -> DataFrame:
 
 
 def _replica_rows(src) -> DataFrame:
-    return src.replicas().withColumn("wal_bytes_per_sec", F.when(F.col("target_id") % 4 != 0, F.lit(1.0)))
+    """Replicas with their target's WAL rate at the same snapshot."""
+    r = src.replicas()
+    if "wal_bytes_per_sec" in r.columns:
+        return r
+    return r.join(rates.wal_rates(src.wal_io()).select(*SNAP, "wal_bytes_per_sec"), SNAP, "left")
 
 
 def _gone_facts(src) -> DataFrame:
@@ -128,9 +128,9 @@ def _slowdown_facts(src) -> DataFrame:
 
 
 def _build_context(src) -> DataFrame:
-    building = src.progress().where(F.col("operation") == "create_index").select("target_id").distinct()
-    heads = src.schema_objects().select(*SNAP).distinct()
-    return heads.join(building.withColumn("build_running", F.lit(True)), "target_id", "left").withColumn("build_running", F.coalesce("build_running", F.lit(False)))
+    """Snapshots during which an index build was running."""
+    return (src.progress().where(F.col("operation") == "create_index").select(*SNAP).distinct()
+            .withColumn("build_running", F.lit(True)))
 
 
 def evidence_rows(src, only: Iterable[str] | None = None) -> DataFrame:

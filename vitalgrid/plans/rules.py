@@ -423,7 +423,7 @@ _ROW_RULES: dict[str, dict[str, Callable[[], Column]]] = {
     "redundant_indexes": dict(score=lambda: size_score("sum_size"), conf=lambda: F.lit(0.75),
                               title=lambda: F.concat(_f("%d redundant index(es), ", c("n")), human_bytes("sum_size"))),
     "fk_unindexed": dict(score=lambda: size_score("max_size"), conf=lambda: F.lit(0.85), title=lambda: _f("%d foreign key(s) without an index", c("n"))),
-    "index_invalid": dict(score=lambda: F.when(c("f1"), 85.0).otherwise(45.0), conf=lambda: F.when(c("build_running"), 0.5).otherwise(1.0),
+    "index_invalid": dict(score=lambda: F.when(c("f1"), 85.0).otherwise(45.0), conf=lambda: F.when(F.coalesce("build_running", F.lit(False)), 0.5).otherwise(1.0),
                           severity=lambda: F.when(c("f1") & ~F.coalesce("build_running", F.lit(False)), "critical").otherwise("warn"),
                           title=lambda: _f("%d invalid index(es)", c("n"))),
     "sequence_exhaustion": dict(score=lambda: c("max_measure") * 100, conf=lambda: F.lit(0.9),

@@ -13,6 +13,7 @@ from vitalgrid.operators import baseline, catalog, changes, deltas, evidence, fl
 from vitalgrid.operators.series import DAY
 from vitalgrid.plans import families as FM
 from vitalgrid.plans import rules as R
+from vitalgrid.session import cut_lineage, staging_path
 from vitalgrid.sources.testbed import Testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,9 +656,16 @@ def _rules(t) -> DataFrame:
     return policy.ignore_rules(t.spark, RULES)
 
 
+def _table_findings(t) -> tuple[DataFrame, DataFrame]:
+    """Findings and evidence of the table rules. The evidence is written once and read by all that follows."""
+    rows = cut_lineage(FM.table_evidence(t).select(*R.ROW), "evidence")
+    return R.row_findings(rows, only=FM.FAMILIES["tables"]), rows
+
+
 def _muted(t) -> tuple[DataFrame, DataFrame]:
-    f = FM.fleet_findings(t, families=["tables", "slots"])
-    return policy.apply_ignores(f, FM.evidence_rows(t, FM.FAMILIES["tables"]), _rules(t), NOW)
+    f, rows = _table_findings(t)
+    both = R.union_findings(f, FM.family_findings(t, "slots"))
+    return policy.apply_ignores(both, rows, _rules(t), NOW)
 
 
 @query("suppression_match")
@@ -712,16 +720,14 @@ def _(t):
 
 @query("mark_preexisting")
 def _(t):
-    head = FM.fleet_findings(t, families=["tables"])
-    rows = FM.table_evidence(t)
+    head, rows = _table_findings(t)
     pairs = deltas.snapshot_baselines(t.table_stats(), chunk_seconds=deltas.YEAR_CHUNK)
     return policy.mark_preexisting(head, rows, head, rows, pairs).select(*SNAP, "id", "preexisting")
 
 
 @query("gate_new_only")
 def _(t):
-    head = FM.fleet_findings(t, families=["tables"])
-    rows = FM.table_evidence(t)
+    head, rows = _table_findings(t)
     pairs = deltas.snapshot_baselines(t.table_stats(), chunk_seconds=deltas.YEAR_CHUNK)
     return fleet.gate_verdict(policy.mark_preexisting(head, rows, head, rows, pairs), "warn")
 
@@ -987,8 +993,8 @@ def _(t):
 @query("finding_documents")
 def _(t):
     from vitalgrid.plans.exports import finding_documents
-    f = fleet.order_findings(FM.fleet_findings(t, families=["tables"]))
-    d = finding_documents(f, FM.table_evidence(t))
+    f, rows = _table_findings(t)
+    d = finding_documents(fleet.order_findings(f), rows)
     return d.select(*SNAP, F.size("findings").cast("long").alias("findings"), F.aggregate("findings", F.lit(0).cast("long"), lambda a, x: a + F.size(x["evidence"])).alias("evidence"),
                     F.get("findings", F.lit(0))["id"].alias("first_id"))
 
@@ -1012,7 +1018,6 @@ def _documents(t) -> DataFrame:
 def _(t):
     """JSON documents landed as columns once, then graded by every rule."""
     from vitalgrid.plans.context_findings import context_findings
-    from vitalgrid.session import staging_path
     from vitalgrid.sources.contexts import ingest_contexts, parse_contexts
     landed = ingest_contexts(parse_contexts(_documents(t)), staging_path(t.spark, "contexts"))
     f, _rows = context_findings(landed)
@@ -1023,7 +1028,6 @@ def _(t):
 @query("context_tables")
 def _(t):
     """Documents written to the shared folder as JSON lines, read back and taken apart."""
-    from vitalgrid.session import staging_path
     from vitalgrid.sources.contexts import read_contexts, section_rows
     path = staging_path(t.spark, "contexts")
     _documents(t).write.text(path)
@@ -1063,7 +1067,6 @@ def _(t):
 
 def _as_stream(df: DataFrame, at: str, cuts: int, name: str) -> DataFrame:
     """Write a table in time order as a few files and read it back as a stream of that many batches."""
-    from vitalgrid.session import staging_path
     spark = df.sparkSession
     path = staging_path(spark, name)
     low, high = df.agg(F.min(at), F.max(at)).first()

@@ -33,9 +33,13 @@ class Testbed:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        """A given table; its files are listed and its schema read once per testbed."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def _events(self) -> DataFrame:
         return self.raw("events").select(
@@ -196,9 +200,16 @@ class Testbed:
             F.when(t == "error", "Lock").when(t.isin("view", "purchase"), "Client").otherwise("").alias("wait_event_type"),
             F.when(F.col("k") % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("app"), (F.col("k") % 6).cast("string"))).alias("app_name"),
             F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("username"),
-            (3 * F.floor("value")).cast("long").alias("xact_age_s"), F.floor("value").cast("long").alias("query_age_s"),
+            # Autovacuum workers run thirty times longer, so that some pass an hour.
+            (3 * F.floor("value") * F.when(F.col("event_id") % 20 == 0, 30).otherwise(1)).cast("long").alias("xact_age_s"),
+            F.floor("value").cast("long").alias("query_age_s"),
             F.when(F.col("event_id") % 20 == 0, "autovacuum worker").otherwise("client backend").alias("backend_type"))
 
+    def session_params(self) -> DataFrame:
+        """The settings session rules read, for the targets of the activity tables."""
+        return self._events().groupBy("target_id").agg(F.count("*").alias("n")).select(
+            "target_id", F.lit("autovacuum_max_workers").alias("name"), (F.col("target_id") % 3 + 1).cast("string").alias("value"))
+
     def lock_waits(self) -> DataFrame:
         e = F.col("event_id")
         return self._events().where((F.col("event_type") == "error") & (F.col("value") > 80)).select(
@@ -257,6 +268,12 @@ class Testbed:
             F.when(mk % 12 == 1, F.lit(0.02)).otherwise(null_d).alias("rel_analyze_scale"),
             F.when(mk % 13 == 1, F.lit(5000.0)).otherwise(null_d).alias("rel_analyze_threshold"))
 
+    def index_table_stats(self) -> DataFrame:
+        """Table statistics at the snapshot of the index tables: each table's newest reading."""
+        return (self.table_stats().groupBy("target_id", "schema", "table")
+                .agg(F.max_by("mods_since_analyze", "snapshot_id").alias("mods_since_analyze"))
+                .withColumn("snapshot_id", F.lit(1).cast("long")))
+
     def indexes(self) -> DataFrame:
         k = F.col("p_partkey")
         full = F.array((1 + k % 2), (1 + F.floor(k / 7) % 3), (1 + F.floor(k / 3) % 4))
@@ -358,7 +375,8 @@ class Testbed:
             F.when(k % 9 == 0, "").otherwise(F.concat(F.lit("standby"), k.cast("string"))).alias("app_name"),
             F.concat(F.lit("10.0.0."), k.cast("string")).alias("client_addr"),
             F.when(k % 3 == 0, "sync").when(k % 3 == 1, "quorum").otherwise("async").alias("sync_state"),
-            F.when(k % 8 != 0, lag_cents / F.lit(2000.0)).alias("replay_lag_sec"))
+            F.when(k % 8 != 0, lag_cents / F.lit(2000.0)).alias("replay_lag_sec"),
+            F.when(F.col("s_nationkey") % 4 != 0, F.lit(1.0)).alias("wal_bytes_per_sec"))
 
     def subscriptions(self) -> DataFrame:
         k = F.col("s_suppkey")
