@@ -107,6 +107,11 @@ S["progress_operations"] = """SELECT target_id, pid, operation, relation, phase,
 S["health_rates"] = """SELECT target_id, snapshot_id, collected_at, connections, sample_seconds, tps, commits_per_sec, rollbacks_per_sec, rollback_ratio, cache_hit_ratio, cache_blocks,
   deadlocks_per_min, temp_bytes_per_sec, tup_returned_per_sec, tup_written_per_sec,
   CASE WHEN first THEN 'unavailable' WHEN tps IS NULL OR commits_per_sec IS NULL OR rollbacks_per_sec IS NULL THEN 'reset_during_sample' ELSE 'sampled' END AS exactness FROM v_rates"""
+S["health_rates_net"] = f"""
+SELECT target_id, snapshot_id, CASE WHEN cb + xact_rollback >= pc + pr THEN CAST(cb + xact_rollback - pc - pr AS DOUBLE)/dt END AS tps, CASE WHEN cb >= pc THEN CAST(cb - pc AS DOUBLE)/dt END AS commits_per_sec,
+  CASE WHEN cb >= pc AND xact_rollback >= pr AND cb - pc + xact_rollback - pr > 0 THEN round(CAST(xact_rollback - pr AS DOUBLE)/(cb - pc + xact_rollback - pr)*10000)/10000 END AS rollback_ratio
+FROM (SELECT *, CASE WHEN xact_commit - 5*numbackends >= pc THEN xact_commit - 5*numbackends ELSE xact_commit END AS cb FROM (
+  SELECT *, collected_at - lag(collected_at) OVER w AS dt, lag(xact_commit) OVER w AS pc, lag(xact_rollback) OVER w AS pr FROM fx_db_counters {LAG}))"""
 S["wal_rates"] = f"""SELECT target_id, snapshot_id, round(CAST(wal_bytes - pb AS DOUBLE)/dt*100)/100 AS wal_bytes_per_sec, round(CAST(wal_records - pr AS DOUBLE)/dt*100)/100 AS wal_records_per_sec,
   CASE WHEN dt IS NULL THEN 'unavailable' ELSE 'sampled' END AS exactness FROM (SELECT *, collected_at - lag(collected_at) OVER w AS dt, lag(wal_bytes) OVER w AS pb, lag(wal_records) OVER w AS pr FROM fx_wal_io {LAG})"""
 S["io_rates"] = f"""SELECT target_id, snapshot_id, checkpoints_timed, checkpoints_req, round(CAST(buffers_written - pb AS DOUBLE)/dt*100)/100 AS buffers_written_per_sec
@@ -347,7 +352,25 @@ S["severity_remap"] = """SELECT target_id, snapshot_id, id, CASE id WHEN 'table_
   CASE WHEN id IN ('table_bloat','never_analyzed') THEN severity END AS severity_remapped FROM v_family_tables"""
 S["explain_rules"] = f"""SELECT DISTINCT id, object, CASE WHEN spec IS NOT NULL THEN 'suppressed' WHEN id = 'table_bloat' THEN 'glob does not match' WHEN id = 'low_hot_update_ratio' THEN 'glob does not match' ELSE 'no rule' END AS outcome,
   CASE WHEN spec IS NOT NULL THEN {_rule_texts} WHEN id = 'table_bloat' THEN 'table_bloat:public.t1' WHEN id = 'low_hot_update_ratio' THEN 'low_hot_update_ratio:t*' END AS rule FROM v_row_match"""
-S["expired_rules"] = "SELECT target_id, snapshot_id, 'table_bloat:public.*' AS rule FROM fx_instances"
+S["expired_rules"] = """SELECT target_id, snapshot_id, 'suppression_expired' AS id, 'info' AS severity, CAST(5 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS confidence,
+  'table_bloat:public.*' AS rule FROM fx_instances"""
+EXTRA["v_config_rules"] = """SELECT p_partkey AS ordinal, ['table_bloat','tabel_bloat','fsync_off',''][p_partkey % 4 + 1] AS finding,
+  CASE p_partkey % 5 WHEN 0 THEN '[x' || p_partkey WHEN 1 THEN 'public.*' END AS object, ['soon','2030-02-30','2030-01-31'][p_partkey % 3 + 1] AS expires FROM part"""
+S["config_warnings"] = """
+SELECT kind, subject, message, count(*) AS n FROM (
+  SELECT 'ignore' AS kind, CAST(ordinal AS VARCHAR) AS subject, 'rule names no finding' AS message FROM v_config_rules WHERE finding = ''
+  UNION ALL SELECT 'ignore', finding, 'unknown finding id; the rule will never match' FROM v_config_rules WHERE finding = 'tabel_bloat'
+  UNION ALL SELECT 'ignore', object, 'invalid glob; rule ignored' FROM v_config_rules WHERE object LIKE '[x%'
+  UNION ALL SELECT 'ignore', expires, 'not a YYYY-MM-DD date; treated as no expiry' FROM v_config_rules WHERE try_cast(expires AS DATE) IS NULL
+  UNION ALL SELECT 'severity', 'bogus', 'unknown finding id; ignored' FROM supplier WHERE s_suppkey % 2 <> 0
+  UNION ALL SELECT 'severity', 'table_bloat', 'unknown severity; ignored' FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = 0
+  UNION ALL SELECT 'threshold', 'other', 'unknown threshold key' FROM supplier WHERE s_suppkey % 3 = 2
+  UNION ALL SELECT 'threshold', 'dead_ratio_warn', 'value out of range' FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 4 <> 2
+  UNION ALL SELECT 'threshold', 'replica_lag_warn_seconds', 'value out of range' FROM supplier WHERE s_suppkey % 3 = 1 AND s_suppkey % 4 = 0) GROUP BY 1, 2, 3"""
+S["hygiene_warnings"] = "SELECT CASE WHEN coalesce(object, '') = '' THEN finding ELSE finding || ':' || object END AS rule, count(*) AS n FROM v_config_rules WHERE expires = 'soon' GROUP BY 1"
+S["evidence_preview"] = """
+SELECT target_id, snapshot_id, string_agg('public.' || index, ',' ORDER BY bytes DESC, 'public.' || index) FILTER (r <= 10) || CASE WHEN max(r) > 10 THEN ',…' ELSE '' END AS objects
+FROM (SELECT *, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, 'public.' || index) AS r FROM v_unused WHERE bytes >= 1048576) GROUP BY 1, 2"""
 S["inline_rules"] = """SELECT target_id + 1000000 AS ordinal, CASE target_id % 3 WHEN 0 THEN 'table_bloat' ELSE 'io_timing_off' END AS finding, CASE WHEN target_id % 3 = 0 THEN 'public.t' || target_id END AS object
 FROM fx_targets WHERE target_id % 3 <> 2"""
 S["seed_rules"] = f"SELECT DISTINCT id, object, '2026-04-15' AS expires FROM ({_all(['tables', 'slots'])})"

@@ -30,9 +30,8 @@ def _pairs(df: DataFrame) -> DataFrame:
 def _consecutive(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Full outer match of each snapshot's rows with its predecessor's.
 
-    Every row is relabelled with the snapshot it is 'after' in and the one it is 'before'
-    in; one aggregation by (target, snapshot, keys) then pairs them, without a join of
-    the two large sides.
+    The predecessor's rows are relabelled with the snapshot they are compared with, so both
+    sides meet on their full key, which is as fine as the rows themselves.
     """
     pairs = _pairs(df).select("target_id", "snapshot_id", "prev_snapshot_id", F.col("at").alias("cur_at"), "prev_at")
     cur = df.select("target_id", "snapshot_id", *keys, *[F.col(v).alias("cur_" + v) for v in values], F.lit(True).alias("in_cur"))

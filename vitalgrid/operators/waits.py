@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import ratio
@@ -25,41 +25,41 @@ def _counts(samples: DataFrame, *keys: str) -> DataFrame:
             .groupBy(*keys, "wait_type", "event").agg(F.count("*").alias("n")))
 
 
-def _totals(counts: DataFrame, keys: list[str]) -> DataFrame:
-    return counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+def _with_total(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the profile's total. The window runs over pre-aggregated rows: statements, types and
+    events, not samples, so its groups stay small however hot a target is."""
+    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
 
 
 def wait_by_type(samples: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
-    c = _counts(samples, *keys)
-    g = c.groupBy(*keys, "wait_type").agg(F.sum("n").alias("samples"))
-    return g.join(_totals(c, keys), keys).select(*keys, "wait_type", "samples", "total",
-                                                 ratio("samples", "total").alias("share"))
+    c = _with_total(_counts(samples, *keys), keys)
+    g = c.groupBy(*keys, "wait_type").agg(F.sum("n").alias("samples"), F.max("total").alias("total"))
+    return g.withColumn("share", ratio("samples", "total"))
 
 
 def wait_by_event(samples: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
     """Named events outside CPU; shares are of all samples."""
-    c = _counts(samples, *keys)
+    c = _with_total(_counts(samples, *keys), keys)
     g = c.where((F.col("wait_type") != "CPU") & (F.col("event") != ""))
-    return g.join(_totals(c, keys), keys).select(*keys, "wait_type", F.col("event").alias("wait_event"),
-                                                 F.col("n").alias("samples"), "total", ratio("n", "total").alias("share"))
+    return g.select(*keys, "wait_type", F.col("event").alias("wait_event"), F.col("n").alias("samples"), "total",
+                    ratio("n", "total").alias("share"))
 
 
 def wait_by_query(samples: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
     """Per statement: share of the window, lock and IO shares, its top wait type and top event."""
-    known = F.coalesce(F.col("query_id"), F.lit(0)) != 0
-    c = _counts(samples, *keys, "query_id")
-    fine = c.where(known)
-    by_type = fine.groupBy(*keys, "query_id", "wait_type").agg(F.sum("n").alias("n"))
-    types = by_type.groupBy(*keys, "query_id").agg(
-        F.sum("n").alias("samples"), F.coalesce(F.sum(F.when(F.col("wait_type") == "Lock", F.col("n"))), F.lit(0)).alias("lock"),
-        F.coalesce(F.sum(F.when(F.col("wait_type") == "IO", F.col("n"))), F.lit(0)).alias("io"),
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("wait_type"))).alias("top"))
+    c = _with_total(_counts(samples, *keys, "query_id"), keys).where(F.coalesce(F.col("query_id"), F.lit(0)) != 0)
+    c = c.withColumn("type_n", F.sum("n").over(Window.partitionBy(*keys, "query_id", "wait_type")))
     label = F.when(F.col("event") == "", F.col("wait_type")).otherwise(F.concat_ws(":", "wait_type", "event"))
-    events = fine.groupBy(*keys, "query_id").agg(F.min(F.struct((-F.col("n")).alias("n"), label.alias("label"))).alias("top_event"))
-    j = types.join(events, [*keys, "query_id"]).join(_totals(c, keys), keys)
-    return j.select(*keys, "query_id", "samples", "total", ratio("samples", "total").alias("share"),
-                    ratio("lock", "samples").alias("lock_share"), ratio("io", "samples").alias("io_share"), "lock",
-                    F.col("top.wait_type").alias("top_type"), F.col("top_event.label").alias("top_event"))
+
+    def of_type(name: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("wait_type") == name, F.col("n"))), F.lit(0))
+
+    q = c.groupBy(*keys, "query_id").agg(
+        F.sum("n").alias("samples"), F.max("total").alias("total"), of_type("Lock").alias("lock"), of_type("IO").alias("io"),
+        F.min(F.struct((-F.col("type_n")).alias("n"), F.col("wait_type").alias("name"))).alias("top"),
+        F.min(F.struct((-F.col("n")).alias("n"), label.alias("name"))).alias("top_event"))
+    return q.select(*keys, "query_id", "samples", "total", ratio("samples", "total").alias("share"), ratio("lock", "samples").alias("lock_share"),
+                    ratio("io", "samples").alias("io_share"), "lock", F.col("top.name").alias("top_type"), F.col("top_event.name").alias("top_event"))
 
 
 def wait_summary(samples: DataFrame, keys: list[str] = WINDOW) -> DataFrame:

@@ -124,11 +124,11 @@ def test_suites(cases: DataFrame) -> DataFrame:
     return cases.groupBy(*SNAP).agg(F.count("*").alias("tests"), F.count_if(F.col("status") == "failed").alias("failures"), F.count_if(F.col("status") == "skipped").alias("skipped"))
 
 
-def finding_documents(findings: DataFrame, rows: DataFrame, *, evidence: int = 10) -> DataFrame:
-    """Findings nested per snapshot, each with its first ``evidence`` entries.
+def finding_documents(findings: DataFrame, rows: DataFrame, *, evidence: int = 10, part_size: int = 500) -> DataFrame:
+    """Numbered findings nested per snapshot, each with its first ``evidence`` entries.
 
-    The full evidence is the row table; a document only previews it, so no document grows
-    with a finding's objects.
+    The full evidence is the row table; a document only previews it. A snapshot with more
+    than ``part_size`` findings becomes several parts, so no array grows without bound.
     """
     from vitalgrid.operators.series import top_k
 
@@ -136,4 +136,5 @@ def finding_documents(findings: DataFrame, rows: DataFrame, *, evidence: int = 1
     first = top_k(rows, key, [F.col("position").desc(), F.col("object"), F.col("evidence")], evidence, "_r")
     ev = first.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "evidence"))), lambda x: x["evidence"]).alias("evidence"))
     entry = F.struct("ordinal", "id", "object", "severity", "title", "n_objects", "evidence", "confidence", F.struct("score", "dimension").alias("impact"), "caveats")
-    return findings.join(ev, key, "left").groupBy(*SNAP).agg(F.array_sort(F.collect_list(entry)).alias("findings"))
+    part = F.floor((F.col("ordinal") - 1) / part_size).cast("long")
+    return findings.join(ev, key, "left").groupBy(*SNAP, part.alias("part")).agg(F.array_sort(F.collect_list(entry)).alias("findings"))

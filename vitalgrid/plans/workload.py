@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions import guc, text
 from vitalgrid.functions.numbers import round_dp
 from vitalgrid.operators import baseline, catalog, changes, deltas, evidence, fleet, policy, rates, sessions, waits
-from vitalgrid.operators.series import DAY
+from vitalgrid.operators.series import DAY, top_k
 from vitalgrid.plans import families as FM
 from vitalgrid.plans import rules as R
 from vitalgrid.session import cut_lineage, staging_path
@@ -174,6 +174,13 @@ def _(t):
     return rates.health_rates(t.db_counters()).drop("stats_reset_at", "postmaster_start_at")
 
 
+@query("health_rates_net")
+def _(t):
+    """Rates without the collector's own transactions."""
+    own = t.db_counters().withColumn("own_txns", c("numbackends") * 5)
+    return rates.health_rates(own).select(*SNAP, "tps", "commits_per_sec", "rollback_ratio")
+
+
 @query("wal_rates")
 def _(t):
     return rates.wal_rates(t.wal_io(), chunk_seconds=deltas.YEAR_CHUNK)
@@ -701,7 +708,39 @@ def _(t):
 
 @query("expired_rules")
 def _(t):
-    return policy.expired_rule_findings(t.instances(), _rules(t), NOW).select(*SNAP, "rule")
+    return policy.expired_rule_findings(t.instances(), _rules(t), NOW).drop("title")
+
+
+def _config(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rule, severity and threshold rows of many targets, some of them wrong."""
+    k = c("p_partkey")
+    rules = t.raw("part").select(
+        k.alias("ordinal"), F.when(k % 4 == 0, "table_bloat").when(k % 4 == 1, "tabel_bloat").when(k % 4 == 2, "fsync_off").otherwise("").alias("finding"),
+        F.when(k % 5 == 0, F.concat(F.lit("[x"), k.cast("string"))).when(k % 5 == 1, "public.*").alias("object"), F.lit("").alias("reason"),
+        F.when(k % 3 == 0, "soon").when(k % 3 == 1, "2030-02-30").otherwise("2030-01-31").alias("expires"))
+    s = c("s_suppkey")
+    severities = t.raw("supplier").select(F.when(s % 2 == 0, "table_bloat").otherwise("bogus").alias("id"), F.when(s % 3 == 0, "fatal").otherwise("warn").alias("severity"))
+    thresholds = t.raw("supplier").select(F.when(s % 3 == 0, "dead_ratio_warn").when(s % 3 == 1, "replica_lag_warn_seconds").otherwise("other").alias("key"), (s % 4 - 1).cast("double").alias("value"))
+    return rules, severities, thresholds
+
+
+@query("config_warnings")
+def _(t):
+    return policy.config_warnings(*_config(t)).groupBy("kind", "subject", "message").agg(F.count("*").alias("n"))
+
+
+@query("hygiene_warnings")
+def _(t):
+    rules, _severities, _thresholds = _config(t)
+    return policy.hygiene_warnings(rules.withColumn("expires", F.nullif("expires", F.lit("soon")))).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("evidence_preview")
+def _(t):
+    """The first ten evidence entries of the unused-index finding, with a mark when there are more."""
+    r = top_k(FM.unused_evidence(t), [*SNAP, "id"], [c("size").desc(), c("object")], 11, "r")
+    listed = r.groupBy(*SNAP, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "object"))), lambda x: x["object"]).alias("objects"))
+    return listed.select(*SNAP, F.array_join(text.first_ten("objects"), ",").alias("objects"))
 
 
 @query("inline_rules")
