@@ -51,6 +51,11 @@ def test_memory(spark):
     assert got == [4 << 20, 8192 << 10, 1 << 30, 2 << 40, 16, 100, None, None, None, -1]
 
 
+def test_values_that_do_not_fit_are_unknown(spark):
+    assert values(spark, ["999999999999999999TB", "99999999999999999999"], guc.memory_bytes) == [None, None]
+    assert values(spark, ["999999999999999999d", "99999999999999999999s"], lambda c: guc.duration_micros(c, "s")) == [None, None]
+
+
 def test_required_standbys(spark):
     got = values(spark, ["", "  ", "s1", "s1, s2", "2 (a, b)", "3(a,b)", "ANY 2 (a, b)", "FIRST 3 (a)", "any", "ANY x", "first 0 (a)", None], guc.required_standbys)
     assert got == [0, 0, 1, 1, 2, 3, 2, 3, 1, 1, 1, 0]
@@ -97,6 +102,7 @@ def test_identifier_spellings(spark):
         return df.select(text.search_terms("c")).first()[0]
     assert terms("externalIdNormalized") == ["externalIdNormalized", "external_id_normalized", "ExternalIdNormalized", "EXTERNAL_ID_NORMALIZED"]
     assert terms("customer_id") == ["customer_id", "customerId", "CustomerId", "CUSTOMER_ID"]
+    assert terms("___") == ["___"]
     assert terms("status") == ["status", "Status", "STATUS"]
     assert terms("HTTPServer2Go") == ["HTTPServer2Go", "httpServer2Go", "http_server2_go", "HttpServer2Go", "HTTP_SERVER2_GO"]
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalgrid import Fleet
+from vitalgrid.operators import policy
 from vitalgrid.plans import rules as R
 from vitalgrid.plans.context_findings import context_findings
 from vitalgrid.plans.exports import finding_documents, metric_text, metric_rows, scan_results, test_cases as case_rows
@@ -248,6 +249,31 @@ def test_fleet_from_tables(spark):
     assert [r["id"] for r in fl.findings().orderBy("ordinal").collect()] == ["autovacuum_disabled_on_table", "table_bloat", "autovacuum_starved"]
 
 
+TABLES = ("target_id long, snapshot_id long, collected_at long, schema string, table string, total_bytes long, live_tuples long, dead_tuples long, seq_scans long, index_scans long, "
+          "mods_since_analyze long, updates long, hot_updates long, last_vacuum long, last_autovacuum long, last_analyze long, last_autoanalyze long, rel_autovacuum_enabled string, "
+          "rel_vacuum_scale double, rel_vacuum_threshold double, rel_analyze_scale double, rel_analyze_threshold double")
+
+
+def test_optional_tables_refine_the_rules(spark):
+    def one(target, **kw):
+        v = dict(live=100_000, dead=30_000, seq=5_000, idx=10, mods=30_000, **kw)
+        return (target, 1, 10, "public", "a", 10**9, v["live"], v["dead"], v["seq"], v["idx"], v["mods"], 0, 0, 1, 1, 1, 1, None, None, None, None, None)
+    t = spark.createDataFrame([one(1), one(2)], TABLES)
+    params = spark.createDataFrame([(2, "autovacuum_analyze_scale_factor", "0.9"), (2, "autovacuum_analyze_threshold", "odd")], "target_id long, name string, value string")
+    windows = spark.createDataFrame([(1, 1, 900), (2, 1, 10)], "target_id long, snapshot_id long, window_age_seconds long")
+    thr = policy.threshold_columns(spark.createDataFrame([(1, "dead_ratio_warn", 0.5), (2, "dead_ratio_warn", 7.0)], "target_id long, key string, value double"))
+    plain = Fleet(spark).from_tables({"table_stats": t}).findings()
+    assert {(r["target_id"], r["id"]) for r in plain.collect()} == {(x, i) for x in (1, 2) for i in ("table_bloat", "seq_scan_heavy", "stale_statistics")}
+    refined = Fleet(spark).from_tables({"table_stats": t, "params": params, "windows": windows}).findings(thresholds=thr)
+    assert {(r["target_id"], r["id"]) for r in refined.collect()} == {(1, "seq_scan_heavy"), (1, "stale_statistics"), (2, "table_bloat")}
+
+
+def test_unusable_documents_are_split_off(spark):
+    df = spark.createDataFrame([('{"fingerprint": "a", "collected_at": "2026-01-01T00:00:00Z", "schema_version": "1.0.0"}',), ("not json",), ('{"fingerprint": "b"}',)], "document string")
+    good, bad = X.split_contexts(X.parse_contexts(df))
+    assert (good.count(), bad.count()) == (1, 2)
+
+
 def _sample_findings(spark):
     return spark.createDataFrame([(1, 1, "fsync_off", "setting:fsync", "critical", "risk", 95.0, 1.0, "fsync is off", 0, [], False, "", False),
                                   (1, 1, "table_bloat", "", "warn", "storage", 40.0, 0.7, "1 table(s)", 1, [], True, "", False),

@@ -14,7 +14,11 @@ from vitalgrid.sources.contexts import ingest_contexts, read_contexts
 
 
 class TableSource:
-    """Telemetry tables by name, in the shape the finding families ask for."""
+    """Telemetry tables by name, in the shape the finding families ask for.
+
+    Optional tables refine the rules: ``thresholds`` (per target, see ``policy.threshold_columns``)
+    and ``windows`` (per snapshot: window_age_seconds, replication_in_use, ...).
+    """
 
     # Tables that may stand in for one that is not given.
     STAND_INS = {"session_params": "params", "index_table_stats": "table_stats"}
@@ -23,6 +27,8 @@ class TableSource:
         self.tables = dict(tables)
 
     def __getattr__(self, name: str) -> Callable[[], DataFrame]:
+        if name == "vacuum_settings" and name not in self.tables and "params" in self.tables:
+            return lambda: families.vacuum_settings(self.tables["params"])
         for candidate in (name, self.STAND_INS.get(name)):
             if candidate in self.tables:
                 return lambda: self.tables[candidate]
@@ -121,7 +127,8 @@ class Fleet:
             if only is not None:
                 found = found.where(F.col("id").isin(*only))
         else:
-            found, rows = families.fleet_findings(self.source, only, self.families()), None
+            source = self.source if thresholds is None else TableSource({**self.source.tables, "thresholds": thresholds})
+            found, rows = families.fleet_findings(source, only, self.families()), None
         found = fleet.order_findings(found)
         if severities is not None:
             found = policy.remap_severity(found, severities)

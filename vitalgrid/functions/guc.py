@@ -1,4 +1,7 @@
-"""Typed readings of server setting texts, as Column expressions."""
+"""Typed readings of server setting texts, as Column expressions.
+
+A value that does not parse, or does not fit, is NULL: one odd setting must not stop a fleet job.
+"""
 
 from __future__ import annotations
 
@@ -36,9 +39,9 @@ def duration_micros(text: Column | str, base: str) -> Column:
     s = _strip(col(text))
     numbers = F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(1))
     units = F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(2))
-    parts = F.zip_with(numbers, units, lambda n, u: n.try_cast("long") * F.coalesce(
-        _lookup(u, MICROS), F.lit(MICROS[base]).cast("long")))
-    total = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    parts = F.zip_with(numbers, units, lambda n, u: F.try_multiply(n.try_cast("long"), F.coalesce(
+        _lookup(u, MICROS), F.lit(MICROS[base]).cast("long"))))
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: F.try_add(acc, x))
     return F.when(s.rlike(_WHOLE), F.when(s.startswith("-"), -total).otherwise(total))
 
 
@@ -46,7 +49,7 @@ def memory_bytes(text: Column | str) -> Column:
     s = _strip(col(text))
     n = F.regexp_extract(s, r"^([+-]?\d{1,18})\s*([A-Za-z]*)$", 1).try_cast("long")
     unit = F.lower(F.regexp_extract(s, r"^([+-]?\d{1,18})\s*([A-Za-z]*)$", 2))
-    return F.when(n.isNotNull(), n * _lookup(unit, MEMORY))
+    return F.try_multiply(n, _lookup(unit, MEMORY))
 
 
 def switched_off(text: Column | str) -> Column:

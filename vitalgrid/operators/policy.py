@@ -89,6 +89,19 @@ def config_warnings(rules: DataFrame, severities: DataFrame, thresholds: DataFra
     return out
 
 
+def threshold_columns(thresholds: DataFrame) -> DataFrame:
+    """Per-target (target_id, key, value) overrides as the columns the rules read. Invalid ones are left out."""
+    v = F.col("value")
+
+    def of(key: str, ok: Column, value: Column) -> Column:
+        return F.max(F.when((F.col("key") == key) & ok, value))
+
+    return thresholds.groupBy("target_id").agg(
+        of("unused_index_min_size_mb", v >= 0, F.floor(v * (1 << 20))).alias("unused_index_min_bytes"),
+        of("dead_ratio_warn", (v > 0) & (v <= 1), v).alias("dead_ratio_warn"),
+        of("replica_lag_warn_seconds", v >= 0, v).alias("replica_lag_warn_sec"))
+
+
 def refuse_credentials(keys: list[str]) -> None:
     """A configuration is meant to be committed, so a credential in it is fatal."""
     bad = [k for k in keys if k.rsplit(".", 1)[-1].lower() in CREDENTIAL_KEYS]

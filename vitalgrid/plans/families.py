@@ -44,6 +44,29 @@ FAMILIES: dict[str, list[str]] = {
 FAMILY_OF = {i: f for f, ids in FAMILIES.items() for i in ids}
 
 
+def _attached(src, df: DataFrame, name: str, keys: list[str], *columns: str) -> DataFrame:
+    """Join an optional table of the source: per-target thresholds, counter windows, cluster settings."""
+    get = getattr(src, name, None)
+    if get is None:
+        return df
+    extra = get()
+    wanted = [x for x in columns if x in extra.columns and x not in df.columns]
+    return df.join(extra.select(*keys, *wanted), keys, "left") if wanted else df
+
+
+def _graded_by(src, df: DataFrame, threshold: str) -> DataFrame:
+    df = _attached(src, df, "thresholds", ["target_id"], threshold)
+    return _attached(src, df, "windows", SNAP, "window_age_seconds")
+
+
+def vacuum_settings(params: DataFrame) -> DataFrame:
+    """The cluster-wide autovacuum settings per target, as numbers."""
+    names = {"vacuum_threshold": "autovacuum_vacuum_threshold", "vacuum_scale": "autovacuum_vacuum_scale_factor",
+             "analyze_threshold": "autovacuum_analyze_threshold", "analyze_scale": "autovacuum_analyze_scale_factor"}
+    p = R.pivot_settings(params, names.values())
+    return p.select("target_id", *[F.col("p_" + n).try_cast("double").alias(a) for a, n in names.items()])
+
+
 def largest_tables(tables: DataFrame, k: int = TOP_TABLES) -> DataFrame:
     return top_k(R.dead_ratio(tables), SNAP, [F.col("total_bytes").desc(), F.col("schema"), F.col("table")], k)
 
@@ -79,11 +102,14 @@ def statement_deltas(src) -> DataFrame:
 
 
 def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
-    return R.table_rows(largest_tables(src.table_stats()), only)
+    t = _graded_by(src, largest_tables(src.table_stats()), "dead_ratio_warn")
+    t = _attached(src, t, "vacuum_settings", ["target_id"], "vacuum_threshold", "vacuum_scale", "analyze_threshold", "analyze_scale")
+    return R.table_rows(t, only)
 
 
 def unused_evidence(src) -> DataFrame:
-    return R.unused_index_rows(catalog.unused_indexes(src.indexes()), R.write_heavy(src.index_table_stats()))
+    u = _graded_by(src, catalog.unused_indexes(src.indexes()), "unused_index_min_bytes")
+    return R.unused_index_rows(u, R.write_heavy(src.index_table_stats()))
 
 
 def invalid_evidence(src) -> DataFrame:
@@ -102,12 +128,13 @@ def narrow_evidence(src) -> DataFrame:
 
 def partition_evidence(src) -> DataFrame:
     p = catalog.partition_rollup(src.partition_edges(), src.partition_leaves())
+    p = _attached(src, p, "windows", SNAP, "window_age_seconds")
     return R.partition_rows(top_k(p, SNAP, [F.col("total_bytes").desc(), F.col("root")], TOP_PARTITIONED))
 
 
 def _replica_rows(src) -> DataFrame:
     """Replicas with their target's WAL rate at the same snapshot."""
-    r = src.replicas()
+    r = _attached(src, src.replicas(), "thresholds", ["target_id"], "replica_lag_warn_sec")
     if "wal_bytes_per_sec" in r.columns:
         return r
     return r.join(rates.wal_rates(src.wal_io()).select(*SNAP, "wal_bytes_per_sec"), SNAP, "left")
@@ -187,6 +214,8 @@ def family_findings(src, family: str, only: Iterable[str] | None = None) -> Data
     if family == "slowdowns":
         return R.fact_findings(_slowdown_facts(src), ids)
     context = _build_context(src) if family == "invalid" else None
+    if context is None and getattr(src, "windows", None) is not None:
+        context = src.windows()
     return R.row_findings(evidence_rows(src, ids), context, ids)
 
 

@@ -117,7 +117,7 @@ def _wait_ready() -> Column:
 
 
 def _worst_memory() -> Column:
-    return guc.memory_bytes(c("p_work_mem")) * c("p_max_connections").try_cast("long")
+    return F.try_multiply(guc.memory_bytes(c("p_work_mem")), c("p_max_connections").try_cast("long"))
 
 
 def _wraparound(id_: str, age: str, label: str) -> FactRule:

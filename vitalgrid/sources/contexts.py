@@ -109,6 +109,12 @@ def keyed(contexts: DataFrame) -> DataFrame:
     return contexts.withColumn("target_id", F.col("fingerprint")).withColumn("snapshot_id", at).withColumn("collected_at_s", at)
 
 
+def split_contexts(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable documents, rejected ones): a document needs a fingerprint, a time and a schema version."""
+    ok = F.col("fingerprint").isNotNull() & F.col("collected_at").isNotNull() & (F.coalesce("schema_version", F.lit("")) != "")
+    return contexts.where(ok), contexts.where(~ok)
+
+
 # Where each table of the data model lives in a document.
 TABLES = {
     "tables": "tables.top", "partitioned": "tables.partitioned", "unused_indexes": "indexes.unused", "largest_indexes": "indexes.largest",
