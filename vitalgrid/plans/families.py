@@ -41,6 +41,9 @@ FAMILIES: dict[str, list[str]] = {
     "horizon": ["vacuum_horizon_blocked", "prepared_xact_abandoned"], "slowdowns": ["query_slowdown"],
 }
 
+# Rules that grade rows of a table; the other rules grade facts or single objects.
+ROW_RULE_IDS = [i for f in ("tables", "partitions", "unused", "redundant", "fks", "invalid", "sequences", "narrow", "checksums") for i in FAMILIES[f]] + ["replica_lag_time"]
+
 FAMILY_OF = {i: f for f, ids in FAMILIES.items() for i in ids}
 
 
@@ -160,6 +163,17 @@ def _build_context(src) -> DataFrame:
             .withColumn("build_running", F.lit(True)))
 
 
+def _context(src, ids: Iterable[str]) -> DataFrame | None:
+    """Snapshot facts the wanted row rules depend on, where the source knows them."""
+    context = _build_context(src) if "index_invalid" in set(ids) else None
+    windows = getattr(src, "windows", None)
+    if windows is None:
+        return context
+    known = windows()
+    known = known.select(*SNAP, *[n for n in R.CONTEXT if n in known.columns])
+    return known if context is None else known.join(context, SNAP, "full_outer")
+
+
 def evidence_rows(src, only: Iterable[str] | None = None) -> DataFrame:
     """Long-form evidence of all row rules (or the wanted ones)."""
     parts: dict[str, Callable[[], DataFrame]] = {
@@ -213,15 +227,16 @@ def family_findings(src, family: str, only: Iterable[str] | None = None) -> Data
         return R.subscription_findings(src.subscriptions()).select(*R.HEADER)
     if family == "slowdowns":
         return R.fact_findings(_slowdown_facts(src), ids)
-    context = _build_context(src) if family == "invalid" else None
-    if context is None and getattr(src, "windows", None) is not None:
-        context = src.windows()
-    return R.row_findings(evidence_rows(src, ids), context, ids)
+    return R.row_findings(evidence_rows(src, ids), _context(src, ids), ids)
 
 
 def fleet_findings(src, only: Iterable[str] | None = None, families: Iterable[str] | None = None) -> DataFrame:
     """Findings of all wanted families. Row rules of all families share one aggregation."""
     fams = list(families or FAMILIES)
-    if only is not None:
-        fams = [f for f in fams if set(FAMILIES[f]) & set(only)]
-    return R.union_findings(*[family_findings(src, f, only) for f in fams])
+    wanted = [i for f in fams for i in FAMILIES[f] if only is None or i in set(only)]
+    listed = [i for i in wanted if i in ROW_RULE_IDS]
+    parts = [family_findings(src, f, [i for i in FAMILIES[f] if i in set(wanted) - set(listed)])
+             for f in fams if set(FAMILIES[f]) & (set(wanted) - set(listed))]
+    if listed:
+        parts.append(R.row_findings(evidence_rows(src, listed), _context(src, listed), listed))
+    return R.union_findings(*parts)

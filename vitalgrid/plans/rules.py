@@ -271,6 +271,10 @@ def fact_findings(facts: DataFrame, only: Iterable[str] | None = None) -> DataFr
 
 # --- row rules ----------------------------------------------------------------
 
+# Facts about a snapshot that the row rules' wording, confidence and severity depend on.
+CONTEXT = {"window_age_seconds": "long", "build_running": "boolean", "replication_in_use": "boolean",
+           "horizon_pinned": "boolean", "slowdown_present": "boolean", "hypopg": "boolean"}
+
 
 def _row(id_: str, hit: Column, obj: Column, evidence: Column, *, measure: Column | None = None, size: Column | None = None,
          position: Column | None = None, f1: Column | None = None, f2: Column | None = None, f3: Column | None = None) -> Column:
@@ -287,7 +291,7 @@ def _row(id_: str, hit: Column, obj: Column, evidence: Column, *, measure: Colum
 
 def _rows(df: DataFrame, hits: dict[str, Column], only: Iterable[str] | None) -> DataFrame:
     wanted = [h for i, h in hits.items() if only is None or i in set(only)]
-    return df.select(*SNAP, F.inline(F.array_compact(F.array(*wanted))))
+    return df.select(*SNAP, *[n for n in CONTEXT if n in df.columns], F.inline(F.array_compact(F.array(*wanted))))
 
 
 def with_default(df: DataFrame, name: str, value) -> DataFrame:
@@ -344,13 +348,17 @@ def partition_rows(parents: DataFrame) -> DataFrame:
                                         human_count(idx), F.lit(" index scans")), position=c("total_bytes"))}, None)
 
 
-def unused_index_rows(unused: DataFrame, write_heavy: DataFrame) -> DataFrame:
-    """``write_heavy`` lists (target, snapshot, schema, table) with many changes since analyze."""
+def unused_index_rows(unused: DataFrame, write_heavy: DataFrame | None = None) -> DataFrame:
+    """``write_heavy`` lists (target, snapshot, schema, table) with many changes since analyze.
+
+    It may be left out when ``unused`` already carries a ``heavy`` flag.
+    """
     u = with_default(unused, "unused_index_min_bytes", UNUSED_INDEX_MIN_BYTES)
     if "window_age_seconds" not in u.columns:
         u = u.withColumn("window_age_seconds", F.lit(None).cast("long"))
-    keys = [*SNAP, "schema", "table"]
-    u = u.join(write_heavy.select(*keys).distinct().withColumn("heavy", F.lit(True)), keys, "left")
+    if write_heavy is not None:
+        keys = [*SNAP, "schema", "table"]
+        u = u.join(write_heavy.select(*keys).distinct().withColumn("heavy", F.lit(True)), keys, "left")
     heavy = F.coalesce("heavy", F.lit(False))
     score = F.when(heavy, F.least(F.lit(100.0), size_score("bytes") * 1.3)).otherwise(size_score("bytes"))
     obj = F.concat_ws(".", "schema", "index")
@@ -437,10 +445,6 @@ _ROW_RULES: dict[str, dict[str, Callable[[], Column]]] = {
                              title=lambda: _f("Replica %.0fs behind", c("max_measure"))),
 }
 
-CONTEXT = {"window_age_seconds": "long", "build_running": "boolean", "replication_in_use": "boolean",
-           "horizon_pinned": "boolean", "slowdown_present": "boolean", "hypopg": "boolean"}
-
-
 def _case(key: Column, branches: dict[str, Column], default: Column) -> Column:
     out = None
     for k, v in branches.items():
@@ -449,16 +453,21 @@ def _case(key: Column, branches: dict[str, Column], default: Column) -> Column:
 
 
 def row_findings(rows: DataFrame, context: DataFrame | None = None, only: Iterable[str] | None = None) -> DataFrame:
-    """Aggregate evidence rows to findings. All aggregates are partial and fixed-width."""
-    g = rows.groupBy(*SNAP, "id").agg(
+    """Aggregate evidence rows to findings. All aggregates are partial and fixed-width.
+
+    Context facts come along in the rows (they are the same for a whole snapshot) or from
+    ``context``, one row per snapshot.
+    """
+    carried = [n for n in CONTEXT if n in rows.columns]
+    g = rows.groupBy(*SNAP, "id", *carried).agg(
         F.count("*").alias("n"), F.count_if(F.col("object") != "").alias("n_named"), F.max("measure").alias("max_measure"),
         F.min("measure").alias("min_measure"), F.sum("size").alias("sum_size"), F.max("size").alias("max_size"),
         *[F.max(f).alias(f) for f in ("f1", "f2", "f3")])
-    extra = [n for n in CONTEXT if context is not None and n in context.columns]
+    extra = [n for n in CONTEXT if context is not None and n in context.columns and n not in carried]
     if extra:
         g = g.join(context.select(*SNAP, *extra), SNAP, "left")
     for name, kind in CONTEXT.items():
-        if name not in extra:
+        if name not in extra and name not in carried:
             g = g.withColumn(name, F.lit(None).cast(kind))
     rules = {i: r for i, r in _ROW_RULES.items() if only is None or i in set(only)}
     key = F.col("id")

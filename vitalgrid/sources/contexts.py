@@ -126,9 +126,13 @@ TABLES = {
 }
 
 
-def section_rows(contexts: DataFrame, table: str) -> DataFrame:
-    """One typed table out of the documents; only its own section is read from the source."""
-    return keyed(contexts).select("target_id", "snapshot_id", F.inline(TABLES[table]))
+def section_rows(contexts: DataFrame, table: str, carry: dict[str, Column] | None = None) -> DataFrame:
+    """One typed table out of the documents; only its own section is read from the source.
+
+    ``carry`` adds facts of the same document to every row, which saves joining them later.
+    """
+    along = [v.alias(n) for n, v in (carry or {}).items()]
+    return keyed(contexts).select("target_id", "snapshot_id", *along, F.inline(TABLES[table]))
 
 
 def setting_rows(contexts: DataFrame) -> DataFrame:
@@ -142,6 +146,24 @@ def _count_if(arr: str, cond) -> Column:
     return F.when(F.col(arr).isNotNull(), F.size(F.filter(arr, cond)).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
+def snapshot_context() -> dict[str, Column]:
+    """Facts of a document that the row rules refer to, computed inside the row."""
+    slowed = lambda d: (d["id"] == "query.mean_ms") & (d["before"] > 0) & (d["after"] >= 10) & (d["after"] / d["before"] >= 2)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    return {
+        "window_age_seconds": F.col("window.window_age_seconds"),
+        "build_running": yes(F.exists("progress.operations", lambda o: o["operation"] == "create_index")),
+        "replication_in_use": yes(F.size("replication.replicas") > 0) | yes(F.col("replication.is_replica")),
+        "horizon_pinned": yes(F.get("horizon.holders", F.lit(0))["xmin_age"] >= 1_000_000),
+        "slowdown_present": yes(F.exists("deltas.changes", slowed)),
+        "hypopg": yes(F.array_contains("server.extensions", "hypopg")),
+    }
+
+
+def setting(name: str) -> Column:
+    return F.element_at("settings.params", name)
+
+
 def context_facts(contexts: DataFrame, setting_names: list[str]) -> DataFrame:
     """Fact row per document, for the fact rules. Everything is computed inside the row: no shuffle."""
     c = F.col
@@ -178,13 +200,9 @@ def context_facts(contexts: DataFrame, setting_names: list[str]) -> DataFrame:
         "lwlock_share": F.coalesce(top_lw["share"], lw["share"], F.lit(0.0)), "lwlock_event": F.coalesce(top_lw["event"], F.lit("LWLock")),
         "standby_gone": gone["subject"], "slowdown_factor": worst["f"], "slowdown_before": worst["b"], "slowdown_after": worst["a"],
         "slowdown_query": F.regexp_extract(F.coalesce(worst["s"], F.lit("")), r"(-?\d+)$", 1).try_cast("long"),
-        "build_running": F.coalesce(F.exists("progress.operations", lambda o: o["operation"] == "create_index"), F.lit(False)),
-        "hypopg": F.coalesce(F.array_contains("server.extensions", "hypopg"), F.lit(False)),
-        "horizon_pinned": F.coalesce(F.get("horizon.holders", F.lit(0))["xmin_age"] >= 1_000_000, F.lit(False)),
-        **{"p_" + n: F.coalesce(F.element_at("settings.params", n), F.lit("")) for n in setting_names},
+        **{"p_" + n: F.coalesce(setting(n), F.lit("")) for n in setting_names},
     }
-    out = k.select("target_id", "snapshot_id", *[v.alias(n) for n, v in facts.items()])
-    return out.withColumn("replication_in_use", (c("replica_count") > 0) | c("is_replica")).withColumn("slowdown_present", c("slowdown_factor").isNotNull())
+    return k.select("target_id", "snapshot_id", *[v.alias(n) for n, v in facts.items()])
 
 
 def build_contexts(parts: dict[str, Column], base: DataFrame) -> DataFrame:
