@@ -271,6 +271,13 @@ def test_delta_gates(spark):
     assert (w["factor"], w["subject"]) == (10.0, "queryid 1")
 
 
+def test_delta_baselines_skip_runs_in_a_row(spark):
+    df = snapshots(spark, 0, 1000, 1060, 1100)
+    got = {r["snapshot_id"]: (r["base_snapshot_id"], r["base_at"]) for r in deltas.delta_baselines(df).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (0, 0)}
+    assert {r["snapshot_id"]: r["base_snapshot_id"] for r in deltas.snapshot_baselines(df).collect()} == {1: 0, 2: 1, 3: 2}
+
+
 def test_table_deltas(spark):
     t = spark.createDataFrame([(1, 1, 10, "public", "a", 100, 0.02), (1, 2, 20, "public", "a", 5000, 0.30), (1, 1, 10, "public", "b", 100, 0.1), (1, 2, 20, "public", "b", 150, 0.15)],
                               "target_id long, snapshot_id long, collected_at long, schema string, table string, seq_scans long, dead_ratio double")

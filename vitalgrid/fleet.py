@@ -86,16 +86,16 @@ class Fleet:
     # --- comparisons ---
 
     def deltas(self) -> DataFrame:
-        """Material changes against the previous snapshot, without snapshots whose counters were reset."""
+        """Material changes against each snapshot's baseline, without snapshots whose counters were reset."""
         parts = []
         if self.source.has("statements"):
             parts.append(families.statement_deltas(self.source))
         if self.source.has("table_stats"):
             t = families.largest_tables(self.source.table_stats())
-            parts.append(deltas.table_deltas(t, deltas.snapshot_baselines(self.source.table_stats())))
+            parts.append(deltas.table_deltas(t, deltas.delta_baselines(self.source.table_stats())))
         if self.source.has("replicas"):
             r = self.source.replicas()
-            parts.append(deltas.standby_gone(r, deltas.snapshot_baselines(r)))
+            parts.append(deltas.standby_gone(r, deltas.delta_baselines(r)))
         every = deltas.all_deltas(*parts)
         if not self.source.has("db_counters"):
             return every

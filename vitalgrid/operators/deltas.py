@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import pct_change, round_dp
+from vitalgrid.operators.baseline import baseline_choice
 from vitalgrid.operators.series import DAY, previous_row
 
 # How large a change must be to count.
@@ -116,6 +117,15 @@ def snapshot_baselines(snapshots: DataFrame, *, chunk_seconds: int = DAY) -> Dat
         "target_id", "snapshot_id", F.col("prev_snapshot_id").alias("base_snapshot_id"), F.col("prev_collected_at").alias("base_at"))
 
 
+def delta_baselines(snapshots: DataFrame, *, chunk_seconds: int = DAY) -> DataFrame:
+    """(target, snapshot) with the baseline to compare against: one at least a quarter of an hour
+    old, so that two runs in a row do not compare noise, else the previous run."""
+    heads = snapshots.groupBy("target_id", "snapshot_id").agg(F.max("collected_at").alias("collected_at"))
+    b = baseline_choice(heads, ["snapshot_id", "collected_at"], chunk_seconds=chunk_seconds)
+    return b.where(F.col("base_snapshot_id").isNotNull()).select(
+        "target_id", "snapshot_id", "base_snapshot_id", F.col("base_collected_at").alias("base_at"))
+
+
 def comparable_only(deltas: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Deltas of snapshots without a counter reset, and the reasons of the others."""
     keys = ["target_id", "snapshot_id"]

@@ -101,7 +101,7 @@ def wait_facts(src) -> DataFrame:
 
 def statement_deltas(src) -> DataFrame:
     st = src.statements()
-    return deltas.query_deltas(st, deltas.snapshot_baselines(st))
+    return deltas.query_deltas(st, deltas.delta_baselines(st))
 
 
 def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
@@ -145,7 +145,7 @@ def _replica_rows(src) -> DataFrame:
 
 def _gone_facts(src) -> DataFrame:
     r = src.replicas()
-    base = deltas.snapshot_baselines(r)
+    base = deltas.delta_baselines(r)
     gone = deltas.standby_gone(r, base)
     return gone.groupBy(*SNAP).agg(F.min("subject").alias("standby_gone"))
 

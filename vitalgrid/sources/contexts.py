@@ -92,6 +92,11 @@ def parse_contexts(texts: DataFrame, column: str = "document") -> DataFrame:
     return texts.select(F.from_json(column, CONTEXT_SCHEMA).alias("c")).select("c.*")
 
 
+def _by_day(df: DataFrame) -> DataFrame:
+    """Few, even files per day: small days are merged and a day that holds much is split."""
+    return df.hint("rebalance", "date")
+
+
 def ingest_contexts(contexts: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Land documents as columns, partitioned by day, and return the landed table.
 
@@ -99,7 +104,7 @@ def ingest_contexts(contexts: DataFrame, path: str, mode: str = "append") -> Dat
     """
     spark = contexts.sparkSession
     dated = contexts.withColumn("date", F.to_date("collected_at"))
-    dated.write.mode(mode).partitionBy("date").parquet(path)
+    _by_day(dated).write.mode(mode).partitionBy("date").parquet(path)
     return spark.read.schema(dated.schema).parquet(path)
 
 
@@ -212,7 +217,7 @@ def build_contexts(parts: dict[str, Column], base: DataFrame) -> DataFrame:
 
 def write_contexts(contexts: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines partitioned by day, ready for ``read_contexts(lines=True)`` and partition pruning."""
-    contexts.withColumn("date", F.to_date("collected_at")).write.mode(mode).partitionBy("date").json(path)
+    _by_day(contexts.withColumn("date", F.to_date("collected_at"))).write.mode(mode).partitionBy("date").json(path)
 
 
 def export_target(contexts: DataFrame, fingerprint: str) -> DataFrame:
@@ -228,4 +233,4 @@ def drop_target(contexts: DataFrame, fingerprint: str) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append change events to the event log, partitioned by day."""
     day = F.to_date(F.timestamp_seconds("occurred_before"))
-    events.withColumn("date", day).write.mode("append").partitionBy("date").parquet(path)
+    _by_day(events.withColumn("date", day)).write.mode("append").partitionBy("date").parquet(path)

@@ -97,9 +97,12 @@ def _carry(stream: DataFrame, root: str, process: Callable[[DataFrame], DataFram
     def one(batch: DataFrame, batch_id: int) -> None:
         old = state.read_previous(batch, batch_id)
         new = fresh(batch, old)
-        both = new.withColumn("_carried", F.lit(False)).unionByName(old.withColumn("_carried", F.lit(True)))
-        process(both).write.mode("overwrite").parquet(state.output(batch_id))
-        keep(both.drop("_carried")).write.mode("overwrite").parquet(state.state(batch_id))
+        both = new.withColumn("_carried", F.lit(False)).unionByName(old.withColumn("_carried", F.lit(True))).persist()
+        try:
+            process(both).write.mode("overwrite").parquet(state.output(batch_id))
+            keep(both.drop("_carried")).write.mode("overwrite").parquet(state.state(batch_id))
+        finally:
+            both.unpersist()
 
     return (stream.writeStream.foreachBatch(one).option("checkpointLocation", os.path.join(root, "checkpoint"))
             .trigger(**(trigger or {"availableNow": True})).start())
