@@ -391,6 +391,9 @@ FROM v_clustered c WHERE NOT id IN {_ids(CLUSTER_WIDE_IDS)} OR database = (SELEC
 S["fleet_rollup"] = f"SELECT id, severity, count(*) AS findings, count(DISTINCT target_id) AS targets FROM ({_all(['instances', 'tables', 'slots'])}) GROUP BY 1, 2"
 _score = "greatest(0, 100 - CAST(sum({0}CASE severity WHEN 'critical' THEN 10 WHEN 'warn' THEN 3 ELSE 1 END{1}) AS BIGINT))"
 S["health_score"] = f"SELECT target_id, snapshot_id, count(*) AS findings, CAST({_score.format('', '')} AS BIGINT) AS health_score FROM v_family_instances GROUP BY 1, 2"
+S["scored_findings"] = S["health_score"]
+S["redundant_totals"] = """SELECT target_id, snapshot_id, count(*) AS indexes, CAST(sum(bytes) AS BIGINT) AS reclaimable_bytes
+FROM (SELECT DISTINCT target_id, snapshot_id, index, bytes FROM v_redundant_all) GROUP BY 1, 2"""
 S["health_score_muted"] = f"SELECT target_id, snapshot_id, count(*) AS findings, CAST({_score.format('CASE WHEN suppressed THEN 0 ELSE ', ' END')} AS BIGINT) AS health_score FROM v_muted GROUP BY 1, 2"
 S["gate_verdict"] = f"SELECT target_id, snapshot_id, CAST(max(CASE severity WHEN 'critical' THEN 2 ELSE 0 END) AS BIGINT) AS verdict FROM ({_all(['instances', 'activity'])}) GROUP BY 1, 2"
 S["cluster_gate"] = "SELECT cluster_id, CAST(max(CASE severity WHEN 'critical' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS BIGINT) AS verdict FROM v_clustered GROUP BY 1"

@@ -801,6 +801,18 @@ def _(t):
     return fleet.health_score(FM.fleet_findings(t, families=["instances"]))
 
 
+@query("scored_findings")
+def _(t):
+    """The flagship report: numbered findings with their snapshot's score."""
+    f = fleet.with_health_score(fleet.order_findings(FM.fleet_findings(t, families=["instances"])))
+    return f.select(*SNAP, "health_score", "id", "severity").groupBy(*SNAP, "health_score").agg(F.count("*").alias("findings"))
+
+
+@query("redundant_totals")
+def _(t):
+    return catalog.redundant_indexes(t.indexes()).groupBy(*SNAP).agg(F.count("*").alias("indexes"), F.sum("bytes").alias("reclaimable_bytes"))
+
+
 @query("health_score_muted")
 def _(t):
     f, _rows = _muted(t)
