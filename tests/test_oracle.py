@@ -6,8 +6,8 @@ import __spark_entry__ as entry_module
 from oracle.compare import differences, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-SQL = entry_module.oracle_sql()
+QUERIES = dict(entry_module.QUERIES)
+SQL = entry_module.statements()
 
 
 @pytest.fixture(scope="module")
