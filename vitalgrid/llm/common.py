@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.session import cut_lineage, staging_path
@@ -12,7 +12,7 @@ SPACED_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["LOWER", "PLAIN_WORD", "SPACED_WORD", "UPPER", "cut_lineage", "fold", "lower_ascii", "null_safe_join", "staging_path", "table"]
+__all__ = ["LOWER", "PLAIN_WORD", "SPACED_WORD", "UPPER", "cut_lineage", "fold", "lower_ascii", "null_safe_join", "positions", "staging_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +37,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
         same = F.col(k).eqNullSafe(F.col(f"_key_{k}"))
         condition = same if condition is None else condition & same
     return left.join(renamed, condition, how).drop(*[f"_key_{k}" for k in keys])
+
+
+def positions(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """`df` with `pos` (from 0) and, per entry of `sums`, the total of all rows before, along a global order.
+
+    Rows are dealt out by range; only one row of totals per range is put in order in one task.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    terms = {"pos": F.lit(1).cast("long"), **sums}
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in terms.items()])
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in terms])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{n}") for n, c in terms.items()])
+    return placed.join(totals, "_range").select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in terms])

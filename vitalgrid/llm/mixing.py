@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import SPACED_WORD, cut_lineage, null_safe_join
+from vitalgrid.llm.common import SPACED_WORD, cut_lineage, null_safe_join, positions
 
 #: Copies no document and no source may exceed.
 CAP = 3.0
@@ -42,21 +42,6 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
                        size_of(F.col(text_col)).alias("size"))
 
 
-def positions(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """`df` with `pos` (from 0) and, per entry of `sums`, the total of all rows before, along a global order.
-
-    Rows are dealt out by range; only one row of totals per range is put in order in one task.
-    """
-    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
-    terms = {"pos": F.lit(1).cast("long"), **sums}
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in terms.items()])
-    totals = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in terms])
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_i_{n}") for n, c in terms.items()])
-    return placed.join(totals, "_range").select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(n) for n in terms])
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size, n_docs, target): shares by weight of the whole, none above `cap` times the source's own size."""
     sources = cut_lineage(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "sources")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import decontamination, mixing
+from vitalgrid.llm import decontamination, mixing, token_files
 from vitalgrid.llm.common import table
 
 
@@ -19,7 +19,19 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def word_vocabulary() -> str:
+    """Place of the public vocabulary file; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_documents(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
 }
