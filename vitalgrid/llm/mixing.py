@@ -4,7 +4,7 @@ Per source, document rates r minimise sum(r log r - r + 1) under sum(size * r) =
 unknown per source, the tilt t: r = min(cap, exp(t * size / mean size)), and its gradient is the source's token surplus.
 Newton steps, kept inside a bracket, solve all sources at once. They run over (source, size) counts: documents of one size
 have one rate, so this loses nothing and shrinks the input of every step. Rates become copies by systematic rounding along
-decreasing sizes; of 64 starting points the one nearest the target is taken per source.
+decreasing sizes; of 32 starting points the one nearest the target is taken per source.
 
 Sums that steer decisions are sums of whole numbers (rates and surpluses in fixed point), so they do not depend on the order
 in which tasks deliver rows, and reruns agree.
@@ -15,7 +15,9 @@ source is a source of its own, last in code-point order. Of an empty table nothi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.llm.common import SPACED_WORD, cut_lineage, null_safe_join, positions
@@ -27,7 +29,7 @@ WEIGHTS = (1, 2, 3)
 #: Fixed-point units: of a rate, of a word.
 RATE_UNIT, WORD_UNIT = 1 << 24, 1 << 12
 #: Rounding starts tried per source.
-STARTS = 64
+STARTS = 32
 #: Documents summed in one window group.
 CHUNK = 20_000
 
@@ -60,8 +62,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: fl
                          F.least(F.lit(cap) * F.col("source_size"), F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("weight")).cast("double").alias("target"))
 
 
+def _at_cap(tilt: Column, size: Column, mean: Column, cap: float) -> Column:
+    return tilt * size / mean >= math.log(cap)
+
+
 def _rate(tilt: Column, size: Column, mean: Column, cap: float) -> Column:
-    return F.exp(F.least(F.log(F.lit(cap)), tilt * size / mean))
+    return F.when(_at_cap(tilt, size, mean, cap), F.lit(cap)).otherwise(F.exp(tilt * size / mean))
+
+
+def _staged(state: DataFrame) -> tuple[DataFrame, int]:
+    """The state as a written table, and how many sources are not done."""
+    seen = Observation()
+    written = cut_lineage(state.observe(seen, F.sum((~F.col("done")).cast("long")).alias("left")), "tilt")
+    return written, seen.get["left"] or 0
 
 
 def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: float = 1e-5, steps: int = 80) -> DataFrame:
@@ -80,15 +93,15 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         F.when(want < 1, F.log(want) * F.col("mean") / F.col("least")).otherwise(F.lit(0.0)).alias("low"),
         F.when(want < 1, F.lit(0.0)).otherwise(F.col("full")).alias("high"),
         F.when(want >= cap, F.col("full")).otherwise(F.log(want)).alias("tilt"), (want >= cap).alias("done"))
-    state = cut_lineage(state, "tilt")
+    state, left = _staged(state)
     for _ in range(steps):
-        if not state.where(~F.col("done")).limit(1).count():
+        if not left:
             break
         open_ = state.where(~F.col("done"))
         rows = null_safe_join(counts, open_, ["source"])
         rate, x = _rate(F.col("tilt"), F.col("size"), F.col("mean"), cap), F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size") * rate * WORD_UNIT
-        slope = F.when(rate < cap, words * x).otherwise(F.lit(0.0))
+        slope = F.when(~_at_cap(F.col("tilt"), F.col("size"), F.col("mean"), cap), words * x).otherwise(F.lit(0.0))
         sums = rows.groupBy("source").agg(F.sum(F.round(words).cast("long")).alias("_words"), F.sum(F.round(slope).cast("long")).alias("_slope"))
         moved = null_safe_join(state, sums, ["source"], "left")
         over = F.col("_words") / WORD_UNIT - F.col("target")
@@ -98,11 +111,11 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         inside = (newton > low) & (newton < high)
         near = F.abs(over) <= tolerance * F.col("target") + 0.1
         stuck = (high - low) <= 1e-13 * F.greatest(F.abs(high), F.abs(low))
-        state = cut_lineage(moved.select(
+        state, left = _staged(moved.select(
             "source", "source_size", "target", "mean",
             F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
             F.when(F.col("done") | near, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2).alias("tilt"),
-            (F.col("done") | near | stuck).alias("done")), "tilt")
+            (F.col("done") | near | stuck).alias("done")))
     return state.select("source", "mean", "tilt")
 
 
@@ -138,16 +151,16 @@ def mix_sizes(sizes: DataFrame, cap: float = CAP, weights: tuple[int, ...] = WEI
     placed = cut_lineage(placed.select("doc_id", "source", "size", *extra, "source_size", "target", "_rate",
                                        (F.col("_cum") + F.col("_start")).alias("_cum")), "placed")
 
-    def copies(start: Column) -> Column:
-        upto = F.floor((F.col("_cum") + start) / RATE_UNIT)
-        return F.least(upto - F.floor((F.col("_cum") - F.col("_rate") + start) / RATE_UNIT), F.lit(int(cap)))
+    def copies(start: str) -> str:
+        upto = f"floor((_cum + {start}) / {RATE_UNIT})"
+        return f"least({upto} - floor((_cum - _rate + {start}) / {RATE_UNIT}), {int(cap)})"
 
     offsets = [(2 * k + 1) * RATE_UNIT // (2 * STARTS) for k in range(STARTS)]
-    tried = placed.groupBy("source").agg(F.first("target").alias("target"), *[F.sum(copies(F.lit(o)) * F.col("size")).alias(f"_{k}") for k, o in enumerate(offsets)])
-    ranked = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_{k}") - F.col("target")).alias("off"), F.lit(o).cast("long").alias("start")) for k, o in enumerate(offsets)]))
-    best = cut_lineage(tried.select("source", ranked["start"].alias("_best")), "best")
+    tried = placed.groupBy("source").agg(F.first("target").alias("target"), *[F.expr(f"sum({copies(str(o))} * size) AS _{k}") for k, o in enumerate(offsets)])
+    ranked = ", ".join(f"named_struct('off', abs(_{k} - target), 'start', {o}L)" for k, o in enumerate(offsets))
+    best = cut_lineage(tried.selectExpr("source", f"array_min(array({ranked})).start AS _best"), "best")
     chosen = null_safe_join(placed, best, ["source"])
-    full = chosen.select("doc_id", "source", "size", *extra, "source_size", "target", (F.col("_rate") / RATE_UNIT).alias("rate"), copies(F.col("_best")).cast("long").alias("copies"))
+    full = chosen.select("doc_id", "source", "size", *extra, "source_size", "target", (F.col("_rate") / RATE_UNIT).alias("rate"), F.expr(copies("_best")).cast("long").alias("copies"))
     blank = null_safe_join(sizes.where("size = 0"), targets, ["source"])
     empty = blank.select("doc_id", "source", "size", *extra, "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
     return full.unionByName(empty).withColumn("taken", F.col("copies") * F.col("size"))
