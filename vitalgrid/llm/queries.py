@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import decontamination, mixing, token_files
+from vitalgrid.llm import decontamination, mixing, token_files, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc_zip.archive_and_read(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def word_vocabulary() -> str:
     """Place of the public vocabulary file; the same on driver and executors."""
     import public_tokenizers
@@ -31,6 +36,7 @@ def op9_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_zip_archives": op3_zip_archives,
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
@@ -60,3 +66,17 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+#: Eight groups of 20 digest bits, each spelt as four base-32 letters.
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {5 * g + 1}, 5) AS BIGINT) >> {shift}) & 31 AS INTEGER) + 1, 1)"
+    for g in range(8) for shift in (15, 10, 5, 0))
+
+SQL["op3_zip_archives"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS NULL OR page_id = last THEN NULL ELSE last END AS refers_to
+FROM m
+"""
