@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import decontamination, mixing, token_files, warc_zip
+from vitalgrid.llm import decontamination, mixing, secret_scan, token_files, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def word_vocabulary() -> str:
     """Place of the public vocabulary file; the same on driver and executors."""
     import public_tokenizers
@@ -37,6 +41,7 @@ def op9_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zip_archives": op3_zip_archives,
+    "op7_randomness_battery": op7_randomness_battery,
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
