@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import decontamination, mixing, secret_scan, token_files, warc_zip
+from vitalgrid.llm import byte_convnet, decontamination, mixing, secret_scan, token_files, toxicity, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -19,6 +19,16 @@ def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_convnet.score(docs, byte_convnet.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc_zip.archive_and_read(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +52,8 @@ def op9_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zip_archives": op3_zip_archives,
     "op7_randomness_battery": op7_randomness_battery,
+    "op1_byte_convnet": op1_byte_convnet,
+    "op2_nearest_examples": op2_nearest_examples,
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
