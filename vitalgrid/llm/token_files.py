@@ -268,7 +268,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
                 yield out.astype({"doc_id": "Int64"})
 
-    paths = manifest.select("path", "start").repartition("path")
+    # A number of its own keeps Spark from merging the few, small rows of the manifest into one task.
+    paths = manifest.select("path", "start").repartition(max(1, manifest.count()), "path")
     return paths.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -37,6 +37,7 @@ from vitalgrid.llm.common import cut_lineage, staging_path
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of records after which a task starts its next archive, and bytes fetched by one range read.
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
+RANGES_PER_TASK = 2
 #: Fixed values of the ZIP format: signatures, record layouts and the mark of a field that moved to the ZIP64 extra.
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 END_FORM, LOCATOR64_FORM, END64_FORM = struct.Struct("<4s4H2LH"), struct.Struct("<4sLQL"), struct.Struct("<4sQ2H2L4Q")
@@ -263,7 +264,8 @@ def locate(manifest: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     rows.append((path, start, lengths))
                 yield pd.DataFrame(rows, columns=["path", "at", "lengths"])
 
-    return manifest.select("path").repartition("path").mapInPandas(find, "path string, at long, lengths array<long>")
+    # A number of its own keeps Spark from merging the few, small rows into one task.
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInPandas(find, "path string, at long, lengths array<long>")
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
@@ -287,7 +289,7 @@ def read_records(ranges: DataFrame) -> DataFrame:
                         frame = pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
                         yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    spread = ranges.repartition("path", "at")
+    spread = ranges.repartition(max(1, ranges.count() // RANGES_PER_TASK), "path", "at")
     return spread.mapInPandas(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
