@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import byte_convnet, decontamination, mixing, secret_scan, token_files, toxicity, warc_zip
+from vitalgrid.llm import byte_convnet, decontamination, mixing, projection_forest, secret_scan, token_files, toxicity, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_randomness_battery": op7_randomness_battery,
     "op1_byte_convnet": op1_byte_convnet,
     "op2_nearest_examples": op2_nearest_examples,
+    "op6_projection_forest": op6_projection_forest,
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
