@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitalgrid.llm import byte_convnet, decontamination, mixing, ngram_join, projection_forest, secret_scan, token_files, toxicity, warc_zip
+from vitalgrid.llm import byte_convnet, context_mixing, decontamination, mixing, ngram_join, projection_forest, secret_scan, token_files, toxicity, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def word_vocabulary() -> str:
     """Place of the public vocabulary file; the same on driver and executors."""
     import public_tokenizers
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest_examples": op2_nearest_examples,
     "op6_projection_forest": op6_projection_forest,
     "op8_prefix_tree_join": op8_prefix_tree_join,
+    "op10_context_mixing": op10_context_mixing,
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
