@@ -223,3 +223,16 @@ def score(docs: DataFrame, model: Judge | float, threshold: float = 0.5, keep: t
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.drop("text").schema)
     scored = flat.mapInPandas(read, f"{columns}, score double, evidence array<struct<doc_id: string, similarity: double, toxic: boolean>>, telling array<string>")
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "telling", *keep)
+
+
+def without_toxic(docs: DataFrame, model: Judge | float, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents whose score stays below the threshold, with all their columns."""
+
+    @F.pandas_udf("boolean")
+    def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[bytes, tuple[int, ...]] = {}
+        for texts in batches:
+            scores = [model if isinstance(model, float) else model.probability(model.vote(_counted(words_of(t), model.index.terms, known))[0]) for t in texts]
+            yield pd.Series(np.array(scores) >= threshold)
+
+    return docs.where(~rejected(F.coalesce(F.col(text_col), F.lit(""))))
