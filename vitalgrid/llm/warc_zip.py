@@ -61,7 +61,7 @@ def _end_of_directory(file: Any, size: int) -> tuple[int, int, int]:
     """Entries, place and length of the central directory."""
     tail_at = max(0, size - END_FORM.size - FULL16 - LOCATOR64_FORM.size)
     tail = file.read_at(size - tail_at, tail_at)
-    i = tail.rfind(END)
+    i = tail.rfind(END, 0, len(tail) - END_FORM.size + 4)
     while i >= 0 and i + END_FORM.size + struct.unpack_from("<H", tail, i + 20)[0] != len(tail):
         i = tail.rfind(END, 0, i)  # the signature's bytes inside a comment
     if i < 0:
