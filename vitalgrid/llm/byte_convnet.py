@@ -176,8 +176,10 @@ def _gradients(net: Network, texts: list[bytes], labels: np.ndarray, weights: np
     chunk_from[takes] += 1
     chunk = np.where(takes, halves[nxt], halves)
     g_chunk = (g_mean / np.diff(starts)[:, None])[text_of]
-    top = np.maximum.reduceat(chunk, starts[:-1], axis=0)
-    g_chunk = g_chunk + np.where(chunk == top[text_of], g_max[text_of], 0)
+    top = chunk == np.maximum.reduceat(chunk, starts[:-1], axis=0)[text_of]
+    before = np.cumsum(top, axis=0) - top
+    top &= before == before[starts[:-1]][text_of]  # of a text's equal chunks the first
+    g_chunk = g_chunk + np.where(top, g_max[text_of], 0)
     g_half = np.zeros_like(halves)
     columns = np.broadcast_to(np.arange(FILTERS), chunk_from.shape)
     np.add.at(g_half, (chunk_from, columns), g_chunk)

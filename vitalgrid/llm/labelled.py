@@ -32,8 +32,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     if chosen is None:
         return pd.DataFrame({"text": [], "label": []}), shares
     chosen = cut_lineage(chosen, "sample").withColumnRenamed("doc_id", "_chosen")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    text = F.col("_text")
     room = F.greatest(F.length(text) - max_chars, F.lit(0))
-    piece = F.substr(text, (F.pmod(F.xxhash64(F.col(id_col)), room + 1) + 1).cast("int"), F.lit(max_chars))
-    rows = docs.join(chosen, F.col(id_col) == F.col("_chosen")).groupBy("_chosen", "label").agg(F.min(piece).alias("text"))
+    piece = F.substr(text, (F.pmod(F.xxhash64("_id"), room + 1) + 1).cast("int"), F.lit(max_chars))
+    rows = plain.join(chosen, F.col("_id") == F.col("_chosen")).groupBy("_chosen", "label").agg(F.min(piece).alias("text"))
     return rows.toPandas().sort_values("_chosen", ignore_index=True), shares

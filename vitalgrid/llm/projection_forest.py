@@ -6,7 +6,7 @@ each node splits its points at the median along the difference of two of them. E
 of every tree.
 
 A query's leaves of all trees share one priority queue, ordered by the squared distance to the splitting planes that were
-crossed on the way; it takes leaves from the queue until it has `probes` of them. Rows and queries of a leaf meet in a task, in
+crossed on the way; it takes leaves from the queue until it has `probes` of them, and enough candidates. Rows and queries of a leaf meet in a task, in
 blocks of bounded size; all candidates of a leaf are scored exactly, in double precision on the original vectors, and the best
 of a block go on. Recall depends on the share of leaves that is taken, not on the number of rows.
 
@@ -43,7 +43,7 @@ class Forest:
 
     @property
     def depth(self) -> int:
-        return int(np.log2(self.planes.shape[1] + 1))
+        return (self.planes.shape[1] + 1).bit_length() - 1
 
     def lifted(self, vectors: np.ndarray, as_query: bool) -> np.ndarray:
         """Points in which nearness is the inner product: all on one sphere, queries without the extra component."""
@@ -64,8 +64,8 @@ class Forest:
             out[:, t] = node - len(thresholds)
         return out
 
-    def queue(self, vectors: np.ndarray, probes: int) -> np.ndarray:
-        """(vectors, probes): the first leaves of the shared queue, numbered tree by tree."""
+    def queue(self, vectors: np.ndarray, probes: int, sizes: np.ndarray, enough: int) -> list[np.ndarray]:
+        """Per vector the first leaves of the shared queue, numbered tree by tree: `probes` of them, and more until one tree's hold `enough` entries."""
         points, costs = self.lifted(vectors, True), []
         for planes, thresholds in zip(self.planes, self.thresholds):
             margin = points @ planes.T - thresholds
@@ -75,7 +75,12 @@ class Forest:
                 cost = np.stack([cost + np.maximum(m, 0) ** 2, cost + np.minimum(m, 0) ** 2], axis=2).reshape(len(vectors), -1)
                 first += 2 ** level
             costs.append(cost)
-        return np.argsort(np.concatenate(costs, axis=1), axis=1, kind="stable")[:, :probes]
+        order = np.argsort(np.concatenate(costs, axis=1), axis=1, kind="stable")
+        held = np.zeros(order.shape)
+        for t in range(len(self.planes)):
+            held = np.maximum(held, np.cumsum(np.where(order // 2 ** self.depth == t, sizes[order], 0), axis=1))
+        taken = np.maximum(probes, (held < min(enough, int(sizes.sum()) // len(self.planes))).sum(1) + 1)
+        return [row[:n] for row, n in zip(order, taken)]
 
 
 def grow(sample: np.ndarray, reach: float, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Forest:
@@ -133,6 +138,8 @@ def search(rows: DataFrame, is_query: Column | None = None, k: int = K, trees: i
     if reach is None:
         return rows.sparkSession.createDataFrame([], out)
     sample = known.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()
+    # A small table gets fewer leaves, so that some of them hold k rows.
+    depth = min(depth, max(0, int(np.log2(len(sample) / (4 * (k + 1))))) if len(sample) > 4 * (k + 1) else 0)
     forest = grow(_matrix(sample["vector"]), reach, trees, depth)
     probes = max(1, round(share * trees * 2 ** depth))
 
@@ -146,10 +153,13 @@ def search(rows: DataFrame, is_query: Column | None = None, k: int = K, trees: i
         for batch in batches:
             for s in range(0, len(batch), 1024):
                 part = batch.iloc[s: s + 1024]
-                yield part.assign(cells=list(forest.queue(_matrix(part["vector"]), probes)))
+                yield part.assign(cells=forest.queue(_matrix(part["vector"]), probes, entries_of, k + 1))
 
     form = "rep long, vector array<double>, cells array<long>"
     entries = known.select("rep", "vector").mapInPandas(place, form).select("rep", "vector", F.explode("cells").alias("cell"))
+    entries_of = np.zeros(trees * 2 ** depth)  # of each leaf of each tree, a fixed number of them
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        entries_of[r["cell"]] = r["n"]
     asks = known.where("asked").select("rep", "vector").mapInPandas(ask, form).select("rep", "vector", F.explode("cells").alias("cell"))
     # Blocks of a cell: as many as its rows and its queries need.
     sizes = entries.groupBy("cell").agg(F.ceil(F.count("*") / ROW_BLOCK).alias("row_blocks"))

@@ -62,6 +62,7 @@ class Index:
     places: np.ndarray
     weights: np.ndarray
     tops: np.ndarray    # (terms, blocks): largest weight
+    block: int = BLOCK
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights, of unit length."""
@@ -77,12 +78,12 @@ class Index:
             if bounds[b] <= 0 or len(scores) == k and bounds[b] + 1e-9 < scores[-1]:
                 break
             parts = [(slice(s, e), x) for s, e, x in zip(lists[:, b].tolist(), lists[:, b + 1].tolist(), w) if s < e]
-            inside = np.concatenate([self.places[p] for p, _ in parts]) - b * BLOCK
-            block = np.bincount(inside, weights=np.concatenate([self.weights[p] * x for p, x in parts]), minlength=BLOCK)
-            if without >= 0 and without // BLOCK == b:
-                block[without % BLOCK] = 0
+            inside = np.concatenate([self.places[p] for p, _ in parts]) - b * self.block
+            block = np.bincount(inside, weights=np.concatenate([self.weights[p] * x for p, x in parts]), minlength=self.block)
+            if without >= 0 and without // self.block == b:
+                block[without % self.block] = 0
             hit = np.flatnonzero(block)
-            places, scores = np.concatenate([places, hit + b * BLOCK]), np.concatenate([scores, block[hit]])
+            places, scores = np.concatenate([places, hit + b * self.block]), np.concatenate([scores, block[hit]])
             best = np.lexsort((places, -scores))[:k]
             places, scores = places[best], scores[best]
         return places, scores
@@ -126,25 +127,25 @@ def _counted(words: list[bytes], terms: dict[str, int], known: dict[bytes, tuple
     return counts
 
 
-def build_index(ids: list, texts: list[str], labels: np.ndarray) -> tuple[Index, list[Counter]]:
+def build_index(ids: list, texts: list[str], labels: np.ndarray, block: int = BLOCK) -> tuple[Index, list[Counter]]:
     """Index of all examples that hold a term; term counts of every example."""
     split = [words_of(t) for t in texts]
     terms, df = _vocabulary(split, labels)
     known: dict[bytes, tuple[int, ...]] = {}
     counts = [_counted(words, terms, known) for words in split]
-    index = Index(terms, np.log((1 + len(texts)) / (1 + df)) + 1, [], np.zeros(0, bool), *[np.zeros(0)] * 4)
+    index = Index(terms, np.log((1 + len(texts)) / (1 + df)) + 1, [], np.zeros(0, bool), *[np.zeros(0)] * 4, block)
     vectors = {i: index.vector(c) for i, c in enumerate(counts) if c}
     order = sorted(vectors, key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
-    blocks = -(-len(order) // BLOCK)
+    blocks = -(-len(order) // block)
     term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
     place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
     weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
     by = np.lexsort((place, term))
     term, place, weight = term[by], place[by], weight[by]
-    cell = term * (blocks + 1) + place // BLOCK
+    cell = term * (blocks + 1) + place // block
     index.starts = np.searchsorted(cell, np.arange(len(terms) * (blocks + 1))).reshape(len(terms), blocks + 1)
     index.tops = np.zeros((len(terms), blocks))
-    np.maximum.at(index.tops, (term, place // BLOCK), weight)
+    np.maximum.at(index.tops, (term, place // block), weight)
     index.ids, index.toxic, index.places, index.weights = [ids[i] for i in order], labels[order].astype(bool), place, weight
     return index, counts
 
