@@ -39,7 +39,7 @@ FROM fx_instances i LEFT JOIN (SELECT target_id, {_pivot} FROM fx_params GROUP B
     "v_tables": """
 SELECT *, coalesce(rel_vacuum_threshold, 50) + coalesce(rel_vacuum_scale, CAST(0.2 AS DOUBLE))*CAST(live_tuples AS DOUBLE) AS vac_trigger,
        coalesce(rel_analyze_threshold, 50) + coalesce(rel_analyze_scale, CAST(0.1 AS DOUBLE))*CAST(live_tuples AS DOUBLE) AS ana_trigger
-FROM fx_table_stats QUALIFY row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY total_bytes DESC, schema, "table") <= 30""",
+FROM fx_table_stats""",
     "v_rates": """
 SELECT target_id, snapshot_id, collected_at, numbackends AS connections, stats_reset_at, postmaster_start_at, dt AS sample_seconds, pc IS NULL AS first,
   CASE WHEN xact_commit + xact_rollback >= pc + pr THEN CAST(xact_commit + xact_rollback - pc - pr AS DOUBLE)/dt END AS tps,
@@ -79,9 +79,8 @@ SELECT target_id, window_id, query_id, count(*) AS samples, CAST(total AS BIGINT
        count(*) FILTER (wait_event_type='IO') AS io
 FROM (SELECT *, count(*) OVER (PARTITION BY target_id, window_id) AS total FROM fx_ash) WHERE query_id <> 0 GROUP BY ALL""",
     "v_unused": """
-SELECT * FROM (SELECT * FROM fx_indexes QUALIFY row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) <= 200)
-WHERE scans = 0 AND bytes > 16384 AND NOT backs_constraint AND NOT is_primary AND NOT is_unique AND NOT is_exclusion AND NOT is_replident
-QUALIFY row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) <= 50""",
+SELECT * FROM fx_indexes
+WHERE scans = 0 AND bytes > 16384 AND NOT backs_constraint AND NOT is_primary AND NOT is_unique AND NOT is_exclusion AND NOT is_replident""",
     "v_redundant_all": """
 SELECT a.target_id, a.snapshot_id, a.schema, a."table", a.index, a.indexrelid, a.bytes, b.index AS covered_by, b.indexrelid AS covering_id,
        len(b.indkey) > len(a.indkey) AS wider
@@ -98,7 +97,7 @@ SELECT * FROM fx_foreign_keys f WHERE NOT EXISTS (SELECT 1 FROM fx_indexes i WHE
     "v_sequences": """
 SELECT *, coalesce(round(CAST(last_value AS DOUBLE)/ceiling*10000)/10000, 0) AS pct_used,
        row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY CAST(last_value AS DOUBLE)/ceiling DESC NULLS LAST, name) AS rank
-FROM fx_sequences WHERE last_value IS NOT NULL QUALIFY rank <= 50""",
+FROM fx_sequences WHERE last_value IS NOT NULL""",
     "v_roots": """
 SELECT e.target_id, e.snapshot_id, e.child, coalesce(e2.parent, e.parent) AS root FROM fx_partition_edges e
 LEFT JOIN fx_partition_edges e2 ON e2.child = e.parent AND e2.target_id = e.target_id""",
@@ -193,7 +192,7 @@ FAMILY_SQL["tables"] = "\nUNION ALL ".join([
     grouped("v_tables", "low_hot_update_ratio", "updates >= 10000 AND CAST(hot_updates AS DOUBLE)/updates < 0.5", "throughput", "40", "0.7")])
 
 FAMILY_SQL["partitions"] = grouped(
-    "(SELECT * FROM v_partitions QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY total_bytes DESC, root) <= 20)", "partition_seq_scan_heavy",
+    "v_partitions", "partition_seq_scan_heavy",
     "live_tuples >= 50000 AND seq_scans >= 1000 AND NOT (index_scans > 0 AND seq_scans < index_scans)", "latency", "55", "0.7")
 
 FAMILY_SQL["unused"] = grouped(
@@ -201,8 +200,8 @@ FAMILY_SQL["unused"] = grouped(
        SELECT target_id, "table" FROM fx_table_stats GROUP BY 1, 2 HAVING max_by(mods_since_analyze, snapshot_id) > 1000) h ON h.target_id = u.target_id AND h."table" = u."table")""",
     "unused_indexes", "bytes >= 1048576", "storage", "max(sc)", "0.8")
 
-FAMILY_SQL["redundant"] = grouped("v_redundant", "redundant_indexes", "true", "storage", size_score("sum(bytes)"), "0.75", "'info'")
-FAMILY_SQL["fks"] = grouped("(SELECT * FROM v_fks QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY child_bytes DESC, \"constraint\") <= 50)",
+FAMILY_SQL["redundant"] = grouped("(SELECT DISTINCT target_id, snapshot_id, schema, \"table\", index, bytes FROM v_redundant_all)", "redundant_indexes", "true", "storage", size_score("sum(bytes)"), "0.75", "'info'")
+FAMILY_SQL["fks"] = grouped("v_fks",
                             "fk_unindexed", "true", "latency", size_score("max(child_bytes)"), "0.85")
 FAMILY_SQL["invalid"] = grouped(
     "(SELECT o.*, b.target_id IS NOT NULL AS building FROM fx_schema_objects o LEFT JOIN (SELECT DISTINCT target_id, snapshot_id FROM fx_progress WHERE operation = 'create_index') b USING (target_id, snapshot_id))",
@@ -210,7 +209,7 @@ FAMILY_SQL["invalid"] = grouped(
     "CASE WHEN bool_or(live AND ready) AND NOT bool_or(building) THEN 'critical' ELSE 'warn' END")
 FAMILY_SQL["sequences"] = grouped("v_sequences", "sequence_exhaustion", "pct_used >= 0.8", "risk", "max(pct_used)*100", "0.9", "CASE WHEN max(pct_used) >= 0.9 THEN 'critical' ELSE 'warn' END")
 FAMILY_SQL["narrow"] = grouped(
-    "(SELECT * FROM fx_narrow_columns WHERE type IN ('int2','int4') AND (is_identity OR owns_sequence) QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY schema, \"table\", \"column\") <= 200)",
+    "(SELECT * FROM fx_narrow_columns WHERE type IN ('int2','int4') AND (is_identity OR owns_sequence))",
     "int4_identity_column", "true", "risk", "55", "0.95", "CASE WHEN bool_or(type='int2') THEN 'critical' ELSE 'warn' END")
 FAMILY_SQL["checksums"] = grouped("fx_checksum_failures", "checksum_failures", "failures > 0", "risk", "96", "1.0", "'critical'")
 FAMILY_SQL["replicas"] = "\nUNION ALL ".join([

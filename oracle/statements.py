@@ -178,10 +178,10 @@ S["unused_index_totals"] = "SELECT target_id, snapshot_id, count(*) AS indexes,
 S["redundant_indexes"] = """SELECT target_id, snapshot_id, "table", index, indexrelid, bytes, count(*) FILTER (wider) AS wider_covers, min_by(covered_by, covering_id) AS covered_by FROM v_redundant_all GROUP BY ALL"""
 S["redundant_pairs"] = 'SELECT target_id, snapshot_id, "table", index, covered_by, bytes, rank FROM v_redundant'
 S["unindexed_fks"] = 'SELECT target_id, "table", "constraint", child_bytes FROM v_fks'
-S["unused_indexes"] = 'SELECT target_id, "table", index, bytes, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) AS rank FROM v_unused'
+S["unused_indexes"] = 'SELECT target_id, "table", index, bytes, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) AS rank FROM v_unused QUALIFY rank <= 50'
 S["index_enrichment"] = """SELECT target_id, snapshot_id, "table", index, indexrelid, CAST(scans AS BIGINT) AS scans, bytes, method, is_unique, is_partial, backs_constraint,
   CASE WHEN indexrelid % 5 <> 0 THEN array_to_string(list_transform(indkey, lambda n: ['customerId','status_code','createdAt','HTTPStatus'][n]), ',') ELSE '' END AS columns FROM fx_indexes"""
-S["sequence_usage"] = "SELECT target_id, name, last_value, ceiling, pct_used, rank FROM v_sequences"
+S["sequence_usage"] = "SELECT target_id, name, last_value, ceiling, pct_used, rank FROM v_sequences WHERE rank <= 50"
 S["narrow_identity"] = "SELECT target_id, \"table\", \"column\", type FROM fx_narrow_columns WHERE type IN ('int2','int4') AND (is_identity OR owns_sequence)"
 _ASOF = "FROM fx_hourly n ASOF LEFT JOIN fx_hourly b ON b.target_id = n.target_id AND b.collected_at <= n.collected_at - {0}"
 S["previous_snapshot"] = "SELECT n.target_id, n.collected_at, n.k, b.collected_at AS base_collected_at, b.k AS base_k " + _ASOF.format(14400)
@@ -321,7 +321,7 @@ UNION ALL SELECT target_id, snapshot_id, 'unused_indexes', count(*) FROM v_unuse
 S["finding_evidence"] = """
 SELECT target_id, snapshot_id, id, object, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM (
   SELECT * FROM v_evidence WHERE id IN ('table_bloat','seq_scan_heavy')
-  UNION ALL SELECT target_id, snapshot_id, 'fk_unindexed', 'public.' || "table", child_bytes FROM v_fks QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY child_bytes DESC, "constraint") <= 50
+  UNION ALL SELECT target_id, snapshot_id, 'fk_unindexed', 'public.' || "table", child_bytes FROM v_fks
   UNION ALL SELECT target_id, snapshot_id, 'sequence_exhaustion', 'public.' || name, 0 FROM v_sequences WHERE pct_used >= 0.8
   UNION ALL SELECT target_id, snapshot_id, 'index_invalid', identity, bytes FROM fx_schema_objects WHERE kind = 'index' AND invalid) GROUP BY ALL"""
 _guards = " UNION ALL ".join(f"SELECT '{i}' AS id, '{g[0]}' AS guard_id, '{g[1]}' AS kind, '{g[2]}' AS action" for i, gs in GUARDS.items() for g in gs)
@@ -387,7 +387,7 @@ FROM fx_targets WHERE target_id % 5 IN (0, 1) OR target_id % 7 = 0"""
 EXTRA["v_clustered"] = "SELECT f.*, t.cluster_id, t.database FROM v_family_instances f JOIN fx_targets t USING (target_id)"
 S["cluster_dedupe"] = f"""
 SELECT c.cluster_id, target_id, id, CASE WHEN id IN {_ids(CLUSTER_WIDE_IDS)} THEN object WHEN object = '' THEN 'db:' || database ELSE 'db:' || database || '/' || object END AS object, id IN {_ids(CLUSTER_WIDE_IDS)} AS cluster_scoped
-FROM v_clustered c WHERE NOT id IN {_ids(CLUSTER_WIDE_IDS)} OR database = (SELECT min(database) FROM v_clustered x WHERE x.cluster_id = c.cluster_id AND x.id = c.id)"""
+FROM v_clustered c WHERE NOT id IN {_ids(CLUSTER_WIDE_IDS)} OR database = (SELECT min(database) FROM v_clustered x WHERE x.cluster_id = c.cluster_id AND x.snapshot_id = c.snapshot_id AND x.id = c.id)"""
 S["fleet_rollup"] = f"SELECT id, severity, count(*) AS findings, count(DISTINCT target_id) AS targets FROM ({_all(['instances', 'tables', 'slots'])}) GROUP BY 1, 2"
 _score = "greatest(0, 100 - CAST(sum({0}CASE severity WHEN 'critical' THEN 10 WHEN 'warn' THEN 3 ELSE 1 END{1}) AS BIGINT))"
 S["health_score"] = f"SELECT target_id, snapshot_id, count(*) AS findings, CAST({_score.format('', '')} AS BIGINT) AS health_score FROM v_family_instances GROUP BY 1, 2"
@@ -420,7 +420,7 @@ EXTRA["v_reports"] = """
 SELECT x.*, i."table", i.indkey, i.bytes AS size_bytes, x.target_id % 6 = 0 AS cold, CASE WHEN x.target_id % 2 = 0 THEN 30.0 END AS days,
   CASE WHEN is_invalid OR covered THEN 'catalog_proven' WHEN x.target_id % 6 = 0 OR method <> 'btree' OR is_expression OR is_partial THEN 'inconclusive' ELSE 'needs_code_check' END AS grade,
   CASE WHEN is_invalid THEN 'invalid' WHEN covered THEN 'redundant' WHEN x.target_id % 6 = 0 THEN 'cold_window' WHEN method <> 'btree' THEN 'other_method' WHEN is_expression THEN 'expression' WHEN is_partial THEN 'partial' ELSE 'zero_scans' END AS reason
-FROM (SELECT target_id, index, bool_or(covered) AS covered FROM (SELECT target_id, index, false AS covered FROM v_unused UNION ALL SELECT target_id, index, true FROM v_redundant
+FROM (SELECT target_id, index, bool_or(covered) AS covered FROM (SELECT target_id, index, false AS covered FROM v_unused UNION ALL SELECT target_id, index, true FROM v_redundant_all
       UNION ALL SELECT target_id, index, false FROM fx_indexes WHERE is_invalid) GROUP BY 1, 2) x JOIN fx_indexes i USING (target_id, index)"""
 S["index_reports"] = """SELECT target_id, "table", index, grade, reason, size_bytes, grade = 'inconclusive' AS do_not_drop,
   CASE WHEN reason = 'invalid' THEN 'correlate.invalid_no_build' WHEN reason = 'redundant' THEN 'correlate.redundant_covering' WHEN grade = 'inconclusive' THEN 'correlate.inconclusive' ELSE 'correlate.needs_code_check' END AS guard FROM v_reports"""
@@ -477,7 +477,7 @@ S["vacuum_due"] = """SELECT target_id, snapshot_id, schema, "table", row_number(
 S["vacuum_behind"] = """SELECT target_id, snapshot_id, count(*) FILTER (coalesce(rel_autovacuum_enabled, '') <> 'off'
   AND dead_tuples > coalesce(rel_vacuum_threshold, target_id*100.0) + coalesce(rel_vacuum_scale, CAST(0.3 AS DOUBLE))*live_tuples) AS behind, count(*) AS tables FROM fx_table_stats GROUP BY 1, 2"""
 S["view_unused_indexes"] = """SELECT target_id, snapshot_id, "table", index, bytes, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) AS rank,
-  CAST(sum(bytes) OVER (PARTITION BY target_id, snapshot_id) AS BIGINT) AS reclaimable_bytes, count(*) OVER (PARTITION BY target_id, snapshot_id) AS unused FROM v_unused"""
+  CAST(sum(bytes) OVER (PARTITION BY target_id, snapshot_id) AS BIGINT) AS reclaimable_bytes, count(*) OVER (PARTITION BY target_id, snapshot_id) AS unused FROM v_unused QUALIFY rank <= 50"""
 S["view_diff"] = """
 WITH n AS (SELECT * FROM fx_db_counters QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY collected_at DESC) = 1),
      j AS (SELECT n.target_id, n.snapshot_id, b.snapshot_id AS base_snapshot_id, n.collected_at - b.collected_at AS actual_seconds, n.numbackends*12 AS a, b.numbackends*12 AS b,

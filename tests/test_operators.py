@@ -381,7 +381,10 @@ def test_order_puts_risk_first(spark):
 
 def test_cluster_wide_findings_come_from_the_first_database_that_has_them(spark):
     f = spark.createDataFrame([(1, "db1", "checksum_failures"), (1, "db2", "checksum_failures"), (1, "db2", "fsync_off"), (1, "db0", "table_bloat"), (1, "db1", "table_bloat"),
-                               (1, "db1", "replication_slot_inactive"), (1, "db1", "replication_slot_inactive")], "cluster_id long, database string, id string").withColumn("object", F.lit(""))
+                               (1, "db1", "replication_slot_inactive"), (1, "db1", "replication_slot_inactive")], "cluster_id long, database string, id string")
+    f = f.withColumns({"object": F.lit(""), "snapshot_id": F.lit(1)})
+    later = spark.createDataFrame([(1, "db2", "checksum_failures", "", 2)], f.schema)
+    assert [r["database"] for r in fleet.cluster_dedupe(f.unionByName(later)).where("snapshot_id = 2").collect()] == ["db2"]
     got = sorted((r["database"], r["id"], r["object"]) for r in fleet.tag_objects(fleet.cluster_dedupe(f)).collect())
     assert got == [("db0", "table_bloat", "db:db0"), ("db1", "checksum_failures", ""), ("db1", "replication_slot_inactive", ""), ("db1", "replication_slot_inactive", ""),
                    ("db1", "table_bloat", "db:db1"), ("db2", "fsync_off", "")]
@@ -395,7 +398,7 @@ def grades(spark, *idx, invalid=(), age=30 * D):
     unused = catalog.unused_indexes(df)
     obj = spark.createDataFrame([(1, 1, "index", f"public.t.{n}", True) for n in invalid] or [(1, 1, "table", "public.t", False)], "target_id long, snapshot_id long, kind string, identity string, invalid boolean")
     win = spark.createDataFrame([(1, 1, age, 30.0, 100 * D)], "target_id long, snapshot_id long, window_age_seconds long, stats_window_days double, collected_at long")
-    return evidence.index_reports(df, unused, catalog.redundant_pairs(df), obj, win)
+    return evidence.index_reports(df, unused, catalog.redundant_indexes(df), obj, win)
 
 
 def test_index_grades(spark):

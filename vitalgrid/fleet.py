@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.operators import baseline, catalog, changes, deltas, evidence, fleet, policy, rates, waits
 from vitalgrid.plans import families
+from vitalgrid.plans import rules as R
 from vitalgrid.plans.context_findings import context_findings
 from vitalgrid.sources.contexts import ingest_contexts, read_contexts
 
@@ -91,7 +92,7 @@ class Fleet:
         if self.source.has("statements"):
             parts.append(families.statement_deltas(self.source))
         if self.source.has("table_stats"):
-            t = families.largest_tables(self.source.table_stats())
+            t = R.dead_ratio(self.source.table_stats())
             parts.append(deltas.table_deltas(t, deltas.delta_baselines(self.source.table_stats())))
         if self.source.has("replicas"):
             r = self.source.replicas()
@@ -142,5 +143,5 @@ class Fleet:
 
     def index_reports(self, verdicts: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
         ix = self.source.indexes()
-        reports = evidence.index_reports(ix, catalog.unused_indexes(ix), catalog.redundant_pairs(ix), self.source.schema_objects(), windows)
+        reports = evidence.index_reports(ix, catalog.unused_indexes(ix), catalog.redundant_indexes(ix), self.source.schema_objects(), windows)
         return reports if verdicts is None else evidence.attach_verdicts(reports, baseline.latest_verdicts(verdicts, ["target_id", "schema", "index"]))

@@ -7,6 +7,8 @@ join on the prefix and never by comparing all pairs of a table's indexes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +94,14 @@ def unindexed_fks(fks: DataFrame, indexes: DataFrame) -> DataFrame:
     return want.join(prefixes, [*TABLE, "key"], "left_anti").drop("key")
 
 
-def unused_indexes(indexes: DataFrame, *, scanned: int = 200, k: int = 50) -> DataFrame:
-    """Per snapshot: among its largest ``scanned`` indexes, the first ``k`` that no scan used and nothing needs."""
-    largest = top_k(indexes, SNAP, [F.col("bytes").desc(), F.col("indexrelid")], scanned, "_size_rank")
-    idle = (F.col("scans") == 0) & (F.col("bytes") > UNUSED_FLOOR_BYTES) & ~constrained() & ~F.col("is_replident")
-    return top_k(largest.where(idle), SNAP, [F.col("bytes").desc(), F.col("indexrelid")], k).drop("_size_rank")
+def unused_indexes(indexes: DataFrame) -> DataFrame:
+    """Every index that no scan used and nothing needs."""
+    return indexes.where((F.col("scans") == 0) & (F.col("bytes") > UNUSED_FLOOR_BYTES) & ~constrained() & ~F.col("is_replident"))
+
+
+def largest_unused(indexes: DataFrame, k: int = 50) -> DataFrame:
+    """The ``k`` largest unused indexes per snapshot, for views; rules, totals and reports take all."""
+    return top_k(unused_indexes(indexes), SNAP, [F.col("bytes").desc(), F.col("indexrelid")], k)
 
 
 def index_enrichment(stats: DataFrame, catalog: DataFrame, constraints: DataFrame, columns: DataFrame) -> DataFrame:
@@ -114,11 +119,12 @@ def index_enrichment(stats: DataFrame, catalog: DataFrame, constraints: DataFram
             .withColumn("columns", F.coalesce("columns", F.array().cast("array<string>"))))
 
 
-def sequence_usage(sequences: DataFrame, k: int = 50) -> DataFrame:
-    """Fullest sequences per snapshot, against the lower of their own and their column's ceiling."""
+def sequence_usage(sequences: DataFrame, k: int | None = None) -> DataFrame:
+    """How full each sequence is, against the lower of its own and its column's ceiling; with ``k`` the fullest per snapshot, ranked."""
     s = sequences.where(F.col("last_value").isNotNull()).withColumn("ceiling", effective_ceiling("max_value", "type"))
     s = s.withColumn("_used", ratio("last_value", F.nullif(F.col("ceiling"), F.lit(0))))
-    s = top_k(s, SNAP, [F.col("_used").desc_nulls_last(), F.col("name")], k)
+    if k is not None:
+        s = top_k(s, SNAP, [F.col("_used").desc_nulls_last(), F.col("name")], k)
     return s.withColumn("pct_used", F.coalesce(round_dp("_used", 4), F.lit(0.0))).drop("_used")
 
 
@@ -132,10 +138,12 @@ def partition_roots(edges: DataFrame, keys: list[str] = SNAP, *, settle_every: i
 
     Each round doubles the distance covered, so a hierarchy of depth d needs log2(d)
     rounds. Only nodes that are parents themselves move; leaves join once at the end.
+    Nodes that still move after as many rounds as all nodes in one line would need lie on or
+    below a cycle: they have no root, and their children count under their parent.
     """
     nodes = edges.select(*keys, F.col("parent").alias("child")).distinct()
     up = edges.select(*keys, "child", "parent").join(nodes, [*keys, "child"], "left_semi")
-    rounds = 0
+    rounds, longest = 0, math.ceil(math.log2(max(nodes.count(), 2))) + 1
     while True:
         step = up.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("grand"))
         nxt = (up.join(step, [*keys, "parent"], "left")
@@ -143,10 +151,10 @@ def partition_roots(edges: DataFrame, keys: list[str] = SNAP, *, settle_every: i
         rounds += 1
         if rounds % settle_every == 0:
             nxt = cut_lineage(nxt, "partition-roots")
-        if nxt.where("moved").isEmpty():
+        if rounds >= longest or nxt.where("moved").isEmpty():
             break
         up = nxt.drop("moved")
-    roots = nxt.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("root"))
+    roots = nxt.where(~F.col("moved")).select(*keys, F.col("child").alias("parent"), F.col("parent").alias("root"))
     return edges.join(roots, [*keys, "parent"], "left").select(*keys, "child", F.coalesce("root", "parent").alias("root"))
 
 

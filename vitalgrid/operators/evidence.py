@@ -18,10 +18,10 @@ def index_reports(indexes: DataFrame, unused: DataFrame, redundant: DataFrame, o
 
     An invalid or redundant one is proven by the catalog. A zero-scan index is inconclusive in a
     cold window and for any kind a column search cannot settle; otherwise the code must be searched.
-    ``redundant`` holds one row per (index, covering index), the first by ``rank`` counts.
+    ``redundant`` holds every redundant index with the oldest index that covers it.
     """
     u = unused.select(*KEY, F.lit(True).alias("is_unused"))
-    r = redundant.groupBy(*KEY).agg(F.min_by("covered_by", "rank").alias("covered_by"), F.max("bytes").alias("r_bytes"))
+    r = redundant.select(*KEY, "covered_by", F.col("bytes").alias("r_bytes"))
     parts = identity_parts("identity")
     inv = (objects.where((F.col("kind") == "index") & F.col("invalid"))
            .select(*SNAP, parts.alias("p")).where(F.col("p.name") != "")

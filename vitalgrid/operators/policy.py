@@ -198,10 +198,10 @@ def apply_ignores(findings: DataFrame, rows: DataFrame, rules: DataFrame, now: C
 def expired_rule_findings(targets: DataFrame, rules: DataFrame, now: Column | str) -> DataFrame:
     """One finding per expired rule and snapshot; the rule list is configuration-sized."""
     r = rules.where(F.col("expires").isNotNull() & expired(now)).select("ordinal", rule_text().alias("rule"), "expires")
-    listed = r.agg(F.array_sort(F.collect_list(F.struct("ordinal", "rule", "expires"))).alias("rules")).first()["rules"]
-    note = "struct<rule:string,title:string>"
-    notes = F.array(*[F.struct(F.lit(x["rule"]).alias("rule"), F.lit(f"Suppression of {x['rule']} expired on {x['expires']}").alias("title")) for x in listed])
-    return targets.select(*SNAP, F.inline(notes.cast(f"array<{note}>"))).select(
+    listed = r.agg(F.array_sort(F.collect_list(F.struct("ordinal", "rule", "expires"))).alias("rules"))  # one row
+    title = lambda x: F.concat(F.lit("Suppression of "), x["rule"], F.lit(" expired on "), x["expires"].cast("string"))
+    notes = F.transform("rules", lambda x: F.struct(x["rule"].alias("rule"), title(x).alias("title")))
+    return targets.select(*SNAP).crossJoin(F.broadcast(listed)).select(*SNAP, F.inline(notes)).select(
         *SNAP, F.lit("suppression_expired").alias("id"), F.lit("info").alias("severity"), F.lit(5.0).alias("score"), F.lit(1.0).alias("confidence"), "rule", "title")
 
 

@@ -14,14 +14,10 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import ratio
 from vitalgrid.operators import catalog, deltas, rates, sessions, waits
-from vitalgrid.operators.series import top_k
 from vitalgrid.plans import rules as R
 
 SNAP = ["target_id", "snapshot_id"]
 
-# How many rows per snapshot the collectors look at.
-TOP_TABLES, TOP_FKS, TOP_NARROW, TOP_PARTITIONED = 30, 50, 200, 20
-
 FAMILIES: dict[str, list[str]] = {
     "instances": ["connection_saturation", "txid_wraparound", "mxid_wraparound", "sync_rep_degraded", "recovery_conflicts",
                   "ignore_checksum_failure_on", "checksums_disabled", "archiving_failing", "archiving_stalled", "archiving_disabled",
@@ -70,10 +66,6 @@ def vacuum_settings(params: DataFrame) -> DataFrame:
     return p.select("target_id", *[F.col("p_" + n).try_cast("double").alias(a) for a, n in names.items()])
 
 
-def largest_tables(tables: DataFrame, k: int = TOP_TABLES) -> DataFrame:
-    return top_k(R.dead_ratio(tables), SNAP, [F.col("total_bytes").desc(), F.col("schema"), F.col("table")], k)
-
-
 def instance_facts(src) -> DataFrame:
     settings = R.pivot_settings(src.params(), R.setting_names())
     conflicts = sum((F.col("conflict_" + n) for n in ("lock", "bufferpin", "deadlock", "tablespace")), F.col("conflict_snapshot"))
@@ -105,7 +97,7 @@ def statement_deltas(src) -> DataFrame:
 
 
 def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
-    t = _graded_by(src, largest_tables(src.table_stats()), "dead_ratio_warn")
+    t = _graded_by(src, R.dead_ratio(src.table_stats()), "dead_ratio_warn")
     t = _attached(src, t, "vacuum_settings", ["target_id"], "vacuum_threshold", "vacuum_scale", "analyze_threshold", "analyze_scale")
     return R.table_rows(t, only)
 
@@ -120,19 +112,17 @@ def invalid_evidence(src) -> DataFrame:
 
 
 def fk_evidence(src) -> DataFrame:
-    missing = catalog.unindexed_fks(src.foreign_keys(), src.indexes())
-    return R.fk_rows(top_k(missing, SNAP, [F.col("child_bytes").desc(), F.col("constraint")], TOP_FKS))
+    return R.fk_rows(catalog.unindexed_fks(src.foreign_keys(), src.indexes()))
 
 
 def narrow_evidence(src) -> DataFrame:
-    cols = catalog.narrow_identity(src.narrow_columns())
-    return R.narrow_rows(top_k(cols, SNAP, [F.col("schema"), F.col("table"), F.col("column")], TOP_NARROW))
+    return R.narrow_rows(catalog.narrow_identity(src.narrow_columns()))
 
 
 def partition_evidence(src) -> DataFrame:
     p = catalog.partition_rollup(src.partition_edges(), src.partition_leaves())
     p = _attached(src, p, "windows", SNAP, "window_age_seconds")
-    return R.partition_rows(top_k(p, SNAP, [F.col("total_bytes").desc(), F.col("root")], TOP_PARTITIONED))
+    return R.partition_rows(p)
 
 
 def _replica_rows(src) -> DataFrame:
@@ -178,7 +168,7 @@ def evidence_rows(src, only: Iterable[str] | None = None) -> DataFrame:
     """Long-form evidence of all row rules (or the wanted ones)."""
     parts: dict[str, Callable[[], DataFrame]] = {
         "tables": lambda: table_evidence(src, only), "partitions": lambda: partition_evidence(src), "unused": lambda: unused_evidence(src),
-        "redundant": lambda: R.redundant_rows(catalog.redundant_pairs(src.indexes())), "fks": lambda: fk_evidence(src),
+        "redundant": lambda: R.redundant_rows(catalog.redundant_indexes(src.indexes())), "fks": lambda: fk_evidence(src),
         "invalid": lambda: invalid_evidence(src),
         "sequences": lambda: R.sequence_rows(catalog.sequence_usage(src.sequences())), "narrow": lambda: narrow_evidence(src),
         "checksums": lambda: R.checksum_rows(src.checksum_failures()), "replicas": lambda: R.replica_lag_rows(_replica_rows(src)),

@@ -62,10 +62,11 @@ def vacuum_behind(tables: DataFrame, settings: DataFrame | None = None) -> DataF
     return vacuum_due(tables, settings).groupBy(*SNAP).agg(F.count_if("due").alias("behind"), F.count("*").alias("tables"))
 
 
-def view_unused_indexes(unused: DataFrame) -> DataFrame:
-    """Unused indexes with the running rank and each snapshot's total."""
+def view_unused_indexes(unused: DataFrame, k: int = 50) -> DataFrame:
+    """The ``k`` largest unused indexes with their rank, and totals over all of each snapshot."""
     total = unused.groupBy(*SNAP).agg(F.sum("bytes").alias("reclaimable_bytes"), F.count("*").alias("unused"))
-    return unused.select(*SNAP, "schema", "table", "index", "bytes", "rank").join(total, SNAP)
+    listed = top_k(unused, SNAP, [F.col("bytes").desc(), F.col("indexrelid")], k)
+    return listed.select(*SNAP, "schema", "table", "index", "bytes", "rank").join(total, SNAP)
 
 
 def view_diff(honesty: DataFrame, deltas: DataFrame) -> DataFrame:

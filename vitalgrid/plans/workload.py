@@ -183,12 +183,12 @@ def _(t):
 
 @query("wal_rates")
 def _(t):
-    return rates.wal_rates(t.wal_io(), chunk_seconds=deltas.YEAR_CHUNK)
+    return rates.wal_rates(t.wal_io())
 
 
 @query("io_rates")
 def _(t):
-    return rates.io_rates(t.wal_io(), chunk_seconds=deltas.YEAR_CHUNK)
+    return rates.io_rates(t.wal_io())
 
 
 @query("stats_window")
@@ -203,7 +203,7 @@ def _(t):
 
 @query("interval_mean")
 def _(t):
-    return rates.interval_mean(t.statements(), chunk_seconds=deltas.YEAR_CHUNK)
+    return rates.interval_mean(t.statements())
 
 
 # --- D: aggregations -------------------------------------------------------------
@@ -259,7 +259,7 @@ def _(t):
 @query("wait_query_text")
 def _(t):
     texts = t.statements().groupBy("target_id", "queryid").agg(F.max_by("query", "snapshot_id").alias("query"))
-    texts = texts.withColumn("query", text.truncate(text.scrub_statement("query"), 80))
+    texts = texts.withColumn("query", text.scrub_statement("query"))
     return waits.with_statement_text(waits.wait_by_query(t.ash()), texts).select("target_id", "window_id", "query_id", "samples", "sample_text")
 
 
@@ -334,7 +334,7 @@ def _(t):
 
 @query("unused_indexes")
 def _(t):
-    return catalog.unused_indexes(t.indexes()).select("target_id", "table", "index", "bytes", "rank")
+    return catalog.largest_unused(t.indexes()).select("target_id", "table", "index", "bytes", "rank")
 
 
 @query("index_enrichment")
@@ -349,7 +349,7 @@ def _(t):
 
 @query("sequence_usage")
 def _(t):
-    return catalog.sequence_usage(t.sequences()).select("target_id", "name", "last_value", "ceiling", "pct_used", "rank")
+    return catalog.sequence_usage(t.sequences(), 50).select("target_id", "name", "last_value", "ceiling", "pct_used", "rank")
 
 
 @query("narrow_identity")
@@ -511,8 +511,8 @@ def _(t):
 
 
 def _table_deltas(t) -> DataFrame:
-    tables = FM.largest_tables(t.table_stats())
-    return deltas.table_deltas(tables, deltas.snapshot_baselines(t.table_stats(), chunk_seconds=deltas.YEAR_CHUNK))
+    tables = R.dead_ratio(t.table_stats())
+    return deltas.table_deltas(tables, deltas.snapshot_baselines(t.table_stats()))
 
 
 @query("delta_table_seq")
@@ -528,7 +528,7 @@ def _(t):
 @query("delta_database_size")
 def _(t):
     sizes = t.table_stats().groupBy(*SNAP).agg(F.max("collected_at").alias("collected_at"), (F.sum("total_bytes")).alias("db_size_bytes"))
-    b = baseline.previous_snapshot(sizes, 0, ["db_size_bytes", "collected_at"], chunk_seconds=deltas.YEAR_CHUNK)
+    b = baseline.previous_snapshot(sizes, 0, ["db_size_bytes", "collected_at"])
     return deltas.size_deltas(b.withColumn("database", F.concat(F.lit("db"), c("target_id").cast("string"))).withColumn("base_at", c("base_collected_at"))).drop("id")
 
 
@@ -549,7 +549,7 @@ def _(t):
 @query("delta_archiver_failures")
 def _(t):
     a = t.wal_io().select(*SNAP, "collected_at", c("checkpoints_req").alias("failed_count"))
-    b = baseline.previous_snapshot(a, 0, ["failed_count", "collected_at"], chunk_seconds=deltas.YEAR_CHUNK)
+    b = baseline.previous_snapshot(a, 0, ["failed_count", "collected_at"])
     return deltas.archiver_deltas(b.withColumn("base_at", c("base_collected_at"))).drop("id")
 
 
@@ -618,7 +618,7 @@ def _(t):
 @query("tuned_thresholds")
 def _(t):
     """Per-target thresholds in place of the built-in ones."""
-    tables = FM.largest_tables(t.table_stats()).withColumn("dead_ratio_warn", F.when(c("target_id") % 2 == 0, F.lit(0.3)))
+    tables = R.dead_ratio(t.table_stats()).withColumn("dead_ratio_warn", F.when(c("target_id") % 2 == 0, F.lit(0.3)))
     unused = catalog.unused_indexes(t.indexes()).withColumn("unused_index_min_bytes", F.when(c("target_id") % 2 == 0, F.lit(100_000).cast("long")))
     none = t.table_stats().limit(0).select(*SNAP, "schema", "table")
     rows = R.table_rows(tables, ["table_bloat"]).unionByName(R.unused_index_rows(unused, none))
@@ -760,14 +760,14 @@ def _(t):
 @query("mark_preexisting")
 def _(t):
     head, rows = _table_findings(t)
-    pairs = deltas.snapshot_baselines(t.table_stats(), chunk_seconds=deltas.YEAR_CHUNK)
+    pairs = deltas.snapshot_baselines(t.table_stats())
     return policy.mark_preexisting(head, rows, head, rows, pairs).select(*SNAP, "id", "preexisting")
 
 
 @query("gate_new_only")
 def _(t):
     head, rows = _table_findings(t)
-    pairs = deltas.snapshot_baselines(t.table_stats(), chunk_seconds=deltas.YEAR_CHUNK)
+    pairs = deltas.snapshot_baselines(t.table_stats())
     return fleet.gate_verdict(policy.mark_preexisting(head, rows, head, rows, pairs), "warn")
 
 
@@ -856,7 +856,7 @@ def _reports(t) -> DataFrame:
         F.when(c("target_id") % 2 == 0, F.lit(30.0)).alias("stats_window_days"), F.lit(1_706_659_200).cast("long").alias("collected_at"))
     ix = t.indexes()
     objects = ix.select(*SNAP, F.lit("index").alias("kind"), F.concat_ws(".", "schema", "table", "index").alias("identity"), c("is_invalid").alias("invalid"))
-    return evidence.index_reports(ix, catalog.unused_indexes(ix), catalog.redundant_pairs(ix), objects, win)
+    return evidence.index_reports(ix, catalog.unused_indexes(ix), catalog.redundant_indexes(ix), objects, win)
 
 
 @query("index_reports")
@@ -1051,14 +1051,14 @@ def _(t):
 
 
 def _documents(t) -> DataFrame:
-    """Context documents as JSON text, from the table statistics (at most thirty tables each)."""
-    tt = FM.largest_tables(t.table_stats())
+    """Context documents as JSON text, from the table statistics."""
+    tt = R.dead_ratio(t.table_stats())
     ts = lambda n: F.timestamp_seconds(n).alias(n)
     row = F.struct("schema", "table", "total_bytes", "live_tuples", "dead_tuples", "dead_ratio", "seq_scans", "index_scans", "mods_since_analyze", "updates", "hot_updates",
                    ts("last_analyze"), ts("last_autoanalyze"), ts("last_vacuum"), ts("last_autovacuum"), (c("rel_autovacuum_enabled") == "off").alias("autovacuum_disabled"),
                    c("rel_vacuum_scale").alias("vacuum_scale_override"), c("rel_vacuum_threshold").alias("vacuum_threshold_override"),
                    c("rel_analyze_scale").alias("analyze_scale_override"), c("rel_analyze_threshold").alias("analyze_threshold_override"))
-    g = tt.groupBy(*SNAP, "collected_at").agg(F.sum("total_bytes").alias("size"), F.array_sort(F.collect_list(F.struct("rank", row.alias("row")))).alias("rows"))
+    g = tt.groupBy(*SNAP, "collected_at").agg(F.sum("total_bytes").alias("size"), F.array_sort(F.collect_list(F.struct((-c("total_bytes")).alias("order"), c("schema").alias("_s"), c("table").alias("_t"), row.alias("row")))).alias("rows"))
     doc = F.struct(F.lit("1.2.0").alias("schema_version"), F.timestamp_seconds("collected_at").alias("collected_at"), c("target_id").cast("string").alias("fingerprint"),
                    F.struct(F.lit(True).alias("enabled")).alias("queries"), F.lit("kept by newer versions").alias("unknown_section"),
                    F.struct(c("size").alias("db_size_bytes"), F.transform("rows", lambda x: x["row"]).alias("top")).alias("tables"))

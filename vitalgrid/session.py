@@ -49,9 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
+_STAGES: dict[str, str] = {}
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    """A new, never reused path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new, never reused path in this application's part of the shared folder, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _STAGES:
+        folder = os.path.join(shared_dir(spark), f"stages-{app}-{uuid.uuid4().hex[:8]}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _STAGES[app] = folder
+    return os.path.join(_STAGES[app], f"{name}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
