@@ -113,6 +113,9 @@ SELECT n.target_id, n.snapshot_id, n.queryid, n.total_us, n.collected_at, b.call
        CAST(n.total_us AS DOUBLE)/1000.0/n.calls AS mean, CAST(b.total_us AS DOUBLE)/1000.0/b.calls AS b_mean
 FROM fx_statements n JOIN v_baselines s ON s.target_id = n.target_id AND s.snapshot_id = n.snapshot_id AND s.base_snapshot_id IS NOT NULL
 LEFT JOIN fx_statements b ON b.target_id = n.target_id AND b.snapshot_id = s.base_snapshot_id AND b.queryid = n.queryid""",
+    "v_resets": """
+SELECT target_id, snapshot_id FROM (SELECT *, lag(stats_reset_at) OVER w AS pr, lag(postmaster_start_at) OVER w AS pp FROM fx_db_counters WINDOW w AS (PARTITION BY target_id ORDER BY collected_at))
+WHERE stats_reset_at > pr OR postmaster_start_at > pp""",
     "v_gone": """
 WITH r AS (SELECT *, CASE WHEN app_name <> '' THEN app_name ELSE client_addr END AS standby FROM fx_replicas),
      h AS (SELECT target_id, snapshot_id, seen, lag(snapshot_id) OVER w AS base, lag(seen) OVER w AS base_at
@@ -215,7 +218,7 @@ FAMILY_SQL["checksums"] = grouped("fx_checksum_failures", "checksum_failures", "
 FAMILY_SQL["replicas"] = "\nUNION ALL ".join([
     grouped("fx_replicas", "replica_lag_time", "target_id % 4 <> 0 AND replay_lag_sec >= 60", "risk", "least(90.0, 40 + max(replay_lag_sec)/10)", "0.85",
             "CASE WHEN max(replay_lag_sec) >= 300 THEN 'critical' ELSE 'warn' END", named=False),
-    grouped("v_gone", "replica_disconnected", "true", "risk", "55", "0.8", named=False)])
+    grouped("(SELECT * FROM v_gone ANTI JOIN v_resets USING (target_id, snapshot_id))", "replica_disconnected", "true", "risk", "55", "0.8", named=False)])
 FAMILY_SQL["slots"] = finding("fx_slots", "replication_slot_inactive", "wal_status = 'lost' OR (NOT active AND retained_bytes >= 536870912)",
                               "CASE WHEN wal_status = 'lost' OR retained_bytes >= 8589934592 THEN 'critical' ELSE 'warn' END", "risk",
                               "CASE WHEN wal_status = 'lost' THEN 92 WHEN retained_bytes >= 8589934592 THEN 85 ELSE 55 END", "0.9", "'slot:' || name")
@@ -228,5 +231,5 @@ FROM (SELECT target_id, snapshot_id, max(xmin_age) AS x FROM fx_horizon GROUP BY
 UNION ALL """ + finding("fx_horizon", "prepared_xact_abandoned", "source = 'prepared_xact' AND age_s >= 300", "CASE WHEN age_s >= 3600 THEN 'critical' ELSE 'warn' END", "risk",
                         "CASE WHEN age_s >= 3600 THEN 78 ELSE 55 END", "0.9")
 FAMILY_SQL["slowdowns"] = grouped(
-    "(SELECT *, (round(mean*10000)/10000)/(round(b_mean*10000)/10000) AS factor FROM v_query_deltas WHERE b_mean > 0 AND abs(mean - b_mean) >= 5 AND abs((mean - b_mean)/b_mean) >= 0.5)",
+    "(SELECT *, (round(mean*10000)/10000)/(round(b_mean*10000)/10000) AS factor FROM v_query_deltas ANTI JOIN v_resets USING (target_id, snapshot_id) WHERE b_mean > 0 AND abs(mean - b_mean) >= 5 AND abs((mean - b_mean)/b_mean) >= 0.5)",
     "query_slowdown", "round(mean*10000)/10000 >= 10 AND factor >= 2", "latency", "least(90.0, 30 + max(factor)*10)", "0.8", named=False)

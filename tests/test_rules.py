@@ -306,3 +306,30 @@ def test_documents_preview_bounded_evidence(spark):
     f = _sample_findings(spark).where("id = 'table_bloat'").withColumn("ordinal", F.lit(1))
     d = finding_documents(f, rows).first()["findings"][0]
     assert d["evidence"] == [str(24 - i) for i in range(10)]
+
+
+def test_settings_of_a_snapshot_count_for_it_only(spark):
+    from vitalgrid.plans import rules as R
+
+    rows = [(1, 1, "fsync", "on"), (1, 2, "fsync", "off")]
+    by_run = R.pivot_settings(spark.createDataFrame(rows, "target_id long, snapshot_id long, name string, value string"), ["fsync"])
+    assert sorted((r["snapshot_id"], r["p_fsync"]) for r in by_run.collect()) == [(1, "on"), (2, "off")]
+    plain = R.pivot_settings(spark.createDataFrame([(1, "fsync", "on")], "target_id long, name string, value string"), ["fsync"])
+    assert plain.columns == ["target_id", "p_fsync"]
+
+
+def test_deltas_of_counters_and_none_across_a_reset(spark):
+    day = 86_400
+    rows = [(1, 1, 1 * day, 20, 0, 0), (1, 2, 2 * day, 200, 0, 0), (1, 3, 3 * day, 20, int(2.5 * day), 0), (2, 1, 1 * day, 20, 0, 0), (2, 2, 2 * day, 21, 0, int(1.5 * day))]
+    counters = spark.createDataFrame(rows, "target_id long, snapshot_id long, collected_at long, numbackends long, stats_reset_at long, postmaster_start_at long")
+    fl = Fleet(spark).from_tables({"db_counters": counters})
+    assert [(r["target_id"], r["snapshot_id"], r["before"], r["after"]) for r in fl.deltas().collect()] == [(1, 2, 20.0, 200.0)]
+    assert sorted((r["target_id"], r["kind"]) for r in fl.events().collect()) == [(1, "stats.reset"), (2, "server.restarted")]
+
+
+def test_cycles_of_partitions_end(spark):
+    from vitalgrid.operators import catalog
+
+    edges = spark.createDataFrame([(1, 1, "a", "b"), (1, 1, "b", "a"), (1, 1, "leaf", "a"), (1, 1, "x", "top"), (1, 1, "y", "x")], "target_id long, snapshot_id long, child string, parent string")
+    got = {r["child"]: r["root"] for r in catalog.partition_roots(edges).collect()}
+    assert got["y"] == "top" and got["x"] == "top" and got["leaf"] == "a"

@@ -49,6 +49,17 @@ FAMILY_TABLES = {
 }
 
 
+def _with_database(df: DataFrame) -> DataFrame:
+    return df if "database" in df.columns else df.withColumn("database", F.lit(""))
+
+
+def _against_previous(df: DataFrame, measure: str) -> DataFrame:
+    """A measure of each snapshot with that of the target's previous one."""
+    named = _with_database(df).select("target_id", "snapshot_id", "collected_at", "database", measure)
+    found = baseline.previous_snapshot(named, 0, [measure, "collected_at"])
+    return found.withColumn("base_at", F.col("base_collected_at"))
+
+
 class Fleet:
     """All databases of a fleet and all their snapshots, as one set of tables.
 
@@ -97,6 +108,15 @@ class Fleet:
         if self.source.has("replicas"):
             r = self.source.replicas()
             parts.append(deltas.standby_gone(r, deltas.delta_baselines(r)))
+            lags = r.groupBy("target_id", "snapshot_id").agg(F.max("collected_at").alias("collected_at"), F.max("replay_lag_sec").alias("receiver_lag_sec"))
+            parts.append(deltas.receiver_lag_deltas(_against_previous(lags, "receiver_lag_sec")))
+        if self.source.has("table_stats"):
+            sizes = self.source.table_stats().groupBy("target_id", "snapshot_id").agg(F.max("collected_at").alias("collected_at"), F.sum("total_bytes").alias("db_size_bytes"))
+            parts.append(deltas.size_deltas(_against_previous(sizes, "db_size_bytes")))
+        if self.source.has("db_counters"):
+            parts.append(deltas.connection_deltas(_against_previous(self.source.db_counters().withColumnRenamed("numbackends", "connections"), "connections")))
+        if self.source.has("instances"):
+            parts.append(deltas.archiver_deltas(_against_previous(self.source.instances(), "failed_count")))
         every = deltas.all_deltas(*parts)
         if not self.source.has("db_counters"):
             return every
@@ -108,6 +128,8 @@ class Fleet:
             parts.append(changes.schema_events(self.source.schema_objects()))
         if self.source.has("settings_history"):
             parts.append(changes.config_events(self.source.settings_history()))
+        if self.source.has("db_counters"):
+            parts.append(changes.lifecycle_events(_with_database(self.source.db_counters())))
         return deltas.all_deltas(*parts)
 
     # --- findings ---
@@ -138,6 +160,14 @@ class Fleet:
             found, _ = policy.apply_ignores(found, rows, rules, F.current_timestamp() if now is None else now)
         return found
 
+    def totals(self, **kwargs) -> DataFrame:
+        """Active findings per severity of each snapshot."""
+        return fleet.findings_total(self.findings(**kwargs))
+
+    def rollup(self, **kwargs) -> DataFrame:
+        """How often and on how many targets each finding occurs."""
+        return fleet.fleet_rollup(self.findings(**kwargs))
+
     def scores(self, **kwargs) -> DataFrame:
         return fleet.health_score(self.findings(**kwargs))
 

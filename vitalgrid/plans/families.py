@@ -50,6 +50,7 @@ def _attached(src, df: DataFrame, name: str, keys: list[str], *columns: str) ->
         return df
     extra = get()
     wanted = [x for x in columns if x in extra.columns and x not in df.columns]
+    keys = [*keys, *[k for k in ("snapshot_id",) if k in extra.columns and k not in keys]]
     return df.join(extra.select(*keys, *wanted), keys, "left") if wanted else df
 
 
@@ -63,13 +64,13 @@ def vacuum_settings(params: DataFrame) -> DataFrame:
     names = {"vacuum_threshold": "autovacuum_vacuum_threshold", "vacuum_scale": "autovacuum_vacuum_scale_factor",
              "analyze_threshold": "autovacuum_analyze_threshold", "analyze_scale": "autovacuum_analyze_scale_factor"}
     p = R.pivot_settings(params, names.values())
-    return p.select("target_id", *[F.col("p_" + n).try_cast("double").alias(a) for a, n in names.items()])
+    return p.select(*R.setting_keys(p), *[F.col("p_" + n).try_cast("double").alias(a) for a, n in names.items()])
 
 
 def instance_facts(src) -> DataFrame:
     settings = R.pivot_settings(src.params(), R.setting_names())
     conflicts = sum((F.col("conflict_" + n) for n in ("lock", "bufferpin", "deadlock", "tablespace")), F.col("conflict_snapshot"))
-    return (src.instances().join(settings, "target_id", "left").withColumn("conflicts", conflicts)
+    return (src.instances().join(settings, R.setting_keys(settings), "left").withColumn("conflicts", conflicts)
             .withColumns(rates.window_columns()))
 
 
@@ -80,7 +81,7 @@ def health_facts(src) -> DataFrame:
 def activity_facts(src) -> DataFrame:
     limits = R.pivot_settings(src.session_params(), ["autovacuum_max_workers"])
     return (sessions.activity_rollup(src.activity()).join(sessions.blocked_sessions(src.lock_waits()), SNAP, "left")
-            .join(limits, "target_id", "left"))
+            .join(limits, R.setting_keys(limits), "left"))
 
 
 def wait_facts(src) -> DataFrame:
@@ -96,6 +97,14 @@ def statement_deltas(src) -> DataFrame:
     return deltas.query_deltas(st, deltas.delta_baselines(st))
 
 
+def _comparable(src, df: DataFrame) -> DataFrame:
+    """Deltas of snapshots without a counter reset or restart before them, where the source knows of resets."""
+    has = getattr(src, "has", None)
+    if has is not None and not has("db_counters"):
+        return df
+    return deltas.comparable_only(df, rates.counter_resets(src.db_counters()))[0]
+
+
 def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
     t = _graded_by(src, R.dead_ratio(src.table_stats()), "dead_ratio_warn")
     t = _attached(src, t, "vacuum_settings", ["target_id"], "vacuum_threshold", "vacuum_scale", "analyze_threshold", "analyze_scale")
@@ -136,12 +145,12 @@ def _replica_rows(src) -> DataFrame:
 def _gone_facts(src) -> DataFrame:
     r = src.replicas()
     base = deltas.delta_baselines(r)
-    gone = deltas.standby_gone(r, base)
+    gone = _comparable(src, deltas.standby_gone(r, base))
     return gone.groupBy(*SNAP).agg(F.min("subject").alias("standby_gone"))
 
 
 def _slowdown_facts(src) -> DataFrame:
-    w = deltas.worst_slowdown(statement_deltas(src))
+    w = deltas.worst_slowdown(_comparable(src, statement_deltas(src)))
     return w.select(*SNAP, F.col("factor").alias("slowdown_factor"), F.col("before").alias("slowdown_before"), F.col("after").alias("slowdown_after"),
                     F.regexp_extract("subject", r"(-?\d+)$", 1).try_cast("long").alias("slowdown_query"),
                     F.lit(0).cast("long").alias("statements_dealloc"), F.lit(0).cast("long").alias("statements_count"), F.lit(0).cast("long").alias("statements_max"))

@@ -568,11 +568,18 @@ def write_heavy(tables: DataFrame) -> DataFrame:
 
 
 def pivot_settings(params: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Long settings to one row per target with ``p_<name>`` columns, by one conditional aggregate."""
+    """Long settings to one row per target with ``p_<name>`` columns, by one conditional aggregate.
+
+    Settings that carry a snapshot give one row per snapshot, so a switch that was turned off is seen off only then.
+    """
     names = list(names)
-    return (params.where(c("name").isin(*names)).groupBy("target_id")
+    return (params.where(c("name").isin(*names)).groupBy(*setting_keys(params))
             .agg(*[F.max(F.when(c("name") == n, c("value"))).alias("p_" + n) for n in names]))
 
 
+def setting_keys(params: DataFrame) -> list[str]:
+    return ["target_id", *[k for k in ("snapshot_id",) if k in params.columns]]
+
+
 def setting_names() -> list[str]:
     return sorted({n[2:] for r in FACT_RULES for n in r.needs if n.startswith("p_")})
