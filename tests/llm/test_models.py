@@ -230,15 +230,14 @@ def test_base_scores_and_learning(documents, rows):
     assert context_mixing.score(documents([])).count() == 0
 
 
-def test_bits_of_a_context_sum_to_one():
+def test_next_bytes_of_a_context_sum_to_one():
     rng = np.random.default_rng(1)
-    mixer = context_mixing.Mixer.fresh(rng.integers(-4000, 4000, (context_mixing.M, context_mixing.SLOTS)).astype(np.int16))
-    nexts = [b"ab" + bytes([c]) for c in range(256)]
-    flat = np.frombuffer(b"".join(nexts), np.uint8)
-    place = np.tile([0, 1, 2], 256)
-    at = context_mixing.slots(flat, place, np.zeros(len(flat), np.int64))
-    cells = np.stack([mixer.tables[m][at[m]].reshape(-1) for m in range(context_mixing.M)], axis=-1)
-    gate = mixer.gates(np.minimum(cells & 7, context_mixing.SURE - 1))
-    p = mixer.final(mixer.mixed((cells >> 3) / 256, np.repeat(place, 8), gate), gate).reshape(-1, 3, 8)[:, 2]
-    bits = context_mixing._bits(flat).reshape(-1, 3, 8)[:, 2]
-    assert np.where(bits == 1, p, 1 - p).prod(1).sum() == pytest.approx(1)
+    code = context_mixing.Code.of(rng.integers(1, 1000, 256) ** 3)
+    tables = (rng.integers(-400, 400, context_mixing.SLOTS) * 8 + rng.integers(0, context_mixing.SURE, context_mixing.SLOTS)).astype(np.int16)
+    mixer = context_mixing.Mixer.fresh(code, tables)
+    mixer.by_place += rng.normal(0, 0.1, mixer.by_place.shape)
+    mixer.settle()
+    flat, place = np.frombuffer(b"".join(b"ab" + bytes([c]) for c in range(256)), np.uint8), np.tile([0, 1, 2], 256)
+    owner, logs = mixer.log10_bits(flat, place, np.zeros(len(flat), np.int64))
+    per_byte = np.bincount(owner, weights=logs, minlength=len(flat)).reshape(-1, 3)
+    assert (10 ** per_byte[:, 2]).sum() == pytest.approx(1) and np.ptp(per_byte[:, 0]) == 0
