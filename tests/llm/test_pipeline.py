@@ -82,3 +82,39 @@ def test_empty_documents_go_through(spark, planted, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def _shingles(text, k):
+    w = (text or "").lower().split()
+    return {tuple(w[i: i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def _like(a, b, k):
+    return len(_shingles(a, k) & _shingles(b, k)) / len(_shingles(a, k) | _shingles(b, k))
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    """A pair that is alike by five words at 0.82, but at less than 0.9 by three; one below 0.8; and families against brute force."""
+    base = [f"u{i}" for i in range(200)]
+    edited = lambda places: " ".join("edit" + w if i in places else w for i, w in enumerate(base))
+    text, near, far = " ".join(base), edited({30, 80, 130, 180}), edited({30, 60, 90, 120, 150})
+    assert 0.80 <= _like(text, near, 5) < 0.84 and _like(text, near, 3) < 0.9 and _like(text, far, 5) < 0.8
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs([(1, text), (2, near)]), "").collect()] == [1]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs([(1, text), (3, far)]), "").collect()) == [1, 3]
+
+    rng, rows = random.Random(4), []
+    for _ in range(60):
+        own = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([6, 12, 40, 90, 250]))]
+        for _ in range(5):
+            gone = set(rng.sample(range(len(own)), rng.randint(0, max(1, len(own) // 35))))
+            rows.append((len(rows), " ".join(f"z{rng.randrange(10**6)}" if i in gone else w for i, w in enumerate(own))))
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i // 5 * 5, i):
+            a, b = _shingles(rows[i][1], 5), _shingles(rows[j][1], 5)
+            if 100 * len(a & b) >= 80 * len(a | b):
+                one, two = up[i], up[j]
+                up = [min(one, two) if u in (one, two) else u for u in up]
+    got = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs(rows), "").collect())
+    assert got == [i for i, u in enumerate(up) if u == i] and 60 < len(got) < 300
