@@ -241,3 +241,30 @@ def test_next_bytes_of_a_context_sum_to_one():
     owner, logs = mixer.log10_bits(flat, place, np.zeros(len(flat), np.int64))
     per_byte = np.bincount(owner, weights=logs, minlength=len(flat)).reshape(-1, 3)
     assert (10 ** per_byte[:, 2]).sum() == pytest.approx(1) and np.ptp(per_byte[:, 0]) == 0
+
+
+def test_words_of_every_frequency_are_counted_in_ranges(spark, documents, rows, monkeypatch):
+    """Whole-word counts are those over all training words, once-seen and split over ranges or not; rare words of texts are looked up."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "abc", "zz", "q"]) + "".join(rng.choices("xyz", k=rng.randint(0, 6))) for _ in range(40)) for _ in range(60)]
+    data = [(i, t) for i, t in enumerate(texts)]
+    classes = context_mixing.fit_classes(texts)
+    plain = documents(data).selectExpr("text", "doc_id % 3 > 0 AS learned")
+    monkeypatch.setattr(context_mixing, "RANGE", 400)
+    ranges = context_mixing.cut_lineage(context_mixing.word_ranges(context_mixing.token_counts(plain, classes)), "ranges")
+    words = ranges.toPandas()
+    assert words["part"].nunique() > 5 and (words["n"] == 0).any() and (words["n"] == 1).any()
+    code = context_mixing.Code.of(context_mixing.byte_weights(ranges))
+    whole = context_mixing.RangeCounts(code, words)  # all words in one range
+    shared = context_mixing.cut_lineage(context_mixing.shared_counts(ranges, code, np.zeros(0, np.uint64)), "shared").toPandas()
+    total = shared.groupby("key")[["zeros", "ones"]].sum()
+    assert shared["edge"].all() and shared["key"].duplicated().any()
+    for part, group in words.groupby("part"):
+        held = context_mixing.RangeCounts(code, group)
+        own = total.loc[shared[shared["part"] == part]["key"]]
+        held.replace(own.index.to_numpy(np.int64).view(np.uint64), own["zeros"].to_numpy(), own["ones"].to_numpy())
+        at = np.searchsorted(whole.keys, held.keys)
+        assert (whole.zeros[at] == held.zeros).all() and (whole.ones[at] == held.ones).all()
+    here = rows(context_mixing.score(documents(data)), "doc_id")
+    monkeypatch.setattr(context_mixing, "FREQUENT", 20)
+    assert [r["score"] for r in rows(context_mixing.score(documents(data)), "doc_id")] == pytest.approx([r["score"] for r in here])
