@@ -172,3 +172,19 @@ def test_rates_are_the_tilts_of_the_dual(documents, rows):
         free = [(np.log(r["rate"]) * mean / r["size"]) for r in part if r["rate"] < 2.99]
         assert not free or max(free) - min(free) < 1e-3 * max(1, abs(free[0])) + 2e-5 * mean
         assert abs(sum(r["rate"] * r["size"] for r in part) - part[0]["target"]) < 0.5 + 1e-4 * part[0]["target"]
+
+
+def test_passages_of_rows_without_id_are_found(spark, documents, rows):
+    passage = [f"p{i}" for i in range(20)]
+    items = spark.createDataFrame([("one", " ".join(passage))], "item_id string, text string")
+    docs = [(None, "before " + " ".join(passage)), (None, "nothing of it"), (None, " ".join(passage[2:15])), (4, "x y " + " ".join(passage))]
+    got = {(r["doc_id"], r["n_words"]): (r["n_hit"], r["contaminated"]) for r in rows(decontamination.decontaminate(documents(docs), items))}
+    assert got == {(None, 21): (20, True), (None, 3): (0, False), (None, 13): (13, True), (4, 22): (20, True)}
+
+
+def test_proximity_finds_a_short_item_with_one_word_replaced(spark, documents, rows):
+    """The replaced word's original is in no document."""
+    items = spark.createDataFrame([("short", "alpha beta gamma delta epsilon zeta"), ("absent", "eins zwei drei")], "item_id string, text string")
+    docs = documents([(1, "so alpha beta CHANGED delta epsilon zeta it goes"), (2, "alpha alone and nothing else")])
+    found = rows(decontamination.proximity_matches(docs, items))
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, "short")} and all(r["n_anchors"] == 2 for r in found)

@@ -10,8 +10,8 @@
 Postings are spread by (document, item, alignment), so neither a frequent term nor a passage that many documents share meets
 in one task. Benchmark tables are joined without hints: Spark broadcasts them below its size threshold and shuffles otherwise.
 
-Null and empty texts have no words. Repeated documents give repeated rows; each row is compared with its own text. Repeated
-benchmark rows count once; rows that share an item_id are one item with the windows of all its texts, and a null item_id is
+Null and empty texts have no words. Repeated documents give repeated rows; each row is compared with its own text,
+rows with a null id too. Repeated benchmark rows count once; rows that share an item_id are one item with the windows of all its texts, and a null item_id is
 the id "". Empty tables give no hits, or no rows. Columns other than ids and texts are not read.
 """
 
@@ -43,8 +43,11 @@ def term_counts(docs: DataFrame, items: DataFrame, text_col: str = "text") -> Da
     return seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def item_windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, start, length, first, second): each window and its two rarest places; equal when it has one word."""
+def item_windows(items: DataFrame, counts: DataFrame, window: int = WINDOW, whole: bool = True) -> DataFrame:
+    """(item, start, length, first, second): each window and its two rarest places; equal when it has one word.
+
+    With `whole` windows with a word that no document has are left out, else only those words are.
+    """
     places = items.select("item", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("place", "term"))
     rare = places.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     length = F.least(F.col("n_tokens"), F.lit(window))
@@ -53,8 +56,12 @@ def item_windows(items: DataFrame, counts: DataFrame, window: int = WINDOW) -> D
     inside = rare.select("item", "place", "n", length.alias("length"), F.explode(starts).alias("start"))
     # Rows of a (item, start) number at most `window`.
     gathered = inside.groupBy("item", "start", "length").agg(F.sort_array(F.collect_list(F.struct("n", "place"))).alias("by"))
-    absent = F.element_at("by", 1)["n"] == 0
-    return gathered.where(~absent).select("item", "start", "length", F.element_at("by", 1)["place"].alias("first"),
+    present = F.filter("by", lambda p: p["n"] > 0)
+    if whole:
+        gathered = gathered.where(F.size(present) == F.size("by"))
+    else:
+        gathered = gathered.withColumn("by", present).where(F.size("by") > 0)
+    return gathered.select("item", "start", "length", F.element_at("by", 1)["place"].alias("first"),
                                           F.element_at("by", F.least(F.size("by"), F.lit(2)))["place"].alias("second"))
 
 
@@ -80,7 +87,7 @@ def phrase_matches(docs: DataFrame, found: DataFrame, items: DataFrame, id_col:
     """One row per document: kept columns, tokens and `matches` of (item_id, start, length), the windows found word for word."""
     named = found.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "spans", F.col("tokens").alias("item_tokens"))).alias("laid"))
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
-    rows = rows.join(named.withColumnRenamed("doc_id", "_found"), F.col("doc_id") == F.col("_found"), "left").drop("_found")
+    rows = rows.join(named.withColumnRenamed("doc_id", "_found"), F.col("doc_id").eqNullSafe(F.col("_found")), "left").drop("_found")
     rows = rows.withColumn("tokens", words(F.col("_text"))).drop("_text")
 
     def same(place: Column, span: Column) -> Column:
@@ -130,7 +137,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 3, id_
     Postings are put into bands of `slack + 1` shifts; a band also takes the next band's postings, so no close pair is split.
     """
     items = cut_lineage(item_words(benchmark), "items")
-    windows = cut_lineage(item_windows(items, cut_lineage(term_counts(docs, items, text_col), "term-counts"), window), "windows")
+    windows = cut_lineage(item_windows(items, cut_lineage(term_counts(docs, items, text_col), "term-counts"), window, whole=False), "windows")
     anchors = windows.select("item", F.explode(F.array("first", "second")).alias("place")).distinct()
     placed = items.select("item", "item_id", F.posexplode("tokens").alias("place", "term")).join(anchors, ["item", "place"])
     postings = index(docs, placed.select("term").distinct(), id_col, text_col)
