@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitalgrid.llm import byte_convnet, context_mixing, decontamination, mixing, ngram_join, projection_forest, secret_scan, token_files, toxicity, warc_zip
+from vitalgrid.llm import byte_convnet, context_mixing, decontamination, mixing, ngram_join, part_codes, piece_codes, projection_forest, secret_scan, token_files, toxicity, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -61,6 +62,24 @@ def op9_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_vocabulary()
+    ids = piece_codes.encode(table(spark, sf_dir, "documents"), model)
+    spelt = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    out = piece_codes.decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), spelt.alias("ids_sha256"), "ids"), model)
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_sliced_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zip_archives": op3_zip_archives,
     "op7_randomness_battery": op7_randomness_battery,
@@ -72,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
+    "op12_distinct_words": op12_distinct_words,
+    "op13_sliced_codes": op13_sliced_codes,
 }
 
 SQL: dict[str, str] = {}
@@ -127,3 +148,31 @@ r AS (SELECT doc_id AS node, doc_id AS to_id FROM d UNION SELECT r.node, e.b FRO
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(to_id) AS component_id FROM r GROUP BY node) m USING (doc_id)
 """
+
+def _codes_sql() -> str:
+    """Two rounds of assigning and moving, then the last assignment."""
+    steps = []
+    for k in (0, 1, 2):
+        steps.append(f"""
+a{k} AS (SELECT r, p, min(d) AS d, arg_min(e, (d, e)) AS e
+         FROM (SELECT r, p, e, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM x JOIN c{k} USING (p)) GROUP BY r, p)""")
+        if k < 2:
+            steps.append(f"""
+s{k} AS (SELECT p, e, i, sum(v[i]) AS total, count(*) AS n FROM x JOIN a{k} USING (r, p), ks WHERE i <= len(v) GROUP BY p, e, i),
+m{k} AS (SELECT p, e, list(CAST((total - ((total % n) + n) % n) // n AS HUGEINT) ORDER BY i) AS c FROM s{k} GROUP BY p, e),
+c{k + 1} AS (SELECT p, e, coalesce(m{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN m{k} USING (p, e))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+w AS (SELECT r, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS HUGEINT)) AS v, len(embedding) // 16 AS n FROM k),
+x AS MATERIALIZED (SELECT r, p, v[p * n + 1:(p + 1) * n] AS v FROM w, range(16) t(p)),
+ks AS (SELECT unnest(generate_series(1, (SELECT max(n) FROM w))) AS i),
+c0 AS (SELECT p, r - 1 AS e, v AS c FROM x WHERE r <= 64),{",".join(steps)},
+f AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c2) AS codebooks_sha256
+FROM k JOIN f USING (r)
+"""
+
+
+SQL["op13_sliced_codes"] = _codes_sql()
