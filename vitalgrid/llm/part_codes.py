@@ -14,7 +14,7 @@ driver holds is one codebook and its sums, 16 x 64 entries, whatever the table's
 
 Vectors that are null, empty, or hold a null or non-finite component are left out; so are those whose length is not that of the smallest kept
 id, or no multiple of 16. With fewer than 64 vectors the codebooks are that much shorter. Repeated rows give repeated codes and count
-repeatedly. An empty table gives no rows. Components too large for 64-bit distances take Python's integers, sums are decimals of two limbs; a
+repeatedly. An empty table gives no rows. Components too large for 64-bit distances take Python's integers, sums travel in limbs; a
 row's error beyond a long is reported as the largest long, and so is a label's. Further columns, also of clashing names, are not read.
 """
 
@@ -35,7 +35,7 @@ PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Integers below this have exact 64-bit distances in parts of up to 2^13 components.
 PLAIN = 1 << 24
 LONG_MAX = (1 << 63) - 1
-#: Sums travel as (hi, lo) with this many bits in lo.
+#: Sums travel as limbs of this many bits, each with the sum's sign.
 LIMB = 40
 #: Rows worked on at a time.
 AT_ONCE = 8192
@@ -62,7 +62,7 @@ class Sliced:
         bits = _U(1) << np.arange(n, dtype=_U)
         self.prefix = [np.concatenate([np.zeros(1, _U), np.bitwise_or.accumulate(bits[o])]) for o in self.order]
         spread = [int(s[-1]) - int(s[0]) for s in self.sorted]
-        self.widest = int(np.argmax(np.array(spread, dtype=float)))
+        self.widest = spread.index(max(spread))
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of each point's nearest entry."""
@@ -120,6 +120,15 @@ def _points(batch: pa.RecordBatch, column: int, width: int) -> Iterator[tuple[in
         yield s, integers(values[s: s + AT_ONCE])
 
 
+def _limbs(v: int) -> list[tuple[int, int]]:
+    """(place, signed limb) of a whole number; the first limb is always there."""
+    sign, v, out = (-1 if v < 0 else 1), abs(v), []
+    while v or not out:
+        out.append((len(out), sign * (v & ((1 << LIMB) - 1))))
+        v >>= LIMB
+    return out
+
+
 def _update(rows: DataFrame, book: np.ndarray, width: int) -> np.ndarray:
     """The codebooks after one round."""
     shared = rows.sparkSession.sparkContext.broadcast(book)
@@ -139,19 +148,23 @@ def _update(rows: DataFrame, book: np.ndarray, width: int) -> np.ndarray:
                         held = sums.setdefault((p, e), [0, [0] * len(t)])
                         held[0] += c
                         held[1] = [a + int(b) for a, b in zip(held[1], t)]
-        rows = [(p, e, c, d, v >> LIMB, v & ((1 << LIMB) - 1)) for (p, e), (c, total) in sums.items() for d, v in enumerate(total)]
+        rows = [(p, e, c, d, *limb) for (p, e), (c, total) in sums.items() for d, v in enumerate(total) for limb in _limbs(v)]
         columns = list(zip(*rows)) if rows else [[]] * 6
-        hi = pa.array([str(v) for v in columns[4]], pa.string())
-        yield pa.RecordBatch.from_arrays([*[pa.array(columns[k], pa.int64()) for k in range(4)], hi, pa.array(columns[5], pa.int64())],
-                                         ["part", "entry", "n", "place", "hi", "lo"])
-
-    parts = rows.select("_vector").mapInArrow(read, "part long, entry long, n long, place long, hi string, lo long")
-    wide = "decimal(38,0)"
-    summed = parts.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum(F.col("hi").cast(wide)).cast(wide).alias("hi"), F.sum(F.col("lo").cast(wide)).cast(wide).alias("lo"))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "entry", "n", "place", "limb", "value"])
+
+    parts = rows.select("_vector").mapInArrow(read, "part long, entry long, n long, place long, limb long, value long")
+    counts = F.sum(F.when(F.col("limb") == 0, F.col("n"))).alias("n")
+    summed = parts.groupBy("part", "entry", "place", "limb").agg(counts, F.sum(F.col("value").cast("decimal(38,0)")).alias("value"))
+    totals: dict[tuple, int] = {}
+    numbers: dict[tuple, int] = {}
+    for r in summed.collect():  # at most one row per entry, place and limb
+        at = (r["part"], r["entry"], r["place"])
+        totals[at] = totals.get(at, 0) + (int(r["value"]) << LIMB * r["limb"])
+        numbers[at] = numbers.get(at, 0) + (r["n"] or 0)
     new = book.astype(object)
-    for r in summed.collect():  # at most one row per entry and place
-        new[r["part"], r["entry"], r["place"]] = ((int(r["hi"]) << LIMB) + int(r["lo"])) // r["n"]
-    return new.astype(np.int64) if book.dtype != object else new
+    for at, total in totals.items():
+        new[at] = total // numbers[at]
+    return new.astype(np.int64) if all(abs(v) < PLAIN for v in new.ravel()) else new
 
 
 def fit(rows: DataFrame, rounds: int = ROUNDS, id_col: str = "vec_id", vector_col: str = "embedding") -> np.ndarray | None:
