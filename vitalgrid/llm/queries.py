@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import byte_convnet, context_mixing, decontamination, mixing, ngram_join, part_codes, piece_codes, projection_forest, secret_scan, token_files, toxicity, warc_zip
+from vitalgrid.llm import byte_convnet, context_mixing, decontamination, mixing, ngram_join, part_codes, piece_codes, projection_forest, secret_scan, token_files, toxicity, turn_repair, warc_zip
 from vitalgrid.llm.common import table
 
 
@@ -62,6 +62,11 @@ def op9_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.with_all(conversations, turn_repair.repair(turn_repair.damage(conversations)).report())
+
+
 def piece_vocabulary() -> str:
     import public_tokenizers
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_direct_codes": op9_direct_codes,
     "op5_positional_index": op5_positional_index,
     "op4_entropy_balancing": op4_entropy_balancing,
+    "op11_turn_repair": op11_turn_repair,
     "op12_distinct_words": op12_distinct_words,
     "op13_sliced_codes": op13_sliced_codes,
 }
