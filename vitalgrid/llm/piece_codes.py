@@ -5,7 +5,7 @@ piece that goes on across a place, no merge can, so a text may be cut there and
 before the first marker of a run, around line feeds, and between a letter and those punctuation marks that follow a letter in no
 piece; `Cutter` derives the marks from the vocabulary and refuses a vocabulary whose pieces cross markers. Words come again and again, so
 
-1. all marked words of all texts are counted, and the `TABLE` most frequent (ties to the lesser word) are segmented once, by Spark;
+1. all marked words of all texts are counted, and the most frequent (up to `TABLE`; all or none of those that come equally often, none that come once) are segmented once, by Spark;
 2. this table, whose size is bounded, goes to all tasks; a word outside it is segmented when a task first meets it and then
    remembered (at most `MEMORY` words, then a task starts anew);
 3. the ids of a text are those of its words, joined by position, and the end id.
@@ -20,6 +20,7 @@ empty table gives no rows. Ids outside the vocabulary are an error; a null list
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -27,7 +28,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +125,7 @@ def word_counts(docs: DataFrame, model: str, text_col: str = "text") -> DataFram
 
 
 def word_table(docs: DataFrame, model: str, size: int = TABLE, text_col: str = "text") -> DataFrame:
-    """(word, n, ids) of the `size` most frequent marked words, each segmented once."""
+    """(word, n, ids) of the most frequent marked words, each segmented once: all words of the greatest counts of which `size` hold all."""
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(model)
@@ -132,9 +133,12 @@ def word_table(docs: DataFrame, model: str, size: int = TABLE, text_col: str = "
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cutter.segment(words), pa.binary())], ["word", "n", "ids"])
 
-    top = word_counts(docs, model, text_col).orderBy(F.col("n").desc(), "word").limit(size)
-    dealt = cut_lineage(top, "frequent-words").repartition("word")
-    return cut_lineage(dealt.mapInArrow(segment, "word string, n long, ids binary"), "word-table")
+    often = cut_lineage(word_counts(docs, model, text_col).where("n > 1"), "words")
+    # The least count of which all words still fit; one row per distinct count.
+    reach = Window.orderBy(F.col("n").desc())
+    bar = often.groupBy("n").agg(F.count("*").alias("words")).withColumn("reached", F.sum("words").over(reach)).where(F.col("reached") <= size).agg(F.min("n")).first()[0]
+    top = often.where(F.lit(False) if bar is None else F.col("n") >= bar)
+    return cut_lineage(top.mapInArrow(segment, "word string, n long, ids binary"), "word-table")
 
 
 def encode(docs: DataFrame, model: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", size: int = TABLE) -> DataFrame:
@@ -185,23 +189,51 @@ def encode(docs: DataFrame, model: str, keep: Sequence[str] = ("doc_id",), text_
     return rows.mapInArrow(read, schema).toDF(*keep, "ids")
 
 
-def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """All columns, and the text of the ids."""
+def _by_ids(encoded: DataFrame, ids_col: str, function, fields: dict[str, T.DataType], arrow: list[pa.DataType]) -> DataFrame:
+    """All columns and those that `function` makes of a list of ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(model)
+        made = function()
         for batch in batches:
             lists, at = batch.column(batch.num_columns - 1), 0
             while at < batch.num_rows:
-                texts, chars, s = [], 0, at
-                while at < batch.num_rows and (at == s or chars < AT_ONCE):
+                out, size, s = [], 0, at
+                while at < batch.num_rows and (at == s or size < AT_ONCE):
                     ids = lists[at].values
-                    texts.append(None if ids is None else decoder(ids.to_numpy(zero_copy_only=False).tolist()))
-                    chars += len(texts[-1] or "")
+                    out.append((None,) * len(fields) if ids is None else made(ids.to_numpy(zero_copy_only=False).tolist()))
+                    size += 0 if ids is None else len(ids)
                     at += 1
-                yield pa.RecordBatch.from_arrays([c.slice(s, at - s) for c in batch.columns[:-1]] + [pa.array(texts, pa.string())], names)
+                yield pa.RecordBatch.from_arrays([c.slice(s, at - s) for c in batch.columns[:-1]] + [pa.array(c, t) for c, t in zip(zip(*out), arrow)], names)
+
+    kept = [f"k{i}" for i in range(len(encoded.columns))]
+    names = [*kept, *[f"made{i}" for i in range(len(fields))]]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, [*[f.dataType for f in encoded.schema.fields], *fields.values()])])
+    return encoded.select("*", F.col(ids_col).alias("_ids_")).mapInArrow(read, schema).toDF(*encoded.columns, *fields)
+
+
+def decode(encoded: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
+    """All columns, and the text of the ids."""
+
+    def decoder():
+        read = Decoder(model)
+        return lambda ids: (read(ids),)
+
+    return _by_ids(encoded, ids_col, decoder, {name: T.StringType()}, [pa.string()])
+
+
+def digests(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
+    """The columns but the ids, with n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256 of each row."""
+
+    def digester():
+        read = Decoder(model)
+        spelt = [str(i) for i in range(len(read.surface))]
+
+        def of(ids: list[int]) -> tuple[int, str, str]:
+            return len(ids), hashlib.sha256(" ".join(map(spelt.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(read(ids).encode()).hexdigest()
+
+        return of
 
-    fields = encoded.schema.fields
-    names = [*[f"k{i}" for i in range(len(fields))], "decoded"]
-    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, fields)] + [T.StructField("decoded", T.StringType())])
-    return encoded.select("*", F.col(ids_col).alias("_ids_")).mapInArrow(read, schema).toDF(*encoded.columns, name)
+    made = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    kept = [c for c in encoded.columns if c != ids_col]
+    out = _by_ids(encoded, ids_col, digester, made, [pa.int64(), pa.string(), pa.string()])
+    return out.select(*kept, *made)

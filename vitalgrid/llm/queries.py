@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vitalgrid.llm import byte_convnet, context_mixing, decontamination, mixing, ngram_join, part_codes, piece_codes, projection_forest, secret_scan, token_files, toxicity, turn_repair, warc_zip
 from vitalgrid.llm.common import table
@@ -75,10 +74,7 @@ def piece_vocabulary() -> str:
 
 def op12_distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = piece_vocabulary()
-    ids = piece_codes.encode(table(spark, sf_dir, "documents"), model)
-    spelt = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
-    out = piece_codes.decode(ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), spelt.alias("ids_sha256"), "ids"), model)
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return piece_codes.digests(piece_codes.encode(table(spark, sf_dir, "documents"), model), model)
 
 
 def op13_sliced_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
