@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.findings import FAMILY_SQL, VIEWS
+from oracle.findings import FAMILY_SQL, VIEWS, grouped
 from oracle.views import with_views
 from vitalgrid.plans.families import FAMILIES, FAMILY_OF
 
@@ -284,6 +284,25 @@ S["standby_gone"] = f"SELECT target_id, snapshot_id, standby AS subject, 'warn'
 S["comparable_deltas"] = f"""SELECT target_id, snapshot_id, CAST(b AS DOUBLE) AS before, CAST(v AS DOUBLE) AS after
 FROM (SELECT *, lag(v) OVER w AS b, lag(stats_reset_at) OVER w AS pr, lag(postmaster_start_at) OVER w AS pp FROM (SELECT *, numbackends*6 AS v FROM fx_db_counters) {LAG})
 WHERE {_CONN} AND NOT (stats_reset_at > pr) AND NOT (postmaster_start_at > pp)"""
+EXTRA["v_epochs"] = f"""
+SELECT target_id, snapshot_id, collected_at, CAST(sum(CASE WHEN why IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY target_id ORDER BY collected_at) AS BIGINT) AS epoch,
+       last_value(why IGNORE NULLS) OVER (PARTITION BY target_id ORDER BY collected_at ROWS UNBOUNDED PRECEDING) AS reason
+FROM (SELECT *, CASE WHEN stats_reset_at > lag(stats_reset_at) OVER w THEN 'stats_reset' WHEN postmaster_start_at > lag(postmaster_start_at) OVER w THEN 'server_restart' END AS why
+      FROM fx_close_counters {LAG})"""
+EXTRA["v_close_heads"] = """
+SELECT e.*, coalesce(aged.snapshot_id, prev.snapshot_id) AS base_snapshot_id, coalesce(aged.collected_at, prev.collected_at) AS base_at, coalesce(aged.epoch, prev.epoch) AS base_epoch
+FROM v_epochs e ASOF LEFT JOIN v_epochs aged ON aged.target_id = e.target_id AND e.collected_at - 900 >= aged.collected_at
+                ASOF LEFT JOIN v_epochs prev ON prev.target_id = e.target_id AND e.collected_at > prev.collected_at"""
+EXTRA["v_close_deltas"] = """
+SELECT h.target_id, h.snapshot_id, 'queryid ' || n.queryid AS subject, h.base_at, CAST(b.total_us AS DOUBLE)/1000/b.calls AS b_mean, CAST(n.total_us AS DOUBLE)/1000/n.calls AS mean
+FROM v_close_heads h JOIN fx_close_statements n ON n.target_id = h.target_id AND n.snapshot_id = h.snapshot_id
+JOIN fx_close_statements b ON b.target_id = h.target_id AND b.snapshot_id = h.base_snapshot_id AND b.queryid = n.queryid
+WHERE h.epoch = h.base_epoch AND abs(CAST(n.total_us AS DOUBLE)/1000/n.calls - CAST(b.total_us AS DOUBLE)/1000/b.calls) >= 5
+  AND abs((CAST(n.total_us AS DOUBLE)/1000/n.calls - CAST(b.total_us AS DOUBLE)/1000/b.calls)/(CAST(b.total_us AS DOUBLE)/1000/b.calls)) >= 0.5"""
+S["reset_epochs"] = "SELECT target_id, snapshot_id, epoch, reason FROM v_epochs"
+S["suppressed_deltas"] = "SELECT target_id, snapshot_id, base_snapshot_id, base_at, reason, epoch - base_epoch AS resets FROM v_close_heads WHERE epoch > base_epoch"
+S["deltas_within_epochs"] = """SELECT target_id, snapshot_id, subject, CASE WHEN mean > b_mean THEN 'warn' ELSE 'info' END AS severity, round(b_mean, 4) AS before, round(mean, 4) AS after, base_at AS first_observed FROM v_close_deltas"""
+S["slowdowns_within_epochs"] = grouped("(SELECT *, mean/b_mean AS factor FROM v_close_deltas)", "query_slowdown", "mean >= 10 AND mean/b_mean >= 2", "latency", "least(90.0, 30 + max(factor)*10)", "0.8", named=False)
 S["schema_diff"] = """
 WITH h AS (SELECT target_id, snapshot_id, lag(snapshot_id) OVER w AS base FROM (SELECT DISTINCT target_id, snapshot_id FROM fx_schema_objects) WINDOW w AS (PARTITION BY target_id ORDER BY snapshot_id)),
      cur AS (SELECT o.*, base FROM fx_schema_objects o JOIN h USING (target_id, snapshot_id) WHERE base IS NOT NULL),
@@ -515,18 +534,16 @@ SELECT target_id, snapshot_id, count(*) AS findings, CAST(sum(least(n_objects, 1
 S["context_findings"] = "SELECT * FROM v_family_tables"
 S["context_tables"] = 'SELECT target_id, "table", count(*) AS readings, CAST(sum(live_tuples) AS BIGINT) AS live_tuples, count(last_vacuum) AS vacuumed FROM v_tables GROUP BY 1, 2'
 
-# --- N: append mode emits the windows that end at or before the final watermark ---
-_MARK = "(SELECT max(at_us) - 600000000 FROM (SELECT epoch_us(date_trunc('second', ts)) AS at_us FROM events))"
-S["stream_wait_rollup"] = f"SELECT * FROM v_minute WHERE (bucket_at + 60)*1000000 <= {_MARK}"
-S["stream_wait_profile"] = f"""
+# --- N: a finite stream gives all windows and sessions ---
+S["stream_wait_rollup"] = "SELECT * FROM v_minute"
+S["stream_wait_profile"] = """
 SELECT target_id, window_start, wait_type, samples, CAST(sum(samples) OVER (PARTITION BY target_id, window_start) AS BIGINT) AS total, CAST(samples AS DOUBLE)/sum(samples) OVER (PARTITION BY target_id, window_start) AS share
 FROM (SELECT target_id, (sample_at // 60)*60 - 60*o AS window_start, coalesce(wait_event_type, 'CPU') AS wait_type, count(*) AS samples
-      FROM fx_ash, (SELECT unnest(range(0, 5)) AS o) GROUP BY 1, 2, 3) WHERE (window_start + 300)*1000000 <= {_MARK}"""
-# The lock filter runs below the watermark, so only lock samples advance it.
-S["stream_incident_sessions"] = f"""
+      FROM fx_ash, (SELECT unnest(range(0, 5)) AS o) GROUP BY 1, 2, 3)"""
+S["stream_incident_sessions"] = """
 WITH l AS (SELECT target_id, query_id, sample_at, CASE WHEN sample_at - lag(sample_at) OVER w < 21600 THEN 0 ELSE 1 END AS brk FROM fx_ash WHERE wait_event_type = 'Lock' WINDOW w AS (PARTITION BY target_id, query_id ORDER BY sample_at)),
      s AS (SELECT *, sum(brk) OVER (PARTITION BY target_id, query_id ORDER BY sample_at ROWS UNBOUNDED PRECEDING) AS g FROM l)
-SELECT * FROM (SELECT target_id, query_id, min(sample_at) AS started_at, max(sample_at) + 21600 AS ended_at, count(*) AS samples FROM s GROUP BY target_id, query_id, g) WHERE ended_at <= (SELECT max(sample_at) - 600 FROM l)"""
+SELECT target_id, query_id, min(sample_at) AS started_at, max(sample_at) + 21600 AS ended_at, count(*) AS samples FROM s GROUP BY target_id, query_id, g"""
 S["stream_counter_rates"] = S["health_rates"]
 S["finding_transitions"] = f"""
 WITH f AS (SELECT target_id, snapshot_id AS run, id, object, max({_rank}) AS rk FROM v_family_tables GROUP BY ALL),

@@ -96,6 +96,18 @@ FROM (SELECT target_id, sec // 21600 AS slot, (sec // 21600) // 40 AS epoch_id,
       FROM fx_events GROUP BY 1, 2, 3)
 WINDOW w AS (PARTITION BY target_id, epoch_id ORDER BY slot ROWS UNBOUNDED PRECEDING)"""
 
+VIEWS["fx_close"] = """
+SELECT target_id, sec // 21600 AS slot, i, k, c, 3*(sec // 21600) + i AS snapshot_id, (sec // 21600)*21600 + 600*i AS collected_at
+FROM fx_events, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS i)"""
+
+VIEWS["fx_close_counters"] = """
+SELECT target_id, snapshot_id, collected_at, count(*) AS numbackends, (collected_at - 300) // 64800 * 64800 + 300 AS stats_reset_at,
+       (collected_at - 900) // 259200 * 259200 + 900 AS postmaster_start_at FROM fx_close GROUP BY 1, 2, 3"""
+
+VIEWS["fx_close_statements"] = """
+SELECT target_id, snapshot_id, collected_at, k % 3 AS queryid, (i + 1)*count(*) AS calls,
+       (i + 1)*count(*)*1000*CASE WHEN i = 2 THEN 10 + max(c % 30) ELSE 4 END AS total_us FROM fx_close GROUP BY target_id, snapshot_id, collected_at, i, k % 3"""
+
 VIEWS["fx_ash"] = """
 SELECT target_id, sec // 604800 AS window_id, sec AS sample_at, event_id AS pid, k % 5 + 1 AS query_id,
   CASE WHEN event_type = 'click' THEN NULL

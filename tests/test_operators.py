@@ -426,3 +426,29 @@ def test_stale_verdicts_never_strengthen(spark):
 def test_fixed_dates_are_utc(spark):
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     assert spark.range(1).select(F.timestamp_seconds(F.lit(0))).first()[0] == datetime.datetime(1970, 1, 1)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 86_400])
+def test_carried_values_do_not_depend_on_chunks(spark, chunk):
+    df = spark.createDataFrame([(1, 1, 1, None), (1, 5, None, "a"), (1, 9, 2, None), (1, 30, 4, "b"), (2, 3, 7, None), (None, 4, 1, "z"), (None, 40, 1, None)], "k long, at long, v long, w string")
+    got = sorted(map(tuple, series.carried(df, ["k"], "at", totals={"total": F.col("v")}, lasts={"last": F.col("w")}, chunk_seconds=chunk).select("k", "at", "total", "last").collect()), key=str)
+    assert got == sorted([(1, 1, 1, None), (1, 5, 1, "a"), (1, 9, 3, "a"), (1, 30, 7, "b"), (2, 3, 7, None), (None, 4, 1, "z"), (None, 40, 2, "z")], key=str)
+
+
+CLOCKS = "target_id long, snapshot_id long, collected_at long, stats_reset_at long, postmaster_start_at long"
+
+
+@pytest.mark.parametrize("chunk", [300, 86_400])
+def test_no_comparison_across_any_reset(spark, chunk):
+    """Snapshots ten minutes apart: the baseline lies before the predecessor, the reset between those two."""
+    clocks = spark.createDataFrame([(1, 1, 0, 0, 0), (1, 2, 600, 300, 0), (1, 3, 1200, 300, 0), (1, 4, 1800, 300, 1500), (1, 5, 3600, 300, 1500), (2, 1, 0, None, 0), (2, 2, 2000, None, 0),
+                                    (3, 2, 5000, 4000, 0)], CLOCKS)
+    epochs = {(r["target_id"], r["snapshot_id"]): (r["epoch"], r["reason"]) for r in rates.reset_epochs(clocks, chunk_seconds=chunk).collect()}
+    assert epochs == {(1, 1): (0, None), (1, 2): (1, "stats_reset"), (1, 3): (1, "stats_reset"), (1, 4): (2, "server_restart"), (1, 5): (2, "server_restart"),
+                      (2, 1): (0, None), (2, 2): (0, None), (3, 2): (0, None)}
+    # Target 3 has a snapshot before its first counters; those began after it.
+    heads = clocks.select("target_id", "snapshot_id", "collected_at").union(spark.createDataFrame([(3, 1, 1000), (4, 1, 0), (4, 2, 5000)], "t long, s long, c long"))
+    kept, not_compared = deltas.split_baselines(heads, clocks, chunk_seconds=chunk)
+    assert sorted((r["target_id"], r["snapshot_id"], r["base_snapshot_id"]) for r in kept.collect()) == [(1, 5, 4), (2, 2, 1), (4, 2, 1)]
+    got = sorted((r["target_id"], r["snapshot_id"], r["base_snapshot_id"], r["reason"], r["resets"]) for r in not_compared.collect())
+    assert got == [(1, 2, 1, "stats_reset", 1), (1, 3, 1, "stats_reset", 1), (1, 4, 2, "server_restart", 1), (3, 2, 1, "stats_reset", 1)]

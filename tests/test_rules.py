@@ -333,3 +333,42 @@ def test_cycles_of_partitions_end(spark):
     edges = spark.createDataFrame([(1, 1, "a", "b"), (1, 1, "b", "a"), (1, 1, "leaf", "a"), (1, 1, "x", "top"), (1, 1, "y", "x")], "target_id long, snapshot_id long, child string, parent string")
     got = {r["child"]: r["root"] for r in catalog.partition_roots(edges).collect()}
     assert got["y"] == "top" and got["x"] == "top" and got["leaf"] == "a"
+
+
+def test_settings_hold_until_they_are_set_anew(spark):
+    from vitalgrid.plans import families
+
+    snaps = spark.createDataFrame([(1, i, i * 10) for i in range(1, 7)] + [(2, 1, 10)], "target_id long, snapshot_id long, collected_at long")
+    params = spark.createDataFrame([(1, 2, "fsync", "off"), (1, 2, "autovacuum", "on"), (1, 4, "fsync", "on"), (1, 5, "autovacuum", "off")], "target_id long, snapshot_id long, name string, value string")
+    got = {(r["target_id"], r["snapshot_id"]): (r["p_fsync"], r["p_autovacuum"]) for r in families.with_settings(snaps, params, ["fsync", "autovacuum"]).collect()}
+    assert got == {(1, 1): (None, None), (1, 2): ("off", "on"), (1, 3): ("off", "on"), (1, 4): ("on", "on"), (1, 5): ("on", "off"), (1, 6): ("on", "off"), (2, 1): (None, None)}
+
+
+def test_blocked_sessions_without_a_wait_time_are_no_emergency(spark):
+    from vitalgrid.plans import rules as R
+
+    facts = spark.createDataFrame([(1, 1, 2, None), (1, 2, 2, 50.0)], "target_id long, snapshot_id long, blocked long, max_wait_s double")
+    got = {r["snapshot_id"]: (r["score"], r["title"]) for r in R.fact_findings(facts, ["blocking_chains"]).collect()}
+    assert got[1][0] == 86.0 and "longest" not in got[1][1] and got[2][0] == 91.0
+
+
+def test_front_door_without_and_with_few_tables(spark):
+    empty = Fleet(spark).from_tables({})
+    assert empty.deltas().count() == empty.events().count() == empty.findings().count() == empty.evidence().count() == empty.suppressed_deltas().count() == 0
+    slots = spark.createDataFrame([(1, 1, "s1", False, "lost", 0)], "target_id long, snapshot_id long, name string, active boolean, wal_status string, retained_bytes long")
+    few = Fleet(spark).from_tables({"slots": slots})
+    assert few.deltas().count() == 0 and few.evidence().count() == 0
+    assert {r["id"] for r in few.findings().collect()} == {"replication_slot_inactive"}
+
+
+def test_one_baseline_for_all_measures(spark):
+    """Three runs close together: every measure is compared with the first, not some with the run before."""
+    heads = [(1, 1, 0), (1, 2, 1000), (1, 3, 1060)]
+    counters = spark.createDataFrame([(*h, n, 0, 0, z) for h, n, z in zip(heads, (20, 200, 205), (10 ** 9, 5 * 10 ** 9, 5 * 10 ** 9))],
+                                     "target_id long, snapshot_id long, collected_at long, numbackends long, stats_reset_at long, postmaster_start_at long, db_size_bytes long")
+    statements = spark.createDataFrame([(*h, 7, 100, u) for h, u in zip(heads, (100_000, 5_000_000, 5_000_000))], "target_id long, snapshot_id long, collected_at long, queryid long, calls long, total_us long")
+    instances = spark.createDataFrame([(*h, f) for h, f in zip(heads, (0, 3, 3))], "target_id long, snapshot_id long, collected_at long, failed_count long")
+    got = Fleet(spark).from_tables({"db_counters": counters, "statements": statements, "instances": instances}).deltas()
+    ids = {"query.mean_ms", "health.connections", "database.size_bytes", "archiver.failed_count"}
+    assert {(r["snapshot_id"], r["id"]) for r in got.collect()} == {(s, i) for s in (2, 3) for i in ids}
+    assert {r["first_observed"] for r in got.collect()} == {0}

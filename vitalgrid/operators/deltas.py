@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import pct_change, round_dp
-from vitalgrid.operators.baseline import baseline_choice
-from vitalgrid.operators.series import DAY, previous_row
+from vitalgrid.operators.baseline import BASELINE_MIN_AGE, baseline_choice
+from vitalgrid.operators.rates import reset_epochs
+from vitalgrid.operators.series import DAY, asof, previous_row
+from vitalgrid.session import cut_lineage
 
 # How large a change must be to count.
 QUERY_MEAN_PCT, QUERY_MEAN_ABS_MS = 0.50, 5.0
@@ -19,8 +21,6 @@ CONN_STEP_PCT, CONN_STEP_ABS = 0.50, 20
 DEAD_RATIO_STEP = 0.10
 RECEIVER_LAG_STEP = 30
 
-YEAR_CHUNK = 20 * 370 * DAY
-
 
 def _out(df: DataFrame, id_: str, subject: Column, severity: Column | str, before: Column, after: Column,
          pct: Column | None = None, observed: Column | None = None) -> DataFrame:
@@ -117,13 +117,42 @@ def snapshot_baselines(snapshots: DataFrame, *, chunk_seconds: int = DAY) -> Dat
         "target_id", "snapshot_id", F.col("prev_snapshot_id").alias("base_snapshot_id"), F.col("prev_collected_at").alias("base_at"))
 
 
-def delta_baselines(snapshots: DataFrame, *, chunk_seconds: int = DAY) -> DataFrame:
+def heads_of(*tables: DataFrame) -> DataFrame:
+    """(target, snapshot, collected_at) of all snapshots that any of the tables knows."""
+    known = reduce(DataFrame.unionByName, [t.select("target_id", "snapshot_id", "collected_at") for t in tables])
+    return known.groupBy("target_id", "snapshot_id").agg(F.max("collected_at").alias("collected_at"))
+
+
+def _chosen(snapshots: DataFrame, min_age: int, chunk_seconds: int) -> DataFrame:
+    b = baseline_choice(heads_of(snapshots), ["snapshot_id", "collected_at"], min_age=min_age, chunk_seconds=chunk_seconds)
+    return b.where(F.col("base_snapshot_id").isNotNull()).select(
+        "target_id", "snapshot_id", "collected_at", "base_snapshot_id", F.col("base_collected_at").alias("base_at"))
+
+
+def delta_baselines(snapshots: DataFrame, *, min_age: int = BASELINE_MIN_AGE, chunk_seconds: int = DAY) -> DataFrame:
     """(target, snapshot) with the baseline to compare against: one at least a quarter of an hour
     old, so that two runs in a row do not compare noise, else the previous run."""
-    heads = snapshots.groupBy("target_id", "snapshot_id").agg(F.max("collected_at").alias("collected_at"))
-    b = baseline_choice(heads, ["snapshot_id", "collected_at"], chunk_seconds=chunk_seconds)
-    return b.where(F.col("base_snapshot_id").isNotNull()).select(
-        "target_id", "snapshot_id", "base_snapshot_id", F.col("base_collected_at").alias("base_at"))
+    return _chosen(snapshots, min_age, chunk_seconds).drop("collected_at")
+
+
+def split_baselines(snapshots: DataFrame, counters: DataFrame, *, min_age: int = BASELINE_MIN_AGE, chunk_seconds: int = DAY) -> tuple[DataFrame, DataFrame]:
+    """(baselines, suppressed): baselines of the same counting epoch, and the others with the reason.
+
+    Both ends of a comparison look up the newest counters at or before them, so a reset anywhere between them counts, also one
+    that neither end's own neighbours show. A snapshot without counters before it is compared.
+    """
+    epochs = cut_lineage(reset_epochs(counters, chunk_seconds=chunk_seconds), "epochs")  # one small row per snapshot, read by both look-ups
+    both = asof(_chosen(snapshots, min_age, chunk_seconds), epochs, ["target_id"], F.col("collected_at"), "collected_at", ["epoch", "reason", "counting_since", "since_reason"],
+                prefix="head_", chunk_seconds=chunk_seconds)
+    both = asof(both, epochs, ["target_id"], F.col("base_at"), "collected_at", ["epoch"], prefix="first_", chunk_seconds=chunk_seconds)
+    crossed = F.col("head_epoch") > F.coalesce("first_epoch", "head_epoch")
+    # Counters that began after the baseline, though no snapshot before shows it.
+    began = F.col("first_epoch").isNull() & (F.col("head_counting_since") > F.col("base_at"))
+    reason = F.when(crossed, F.col("head_reason")).when(began, F.col("head_since_reason"))
+    keys = ["target_id", "snapshot_id", "base_snapshot_id", "base_at"]
+    both = both.withColumn("reason", reason)
+    resets = F.greatest(F.col("head_epoch") - F.coalesce("first_epoch", "head_epoch"), F.lit(1)).alias("resets")
+    return both.where(F.col("reason").isNull()).select(*keys), both.where(F.col("reason").isNotNull()).select(*keys, "reason", resets)
 
 
 def comparable_only(deltas: DataFrame, resets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,8 +161,19 @@ def comparable_only(deltas: DataFrame, resets: DataFrame) -> tuple[DataFrame, Da
     return deltas.join(resets.select(*keys), keys, "left_anti"), resets.select(*keys, "reason")
 
 
-def all_deltas(*parts: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+DELTA = "target_id long, snapshot_id long, id string, subject string, severity string, before double, after double, pct_change double, first_observed long"
+EVENT = "target_id long, snapshot_id long, kind string, object string, before string, after string, occurred_after long, occurred_before long, confidence double"
+
+
+def all_deltas(*parts: DataFrame, spark=None, schema: str = DELTA) -> DataFrame:
+    """Union of the parts; without any an empty frame of the schema."""
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def against_base(df: DataFrame, baselines: DataFrame, *measures: str) -> DataFrame:
+    """A row per snapshot with the measures of its baseline as ``base_<measure>``, and when that was."""
+    base = df.select("target_id", F.col("snapshot_id").alias("base_snapshot_id"), *[F.col(m).alias("base_" + m) for m in measures])
+    return df.join(baselines, ["target_id", "snapshot_id"]).join(base, ["target_id", "base_snapshot_id"])
 
 
 def worst_slowdown(deltas: DataFrame, *, factor: float = 2.0, min_ms: float = 10.0) -> DataFrame:

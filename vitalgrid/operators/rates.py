@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import ratio, round_dp
 from vitalgrid.functions.text import clock_duration
-from vitalgrid.operators.series import DAY, asof, counter_delta, counter_ratio, per_second, previous_row
+from vitalgrid.operators.series import DAY, carried, counter_delta, counter_ratio, per_second, previous_row
 
 KEYS = ["target_id"]
 
@@ -109,6 +109,24 @@ def counter_resets(snapshots: DataFrame, *, chunk_seconds: int = DAY) -> DataFra
                     age.alias("age_seconds"), clock_duration(age).alias("age_text"))
 
 
+def reset_epochs(snapshots: DataFrame, *, keys: list[str] | None = None, chunk_seconds: int = DAY) -> DataFrame:
+    """Every snapshot with the number of resets so far, and reason and moment of the last one.
+
+    ``keys`` names what counters belong to: a target, or a target and its database. Two snapshots can be compared only within
+    one epoch, however many snapshots lie between them. Neither counts nor moments depend on the chunk length.
+    """
+    keys = keys or KEYS
+    p = previous_row(snapshots, keys, "collected_at", ["snapshot_id", "stats_reset_at", "postmaster_start_at"], chunk_seconds=chunk_seconds)
+    reason = F.when(F.col("prev_snapshot_id").isNotNull(), reset_reason(
+        F.col("prev_stats_reset_at"), F.col("stats_reset_at"), F.col("prev_postmaster_start_at"), F.col("postmaster_start_at")))
+    p = p.select(*keys, "snapshot_id", "collected_at", reason.alias("_reason"), "stats_reset_at", "postmaster_start_at")
+    hit = F.col("_reason").isNotNull()
+    out = carried(p, keys, "collected_at", totals={"epoch": hit.cast("long")}, lasts={"reason": F.col("_reason")}, chunk_seconds=chunk_seconds)
+    moment = F.greatest("stats_reset_at", "postmaster_start_at")
+    return out.select(*keys, "snapshot_id", "collected_at", "epoch", "reason", moment.alias("counting_since"),
+                      F.when(moment == F.col("stats_reset_at"), "stats_reset").otherwise("server_restart").alias("since_reason"))
+
+
 def interval_mean(statements: DataFrame, *, chunk_seconds: int = 370 * DAY) -> DataFrame:
     """Mean milliseconds per call within each interval, from the cumulative totals."""
     p = previous_row(statements, ["target_id", "queryid"], "collected_at", ["calls", "total_us"],
@@ -117,9 +135,3 @@ def interval_mean(statements: DataFrame, *, chunk_seconds: int = 370 * DAY) -> D
     return p.where(F.col("prev_calls").isNotNull()).select(
         "target_id", "snapshot_id", "queryid", calls.alias("interval_calls"),
         round_dp(ratio(total, calls * 1000), 4).alias("interval_mean_ms"))
-
-
-def attach_wal_rate(snapshots: DataFrame, wal: DataFrame, *, chunk_seconds: int = DAY) -> DataFrame:
-    """Newest WAL rate known at each snapshot."""
-    return asof(snapshots, wal, KEYS, F.col("collected_at"), "collected_at", ["wal_bytes_per_sec"], prefix="",
-                chunk_seconds=chunk_seconds)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import ratio
 from vitalgrid.operators import catalog, deltas, rates, sessions, waits
+from vitalgrid.operators.series import asof, carried
 from vitalgrid.plans import rules as R
 
 SNAP = ["target_id", "snapshot_id"]
@@ -67,11 +68,31 @@ def vacuum_settings(params: DataFrame) -> DataFrame:
     return p.select(*R.setting_keys(p), *[F.col("p_" + n).try_cast("double").alias(a) for a, n in names.items()])
 
 
+def _held(rows: DataFrame, settings: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with the settings that hold at their snapshot.
+
+    Settings of a target hold for all of its snapshots. Settings that carry a snapshot hold from then on, each until it is set
+    anew: a snapshot without settings of its own has those of the newest one before it.
+    """
+    if "snapshot_id" not in settings.columns:
+        return rows.join(settings.select("target_id", *columns), "target_id", "left")
+    wide = settings.groupBy("target_id", F.col("snapshot_id").alias("_set_at")).agg(*[F.max(n).alias(n) for n in columns])
+    known = carried(wide, ["target_id"], "_set_at", lasts={"k_" + n: F.col(n) for n in columns})
+    held = known.select("target_id", "_set_at", *[F.col("k_" + n).alias(n) for n in columns])
+    at = asof(rows.select(*SNAP).distinct(), held, ["target_id"], F.col("snapshot_id"), "_set_at", columns, prefix="")
+    return rows.join(at, SNAP, "left")
+
+
+def with_settings(rows: DataFrame, params: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Rows with their settings as ``p_<name>``."""
+    settings = R.pivot_settings(params, names)
+    return _held(rows, settings, [n for n in settings.columns if n.startswith("p_")])
+
+
 def instance_facts(src) -> DataFrame:
-    settings = R.pivot_settings(src.params(), R.setting_names())
     conflicts = sum((F.col("conflict_" + n) for n in ("lock", "bufferpin", "deadlock", "tablespace")), F.col("conflict_snapshot"))
-    return (src.instances().join(settings, R.setting_keys(settings), "left").withColumn("conflicts", conflicts)
-            .withColumns(rates.window_columns()))
+    facts = with_settings(src.instances(), src.params(), R.setting_names())
+    return facts.withColumn("conflicts", conflicts).withColumns(rates.window_columns())
 
 
 def health_facts(src) -> DataFrame:
@@ -79,9 +100,8 @@ def health_facts(src) -> DataFrame:
 
 
 def activity_facts(src) -> DataFrame:
-    limits = R.pivot_settings(src.session_params(), ["autovacuum_max_workers"])
-    return (sessions.activity_rollup(src.activity()).join(sessions.blocked_sessions(src.lock_waits()), SNAP, "left")
-            .join(limits, R.setting_keys(limits), "left"))
+    facts = sessions.activity_rollup(src.activity()).join(sessions.blocked_sessions(src.lock_waits()), SNAP, "left")
+    return with_settings(facts, src.session_params(), ["autovacuum_max_workers"])
 
 
 def wait_facts(src) -> DataFrame:
@@ -92,22 +112,28 @@ def wait_facts(src) -> DataFrame:
                     F.coalesce("top_lwlock.event", F.lit("LWLock")).alias("lwlock_event"))
 
 
-def statement_deltas(src) -> DataFrame:
-    st = src.statements()
-    return deltas.query_deltas(st, deltas.delta_baselines(st))
-
-
-def _comparable(src, df: DataFrame) -> DataFrame:
-    """Deltas of snapshots without a counter reset or restart before them, where the source knows of resets."""
+def baselines(src, snapshots: DataFrame) -> DataFrame:
+    """The snapshots' baselines, without those across a counter reset or restart where the source knows counters."""
+    shared = getattr(src, "baselines", None)
+    if shared is not None:
+        return shared()
     has = getattr(src, "has", None)
     if has is not None and not has("db_counters"):
-        return df
-    return deltas.comparable_only(df, rates.counter_resets(src.db_counters()))[0]
+        return deltas.delta_baselines(snapshots)
+    return deltas.split_baselines(snapshots, src.db_counters())[0]
+
+
+def statement_deltas(src) -> DataFrame:
+    st = src.statements()
+    return deltas.query_deltas(st, baselines(src, st))
 
 
 def table_evidence(src, only: Iterable[str] | None = None) -> DataFrame:
     t = _graded_by(src, R.dead_ratio(src.table_stats()), "dead_ratio_warn")
-    t = _attached(src, t, "vacuum_settings", ["target_id"], "vacuum_threshold", "vacuum_scale", "analyze_threshold", "analyze_scale")
+    get, wanted = getattr(src, "vacuum_settings", None), ("vacuum_threshold", "vacuum_scale", "analyze_threshold", "analyze_scale")
+    if get is not None:
+        known = get()
+        t = _held(t, known, [n for n in wanted if n in known.columns and n not in t.columns])
     return R.table_rows(t, only)
 
 
@@ -144,16 +170,29 @@ def _replica_rows(src) -> DataFrame:
 
 def _gone_facts(src) -> DataFrame:
     r = src.replicas()
-    base = deltas.delta_baselines(r)
-    gone = _comparable(src, deltas.standby_gone(r, base))
+    gone = deltas.standby_gone(r, baselines(src, r))
     return gone.groupBy(*SNAP).agg(F.min("subject").alias("standby_gone"))
 
 
+def _evictions(src) -> DataFrame | None:
+    """Per snapshot what is known of evicted statements."""
+    has = getattr(src, "has", None)
+    if has is None or not has("instances"):
+        return None
+    known = src.instances()
+    names = [n for n in ("statements_dealloc", "statements_count", "statements_max") if n in known.columns]
+    return known.select(*SNAP, *names) if names else None
+
+
 def _slowdown_facts(src) -> DataFrame:
-    w = deltas.worst_slowdown(_comparable(src, statement_deltas(src)))
-    return w.select(*SNAP, F.col("factor").alias("slowdown_factor"), F.col("before").alias("slowdown_before"), F.col("after").alias("slowdown_after"),
-                    F.regexp_extract("subject", r"(-?\d+)$", 1).try_cast("long").alias("slowdown_query"),
-                    F.lit(0).cast("long").alias("statements_dealloc"), F.lit(0).cast("long").alias("statements_count"), F.lit(0).cast("long").alias("statements_max"))
+    w = deltas.worst_slowdown(statement_deltas(src))
+    facts = w.select(*SNAP, F.col("factor").alias("slowdown_factor"), F.col("before").alias("slowdown_before"), F.col("after").alias("slowdown_after"),
+                     F.regexp_extract("subject", r"(-?\d+)$", 1).try_cast("long").alias("slowdown_query"))
+    known = _evictions(src)
+    if known is not None:
+        facts = facts.join(known, SNAP, "left")
+    counts = ("statements_dealloc", "statements_count", "statements_max")
+    return facts.select(*facts.columns[:6], *[(F.coalesce(n, F.lit(0)) if n in facts.columns else F.lit(0)).cast("long").alias(n) for n in counts])
 
 
 def _build_context(src) -> DataFrame:
@@ -188,9 +227,7 @@ def evidence_rows(src, only: Iterable[str] | None = None) -> DataFrame:
         if name in wanted:
             df = build().select(*R.ROW)
             out = df if out is None else out.unionByName(df)
-    if out is None:
-        raise ValueError("none of the wanted rules has evidence rows")
-    return out
+    return src.spark.createDataFrame([], R.ROW_SCHEMA) if out is None else out
 
 
 def family_findings(src, family: str, only: Iterable[str] | None = None) -> DataFrame:
@@ -231,11 +268,11 @@ def family_findings(src, family: str, only: Iterable[str] | None = None) -> Data
 
 def fleet_findings(src, only: Iterable[str] | None = None, families: Iterable[str] | None = None) -> DataFrame:
     """Findings of all wanted families. Row rules of all families share one aggregation."""
-    fams = list(families or FAMILIES)
+    fams = list(FAMILIES if families is None else families)
     wanted = [i for f in fams for i in FAMILIES[f] if only is None or i in set(only)]
     listed = [i for i in wanted if i in ROW_RULE_IDS]
     parts = [family_findings(src, f, [i for i in FAMILIES[f] if i in set(wanted) - set(listed)])
              for f in fams if set(FAMILIES[f]) & (set(wanted) - set(listed))]
     if listed:
         parts.append(R.row_findings(evidence_rows(src, listed), _context(src, listed), listed))
-    return R.union_findings(*parts)
+    return R.union_findings(*parts) if parts else src.spark.createDataFrame([], R.HEADER_SCHEMA)

@@ -44,6 +44,10 @@ DIMENSION = {r[0]: r[2] for r in RULES}
 SNAP = ["target_id", "snapshot_id"]
 HEADER = [*SNAP, "id", "object", "severity", "dimension", "score", "confidence", "title", "n_objects", "caveats"]
 ROW = [*SNAP, "id", "object", "evidence", "position", "measure", "size", "f1", "f2", "f3"]
+ROW_SCHEMA = ("target_id long, snapshot_id long, id string, object string, evidence string, position double, measure double, size long, "
+              "f1 boolean, f2 boolean, f3 boolean")
+HEADER_SCHEMA = ("target_id long, snapshot_id long, id string, object string, severity string, dimension string, score double, confidence double, "
+                 "title string, n_objects long, caveats array<string>")
 
 c = F.col
 
@@ -139,8 +143,9 @@ _evicting = lambda: (c("statements_dealloc") > 0) | ((c("statements_max") > 0) &
 
 FACT_RULES = [
     FactRule("blocking_chains", ("blocked", "max_wait_s"), lambda: c("blocked") > 0,
-             lambda: F.least(F.lit(100.0), 80 + c("blocked").cast("double") * 3 + c("max_wait_s").cast("double") / 10), 1.0,
-             lambda: _f("%d session(s) waiting for locks, longest %.0fs", c("blocked"), c("max_wait_s").cast("double"))),
+             lambda: F.least(F.lit(100.0), 80 + c("blocked").cast("double") * 3 + F.coalesce("max_wait_s", F.lit(0)).cast("double") / 10), 1.0,
+             lambda: F.when(c("max_wait_s").isNull(), _f("%d session(s) waiting for locks", c("blocked"))).otherwise(
+                 _f("%d session(s) waiting for locks, longest %.0fs", c("blocked"), c("max_wait_s").cast("double")))),
     FactRule("autovacuum_saturated", ("autovacuum_workers", "p_autovacuum_max_workers"),
              lambda: (c("autovacuum_workers") > 0) & (c("p_autovacuum_max_workers").try_cast("long") > 0)
              & (c("autovacuum_workers") >= c("p_autovacuum_max_workers").try_cast("long")), _const(35), 0.5,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgrid.fleet import Fleet
 from vitalgrid.functions import guc, text
 from vitalgrid.functions.numbers import round_dp
 from vitalgrid.operators import baseline, catalog, changes, deltas, evidence, fleet, policy, rates, sessions, waits
@@ -568,6 +569,28 @@ def _(t):
     return kept.select(*SNAP, "before", "after")
 
 
+@query("reset_epochs")
+def _(t):
+    return rates.reset_epochs(t.close_counters()).select(*SNAP, "epoch", "reason")
+
+
+@query("suppressed_deltas")
+def _(t):
+    return Fleet(t.spark).from_tables({"statements": t.close_statements(), "db_counters": t.close_counters()}).suppressed_deltas()
+
+
+@query("deltas_within_epochs")
+def _(t):
+    d = Fleet(t.spark).from_tables({"statements": t.close_statements(), "db_counters": t.close_counters()}).deltas()
+    return d.where(c("id") == "query.mean_ms").select(*SNAP, "subject", "severity", "before", "after", "first_observed")
+
+
+@query("slowdowns_within_epochs")
+def _(t):
+    f = Fleet(t.spark).from_tables({"statements": t.close_statements(), "db_counters": t.close_counters()})
+    return _compare_header(f.findings(only=["query_slowdown"]))
+
+
 def _settings(t) -> DataFrame:
     return t.settings_history().withColumn("collected_at", c("snapshot_id") * DAY)
 
@@ -1100,32 +1123,35 @@ def _stream_query(name: str):
 
 @_stream_query("stream_wait_rollup")
 def _(t):
-    from vitalgrid.streaming.jobs import drain, wait_rollup
-    return drain(wait_rollup(t.ash()), "wait-rollup")
+    from vitalgrid.streaming.jobs import drain, open_rollup, wait_rollup
+    return drain(wait_rollup(t.ash()), "wait-rollup", open_rollup)
 
 
 @_stream_query("stream_wait_profile")
 def _(t):
-    from vitalgrid.streaming.jobs import drain, profile_shares, wait_profile
-    return profile_shares(drain(wait_profile(t.ash()), "wait-profile"))
+    from vitalgrid.streaming.jobs import drain, open_profile, profile_shares, wait_profile
+    return profile_shares(drain(wait_profile(t.ash()), "wait-profile", open_profile))
 
 
 @_stream_query("stream_incident_sessions")
 def _(t):
-    from vitalgrid.streaming.jobs import drain, incident_sessions
-    return drain(incident_sessions(t.ash(), gap="6 hours"), "incidents")
+    from vitalgrid.streaming.jobs import drain, incident_sessions, open_sessions
+    return drain(incident_sessions(t.ash(), gap="6 hours"), "incidents", open_sessions)
+
+
+FILES = 4
 
 
 def _as_stream(df: DataFrame, at: str, cuts: int, name: str) -> DataFrame:
-    """Write a table in time order as a few files and read it back as a stream of that many batches."""
+    """Write a table in time order, a few files for each of ``cuts`` stretches, and read it back as a stream of about that many batches."""
     spark = df.sparkSession
     path = staging_path(spark, name)
     low, high = df.agg(F.min(at), F.max(at)).first()
     step = (high - low) // cuts + 1
     for i in range(cuts):
         part = df.where((c(at) >= low + i * step) & (c(at) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(FILES, "target_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query("stream_counter_rates")

@@ -177,6 +177,25 @@ class Testbed:
             (F.col("epoch_id") * 40 * SLOT).alias("stats_reset_at"),
             (F.floor(F.col("slot") / 80).cast("long") * 80 * SLOT).alias("postmaster_start_at")))
 
+    def _triples(self) -> DataFrame:
+        """Three snapshots, ten minutes apart, for each six-hourly slot with events."""
+        slot = F.floor(F.col("at") / SLOT).cast("long")
+        rows = self._events().select("target_id", slot.alias("slot"), "k", cents("value").alias("c"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("i"))
+        return rows.select("*", (3 * F.col("slot") + F.col("i")).alias("snapshot_id"), (F.col("slot") * SLOT + 600 * F.col("i")).alias("collected_at"))
+
+    def close_counters(self) -> DataFrame:
+        """Counters read in triples; they are reset after the first of every third triple, restarts come after the second of every twelfth."""
+        reset = (F.floor((F.col("collected_at") - 300) / (3 * SLOT)) * (3 * SLOT) + 300).cast("long")
+        started = (F.floor((F.col("collected_at") - 900) / (12 * SLOT)) * (12 * SLOT) + 900).cast("long")
+        g = self._triples().groupBy("target_id", "snapshot_id", "collected_at").agg(F.count("*").alias("numbackends"))
+        return g.withColumns({"stats_reset_at": reset, "postmaster_start_at": started})
+
+    def close_statements(self) -> DataFrame:
+        """Statements of the same snapshots; each is slow at the last of a triple."""
+        g = self._triples().groupBy("target_id", "snapshot_id", "collected_at", "i", (F.col("k") % 3).alias("queryid")).agg(F.count("*").alias("n"), F.max(F.col("c") % 30).alias("c"))
+        calls = (F.col("i") + 1) * F.col("n")
+        return g.select("target_id", "snapshot_id", "collected_at", "queryid", calls.alias("calls"), (calls * 1000 * F.when(F.col("i") == 2, 10 + F.col("c")).otherwise(4)).alias("total_us"))
+
     def ash(self) -> DataFrame:
         t, m = F.col("event_type"), F.col("user_id") % 5
         busy = t.isin("error", "signup")
