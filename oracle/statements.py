@@ -161,7 +161,7 @@ SELECT q.target_id, q.window_id, q.query_id, samples, s.txt AS sample_text FROM
 S["profile_availability"] = """
 SELECT target_id, window_id, attempts, failures, coalesce(n, 0) AS samples, CASE WHEN failures = attempts THEN 'unavailable' WHEN coalesce(n, 0) = 0 THEN 'idle' WHEN n < 20 THEN 'thin' ELSE 'available' END AS state
 FROM (SELECT target_id, collected_at // 86400 AS window_id, count(*) AS attempts, count(*) FILTER (doc_bytes % 4 <> 0) AS failures FROM fx_snapshots GROUP BY 1, 2)
-LEFT JOIN (SELECT target_id, sample_at // 86400 AS window_id, count(*) AS n FROM fx_ash WHERE wait_event_type = 'IO' GROUP BY 1, 2) USING (target_id, window_id)"""
+LEFT JOIN (SELECT target_id, sample_at // 86400 AS window_id, count(*) AS n FROM fx_ash GROUP BY 1, 2) USING (target_id, window_id)"""
 S["wait_rollup_minute"] = "SELECT * FROM v_minute"
 S["wait_rollup_merge"] = "SELECT * FROM v_minute"
 S["wait_rollup_fold"] = f"""
@@ -170,7 +170,8 @@ SELECT target_id, b AS bucket_at, g AS granularity, wait_type, wait_event, CAST(
 WHERE NOT (g = 'hour' AND b < {AS_OF} - 90*86400) GROUP BY 1, 2, 3, 4, 5"""
 S["partition_rollup"] = "SELECT * FROM v_partitions"
 S["checksum_totals"] = "SELECT target_id, coalesce(database, '(shared objects)') AS database, CAST(sum(failures) AS BIGINT) AS failures FROM fx_checksum_failures WHERE failures > 0 GROUP BY 1, 2"
-S["cluster_limits"] = "SELECT cluster_id, max(max_xid_age) AS max_xid_age, max(max_mxid_age) AS max_mxid_age, CAST(sum(connections_used) AS BIGINT) AS connections_used, count(*) AS databases FROM fx_instances GROUP BY 1"
+S["cluster_limits"] = """SELECT r.cluster_id, run, max(max_xid_age) AS max_xid_age, max(max_mxid_age) AS max_mxid_age, CAST(sum(connections_used) AS BIGINT) AS connections_used, count(*) AS databases
+FROM v_cluster_runs r JOIN fx_instances i USING (target_id) GROUP BY 1, 2"""
 S["wal_dir_size"] = "SELECT o_custkey % 25 AS target_id, CAST(year(o_orderdate) AS BIGINT) AS snapshot_id, count(*) AS wal_dir_files, CAST(sum(o_orderkey % 7 * 16) AS BIGINT) AS wal_dir_bytes FROM orders GROUP BY 1, 2"
 S["unused_index_totals"] = "SELECT target_id, snapshot_id, count(*) AS indexes, CAST(sum(bytes) AS BIGINT) AS reclaimable_bytes FROM v_unused GROUP BY 1, 2"
 
@@ -180,7 +181,7 @@ S["redundant_pairs"] = 'SELECT target_id, snapshot_id, "table", index, covered_b
 S["unindexed_fks"] = 'SELECT target_id, "table", "constraint", child_bytes FROM v_fks'
 S["unused_indexes"] = 'SELECT target_id, "table", index, bytes, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY bytes DESC, indexrelid) AS rank FROM v_unused QUALIFY rank <= 50'
 S["index_enrichment"] = """SELECT target_id, snapshot_id, "table", index, indexrelid, CAST(scans AS BIGINT) AS scans, bytes, method, is_unique, is_partial, backs_constraint,
-  CASE WHEN indexrelid % 5 <> 0 THEN array_to_string(list_transform(indkey, lambda n: ['customerId','status_code','createdAt','HTTPStatus'][n]), ',') ELSE '' END AS columns FROM fx_indexes"""
+  array_to_string(list_transform(indkey, lambda n: ['customerId','status_code','createdAt','HTTPStatus'][n]), ',') AS columns FROM fx_indexes"""
 S["sequence_usage"] = "SELECT target_id, name, last_value, ceiling, pct_used, rank FROM v_sequences WHERE rank <= 50"
 S["narrow_identity"] = "SELECT target_id, \"table\", \"column\", type FROM fx_narrow_columns WHERE type IN ('int2','int4') AND (is_identity OR owns_sequence)"
 _ASOF = "FROM fx_hourly n ASOF LEFT JOIN fx_hourly b ON b.target_id = n.target_id AND b.collected_at <= n.collected_at - {0}"
@@ -344,10 +345,10 @@ SELECT target_id, snapshot_id, id, object, count(*) AS n, CAST(sum(size) AS BIGI
   UNION ALL SELECT target_id, snapshot_id, 'sequence_exhaustion', 'public.' || name, 0 FROM v_sequences WHERE pct_used >= 0.8
   UNION ALL SELECT target_id, snapshot_id, 'index_invalid', identity, bytes FROM fx_schema_objects WHERE kind = 'index' AND invalid) GROUP BY ALL"""
 _guards = " UNION ALL ".join(f"SELECT '{i}' AS id, '{g[0]}' AS guard_id, '{g[1]}' AS kind, '{g[2]}' AS action" for i, gs in GUARDS.items() for g in gs)
-S["guard_rows"] = f"SELECT target_id, snapshot_id, id, object, guard_id, kind, action FROM ({_all(['unused', 'redundant', 'slots', 'checksums'])}) JOIN ({_guards}) USING (id)"
+S["guard_rows"] = f"SELECT target_id, snapshot_id, id, object, guard_id, kind, action FROM ({_all()}) JOIN ({_guards}) USING (id)"
 _rank = "CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END"
 S["findings_order"] = f"""SELECT target_id, snapshot_id, id, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY dimension = 'risk' DESC, score DESC, {_rank} DESC, id, object) AS ordinal
-FROM ({_all(['activity', 'tables', 'health'])})"""
+FROM ({_all()})"""
 
 # --- K ---
 # The active rules: two exact or class rules and a blanket one; the wide glob has expired.
@@ -367,8 +368,8 @@ WITH per AS (SELECT target_id, snapshot_id, id, count(*) AS cut, max_by(ordinal,
 SELECT target_id, snapshot_id, id, object, severity, CASE WHEN ord IS NULL AND n_objects > 0 THEN n_objects - cut ELSE n_objects END AS n_objects, ord IS NOT NULL AS suppressed, ord FROM g"""
 S["suppress_findings"] = f"""SELECT target_id, snapshot_id, id, object, n_objects, suppressed, {_rule_texts.replace('ordinal', 'ord')} AS suppression_rule,
   ['known','batch tables','','analytics fleet','small tables','managed elsewhere',''][ord + 1] AS suppression_reason FROM v_muted"""
-S["severity_remap"] = """SELECT target_id, snapshot_id, id, CASE id WHEN 'table_bloat' THEN 'critical' WHEN 'never_analyzed' THEN 'info' ELSE severity END AS severity,
-  CASE WHEN id IN ('table_bloat','never_analyzed') THEN severity END AS severity_remapped FROM v_family_tables"""
+S["severity_remap"] = f"""SELECT target_id, snapshot_id, id, CASE id WHEN 'table_bloat' THEN 'critical' WHEN 'never_analyzed' THEN 'info' WHEN 'seq_scan_heavy' THEN 'warn' ELSE severity END AS severity,
+  CASE WHEN severity <> CASE id WHEN 'table_bloat' THEN 'critical' WHEN 'never_analyzed' THEN 'info' WHEN 'seq_scan_heavy' THEN 'warn' ELSE severity END THEN severity END AS severity_remapped FROM ({_all()})"""
 S["explain_rules"] = f"""SELECT DISTINCT id, object, CASE WHEN spec IS NOT NULL THEN 'suppressed' WHEN id = 'table_bloat' THEN 'glob does not match' WHEN id = 'low_hot_update_ratio' THEN 'glob does not match' ELSE 'no rule' END AS outcome,
   CASE WHEN spec IS NOT NULL THEN {_rule_texts} WHEN id = 'table_bloat' THEN 'table_bloat:public.t1' WHEN id = 'low_hot_update_ratio' THEN 'low_hot_update_ratio:t*' END AS rule FROM v_row_match"""
 S["expired_rules"] = """SELECT target_id, snapshot_id, 'suppression_expired' AS id, 'info' AS severity, CAST(5 AS DOUBLE) AS score, CAST(1 AS DOUBLE) AS confidence,
@@ -403,35 +404,52 @@ S["mark_preexisting"] = "SELECT target_id, snapshot_id, id, preexisting FROM v_p
 S["gate_new_only"] = f"SELECT target_id, snapshot_id, CAST(max(CASE WHEN NOT preexisting AND {_rank} >= 2 THEN CASE WHEN {_rank} = 3 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS verdict FROM v_preexisting GROUP BY 1, 2"
 S["base_problems"] = """SELECT target_id, CASE WHEN target_id % 5 = 0 THEN 'base has no schema version' WHEN target_id % 5 = 1 THEN 'schema versions are incompatible' ELSE 'profiles differ' END AS problem
 FROM fx_targets WHERE target_id % 5 IN (0, 1) OR target_id % 7 = 0"""
-EXTRA["v_clustered"] = "SELECT f.*, t.cluster_id, t.database FROM v_family_instances f JOIN fx_targets t USING (target_id)"
+EXTRA["v_cluster_runs"] = """
+WITH s AS (SELECT *, sum(fresh) OVER (PARTITION BY cluster_id ORDER BY collected_at) AS session FROM (
+       SELECT *, CASE WHEN collected_at - max(collected_at) OVER (PARTITION BY cluster_id ORDER BY collected_at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 300 THEN 0 ELSE 1 END AS fresh
+       FROM (SELECT DISTINCT cluster_id, collected_at FROM fx_cluster_snapshots))),
+     n AS (SELECT c.*, session, row_number() OVER (PARTITION BY c.cluster_id, session, database ORDER BY c.collected_at) AS nth FROM fx_cluster_snapshots c JOIN s ON s.cluster_id = c.cluster_id AND s.collected_at = c.collected_at),
+     p AS (SELECT *, max(nth) OVER (PARTITION BY cluster_id, session ORDER BY collected_at) AS part FROM n)
+SELECT target_id, cluster_id, database, collected_at, min(collected_at) OVER (PARTITION BY cluster_id, session, part) AS run FROM p"""
+EXTRA["v_clustered"] = f"SELECT f.*, t.cluster_id, t.database, t.run FROM ({_all()}) f JOIN v_cluster_runs t USING (target_id)"
+S["cluster_runs"] = "SELECT target_id, cluster_id, collected_at, run FROM v_cluster_runs"
 S["cluster_dedupe"] = f"""
-SELECT c.cluster_id, target_id, id, CASE WHEN id IN {_ids(CLUSTER_WIDE_IDS)} THEN object WHEN object = '' THEN 'db:' || database ELSE 'db:' || database || '/' || object END AS object, id IN {_ids(CLUSTER_WIDE_IDS)} AS cluster_scoped
-FROM v_clustered c WHERE NOT id IN {_ids(CLUSTER_WIDE_IDS)} OR database = (SELECT min(database) FROM v_clustered x WHERE x.cluster_id = c.cluster_id AND x.snapshot_id = c.snapshot_id AND x.id = c.id)"""
-S["fleet_rollup"] = f"SELECT id, severity, count(*) AS findings, count(DISTINCT target_id) AS targets FROM ({_all(['instances', 'tables', 'slots'])}) GROUP BY 1, 2"
+SELECT c.cluster_id, c.run, target_id, snapshot_id, id, CASE WHEN id IN {_ids(CLUSTER_WIDE_IDS)} THEN object WHEN object = '' THEN 'db:' || database ELSE 'db:' || database || '/' || object END AS object, id IN {_ids(CLUSTER_WIDE_IDS)} AS cluster_scoped
+FROM v_clustered c WHERE NOT id IN {_ids(CLUSTER_WIDE_IDS)} OR database = (SELECT min(database) FROM v_clustered x WHERE x.cluster_id = c.cluster_id AND x.run = c.run AND x.id = c.id)"""
+S["fleet_rollup"] = f"SELECT id, severity, count(*) AS findings, count(DISTINCT target_id) AS targets FROM ({_all()}) GROUP BY 1, 2"
 _score = "greatest(0, 100 - CAST(sum({0}CASE severity WHEN 'critical' THEN 10 WHEN 'warn' THEN 3 ELSE 1 END{1}) AS BIGINT))"
-S["health_score"] = f"SELECT target_id, snapshot_id, count(*) AS findings, CAST({_score.format('', '')} AS BIGINT) AS health_score FROM v_family_instances GROUP BY 1, 2"
+S["health_score"] = f"SELECT target_id, snapshot_id, count(*) AS findings, CAST({_score.format('', '')} AS BIGINT) AS health_score FROM ({_all()}) GROUP BY 1, 2"
 S["scored_findings"] = S["health_score"]
 S["redundant_totals"] = """SELECT target_id, snapshot_id, count(*) AS indexes, CAST(sum(bytes) AS BIGINT) AS reclaimable_bytes
 FROM (SELECT DISTINCT target_id, snapshot_id, index, bytes FROM v_redundant_all) GROUP BY 1, 2"""
 S["health_score_muted"] = f"SELECT target_id, snapshot_id, count(*) AS findings, CAST({_score.format('CASE WHEN suppressed THEN 0 ELSE ', ' END')} AS BIGINT) AS health_score FROM v_muted GROUP BY 1, 2"
-S["gate_verdict"] = f"SELECT target_id, snapshot_id, CAST(max(CASE severity WHEN 'critical' THEN 2 ELSE 0 END) AS BIGINT) AS verdict FROM ({_all(['instances', 'activity'])}) GROUP BY 1, 2"
-S["cluster_gate"] = "SELECT cluster_id, CAST(max(CASE severity WHEN 'critical' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS BIGINT) AS verdict FROM v_clustered GROUP BY 1"
-S["findings_total"] = f"SELECT target_id, snapshot_id, count(*) FILTER (severity='critical') AS critical, count(*) FILTER (severity='warn') AS warn, count(*) FILTER (severity='info') AS info FROM ({_all(['instances', 'tables'])}) GROUP BY 1, 2"
+S["gate_verdict"] = f"SELECT target_id, snapshot_id, CAST(max(CASE severity WHEN 'critical' THEN 2 ELSE 0 END) AS BIGINT) AS verdict FROM ({_all()}) GROUP BY 1, 2"
+S["cluster_gate"] = "SELECT cluster_id, run, CAST(max(CASE severity WHEN 'critical' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) AS BIGINT) AS verdict FROM v_clustered GROUP BY 1, 2"
+S["findings_total"] = f"SELECT target_id, snapshot_id, count(*) FILTER (severity='critical') AS critical, count(*) FILTER (severity='warn') AS warn, count(*) FILTER (severity='info') AS info FROM ({_all()}) GROUP BY 1, 2"
+def _tenths(x: str, unit: int, mark: str) -> str:
+    """A whole number in tenths of a unit, ties to even."""
+    u = unit // 10
+    t = f"({x}//{u} + CASE WHEN 2*({x}%{u}) > {u} OR (2*({x}%{u}) = {u} AND {x}//{u}%2 = 1) THEN 1 ELSE 0 END)"
+    return f"({t}//10) || '.' || ({t}%10) || '{mark}'"
+
+
 S["status_board"] = f"""
-WITH g AS (SELECT i.*, coalesce(max({_rank}) FILTER (id = 'connection_saturation'), 0) AS sc, coalesce(max({_rank}) FILTER (id = 'txid_wraparound'), 0) AS sw
-           FROM (SELECT target_id, snapshot_id, connections_used, connections_max, max_xid_age, checkpoints_req, replica_count, is_replica FROM v_instances) i LEFT JOIN v_family_instances f USING (target_id, snapshot_id) GROUP BY ALL)
+WITH g AS (SELECT i.*, coalesce(max({_rank}) FILTER (id = 'connection_saturation'), 0) AS sc, coalesce(max({_rank}) FILTER (id IN ('txid_wraparound')), 0) AS sw
+           FROM (SELECT target_id, snapshot_id, connections_used, connections_max, max_xid_age, checkpoints_req, replica_count, is_replica, wal_bytes_per_sec FROM v_instances) i LEFT JOIN ({_all()}) f USING (target_id, snapshot_id) GROUP BY ALL)
 SELECT target_id, snapshot_id, 'connections' AS subsystem, CASE sc WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'ok' END AS status, connections_used || '/' || connections_max AS value, '' AS note FROM g
 UNION ALL SELECT target_id, snapshot_id, 'wraparound', CASE sw WHEN 3 THEN 'fail' WHEN 2 THEN 'warn' ELSE 'ok' END,
-  CASE WHEN x >= 1000000000 THEN printf('%.1fG', x/1e9) WHEN x >= 1000000 THEN printf('%.1fM', x/1e6) ELSE CAST(x AS VARCHAR) END, '' FROM (SELECT *, max_xid_age // 100000000 * 100000000 AS x FROM g)
+  CASE WHEN max_xid_age >= 1000000000 THEN {_tenths('max_xid_age', 1000000000, 'G')} WHEN max_xid_age >= 1000000 THEN {_tenths('max_xid_age', 1000000, 'M')}
+       WHEN max_xid_age >= 1000 THEN {_tenths('max_xid_age', 1000, 'k')} ELSE CAST(max_xid_age AS VARCHAR) END, '' FROM g
+UNION ALL SELECT target_id, snapshot_id, 'WAL', 'ok', CAST(floor(wal_bytes_per_sec) AS BIGINT) || ' B/s', '' FROM g WHERE wal_bytes_per_sec IS NOT NULL
 UNION ALL SELECT target_id, snapshot_id, 'checkpoints', 'ok', 'timed', CASE WHEN checkpoints_req > 0 THEN checkpoints_req || ' forced' ELSE 'none forced' END FROM g
 UNION ALL SELECT target_id, snapshot_id, 'replication', 'ok', CASE WHEN is_replica THEN 'replica' WHEN replica_count > 0 THEN replica_count || ' up' ELSE 'none' END, '' FROM g"""
 S["healthy_checks"] = f"""
-WITH f AS (SELECT target_id, list(id) AS fired FROM v_family_instances GROUP BY 1),
+WITH f AS (SELECT target_id, list(id) AS fired FROM ({_all()}) WHERE snapshot_id = 0 GROUP BY 1),
      c AS (SELECT i.target_id, i.snapshot_id, unnest([
-       {{'o': 1, 'c': CASE WHEN is_replica OR replica_count > 0 THEN 'replication healthy' END}},
-       {{'o': 2, 'c': CASE WHEN max_xid_age > 0 AND NOT list_contains(coalesce(fired, []), 'txid_wraparound') THEN 'no wraparound risk' END}},
-       {{'o': 3, 'c': CASE WHEN NOT list_contains(coalesce(fired, []), 'connection_saturation') THEN 'connections within limits' END}},
-       {{'o': 4, 'c': CASE WHEN statements_enabled AND NOT list_contains(coalesce(fired, []), 'pg_stat_statements_missing') THEN 'query stats available' END}}]) AS u FROM fx_instances i LEFT JOIN f USING (target_id))
+       {{'o': 1, 'c': CASE WHEN is_replica OR replica_count > 0 THEN 'standbys attached' END}},
+       {{'o': 2, 'c': CASE WHEN max_xid_age > 0 AND NOT list_contains(coalesce(fired, []), 'txid_wraparound') THEN 'transaction ids far from wrapping' END}},
+       {{'o': 3, 'c': CASE WHEN NOT list_contains(coalesce(fired, []), 'connection_saturation') THEN 'room for more connections' END}},
+       {{'o': 4, 'c': CASE WHEN statements_enabled AND NOT list_contains(coalesce(fired, []), 'pg_stat_statements_missing') THEN 'statement statistics collected' END}}]) AS u FROM fx_instances i LEFT JOIN f USING (target_id))
 SELECT target_id, snapshot_id, row_number() OVER (PARTITION BY target_id ORDER BY u.o) AS pos, u.c AS "check" FROM c WHERE u.c IS NOT NULL"""
 
 # --- L ---
@@ -520,7 +538,7 @@ _lv = "CASE severity WHEN 'critical' THEN 'error' WHEN 'warn' THEN 'warning' ELS
 _sc = "CAST(CASE severity WHEN 'critical' THEN 9.0 WHEN 'warn' THEN 5.5 ELSE 2.0 END AS DOUBLE)"
 S["export_scan_results"] = f"""SELECT target_id, snapshot_id, id AS rule_id, {_lv} AS level, {_sc} AS score, CASE WHEN object = '' THEN 'cluster' ELSE object END AS location,
   CASE WHEN suppressed THEN coalesce(nullif(['known','batch tables','','analytics fleet','small tables','managed elsewhere',''][ord + 1], ''), 'suppressed by configuration') END AS suppression FROM v_muted"""
-S["export_scan_rules"] = f"SELECT id AS rule_id, min(dimension) AS dimension, max({_sc}) AS score FROM ({_all(['instances', 'tables', 'horizon'])}) GROUP BY 1"
+S["export_scan_rules"] = f"SELECT id AS rule_id, min(dimension) AS dimension, max({_sc}) AS score FROM ({_all()}) GROUP BY 1"
 S["export_test_cases"] = f"""SELECT target_id, snapshot_id, CASE WHEN object = '' THEN id ELSE id || ' ' || object END AS name, dimension AS class,
   CASE WHEN suppressed THEN 'skipped' WHEN severity IN ('critical','warn') THEN 'failed' ELSE 'passed' END AS status
 FROM v_muted JOIN (SELECT DISTINCT id, dimension FROM ({_all(['tables', 'slots'])})) USING (id)"""

@@ -96,6 +96,10 @@ FROM (SELECT target_id, sec // 21600 AS slot, (sec // 21600) // 40 AS epoch_id,
       FROM fx_events GROUP BY 1, 2, 3)
 WINDOW w AS (PARTITION BY target_id, epoch_id ORDER BY slot ROWS UNBOUNDED PRECEDING)"""
 
+VIEWS["fx_cluster_snapshots"] = """
+SELECT target_id, cluster_id, database, CASE i WHEN 0 THEN 0 WHEN 1 THEN 7200 ELSE 7400 END + cluster_id*7 + (target_id - 1000) % 50 AS collected_at
+FROM fx_targets, (SELECT unnest([0, 1, 2]) AS i) WHERE i <> 1 OR (target_id - 1000) % 4 <> 0"""
+
 VIEWS["fx_close"] = """
 SELECT target_id, sec // 21600 AS slot, i, k, c, 3*(sec // 21600) + i AS snapshot_id, (sec // 21600)*21600 + 600*i AS collected_at
 FROM fx_events, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS i)"""

@@ -382,9 +382,9 @@ def test_order_puts_risk_first(spark):
 def test_cluster_wide_findings_come_from_the_first_database_that_has_them(spark):
     f = spark.createDataFrame([(1, "db1", "checksum_failures"), (1, "db2", "checksum_failures"), (1, "db2", "fsync_off"), (1, "db0", "table_bloat"), (1, "db1", "table_bloat"),
                                (1, "db1", "replication_slot_inactive"), (1, "db1", "replication_slot_inactive")], "cluster_id long, database string, id string")
-    f = f.withColumns({"object": F.lit(""), "snapshot_id": F.lit(1)})
+    f = f.withColumns({"object": F.lit(""), "run": F.lit(1)})
     later = spark.createDataFrame([(1, "db2", "checksum_failures", "", 2)], f.schema)
-    assert [r["database"] for r in fleet.cluster_dedupe(f.unionByName(later)).where("snapshot_id = 2").collect()] == ["db2"]
+    assert [r["database"] for r in fleet.cluster_dedupe(f.unionByName(later)).where("run = 2").collect()] == ["db2"]
     got = sorted((r["database"], r["id"], r["object"]) for r in fleet.tag_objects(fleet.cluster_dedupe(f)).collect())
     assert got == [("db0", "table_bloat", "db:db0"), ("db1", "checksum_failures", ""), ("db1", "replication_slot_inactive", ""), ("db1", "replication_slot_inactive", ""),
                    ("db1", "table_bloat", "db:db1"), ("db2", "fsync_off", "")]
@@ -452,3 +452,29 @@ def test_no_comparison_across_any_reset(spark, chunk):
     assert sorted((r["target_id"], r["snapshot_id"], r["base_snapshot_id"]) for r in kept.collect()) == [(1, 5, 4), (2, 2, 1), (4, 2, 1)]
     got = sorted((r["target_id"], r["snapshot_id"], r["base_snapshot_id"], r["reason"], r["resets"]) for r in not_compared.collect())
     assert got == [(1, 2, 1, "stats_reset", 1), (1, 3, 1, "stats_reset", 1), (1, 4, 2, "server_restart", 1), (3, 2, 1, "stats_reset", 1)]
+
+
+@pytest.mark.parametrize("chunk", [60, 86_400])
+def test_runs_of_a_cluster(spark, chunk):
+    """Databases collected seconds apart are one run; a gap or a database that comes again begins the next."""
+    from vitalgrid.operators import runs
+
+    rows = [(1, "app", 100), (1, "analytics", 107), (1, "reports", 131), (1, "app", 150), (1, "analytics", 151), (1, "reports", 155), (1, "analytics", 9000), (2, "app", 104), (2, "app", 104), (None, "x", 5)]
+    snaps = spark.createDataFrame(rows, "cluster_id long, database string, collected_at long")
+    got = sorted((r["cluster_id"], r["database"], r["collected_at"], r["run"]) for r in runs.cluster_runs(snaps.where("cluster_id IS NOT NULL"), chunk_seconds=chunk).collect())
+    assert got == [(1, "analytics", 107, 100), (1, "analytics", 151, 150), (1, "analytics", 9000, 9000), (1, "app", 100, 100), (1, "app", 150, 150), (1, "reports", 131, 100), (1, "reports", 155, 150),
+                   (2, "app", 104, 104), (2, "app", 104, 104)]
+
+
+def test_databases_read_seconds_apart_share_cluster_findings(spark):
+    from vitalgrid.operators import runs
+
+    snaps = spark.createDataFrame([(1, "app", 100, 11), (1, "analytics", 107, 12), (1, "app", 7300, 13), (1, "analytics", 7309, 14)], "cluster_id long, database string, collected_at long, snapshot_id long")
+    f = spark.createDataFrame([(i, "fsync_off", "critical") for i in (11, 12, 14)] + [(12, "table_bloat", "warn"), (13, "table_bloat", "info")], "snapshot_id long, id string, severity string").withColumn("object", F.lit(""))
+    placed = runs.cluster_runs(snaps).join(f, "snapshot_id")
+    got = sorted((r["run"], r["database"], r["id"], r["cluster_scoped"]) for r in fleet.cluster_dedupe(placed).collect())
+    assert got == [(100, "analytics", "fsync_off", True), (100, "analytics", "table_bloat", False), (7300, "analytics", "fsync_off", True), (7300, "app", "table_bloat", False)]
+    healed = placed.where("NOT (run = 7300 AND id = 'fsync_off')")
+    assert {r["run"]: r["verdict"] for r in fleet.cluster_gate(healed).collect()} == {100: 2, 7300: 0}
+    facts = runs.cluster_runs(snaps).withColumns({"max_xid_age": F.col("collected_at"), "max_mxid_age": F.lit(1), "connections_used": F.lit(10)})
+    assert {r["run"]: (r["connections_used"], r["databases"], r["max_xid_age"]) for r in sessions.cluster_limits(facts).collect()} == {100: (20, 2, 107), 7300: (20, 2, 7309)}

@@ -94,29 +94,29 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], probe: Column,
 
 
 def carried(df: DataFrame, keys: Sequence[str], at: str, *, totals: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
-            chunk_seconds: int = DAY) -> DataFrame:
-    """Add running totals and last known values along ``at``, the row itself included.
+            maxima: dict[str, Column] | None = None, chunk_seconds: int = DAY) -> DataFrame:
+    """Add running totals, last known values and running maxima along ``at``, the row itself included.
 
     Both run inside ``(key, time chunk)``; what earlier chunks add comes from one row per chunk. ``(keys, at)`` must be unique.
     """
-    totals, lasts = totals or {}, lasts or {}
-    chunked = with_chunk(df, at, chunk_seconds).withColumns({**{f"_v_{n}": v for n, v in totals.items()}, **{f"_v_{n}": v for n, v in lasts.items()}})
+    totals, lasts, maxima = totals or {}, lasts or {}, maxima or {}
+    chunked = with_chunk(df, at, chunk_seconds).withColumns({f"_v_{n}": v for n, v in {**totals, **lasts, **maxima}.items()})
     w = Window.partitionBy(*keys, CHUNK).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = chunked.withColumns({**{f"_n_{n}": F.coalesce(F.sum(f"_v_{n}").over(w), F.lit(0)) for n in totals},
-                                **{f"_n_{n}": F.last(f"_v_{n}", ignorenulls=True).over(w) for n in lasts}})
+                                **{f"_n_{n}": F.last(f"_v_{n}", ignorenulls=True).over(w) for n in lasts}, **{f"_n_{n}": F.max(f"_v_{n}").over(w) for n in maxima}})
     known = lambda n: F.when(F.col(f"_v_{n}").isNotNull(), F.col(at))
     edges = chunked.groupBy(*keys, CHUNK).agg(F.count("*").alias("_rows"), *[F.sum(f"_v_{n}").alias(f"_e_{n}") for n in totals],
-                                              *[F.max_by(f"_v_{n}", known(n)).alias(f"_e_{n}") for n in lasts])
+                                              *[F.max_by(f"_v_{n}", known(n)).alias(f"_e_{n}") for n in lasts], *[F.max(f"_v_{n}").alias(f"_e_{n}") for n in maxima])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     edges = edges.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(CHUNK).alias("_k_chunk"),
                          *[F.coalesce(F.sum(f"_e_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in totals],
-                         *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts])
+                         *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts], *[F.max(f"_e_{n}").over(before).alias(f"_c_{n}") for n in maxima])
     same = F.col(CHUNK) == F.col("_k_chunk")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     joined = near.join(edges, same, "left")
     return joined.select(*df.columns, *[(F.col(f"_n_{n}") + F.coalesce(f"_c_{n}", F.lit(0))).alias(n) for n in totals],
-                         *[F.coalesce(f"_n_{n}", f"_c_{n}").alias(n) for n in lasts])
+                         *[F.coalesce(f"_n_{n}", f"_c_{n}").alias(n) for n in lasts], *[F.greatest(f"_n_{n}", f"_c_{n}").alias(n) for n in maxima])
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -70,8 +70,10 @@ def client_connections(activity: DataFrame) -> DataFrame:
 
 
 def cluster_limits(databases: DataFrame) -> DataFrame:
-    """Oldest transaction and multixact ages over a cluster's databases."""
-    return databases.groupBy("cluster_id").agg(F.max("max_xid_age").alias("max_xid_age"),
+    """Oldest transaction and multixact ages over the databases of a cluster's run; of a database collected twice the later row counts."""
+    last = databases.groupBy("cluster_id", "run", "database").agg(
+        *[F.max_by(n, "collected_at").alias(n) for n in ("max_xid_age", "max_mxid_age", "connections_used")])
+    return last.groupBy("cluster_id", "run").agg(F.max("max_xid_age").alias("max_xid_age"),
                                                F.max("max_mxid_age").alias("max_mxid_age"),
                                                F.sum("connections_used").alias("connections_used"),
                                                F.count("*").alias("databases"))

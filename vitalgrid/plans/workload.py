@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitalgrid.fleet import Fleet
 from vitalgrid.functions import guc, text
 from vitalgrid.functions.numbers import round_dp
-from vitalgrid.operators import baseline, catalog, changes, deltas, evidence, fleet, policy, rates, sessions, waits
+from vitalgrid.operators import baseline, catalog, changes, deltas, evidence, fleet, policy, rates, runs, sessions, waits
 from vitalgrid.operators.series import DAY, top_k
 from vitalgrid.plans import families as FM
 from vitalgrid.plans import rules as R
@@ -34,6 +34,17 @@ def query(name: str):
     return add
 
 
+_FOUND: dict[tuple[str, str], DataFrame] = {}
+
+
+def _found(t) -> DataFrame:
+    """Findings of all families, written once per application and test directory: many queries look at them."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _FOUND:
+        _FOUND[key] = cut_lineage(FM.fleet_findings(t), "findings")
+    return _FOUND[key]
+
+
 def _compare_header(df: DataFrame) -> DataFrame:
     return (df.select(*SNAP, "id", "object", "severity", "dimension", round_dp("score", 4).alias("score"),
                       round_dp("confidence", 4).alias("confidence"), "n_objects"))
@@ -267,7 +278,7 @@ def _(t):
 @query("profile_availability")
 def _(t):
     polls = t.snapshots().select("target_id", F.floor(c("collected_at") / DAY).cast("long").alias("window_id"), (c("doc_bytes") % 4 != 0).alias("failed"))
-    s = t.ash().select("target_id", F.floor(c("sample_at") / DAY).cast("long").alias("window_id"), "wait_event_type").where(c("wait_event_type") == "IO")
+    s = t.ash().select("target_id", F.floor(c("sample_at") / DAY).cast("long").alias("window_id"), "wait_event_type")
     return waits.profile_availability(polls, s)
 
 
@@ -300,7 +311,12 @@ def _(t):
 
 @query("cluster_limits")
 def _(t):
-    return sessions.cluster_limits(t.instances())
+    return sessions.cluster_limits(runs.cluster_runs(t.cluster_snapshots()).join(t.instances().select("target_id", "max_xid_age", "max_mxid_age", "connections_used"), "target_id"))
+
+
+@query("cluster_runs")
+def _(t):
+    return runs.cluster_runs(t.cluster_snapshots()).select("target_id", "cluster_id", "collected_at", "run")
 
 
 @query("wal_dir_size")
@@ -344,7 +360,7 @@ def _(t):
     stats = ix.select(*SNAP, "table", "index", "indexrelid", "scans", "bytes")
     cat = ix.select(*SNAP, "indexrelid", "method", "is_unique", "is_partial")
     cons = ix.where("backs_constraint").select(*SNAP, c("indexrelid").alias("conindid"))
-    cols = ix.select(*SNAP, "indexrelid", F.posexplode("columns").alias("ord", "name")).where(c("indexrelid") % 5 != 0)
+    cols = ix.select(*SNAP, "indexrelid", F.posexplode("columns").alias("ord", "name"))
     return catalog.index_enrichment(stats, cat, cons, cols).withColumn("columns", F.array_join("columns", ","))
 
 
@@ -657,13 +673,13 @@ def _(t):
 @query("guard_rows")
 def _(t):
     from vitalgrid.plans.rule_catalog import guard_rows
-    f = FM.fleet_findings(t, families=["unused", "redundant", "slots", "checksums"])
+    f = _found(t)
     return guard_rows(f).select(*SNAP, "id", "object", "guard_id", "kind", "action")
 
 
 @query("findings_order")
 def _(t):
-    f = _compare_header(FM.fleet_findings(t, families=["activity", "tables", "health"]))
+    f = _compare_header(_found(t))
     return fleet.order_findings(f.withColumn("title", F.lit(""))).select(*SNAP, "id", "ordinal")
 
 
@@ -720,7 +736,7 @@ def _(t):
 @query("severity_remap")
 def _(t):
     o = t.spark.createDataFrame([("table_bloat", "critical"), ("never_analyzed", "info"), ("seq_scan_heavy", "warn"), ("nonsense", "warn")], "id string, severity string")
-    return policy.remap_severity(FM.fleet_findings(t, families=["tables"]), o).select(*SNAP, "id", "severity", "severity_remapped")
+    return policy.remap_severity(_found(t), o).select(*SNAP, "id", "severity", "severity_remapped")
 
 
 @query("explain_rules")
@@ -804,30 +820,32 @@ def _(t):
 
 
 def _clustered(t) -> DataFrame:
-    f = FM.fleet_findings(t, families=["instances"])
-    return f.join(t.targets().select("target_id", "cluster_id", "database"), "target_id")
+    """Every finding of a database in each run that collected it."""
+    found = _found(t)
+    placed = runs.cluster_runs(t.cluster_snapshots())
+    return placed.join(found, "target_id").select("cluster_id", "run", "database", *found.columns)
 
 
 @query("cluster_dedupe")
 def _(t):
     d = fleet.cluster_dedupe(_clustered(t))
-    return fleet.tag_objects(d).select("cluster_id", "target_id", "id", "object", "cluster_scoped")
+    return fleet.tag_objects(d).select("cluster_id", "run", "target_id", "snapshot_id", "id", "object", "cluster_scoped")
 
 
 @query("fleet_rollup")
 def _(t):
-    return fleet.fleet_rollup(FM.fleet_findings(t, families=["instances", "tables", "slots"]))
+    return fleet.fleet_rollup(_found(t))
 
 
 @query("health_score")
 def _(t):
-    return fleet.health_score(FM.fleet_findings(t, families=["instances"]))
+    return fleet.health_score(_found(t))
 
 
 @query("scored_findings")
 def _(t):
     """The flagship report: numbered findings with their snapshot's score."""
-    f = fleet.with_health_score(fleet.order_findings(FM.fleet_findings(t, families=["instances"])))
+    f = fleet.with_health_score(fleet.order_findings(_found(t)))
     return f.select(*SNAP, "health_score", "id", "severity").groupBy(*SNAP, "health_score").agg(F.count("*").alias("findings"))
 
 
@@ -844,30 +862,27 @@ def _(t):
 
 @query("gate_verdict")
 def _(t):
-    return fleet.gate_verdict(FM.fleet_findings(t, families=["instances", "activity"]), "critical")
+    return fleet.gate_verdict(_found(t), "critical")
 
 
 @query("cluster_gate")
 def _(t):
-    return fleet.gate_verdict(_clustered(t), "warn", ["cluster_id"])
+    return fleet.cluster_gate(_clustered(t))
 
 
 @query("findings_total")
 def _(t):
-    return fleet.findings_total(FM.fleet_findings(t, families=["instances", "tables"]))
+    return fleet.findings_total(_found(t))
 
 
 @query("status_board")
 def _(t):
-    facts = FM.instance_facts(t).withColumn("max_xid_age", F.floor(c("max_xid_age") / 100_000_000) * 100_000_000)
-    f = FM.fleet_findings(t, families=["instances"])
-    b = fleet.status_board(facts, f)
-    return b.where(c("subsystem") != "WAL")
+    return fleet.status_board(FM.instance_facts(t), _found(t))
 
 
 @query("healthy_checks")
 def _(t):
-    return fleet.healthy_checks(FM.instance_facts(t), FM.fleet_findings(t, families=["instances"]))
+    return fleet.healthy_checks(FM.instance_facts(t), _found(t))
 
 
 # --- L: evidence -----------------------------------------------------------------
@@ -1049,7 +1064,7 @@ def _(t):
 @query("export_scan_rules")
 def _(t):
     from vitalgrid.plans.exports import scan_rules
-    return scan_rules(FM.fleet_findings(t, families=["instances", "tables", "horizon"]))
+    return scan_rules(_found(t))
 
 
 @query("export_test_cases")

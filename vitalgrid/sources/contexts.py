@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import epoch_seconds
+from vitalgrid.sources.arrays import array_elements
 
 # The published document layout (section and field names).
 _INDEX = ("schema string, table string, index string, scans bigint, bytes bigint, definition string, columns array<string>, "
@@ -71,6 +72,9 @@ SECTIONS = {
     "standby": _s("confl_tablespace bigint, confl_lock bigint, confl_snapshot bigint, confl_bufferpin bigint, confl_deadlock bigint"),
     "wait_profile": _s("available boolean, samples bigint, window_seconds double, buckets " + _a("type string, count bigint, share double, events " + _a("event string, count bigint, share double"))
                        + ", by_query " + _a("query_id bigint, sample_text string, count bigint, share double, lock_share double, io_share double, top_type string, top_event string")),
+    "delta_suppressed_reason": "string",
+    "config_warnings": "array<string>",
+    "events": _a("kind string, object string, before string, after string, occurred_after timestamp, occurred_before timestamp, confidence double"),
     "deltas": _s("against timestamp, changes " + _a("id string, subject string, severity string, before double, after double, pct_change double, first_observed timestamp, note string")),
     "findings": _a("id string, object string, severity string, title string, evidence array<string>, objects array<string>, confidence double, impact "
                    + _s("score double, dimension string") + ", suppressed boolean, preexisting boolean, caveats array<string>"),
@@ -80,12 +84,10 @@ CONTEXT_SCHEMA = "schema_version string, profile string, collected_at timestamp,
 
 
 def read_contexts(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """Context documents from JSON arrays (one per file) or JSON lines.
-
-    Lines are splittable and the form to keep at scale; arrays are what a single target exports.
-    """
-    reader = spark.read.schema(CONTEXT_SCHEMA)
-    return reader.json(path) if lines else reader.option("multiLine", True).json(path)
+    """Context documents from JSON arrays or single documents, of any file size, or from JSON lines."""
+    if lines:
+        return spark.read.schema(CONTEXT_SCHEMA).json(path)
+    return parse_contexts(array_elements(spark, path), "element")
 
 
 def parse_contexts(texts: DataFrame, column: str = "document") -> DataFrame:
@@ -97,17 +99,63 @@ def _by_day(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "date")
 
 
-def ingest_contexts(contexts: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Land documents as columns, partitioned by day, and return the landed table.
+DOCUMENT_KEY = ["fingerprint", "collected_at"]
+
+
+def ingest_contexts(contexts: DataFrame, path: str) -> DataFrame:
+    """Land usable documents as columns, partitioned by day, and return the landed table.
 
+    A document is landed once: its key is fingerprint and collection time, and what is there already is not written again, so a
+    landing that is repeated or cut off halfway can simply be run again. Of documents that share a key within one landing
+    the one with the most content stays. Documents without a key go to ``rejected_contexts`` with the reason.
     Every later job reads only the sections it names; JSON would be parsed again for each.
     """
     spark = contexts.sparkSession
-    dated = contexts.withColumn("date", F.to_date("collected_at"))
-    _by_day(dated).write.mode(mode).partitionBy("date").parquet(path)
+    usable, rejected = split_contexts(contexts)
+    dated = usable.withColumn("date", F.to_date("collected_at"))
+    landed = _landed(spark, dated.schema, path)
+    if landed is not None:
+        days = dated.agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+        there = landed.where(F.col("date").between(F.lit(days["first"]), F.lit(days["last"]))).select(*DOCUMENT_KEY)
+        dated = dated.join(there, DOCUMENT_KEY, "left_anti")
+    content = F.to_json(F.struct(*[c for c in contexts.columns if c not in DOCUMENT_KEY]))
+    packed = dated.select(*DOCUMENT_KEY, F.struct(F.length(content).alias("size"), F.xxhash64(content).alias("mark"), F.struct(*dated.columns).alias("document")).alias("_d"))
+    # Keys that come once, nearly all, need no comparison of documents.
+    once = packed.groupBy(*DOCUMENT_KEY).agg(F.max_by("_d", F.struct("_d.size", "_d.mark")).alias("_d")).select("_d.document.*")
+    _by_day(once).write.mode("append").partitionBy("date").parquet(path)
+    _land_rejected(rejected, path)
     return spark.read.schema(dated.schema).parquet(path)
 
 
+def _landed(spark: SparkSession, schema, path: str) -> DataFrame | None:
+    """What is there already, if the folder has been written to."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(schema).parquet(path) if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) else None
+
+
+def _rejects_folder(path: str) -> str:
+    return path.rstrip("/") + "_rejected"
+
+
+def _land_rejected(rejected: DataFrame, path: str) -> None:
+    document = F.to_json(F.struct(*rejected.columns))
+    rows = rejected.select(F.md5(document).alias("mark"), reject_reason().alias("reason"), document.alias("document")).dropDuplicates(["mark"])
+    there = _landed(rejected.sparkSession, rows.schema, _rejects_folder(path))
+    rows = rows if there is None else rows.join(there.select("mark"), "mark", "left_anti")
+    rows.write.mode("append").parquet(_rejects_folder(path))
+
+
+def rejected_contexts(spark: SparkSession, path: str) -> DataFrame:
+    """(mark, reason, document) of documents that were not landed below ``path``."""
+    return spark.read.schema("mark string, reason string, document string").parquet(_rejects_folder(path))
+
+
+def reject_reason() -> Column:
+    """Why a document cannot be landed; NULL if it can."""
+    return (F.when(F.coalesce("fingerprint", F.lit("")) == "", "no fingerprint").when(F.col("collected_at").isNull(), "no collection time")
+            .when(F.coalesce("schema_version", F.lit("")) == "", "no schema version"))
+
+
 def keyed(contexts: DataFrame) -> DataFrame:
     """Add the (target_id, snapshot_id) key every job uses."""
     at = epoch_seconds("collected_at")
@@ -116,8 +164,7 @@ def keyed(contexts: DataFrame) -> DataFrame:
 
 def split_contexts(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable documents, rejected ones): a document needs a fingerprint, a time and a schema version."""
-    ok = F.col("fingerprint").isNotNull() & F.col("collected_at").isNotNull() & (F.coalesce("schema_version", F.lit("")) != "")
-    return contexts.where(ok), contexts.where(~ok)
+    return contexts.where(reject_reason().isNull()), contexts.where(reject_reason().isNotNull())
 
 
 # Where each table of the data model lives in a document.
@@ -127,7 +174,7 @@ TABLES = {
     "lock_chains": "locks.chains", "connection_groups": "activity.connections", "replicas": "replication.replicas", "slots": "replication.slots",
     "subscriptions": "replication.subscriptions", "horizon": "horizon.holders", "sequences": "sequences.items", "narrow_identity": "sequences.narrow_identity",
     "progress": "progress.operations", "checksum_failures": "checksums.failures", "wait_buckets": "wait_profile.buckets",
-    "wait_queries": "wait_profile.by_query", "deltas": "deltas.changes", "findings": "findings",
+    "wait_queries": "wait_profile.by_query", "deltas": "deltas.changes", "findings": "findings", "events": "events",
 }
 
 

@@ -177,6 +177,14 @@ class Testbed:
             (F.col("epoch_id") * 40 * SLOT).alias("stats_reset_at"),
             (F.floor(F.col("slot") / 80).cast("long") * 80 * SLOT).alias("postmaster_start_at")))
 
+    def cluster_snapshots(self) -> DataFrame:
+        """Two runs over every cluster, databases seconds apart; the second run misses every fourth, the third follows on at once."""
+        k = F.col("target_id") - INSTANCE_BASE
+        late = F.when(F.col("i") == 0, 0).when(F.col("i") == 1, 7200).otherwise(7200 + 200)
+        rows = self.targets().select("target_id", "cluster_id", "database", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("i"))
+        return rows.where((F.col("i") != 1) | (k % 4 != 0)).select(
+            "target_id", "cluster_id", "database", (late + F.col("cluster_id") * 7 + k % 50).cast("long").alias("collected_at"))
+
     def _triples(self) -> DataFrame:
         """Three snapshots, ten minutes apart, for each six-hourly slot with events."""
         slot = F.floor(F.col("at") / SLOT).cast("long")
