@@ -478,3 +478,70 @@ def test_databases_read_seconds_apart_share_cluster_findings(spark):
     assert {r["run"]: r["verdict"] for r in fleet.cluster_gate(healed).collect()} == {100: 2, 7300: 0}
     facts = runs.cluster_runs(snaps).withColumns({"max_xid_age": F.col("collected_at"), "max_mxid_age": F.lit(1), "connections_used": F.lit(10)})
     assert {r["run"]: (r["connections_used"], r["databases"], r["max_xid_age"]) for r in sessions.cluster_limits(facts).collect()} == {100: (20, 2, 107), 7300: (20, 2, 7309)}
+
+
+def test_plans_of_any_depth_are_walked(spark):
+    import json
+
+    from vitalgrid.operators import advice
+
+    def scan(i):
+        return {"Node Type": "Seq Scan", "Relation Name": f"t{i}", "Filter": f"(a{i} = $1)", "Total Cost": i + 0.5}
+
+    def plan(depth):
+        node = scan(depth)
+        for i in reversed(range(depth)):
+            node = {"Node Type": "Nested Loop", "Plans": [scan(i), node], "Total Cost": 7}
+        return json.dumps([{"Plan": node}])
+
+    plans = spark.createDataFrame([(1, 1, plan(0)), (1, 2, plan(3)), (1, 3, plan(20)), (1, 4, None), (1, 5, "no plan"), (1, 6, "[]")], "target_id long, queryid long, plan string")
+    nodes = {(r["queryid"], r["is_root"]): (r["n"], r["c"]) for r in advice.plan_nodes(plans, "plan").groupBy("queryid", "is_root").agg(F.count("*").alias("n"), F.max("total_cost").alias("c")).collect()}
+    assert nodes == {(1, True): (1, 0.5), (2, True): (1, 7.0), (2, False): (6, 7.0), (3, True): (1, 7.0), (3, False): (40, 20.5)}
+    found = {r["table"] for r in advice.plan_candidates(plans.where("queryid = 3")).collect()}
+    assert found == {f"t{i}" for i in range(21)}
+
+
+def test_pairs_that_come_twice_count_once(spark):
+    import json
+
+    from vitalgrid.operators import advice
+
+    before = json.dumps([{"Plan": {"Node Type": "Seq Scan", "Total Cost": 100.0}}])
+    after = json.dumps([{"Plan": {"Node Type": "Index Scan", "Index Name": "ix", "Total Cost": 10.0}}])
+    row = (1, 5, "public", "t", ["a"], "ix", before, after)
+    pairs = spark.createDataFrame([row, row], "target_id long, queryid long, schema string, table string, columns array<string>, index_name string, plan_before string, plan_after string")
+    got = advice.validate_candidates(pairs).collect()
+    assert len(got) == 1 and got[0]["improvement_pct"] == 90.0
+
+
+def test_ten_thousand_globs_of_one_id(spark):
+    """Each object meets the globs that begin like it; what wins is what a plain search over all globs finds."""
+    import fnmatch
+
+    globs = [(i, "table_bloat", f"public.t{i % 5000}_{'*' if i % 2 else '?'}", f"r{i}", None) for i in range(10_000)] + [(10_001, "table_bloat", "*", "all", None), (10_002, "table_bloat", "public.[xy]*", "class", None)]
+    rules = spark.createDataFrame(globs, "ordinal long, finding string, object string, reason string, expires string")
+    objects = ["public.t7_a", "public.t7_abc", "public.t4999_", "public.x1", "public.none", "other", "public.t7", ""]
+    df = spark.createDataFrame([(o, "table_bloat") for o in objects] + [("public.t7_a", "fsync_off")], "object string, id string")
+    got = {(r["id"], r["object"]): r["match"] and (r["match"]["spec"], r["match"]["ordinal"]) for r in policy.match_rules(df, rules, "2026-01-01").collect()}
+    for o in objects:
+        hits = [g[0] for g in globs if o and fnmatch.fnmatchcase(o, g[2])]
+        assert got["table_bloat", o] == ((2, min(hits)) if hits else None), o
+    assert got["fsync_off", "public.t7_a"] is None
+    assert [r[0] for r in spark.createDataFrame([("public.t*",), ("*x",), ("a\\*b",), ("plain",), ("a[b]c?",)], "p string").select(policy.literal_prefix("p")).collect()] == ["public.t", "", "a", "plain", "a"]
+
+
+@pytest.mark.parametrize("budget", [1, 150, 500, 777, 5000])
+def test_history_budget_within_one_second(spark, budget):
+    """Many snapshots in one second: the cut falls among their ids."""
+    rows = [(i, 1, 100 if i < 40 else 90_000 + i % 3, 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "snapshot_id long, target_id long, collected_at long, doc_bytes long")
+    total = sum(r[3] for r in rows)
+    evict = min(max(-(-60 * (total - budget * 9 // 10) // total), 1), 59) if total > budget else 0
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))[evict:]]
+    assert sorted(r["snapshot_id"] for r in baseline.history_budget(df, budget).collect()) == sorted(want)
+
+
+def test_long_lines_of_partitions(spark):
+    edges = spark.createDataFrame([(1, 1, f"n{i}", f"n{i + 1}") for i in range(12)] + [(1, 1, "leaf", "n0"), (2, 1, "n1", "other")], "target_id long, snapshot_id long, child string, parent string")
+    got = {(r["target_id"], r["child"]): r["root"] for r in catalog.partition_roots(edges).collect()}
+    assert got == {**{(1, f"n{i}"): "n12" for i in range(12)}, (1, "leaf"): "n12", (2, "n1"): "other"}

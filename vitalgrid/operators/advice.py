@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitalgrid.functions.text import index_ddl, plain_select
 from vitalgrid.operators.series import top_k
@@ -22,63 +17,29 @@ MAX_COLUMNS = 4
 MIN_IMPROVEMENT = 0.5
 CONFIDENCE = 0.6
 
-_FIELDS = [("Node Type", "string"), ("Relation Name", "string"), ("Schema", "string"), ("Filter", "string"),
-           ("Index Name", "string"), ("Total Cost", "double")]
-_DEPTH = 12
-_NODE = "struct<node_type:string,relation:string,schema:string,filter:string,index_name:string,total_cost:double>"
-
-
-def _plan_type(depth: int) -> T.DataType:
-    """Node type of a plan tree down to ``depth`` levels; what lies deeper stays JSON text."""
-    fields = [T.StructField(n, T.DoubleType() if k == "double" else T.StringType()) for n, k in _FIELDS]
-    below = T.ArrayType(_plan_type(depth - 1)) if depth > 1 else T.StringType()
-    return T.StructType([*fields, T.StructField("Plans", below)])
-
-
-def _node(n: Column) -> Column:
-    names = ("node_type", "relation", "schema", "filter", "index_name", "total_cost")
-    return F.struct(*[n[f].alias(a) for (f, _), a in zip(_FIELDS, names)])
+#: The fields of a plan node that are read, and their names as columns.
+_FIELDS = {"node_type": ("Node Type", "string"), "relation": ("Relation Name", "string"), "schema": ("Schema", "string"), "filter": ("Filter", "string"),
+           "index_name": ("Index Name", "string"), "total_cost": ("Total Cost", "double")}
+DEEPEST = 100_000
 
 
 def plan_nodes(plans: DataFrame, document: str) -> DataFrame:
-    """One row per plan node, with ``is_root``.
+    """One row per plan node, with ``is_root``, at any depth.
 
-    Trees are parsed and flattened level by level with built-in functions. The rare
-    subtree below the twelfth level is walked by a small helper, so no node is lost.
+    The tree is walked level by level by one recursive query over VARIANT values; a level's nodes are spread like any other
+    rows. Documents that are no plan give no rows.
     """
     keep = [c for c in plans.columns if c != document]
-    schema = T.ArrayType(T.StructType([T.StructField("Plan", _plan_type(_DEPTH))]))
-    p = plans.withColumn("_l1", F.transform(F.slice(F.from_json(document, schema), 1, 1), lambda r: r["Plan"]))
-    levels = ["_l1"]
-    for depth in range(2, _DEPTH + 1):
-        name = f"_l{depth}"
-        p = p.withColumn(name, F.flatten(F.transform(levels[-1], lambda n: F.coalesce(n["Plans"], F.array().cast(T.ArrayType(_plan_type(_DEPTH - depth + 1)))))))
-        levels.append(name)
-    nodes = F.flatten(F.array(*[F.transform(lv, _node) for lv in levels]))
-    deep = F.filter(F.transform(levels[-1], lambda n: n["Plans"]), lambda s: s.isNotNull())
-    flat = p.select(*keep, F.posexplode(nodes).alias("pos", "n")).select(*keep, (F.col("pos") == 0).alias("is_root"), "n.*")
-    rest = p.where(F.exists(levels[-1], lambda n: n["Plans"].isNotNull())).select(*keep, F.explode(deep).alias("_doc"))
-    return flat.unionByName(_walk(rest, keep))
-
-
-def _walk(df: DataFrame, keep: list[str]) -> DataFrame:
-    fields = [f for f, _ in _FIELDS]
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                head, todo = list(row)[:-1], list(json.loads(row[-1]))
-                while todo:
-                    node = todo.pop()
-                    todo.extend(node.get("Plans") or [])
-                    out.append([*head, False, *[node.get(f) for f in fields]])
-            yield pd.DataFrame(out, columns=names)
-
-    names = [*keep, "is_root", "node_type", "relation", "schema", "filter", "index_name", "total_cost"]
-    types = dict(df.dtypes)
-    out = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["is_root boolean"] + [x.replace(":", " ") for x in _NODE[7:-1].split(",")])
-    return df.select(*keep, "_doc").mapInPandas(walk, out)
+    kept = ", ".join(f"`{c}`" for c in keep)
+    first = lambda x: f"{x}, " if x else ""
+    fields = ", ".join(f"try_variant_get(node, \"$['{name}']\", '{kind}') AS {column}" for column, (name, kind) in _FIELDS.items())
+    return plans.sparkSession.sql(f"""
+        WITH RECURSIVE walk({first(kept)}depth, node) MAX RECURSION LEVEL {DEEPEST} AS (
+            SELECT {first(kept)}0, try_variant_get(try_parse_json(`{document}`), '$[0].Plan', 'variant') FROM {{plans}}
+            UNION ALL
+            SELECT {first(", ".join(f"walk.`{c}`" for c in keep))}depth + 1, below.value
+            FROM walk, LATERAL variant_explode(variant_get(node, '$.Plans', 'variant')) AS below)
+        SELECT {first(kept)}depth = 0 AS is_root, {fields} FROM walk WHERE node IS NOT NULL LIMIT ALL""", plans=plans)
 
 
 def filter_columns(text: Column | str) -> Column:
@@ -113,11 +74,11 @@ def plan_pairs(pairs: DataFrame) -> DataFrame:
     """
     key = ["target_id", "queryid", "wanted"]
     p = pairs.withColumnRenamed("index_name", "wanted")
-    before = plan_nodes(p.select(*key, "plan_before"), "plan_before").where("is_root").select(*key, F.col("total_cost").alias("cost_before"))
+    before = plan_nodes(p.select(*key, "plan_before"), "plan_before").where("is_root").groupBy(*key).agg(F.max("total_cost").alias("cost_before"))
     after = plan_nodes(p.select(*key, "plan_after"), "plan_after").groupBy(*key).agg(
         F.max(F.when(F.col("is_root"), F.col("total_cost"))).alias("cost_after"),
         F.max(F.coalesce(F.col("index_name") == F.col("wanted"), F.lit(False))).alias("used"))
-    return p.drop("plan_before", "plan_after").join(before, key).join(after, key).withColumnRenamed("wanted", "index_name")
+    return p.drop("plan_before", "plan_after").dropDuplicates(key).join(before, key).join(after, key).withColumnRenamed("wanted", "index_name")
 
 
 def validate_candidates(pairs: DataFrame, min_improvement: float = MIN_IMPROVEMENT) -> DataFrame:

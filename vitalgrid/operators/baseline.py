@@ -111,34 +111,27 @@ def retention_thin(snapshots: DataFrame, as_of: Column | int) -> DataFrame:
 def history_budget(snapshots: DataFrame, budget_bytes: int) -> DataFrame:
     """Drop the oldest snapshots of a store that is over its byte budget, never the newest.
 
-    The cut is found without sorting the log into one task: counts per day, then per
-    second inside the day the cut falls into, then by id inside that one second.
+    One lazy plan. How many go follows from the totals; which second that count falls into follows from counts per day and per
+    second, summed up within days; ids are ranked inside that one second only. The log itself is never sorted.
     """
-    day, sec, sid = F.floor(F.col("collected_at") / DAY).cast("long"), F.col("collected_at"), F.col("snapshot_id")
-    log = snapshots.withColumn("_day", day)
-    per_day = log.groupBy("_day").agg(F.count("*").alias("n"), F.sum("doc_bytes").alias("size"))
-    totals = per_day.agg(F.sum("n").alias("rows"), F.sum("size").alias("size"))
-    over = F.col("size") - F.lit(budget_bytes * 9 // 10)
-    wanted = F.greatest(F.ceil(F.col("rows") * over / F.col("size")).cast("long"), F.lit(1))
-    evict = totals.select(F.when((F.col("size") > budget_bytes) & (F.col("rows") > 1),
-                                 F.least(wanted, F.col("rows") - 1)).otherwise(F.lit(0)).alias("evict")).first()["evict"] or 0
-    if evict <= 0:
-        return snapshots
-
-    def locate(counts: DataFrame, key: str, skip: int) -> tuple[int, int]:
-        """First key value at which the running count reaches ``skip``, and the count before it."""
-        w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hit = (counts.withColumn("run", F.sum("n").over(w)).where(F.col("run") >= skip)
-               .orderBy(key).select(key, (F.col("run") - F.col("n")).alias("before")).first())
-        return hit[key], hit["before"]
-
-    cut_day, before_day = locate(per_day, "_day", evict)
-    in_day = log.where(F.col("_day") == cut_day).groupBy("collected_at").agg(F.count("*").alias("n"))
-    cut_sec, before_sec = locate(in_day, "collected_at", evict - before_day)
-    rest = evict - before_day - before_sec
-    at_cut = log.where(sec == cut_sec).select("snapshot_id")
-    border = at_cut.orderBy("snapshot_id").limit(rest).agg(F.max("snapshot_id")).first()[0]
-    return snapshots.where((sec > cut_sec) | ((sec == cut_sec) & (sid > border)))
+    day = F.floor(F.col("collected_at") / DAY).cast("long")
+    seconds = snapshots.groupBy(day.alias("_day"), "collected_at").agg(F.count("*").alias("n"), F.sum("doc_bytes").alias("size"))
+    days = seconds.groupBy("_day").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    upto = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # one row per day
+    every = Window.partitionBy(F.lit(1))
+    rows, size = F.sum("n").over(every), F.sum("size").over(every)
+    wanted = F.greatest(F.ceil(rows * (size - F.lit(budget_bytes * 9 // 10)) / size).cast("long"), F.lit(1))
+    evict = F.when((size > budget_bytes) & (rows > 1), F.least(wanted, rows - 1)).otherwise(F.lit(0))
+    placed = days.select("_day", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_earlier"), evict.cast("long").alias("_evict"))
+    inside = Window.partitionBy("_day").orderBy("collected_at").rowsBetween(Window.unboundedPreceding, -1)
+    marks = seconds.join(placed, "_day").withColumn("_before", F.col("_earlier") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    here = (F.col("_evict") > F.col("_before")) & (F.col("_evict") <= F.col("_before") + F.col("n"))
+    cut = marks.where(here).agg(F.max("collected_at").alias("_cut"), F.max(F.col("_evict") - F.col("_before")).alias("_rest"))  # always one row
+    log = snapshots.crossJoin(F.broadcast(cut))
+    later = log.where(F.col("_cut").isNull() | (F.col("collected_at") > F.col("_cut")))
+    rank = F.row_number().over(Window.partitionBy("collected_at").orderBy("snapshot_id"))
+    at_cut = log.where(F.col("collected_at") == F.col("_cut")).withColumn("_rank", rank).where(F.col("_rank") > F.col("_rest"))
+    return later.select(*snapshots.columns).unionByName(at_cut.select(*snapshots.columns))
 
 
 def latest_two_schemas(objects: DataFrame) -> DataFrame:

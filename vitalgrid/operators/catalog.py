@@ -7,14 +7,11 @@ join on the prefix and never by comparing all pairs of a table's indexes.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.numbers import effective_ceiling, ratio, round_dp
 from vitalgrid.operators.series import top_k
-from vitalgrid.session import cut_lineage
 
 SNAP = ["target_id", "snapshot_id"]
 TABLE = [*SNAP, "schema", "table"]
@@ -133,28 +130,28 @@ def narrow_identity(columns: DataFrame) -> DataFrame:
     return columns.where(F.col("type").isin("int2", "int4") & (F.col("is_identity") | F.col("owns_sequence")))
 
 
-def partition_roots(edges: DataFrame, keys: list[str] = SNAP, *, settle_every: int = 2) -> DataFrame:
-    """(keys, child, root) for every child, by pointer doubling over the inner nodes.
+DEEPEST = 100_000
+
 
-    Each round doubles the distance covered, so a hierarchy of depth d needs log2(d)
-    rounds. Only nodes that are parents themselves move; leaves join once at the end.
-    Nodes that still move after as many rounds as all nodes in one line would need lie on or
-    below a cycle: they have no root, and their children count under their parent.
+def partition_roots(edges: DataFrame, keys: list[str] = SNAP) -> DataFrame:
+    """(keys, child, root) for every child: one recursive query climbs from the inner nodes, leaves join once at the end.
+
+    Nodes that are parents themselves are few; each climbs its own line of ancestors. One on or below a cycle stops where the
+    line comes back to itself: it has no root, and its children count under their parent.
     """
-    nodes = edges.select(*keys, F.col("parent").alias("child")).distinct()
-    up = edges.select(*keys, "child", "parent").join(nodes, [*keys, "child"], "left_semi")
-    rounds, longest = 0, math.ceil(math.log2(max(nodes.count(), 2))) + 1
-    while True:
-        step = up.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("grand"))
-        nxt = (up.join(step, [*keys, "parent"], "left")
-               .select(*keys, "child", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moved")))
-        rounds += 1
-        if rounds % settle_every == 0:
-            nxt = cut_lineage(nxt, "partition-roots")
-        if rounds >= longest or nxt.where("moved").isEmpty():
-            break
-        up = nxt.drop("moved")
-    roots = nxt.where(~F.col("moved")).select(*keys, F.col("child").alias("parent"), F.col("parent").alias("root"))
+    named = ", ".join(f"`{k}`" for k in keys)
+    same = " AND ".join(f"e.`{k}` <=> u.`{k}`" for k in keys)
+    inner = edges.select(*keys, F.col("parent").alias("child")).distinct()
+    up = edges.select(*keys, "child", "parent").join(inner, [*keys, "child"], "left_semi").distinct()
+    lines = edges.sparkSession.sql(f"""
+        WITH RECURSIVE climb({named}, child, top, line) MAX RECURSION LEVEL {DEEPEST} AS (
+            SELECT {named}, child, parent, array(child) FROM {{up}}
+            UNION ALL
+            SELECT {", ".join(f"u.`{k}`" for k in keys)}, u.child, e.parent, array_append(u.line, e.child)
+            FROM climb u JOIN {{up}} e ON {same} AND e.child = u.top AND NOT array_contains(u.line, e.child))
+        SELECT {named}, child, top FROM climb LIMIT ALL""", up=up)
+    roots = lines.join(up.select(*keys, F.col("child").alias("top")).distinct(), [*keys, "top"], "left_anti")
+    roots = roots.select(*keys, F.col("child").alias("parent"), F.col("top").alias("root"))
     return edges.join(roots, [*keys, "parent"], "left").select(*keys, "child", F.coalesce("root", "parent").alias("root"))
 
 

@@ -118,6 +118,26 @@ def usable_rules(rules: DataFrame, now: Column | str) -> DataFrame:
     return kept.where(F.col("object").isNull() | ~bad_glob("object"))
 
 
+def literal_prefix(pattern: Column | str) -> Column:
+    """A glob's text before its first wildcard, class or escape; what it matches begins with it."""
+    p = F.col(pattern) if isinstance(pattern, str) else pattern
+    return F.regexp_extract(p, r"\A([^*?\[\\]*)", 1)
+
+
+def _glob_matches(pairs: DataFrame, globs: DataFrame) -> DataFrame:
+    """(id, object, _glob) of the distinct pairs that a glob matches, with the earliest such rule.
+
+    Globs meet objects by equality: an object is laid out in its beginnings of exactly the lengths that globs of its id have, and joined on
+    (id, beginning). Only what survives is held against the pattern. No list of globs is gathered anywhere, so ten thousand of
+    one id cost each object as many look-ups as their prefixes have lengths.
+    """
+    keyed = globs.select(F.col("finding").alias("id"), literal_prefix("object").alias("_prefix"), F.col("object").alias("_pattern"), glob_regex("object").alias("_rx"), "ordinal", "rule", "reason")
+    lengths = keyed.select("id", F.length("_prefix").alias("_n")).distinct()
+    laid = pairs.join(lengths, "id").where(F.length("object") >= F.col("_n")).withColumn("_prefix", F.left("object", F.col("_n")))
+    hits = laid.join(keyed, ["id", "_prefix"]).where(F.regexp_like("object", F.col("_rx")))
+    return hits.groupBy("id", "object").agg(F.min(F.struct("ordinal", "rule", "reason")).alias("_glob"))
+
+
 def match_rules(df: DataFrame, rules: DataFrame, now: Column | str, *, blanket: bool = True) -> DataFrame:
     """Add ``match`` (spec, ordinal, rule, reason): the most specific active rule of (id, object).
 
@@ -127,20 +147,19 @@ def match_rules(df: DataFrame, rules: DataFrame, now: Column | str, *, blanket:
     picked = F.struct("ordinal", "rule", "reason")
     named = active.where(F.coalesce("object", F.lit("")) != "")
     exact = named.groupBy(F.col("finding").alias("id"), "object").agg(F.min(picked).alias("_exact"))
-    globs = named.groupBy(F.col("finding").alias("id")).agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "rule", "reason", glob_regex("object").alias("rx")))).alias("_globs"))
-    out = df.join(exact, ["id", "object"], "left").join(globs, "id", "left")
-    first_glob = F.get(F.filter("_globs", lambda g: F.regexp_like(F.col("object"), g["rx"])), F.lit(0))
+    globs = named.where(F.col("object").rlike(r"[*?\[\\]"))
+    matched = _glob_matches(df.select("id", "object").where(F.col("object") != "").distinct(), globs)
+    out = df.join(exact, ["id", "object"], "left").join(matched, ["id", "object"], "left")
 
     def as_match(src: Column, spec: int) -> Column:
         return F.when(src.isNotNull(), F.struct(F.lit(spec).cast("long").alias("spec"), src["ordinal"].alias("ordinal"), src["rule"].alias("rule"), src["reason"].alias("reason")))
 
-    found = [as_match(F.col("_exact"), 3), as_match(first_glob, 2)]
+    found = [as_match(F.col("_exact"), 3), as_match(F.col("_glob"), 2)]
     if blanket:
         wide = active.where(F.coalesce("object", F.lit("")) == "").groupBy(F.col("finding").alias("id")).agg(F.min(picked).alias("_wide"))
         out = out.join(wide, "id", "left")
         found.append(as_match(F.col("_wide"), 1))
-    return out.withColumn("match", F.coalesce(*found)).drop("_exact", "_globs", "_wide")
+    return out.withColumn("match", F.coalesce(*found)).drop("_exact", "_glob", "_wide")
 
 
 def explain_rules(questions: DataFrame, rules: DataFrame, now: Column | str) -> DataFrame:
