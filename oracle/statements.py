@@ -330,7 +330,8 @@ def _ids(ids: list[str]) -> str:
     return "(" + ", ".join(f"'{i}'" for i in ids) + ")"
 
 
-from vitalgrid.plans.rule_catalog import CLUSTER_WIDE_IDS, GUARDS, SCHEMA_IDS, TUNING_IDS  # noqa: E402
+from vitalgrid.plans.records import MEANING  # noqa: E402
+from vitalgrid.plans.rule_catalog import ADVICE, BUILD_RUNNING_GUARD, CLUSTER_WIDE_IDS, GUARDS, RULES, SCHEMA_IDS, TUNING_IDS  # noqa: E402
 
 S["fleet_findings"] = _all()
 S["tuning_view"] = f"SELECT * FROM ({_all()}) WHERE id IN {_ids(TUNING_IDS)}"
@@ -345,7 +346,21 @@ SELECT target_id, snapshot_id, id, object, count(*) AS n, CAST(sum(size) AS BIGI
   UNION ALL SELECT target_id, snapshot_id, 'sequence_exhaustion', 'public.' || name, 0 FROM v_sequences WHERE pct_used >= 0.8
   UNION ALL SELECT target_id, snapshot_id, 'index_invalid', identity, bytes FROM fx_schema_objects WHERE kind = 'index' AND invalid) GROUP BY ALL"""
 _guards = " UNION ALL ".join(f"SELECT '{i}' AS id, '{g[0]}' AS guard_id, '{g[1]}' AS kind, '{g[2]}' AS action" for i, gs in GUARDS.items() for g in gs)
-S["guard_rows"] = f"SELECT target_id, snapshot_id, id, object, guard_id, kind, action FROM ({_all()}) JOIN ({_guards}) USING (id)"
+_BUILDING = "(id = 'index_invalid' AND EXISTS (SELECT 1 FROM fx_progress p WHERE p.operation = 'create_index' AND p.target_id = f.target_id AND p.snapshot_id = f.snapshot_id))"
+S["guard_rows"] = f"""
+SELECT target_id, snapshot_id, id, object, guard_id, kind, action, kind = 'precondition' AS clearable FROM ({_all()}) f JOIN ({_guards}) USING (id) WHERE NOT {_BUILDING}
+UNION ALL SELECT target_id, snapshot_id, id, object, '{BUILD_RUNNING_GUARD[0]}', '{BUILD_RUNNING_GUARD[1]}', '{BUILD_RUNNING_GUARD[2]}', false FROM ({_all()}) f WHERE {_BUILDING}"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_meanings = " UNION ALL ".join(
+    f"SELECT '{r[0]}' AS id, {str(r[5]).lower()} AS cluster_scoped, '{r[7]}' AS related, {_quoted(ADVICE[r[0]])} AS remediation, {_quoted(MEANING[r[0]][0])} AS detail, {_quoted(MEANING[r[0]][1])} AS basis, "
+    f"CAST({len(GUARDS.get(r[0], []))} AS BIGINT) AS guards" for r in RULES)
+S["finding_records"] = f"SELECT target_id, snapshot_id, id, object, cluster_scoped, related, remediation, detail, basis, dimension, score, guards FROM ({_all()}) JOIN ({_meanings}) USING (id)"
+S["assembled_documents"] = _all(["slots", "subscriptions", "horizon", "checksums"])
 _rank = "CASE severity WHEN 'critical' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END"
 S["findings_order"] = f"""SELECT target_id, snapshot_id, id, row_number() OVER (PARTITION BY target_id, snapshot_id ORDER BY dimension = 'risk' DESC, score DESC, {_rank} DESC, id, object) AS ordinal
 FROM ({_all()})"""

@@ -86,10 +86,13 @@ def metric_text(metrics: DataFrame) -> DataFrame:
 
 
 def _message(df: DataFrame) -> DataFrame:
-    """Attach title - advice and the guards of the finding's rule."""
-    cat = rule_catalog(df.sparkSession).select("id", "advice", F.array_join(F.transform("guards", lambda g: F.concat_ws(" ", g["action"], g["kind"], g["text"])), " ").alias("guard_text"))
-    text = F.trim(F.concat(F.col("title"), F.lit(" - "), F.col("advice"), F.when(F.col("guard_text") != "", F.concat(F.lit(" SAFETY: "), F.col("guard_text"))).otherwise("")))
-    return df.join(F.broadcast(cat), "id").withColumn("message", text)
+    """Attach title - advice and the guards of the finding, those of its state where it is a full record."""
+    cat = rule_catalog(df.sparkSession).select("id", "advice", F.col("guards").alias("_guards"))
+    j = df.join(F.broadcast(cat), "id")
+    guards = F.col("safety") if "safety" in df.columns else F.col("_guards")
+    text_of = F.array_join(F.transform(guards, lambda g: F.concat_ws(" ", g["action"], g["kind"], g["text"])), " ")
+    text = F.trim(F.concat(F.col("title"), F.lit(" - "), F.col("advice"), F.when(text_of != "", F.concat(F.lit(" SAFETY: "), text_of)).otherwise("")))
+    return j.withColumn("message", text).drop("_guards")
 
 
 def scan_results(findings: DataFrame) -> DataFrame:

@@ -670,11 +670,38 @@ def _(t):
     return r.groupBy(*SNAP, "id", "object").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
 
 
+def _records(t) -> DataFrame:
+    from vitalgrid.plans.records import finding_records
+    builds = t.progress().where(c("operation") == "create_index").select(*SNAP).distinct().withColumn("build_running", F.lit(True))
+    return finding_records(_found(t), None, builds)
+
+
 @query("guard_rows")
 def _(t):
-    from vitalgrid.plans.rule_catalog import guard_rows
-    f = _found(t)
-    return guard_rows(f).select(*SNAP, "id", "object", "guard_id", "kind", "action")
+    from vitalgrid.plans.records import record_guards
+    return record_guards(_records(t)).select(*SNAP, "id", "object", "guard_id", "kind", "action", c("verify").isNotNull().alias("clearable"))
+
+
+@query("finding_records")
+def _(t):
+    r = _records(t)
+    return r.select(*SNAP, "id", "object", "cluster_scoped", F.array_join("related", " ").alias("related"), "remediation", "detail", c("impact.basis").alias("basis"),
+                    c("impact.dimension").alias("dimension"), round_dp("impact.score", 4).alias("score"), F.size("safety").cast("long").alias("guards"))
+
+
+@query("assembled_documents")
+def _(t):
+    """Documents put together from tables, written, read again and graded like any others."""
+    from vitalgrid.plans.context_findings import context_findings
+    from vitalgrid.sources.assemble import assemble, write_documents
+    from vitalgrid.sources.contexts import read_contexts
+    tables = {n: getattr(t, n)() for n in ("slots", "subscriptions", "horizon", "checksum_failures", "progress")}
+    heads = t.slots().select("target_id").union(t.checksum_failures().select("target_id")).distinct().select("target_id", F.lit(1).cast("long").alias("snapshot_id"), F.lit(DAY).cast("long").alias("collected_at"))
+    path = staging_path(t.spark, "documents")
+    write_documents(assemble(heads, tables), path)
+    f, _rows = context_findings(read_contexts(t.spark, path, lines=True))
+    back = f.withColumns({"target_id": c("target_id").cast("long"), "snapshot_id": F.floor(c("snapshot_id") / DAY).cast("long")})
+    return _compare_header(back.where(c("id").isin("replication_slot_inactive", "subscription_worker_down", "vacuum_horizon_blocked", "prepared_xact_abandoned", "checksum_failures")))
 
 
 @query("findings_order")
