@@ -178,3 +178,54 @@ FROM k JOIN f USING (r)
 
 
 SQL["op13_sliced_codes"] = _codes_sql()
+
+
+def _repair_sql() -> str:
+    """Costs backward by a recursive walk over positions, edits forward by one over edits."""
+    crc = "SELECT x, x AS c FROM range(256) t(x)"
+    for _ in range(8):
+        crc = f"SELECT x, xor(c >> 1, 3988292384 * (c & 1)) AS c FROM ({crc})"
+    ends = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    inserted = "CASE q WHEN 'u' THEN 'a' ELSE 'u' END"
+    at = lambda p, q: f"CASE {q} WHEN '' THEN {p}.e WHEN 's' THEN {p}.s WHEN 'u' THEN {p}.u ELSE {p}.a END"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY x) AS t FROM ({crc})),
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda ch: CAST(ord(ch) AS BIGINT)) AS codes FROM conversations),
+k AS (SELECT o.*, xor(list_reduce(list_prepend(4294967295, codes), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM o, tab),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM k, (SELECT unnest([1, 2]) AS copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+g AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+n AS (SELECT g, d.*, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text)) AS i FROM d JOIN g ON d.conv_id IS NOT DISTINCT FROM g.conv_id),
+r AS (SELECT *, left(role, 1) AS c, rtrim(text, {ends}) = '' AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again, right(rtrim(text, {ends}), 1) NOT IN ('.', '!', '?') AS cut,
+             lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) AS before FROM n),
+w AS (SELECT *, blank OR again AS must, CASE WHEN cut THEN 3 ELSE 0 END AS x FROM r),
+f AS (SELECT g, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+             count(*) FILTER (cut AND NOT must) AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY g),
+b AS (SELECT g, n + 1 AS i, 0 AS e, 6 AS s, 3 AS u, 0 AS a FROM f
+      UNION ALL
+      SELECT g, i, least(e, 3 + least(u, 3 + a)), least(s, 3 + least(u, 3 + a)), least(u, 3 + a), least(a, 3 + u) FROM (
+        SELECT b.g, w.i,
+          least(b.e + 4, CASE WHEN NOT must THEN 3 + x + b.u END, CASE WHEN NOT must AND c = 's' THEN x + b.s WHEN NOT must AND c = 'u' THEN x + b.u END) AS e,
+          least(b.s + 4, CASE WHEN NOT must THEN 3 + x + b.u END, CASE WHEN NOT must AND c = 'u' THEN x + b.u END) AS s,
+          least(b.u + 4, CASE WHEN NOT must THEN 3 + x + b.a END, CASE WHEN NOT must AND c = 'a' THEN x + b.a END) AS u,
+          least(b.a + 4, CASE WHEN NOT must THEN 3 + x + b.u END, CASE WHEN NOT must AND c = 'u' THEN x + b.u END) AS a
+        FROM b JOIN w ON w.g = b.g AND w.i = b.i - 1)),
+p AS (SELECT g, CAST(1 AS BIGINT) AS i, '' AS q, '' AS audit, CAST([] AS VARCHAR[]) AS rows FROM f
+      UNION ALL
+      SELECT g, CASE WHEN edit = 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN c ELSE {inserted} END, audit || edit,
+             CASE edit WHEN 'D' THEN rows WHEN 'K' THEN list_append(rows, role || ':' || text) ELSE list_append(rows, CASE q WHEN 'u' THEN 'assistant' ELSE 'user' END || ':' || CASE edit WHEN 'R' THEN text ELSE '' END) END
+      FROM (SELECT p.*, w.c, w.role, w.text,
+              CASE WHEN w.i IS NULL THEN CASE WHEN q IN ('s', 'u') THEN 'I' END
+                   WHEN {at('h', 'q')} = 4 + {at('z', 'q')} THEN 'D'
+                   WHEN {at('h', 'q')} = 3 + {at('h', f'({inserted})')} THEN 'I'
+                   WHEN NOT must AND q || c IN ('s', 'u', 'su', 'ua', 'au') AND {at('h', 'q')} = x + {at('z', 'c')} THEN 'K' ELSE 'R' END AS edit
+            FROM p JOIN b h ON h.g = p.g AND h.i = p.i LEFT JOIN w ON w.g = p.g AND w.i = p.i LEFT JOIN b z ON z.g = p.g AND z.i = p.i + 1) WHERE edit IS NOT NULL),
+last AS (SELECT p.* FROM p JOIN f ON f.g = p.g AND p.i = f.n + 1 WHERE q IN ('', 'a'))
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.e, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(rows, chr(10)), '')) AS repaired_sha256
+FROM g LEFT JOIN f USING (g) LEFT JOIN b ON b.g = g.g AND b.i = 1 LEFT JOIN last ON last.g = g.g
+"""
+
+
+SQL["op11_turn_repair"] = _repair_sql()
