@@ -476,6 +476,13 @@ FROM (SELECT target_id, index, bool_or(covered) AS covered FROM (SELECT target_i
       UNION ALL SELECT target_id, index, false FROM fx_indexes WHERE is_invalid) GROUP BY 1, 2) x JOIN fx_indexes i USING (target_id, index)"""
 S["index_reports"] = """SELECT target_id, "table", index, grade, reason, size_bytes, grade = 'inconclusive' AS do_not_drop,
   CASE WHEN reason = 'invalid' THEN 'correlate.invalid_no_build' WHEN reason = 'redundant' THEN 'correlate.redundant_covering' WHEN grade = 'inconclusive' THEN 'correlate.inconclusive' ELSE 'correlate.needs_code_check' END AS guard FROM v_reports"""
+S["report_order"] = """SELECT target_id, "table", index, grade, row_number() OVER (PARTITION BY target_id ORDER BY CASE grade WHEN 'catalog_proven' THEN 0 WHEN 'needs_code_check' THEN 1 ELSE 2 END, size_bytes DESC, index) AS place FROM v_reports"""
+S["text_previews"] = r"""SELECT doc_id, CASE WHEN length(p) > 80 THEN substr(p, 1, 79) || '…' ELSE p END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ') AS p FROM documents)"""
+S["recounted_titles"] = "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'Worst of ' || k ELSE (k - 1) || ' table(s) with many dead rows' END AS title FROM fx_events"
+S["change_log"] = f"""
+SELECT target_id, kind, strftime(to_timestamp(occurred_before) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS events, count(DISTINCT object) AS objects
+FROM (SELECT target_id, kind, object, occurred_before FROM ({S["schema_diff"]}) UNION ALL SELECT target_id, kind, object, occurred_before FROM ({S["config_diff"]})) GROUP BY ALL"""
+S["target_archive"] = "SELECT target_id, count(DISTINCT snapshot_id) AS documents, target_id = 3 AS exported FROM fx_table_stats GROUP BY 1"
 S["index_verdicts"] = f"""
 SELECT target_id, index, verdict, CAST(floor(age + 0.5) AS BIGINT) AS verdict_age_days, stale AS verdict_stale,
   CASE WHEN grade = 'needs_code_check' AND verdict = 'not_found_in_code' THEN CASE WHEN stale THEN 'stale' WHEN days > 20 THEN 'corroborated_longer' ELSE 'corroborated' END END AS verdict_note

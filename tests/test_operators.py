@@ -545,3 +545,10 @@ def test_long_lines_of_partitions(spark):
     edges = spark.createDataFrame([(1, 1, f"n{i}", f"n{i + 1}") for i in range(12)] + [(1, 1, "leaf", "n0"), (2, 1, "n1", "other")], "target_id long, snapshot_id long, child string, parent string")
     got = {(r["target_id"], r["child"]): r["root"] for r in catalog.partition_roots(edges).collect()}
     assert got == {**{(1, f"n{i}"): "n12" for i in range(12)}, (1, "leaf"): "n12", (2, "n1"): "other"}
+
+
+def test_reports_in_order(spark):
+    rows = [(1, 1, "s", "b", "needs_code_check", 10), (1, 1, "s", "a", "needs_code_check", 10), (1, 1, "s", "c", "inconclusive", 99), (1, 1, "s", "d", "catalog_proven", 1), (2, 1, "s", "e", "inconclusive", 1)]
+    reports = spark.createDataFrame(rows, "target_id long, snapshot_id long, schema string, index string, grade string, size_bytes long")
+    got = {(r["target_id"], r["index"]): r["place"] for r in evidence.report_order(reports).collect()}
+    assert got == {(1, "d"): 1, (1, "a"): 2, (1, "b"): 3, (1, "c"): 4, (2, "e"): 1}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.text import identity_parts, search_terms
@@ -59,6 +59,21 @@ def grade_rank() -> Column:
     return F.when(F.col("grade") == "catalog_proven", 0).when(F.col("grade") == "needs_code_check", 1).otherwise(2)
 
 
+def report_order(reports: DataFrame) -> DataFrame:
+    """Reports with their place in their snapshot's listing: surest grade first, then largest, then by name.
+
+    Ranked within (snapshot, grade); what the grades before it hold comes from one small count, so no window holds a whole catalog.
+    """
+    snap = ["target_id", "snapshot_id"]
+    graded = reports.withColumn("_grade", grade_rank())
+    counts = graded.groupBy(*snap, "_grade").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*snap).orderBy("_grade").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*snap, "_grade", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*snap, "_grade").orderBy(F.col("size_bytes").desc(), "schema", "index")
+    placed = graded.withColumn("_place", F.row_number().over(inside)).join(counts, [*snap, "_grade"])
+    return placed.withColumn("place", (F.col("_before") + F.col("_place")).cast("long")).drop("_grade", "_before", "_place")
+
+
 def attach_verdicts(reports: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Carry stored code-search verdicts forward. A stale one is context, never corroboration.
 

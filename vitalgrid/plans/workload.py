@@ -929,6 +929,43 @@ def _(t):
     return _reports(t).select("target_id", "table", "index", "grade", "reason", "size_bytes", "do_not_drop", "guard")
 
 
+@query("report_order")
+def _(t):
+    return evidence.report_order(_reports(t)).select("target_id", "table", "index", "grade", "place")
+
+
+@query("text_previews")
+def _(t):
+    return t.raw("documents").select("doc_id", text.truncate(text.collapse_ws("text"), 80).alias("preview"))
+
+
+@query("recounted_titles")
+def _(t):
+    title = F.when(c("user_id") % 3 == 0, F.concat(F.lit("Worst of "), c("k").cast("string"))).otherwise(F.concat(c("k").cast("string"), F.lit(" table(s) with many dead rows")))
+    return t._events().select("event_id", text.recount_title(title, c("k") - 1).alias("title"))
+
+
+@query("change_log")
+def _(t):
+    """Schema and setting changes appended to the event log and read back."""
+    from vitalgrid.sources.contexts import append_events
+    path = staging_path(t.spark, "events")
+    for part in (changes.schema_events(t.schema_objects()), changes.config_events(_settings(t))):
+        append_events(part, path)
+    log = t.spark.read.parquet(path)
+    return log.groupBy("target_id", "kind", F.date_format("date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.countDistinct("object").alias("objects"))
+
+
+@query("target_archive")
+def _(t):
+    """Documents landed, one target taken out, the others left; the exported ones in time order."""
+    from vitalgrid.sources.contexts import drop_target, export_target, ingest_contexts, parse_contexts
+    landed = ingest_contexts(parse_contexts(_documents(t)), staging_path(t.spark, "archive"))
+    left = drop_target(landed, "3").groupBy("fingerprint").agg(F.count("*").alias("documents")).withColumn("exported", F.lit(False))
+    out = export_target(landed, "3").groupBy("fingerprint").agg(F.count("*").alias("documents")).withColumn("exported", F.lit(True))
+    return left.unionByName(out).withColumn("target_id", c("fingerprint").cast("long")).drop("fingerprint")
+
+
 @query("index_verdicts")
 def _(t):
     v = baseline.latest_verdicts(_verdict_log(t), ["target_id", "index"]).select(
