@@ -546,6 +546,14 @@ WITH n AS (SELECT * FROM fx_db_counters QUALIFY row_number() OVER (PARTITION BY
 SELECT target_id, snapshot_id, base_snapshot_id, CAST(604800 AS BIGINT) AS requested_seconds, actual_seconds, actual_seconds > 1.25*604800 AS stretched, reset_reason, statements_evicted,
   CAST(CASE WHEN reset_reason IS NULL AND b > 0 AND abs(a - b) >= 20 AND abs(a - b) >= 0.5*b THEN 1 ELSE 0 END AS BIGINT) AS changes,
   CAST(CASE WHEN reset_reason IS NULL AND b > 0 AND a - b >= 20 AND a - b >= 0.5*b THEN 1 ELSE 0 END AS BIGINT) AS warnings FROM j"""
+S["view_changes"] = """
+WITH n AS (SELECT * FROM fx_db_counters QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY collected_at DESC) = 1),
+     j AS (SELECT n.target_id, n.snapshot_id, b.snapshot_id AS base_snapshot_id, n.collected_at - b.collected_at AS actual_seconds, n.numbackends*40 AS a, b.numbackends*40 AS b,
+       CASE WHEN n.stats_reset_at > b.stats_reset_at THEN 'stats_reset' WHEN n.postmaster_start_at > b.postmaster_start_at THEN 'server_restart' END AS reset_reason,
+       n.blks_read // 5000 > b.blks_read // 5000 AS statements_evicted
+     FROM n ASOF JOIN fx_db_counters b ON b.target_id = n.target_id AND b.collected_at <= n.collected_at - 86400)
+SELECT target_id, snapshot_id, base_snapshot_id, actual_seconds, actual_seconds > 1.25*86400 AS stretched, statements_evicted, 'health.connections' AS id, 'db' AS subject,
+  CASE WHEN a > b THEN 'warn' ELSE 'info' END AS severity, CAST(b AS DOUBLE) AS before, CAST(a AS DOUBLE) AS after FROM j WHERE reset_reason IS NULL AND b > 0 AND abs(a - b) >= 20 AND abs(a - b) >= 0.5*b"""
 EXTRA["v_metrics"] = f"""
 SELECT target_id, 'fleet_finding' AS family, CAST(1 AS DOUBLE) AS value FROM v_muted
 UNION ALL SELECT target_id, 'fleet_findings_total', CAST(unnest([count(*) FILTER (NOT suppressed AND severity='critical'), count(*) FILTER (NOT suppressed AND severity='warn'), count(*) FILTER (NOT suppressed AND severity='info')]) AS DOUBLE)

@@ -78,3 +78,9 @@ def view_diff(honesty: DataFrame, deltas: DataFrame) -> DataFrame:
     shown = F.col("reset_reason").isNull()
     return j.groupBy(*SNAP, "base_snapshot_id", "requested_seconds", "actual_seconds", "stretched", "reset_reason", "statements_evicted").agg(
         F.count(F.when(shown, F.col("id"))).alias("changes"), F.count_if(shown & (F.col("severity") == "warn")).alias("warnings"))
+
+
+def view_changes(honesty: DataFrame, deltas: DataFrame) -> DataFrame:
+    """The changes that ``view_diff`` counts, one row each: what was, what is, and between which snapshots. None across a reset."""
+    kept = honesty.where(F.col("reset_reason").isNull()).select(*SNAP, "base_snapshot_id", "actual_seconds", "stretched", "statements_evicted")
+    return kept.join(deltas, SNAP).select(*SNAP, "base_snapshot_id", "actual_seconds", "stretched", "statements_evicted", "id", "subject", "severity", "before", "after", "pct_change")

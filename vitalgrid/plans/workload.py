@@ -1089,15 +1089,26 @@ def _(t):
     return view_unused_indexes(catalog.unused_indexes(t.indexes())).drop("schema")
 
 
+def _back(t, since: int, pool: int) -> tuple[DataFrame, DataFrame]:
+    """Each target's newest snapshot against the one `since` before, and the change of its connections."""
+    s = t.db_counters().withColumn("dealloc", F.floor(c("blks_read") / 5000))
+    honesty = baseline.diff_since(s, since)
+    a = baseline.asof(s.select(*SNAP, "collected_at", "numbackends"), s, ["target_id"], c("collected_at") - since, "collected_at", ["collected_at", "numbackends"])
+    conn = a.where(c("base_collected_at").isNotNull()).select(*SNAP, (c("numbackends") * pool).alias("connections"), (c("base_numbackends") * pool).alias("base_connections"),
+                                                                c("base_collected_at").alias("base_at"), F.lit("db").alias("database"))
+    return honesty, deltas.connection_deltas(conn)
+
+
 @query("view_diff")
 def _(t):
     from vitalgrid.plans.views import view_diff
-    s = t.db_counters().withColumn("dealloc", F.floor(c("blks_read") / 5000))
-    honesty = baseline.diff_since(s, 7 * DAY)
-    a = baseline.asof(s.select(*SNAP, "collected_at", "numbackends"), s, ["target_id"], c("collected_at") - 7 * DAY, "collected_at", ["collected_at", "numbackends"])
-    conn = a.where(c("base_collected_at").isNotNull()).select(*SNAP, (c("numbackends") * 12).alias("connections"), (c("base_numbackends") * 12).alias("base_connections"),
-                                                                c("base_collected_at").alias("base_at"), F.lit("db").alias("database"))
-    return view_diff(honesty, deltas.connection_deltas(conn))
+    return view_diff(*_back(t, 7 * DAY, 12))
+
+
+@query("view_changes")
+def _(t):
+    from vitalgrid.plans.views import view_changes
+    return view_changes(*_back(t, DAY, 40)).drop("pct_change")
 
 
 def _export_findings(t) -> DataFrame:
