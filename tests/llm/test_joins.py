@@ -63,18 +63,28 @@ def test_join_is_exact(documents, rows, monkeypatch, seed, block):
     assert sorted(got) == sorted(_brute(data))
 
 
-def test_signatures_lose_no_link():
-    rng = np.random.default_rng(4)
-    for n in (9, 10, 17, 19, 40, 95, 300, 901):
-        for _ in range(40):
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_signatures_lose_no_link(percent):
+    """Linked sets have, in a class that both sign for, as many common signatures as each needs, and at least one."""
+    rng, linked = np.random.default_rng(4), 0
+    for n in (5, 9, 10, 17, 19, 40, 95, 300, 901):
+        for _ in range(60):
             a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
-            most = ngram_join.max_difference(len(a), 90)
+            most = ngram_join.max_difference(len(a), percent)
             gone = int(rng.integers(0, most + 1))
-            b = np.sort(np.concatenate([np.delete(a, rng.choice(len(a), gone // 2, False)), rng.integers(0, 2 ** 63, gone - gone // 2).astype(np.uint64)]))
+            b = np.sort(np.concatenate([np.delete(a, rng.choice(len(a), min(n, int(rng.integers(0, gone + 1))), False)), rng.integers(0, 2 ** 63, gone // 2).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
-            if 100 * both >= 90 * (len(a) + len(b) - both) and len(a) != both:
-                one, two = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-                assert len(np.intersect1d(one, two)) >= 1
+            if 100 * both >= percent * (len(a) + len(b) - both) and not len(a) == both == len(b):
+                linked += 1
+                signed = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+                good = False
+                for level in np.unique(signed.level):
+                    rows = [(signed.of == k) & (signed.level == level) for k in (0, 1)]
+                    if rows[0].any() and rows[1].any():
+                        common = len(np.intersect1d(signed.signature[rows[0]], signed.signature[rows[1]]))
+                        good |= common >= max(1, *[int(signed.need[r][0]) for r in rows])
+                assert good, (n, len(a), len(b), both)
+    assert linked > 100
 
 
 def test_join_odd_rows(documents, rows):

@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.session import cut_lineage, staging_path
+from vitalgrid.session import cut_lineage as _cut, staging_path
 
 #: The contract's word patterns (Java syntax).
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["LOWER", "PLAIN_WORD", "SPACED_WORD", "UPPER", "cut_lineage", "fold", "lower_ascii", "null_safe_join", "positions", "staging_path", "table"]
+__all__ = ["LOWER", "PLAIN_WORD", "SPACED_WORD", "UPPER", "cut_lineage", "discard", "fold", "lower_ascii", "null_safe_join", "positions", "staging_path", "table"]
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    out = _cut(df, name)
+    out._staged = True
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that `cut_lineage` wrote, once everything that reads them is written itself."""
+    for frame in frames:
+        files = frame.inputFiles() if getattr(frame, "_staged", False) else []
+        if files:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import cut_lineage
+from vitalgrid.llm.common import cut_lineage, discard
 
 
 def _star(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
@@ -30,6 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         moved, new = _star(small.union(least.select("a", F.col("m").alias("b"))), "small-star")
+        discard(kept, large)
         kept, same, mark = moved, new == mark, new
         if same:
             break

@@ -1,11 +1,13 @@
 """N-gram Jaccard self-join: documents whose sets of word shingles have a Jaccard similarity of at least `PERCENT` per cent.
 
 1. Each text becomes a set of 64-bit shingle hashes. Texts with equal sets are one class; its node is its smallest id.
-2. Sets that may be linked differ in at most d elements, d known from their sizes. Shingles are dealt into d + 2 parts by hash:
-   two linked sets agree in at least two parts. A part's signature is the sum of its mixed hashes; nodes with a common signature
-   are tied to the smallest of them, which takes one edge per node, however many share it. No linked pair is lost: sizes fall
-   into classes, and a set signs for its own class and, if a smaller partner may be there, for the class below. Empty parts sign only
-   for sets that have two of them.
+2. Sets that may be linked differ in at most d elements, d known from their sizes. Shingles are dealt into d + e parts by hash:
+   two linked sets agree in at least e parts. A part's signature is the sum of its mixed hashes. A set of whose parts fewer than e are
+   shared with any other set (empty ones count as shared) is linked with nothing and leaves, which few common passages do not
+   prevent. The others' nodes with a common signature are then tied to the smallest of them, which takes one edge
+   per node, however many share it. No linked pair is lost: sizes fall into classes as wide as the threshold, and a set signs
+   for its own class and, if a smaller partner may be there, for the class below. Empty parts sign only for sets that have at least e of them.
+   What is shuffled first are bare signatures; those that come once go no further.
 3. Connected nodes form families. Only families' texts are read again (a Bloom filter of fixed size stands before the join).
 4. Within a family the sets are put into one global order, which makes a trie: sets in lexicographic order are its paths, and
    the longest common prefix of neighbours its branches. A walk keeps, per trie node, the overlaps of the path so far with all sets of the
@@ -25,22 +27,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import cut_lineage
+from vitalgrid.llm.common import cut_lineage, discard
 from vitalgrid.llm.components import components
 
 WORDS, PERCENT = 3, 90
-#: Ratio of the size classes' bounds.
-RATIO = 1.5
-#: Words a worker remembers; elements of a block; bits of the Bloom filter.
-MEMORY, BLOCK, BLOOM_BITS = 400_000, 1 << 21, 1 << 25
+#: Words a worker remembers; elements and sets of a block; bits of the Bloom filters.
+MEMORY, BLOCK, SETS, BLOOM_BITS = 400_000, 1 << 21, 4096, 1 << 25
+#: Bits of a page of a filter; fixed by Spark's bitmap functions.
+PAGE = 1 << 15
 _U = np.uint64
+#: Signatures keep 48 bits: chance agreements only let a set pass for a candidate, and those of 10^13 signatures are a twentieth of any set's.
+SHORT = _U(16)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,10 +95,10 @@ class Shingler:
 
 
 def size_classes(percent: int) -> np.ndarray:
-    """Lower bounds of the classes; the first has sizes at which linked sets are equal."""
+    """Lower bounds of the classes; the first has sizes at which linked sets are equal. Partners are in one class or in neighbours."""
     bounds = [1, next(n for n in range(1, 10_000) if max_difference(n, percent))]
     while bounds[-1] < 1 << 40:
-        bounds.append(int(np.ceil(bounds[-1] * RATIO)))
+        bounds.append(max(bounds[-1] + 1, -(-bounds[-1] * 100 // percent)))
     return np.array(bounds, np.int64)
 
 
@@ -103,12 +108,27 @@ def max_difference(small: int, percent: int) -> int:
     return max(a + small - 2 * -(-percent * (a + small) // (100 + percent)) for a in range(max(small, large - 20), large + 1))
 
 
-def signatures(hashes: np.ndarray, starts: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
-    """Signatures of each set; none for sets that only equal ones can be linked with."""
+def spare(difference: int) -> int:
+    """Parts beyond the greatest difference; linked sets agree in as many."""
+    return 2 + difference // 4
+
+
+@dataclass
+class Signed:
+    """Signatures of many sets: whose, for which class, and how many shared ones that set needs there to be linked with any other."""
+
+    of: np.ndarray
+    level: np.ndarray
+    need: np.ndarray
+    signature: np.ndarray
+
+
+def signatures(hashes: np.ndarray, starts: np.ndarray, percent: int = PERCENT) -> Signed:
+    """Signatures of all sets; none for sets that only equal ones can be linked with."""
     bounds = size_classes(percent)
     sizes = np.diff(starts)
     own = np.searchsorted(bounds, sizes, "right") - 1
-    out: list[list[np.ndarray]] = [[] for _ in sizes]
+    out: list[tuple[np.ndarray, ...]] = []
     mixed = mix(hashes + _U(0x5851F42D4C957F2D))
     for below in (0, 1):
         level = own - below
@@ -118,24 +138,27 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, percent: int = PERCENT) -
         if not len(who):
             continue
         most = {c: max(max_difference(int(s), percent) for s in range(max(1, int(bounds[c + 1]) - 24), int(bounds[c + 1]))) for c in set(level[who].tolist())}
-        parts = np.zeros(len(sizes), np.int64)
-        parts[who] = [most[c] + 2 for c in level[who].tolist()]
+        parts, extra = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        extra[who] = [spare(most[c]) for c in level[who].tolist()]
+        parts[who] = [most[c] + spare(most[c]) for c in level[who].tolist()]
         begin = np.concatenate([[0], np.cumsum(parts)])
         owner = np.repeat(np.arange(len(sizes)), sizes)
         use = signs[owner]
         cell = begin[owner[use]] + (hashes[use] % parts[owner[use]].astype(_U)).astype(np.int64)
-        sums = np.zeros(int(begin[-1]), _U)
+        sums, held = np.zeros(int(begin[-1]), _U), np.bincount(cell, minlength=int(begin[-1]))
         np.add.at(sums, cell, mixed[use])
         of = np.repeat(np.arange(len(sizes)), parts)
         part = np.arange(len(sums)) - begin[of]
-        named = mix(sums + mix((level[of] * 1_000_003 + part).astype(_U)))
-        empties = np.bincount(of[sums == 0], minlength=len(sizes))
-        wanted = (sums != 0) | (empties[of] >= 2)
-        named, of = named[wanted], of[wanted]
-        cuts = np.searchsorted(of, np.arange(len(sizes) + 1))
-        for i in who:
-            out[i].append(named[cuts[i]: cuts[i + 1]])
-    return [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in out]
+        named = mix(sums + mix((level[of] * 1_000_003 + part).astype(_U))) >> SHORT
+        empties = np.bincount(of[held == 0], minlength=len(sizes))
+        many = empties >= extra  # empties sign, and count like any other part
+        need = np.where(many, extra, extra - empties)
+        wanted = (held > 0) | many[of]
+        of = of[wanted]
+        out.append((of, level[of], need[of], named[wanted].view(np.int64)))
+    if not out:
+        return Signed(*[np.zeros(0, np.int64)] * 4)
+    return Signed(*[np.concatenate(x) for x in zip(*out)])
 
 
 # --- the walk over the trie ---------------------------------------------------------------------------------------------------
@@ -241,8 +264,8 @@ def trie_links(sets: list[np.ndarray], groups: Groups, percent: int = PERCENT) -
 
 # --- jobs ---------------------------------------------------------------------------------------------------------------------
 
-def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, signatures) of each row."""
+def shingle_sets(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, digest) of each row."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(words)
@@ -251,44 +274,115 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
                 part = batch.iloc[s: s + 256]
                 hashes, starts = shingler(part["text"].tolist())
                 digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(starts, starts[1:])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_shingles": np.diff(starts), "digest": digests, "signatures": signatures(hashes, starts, percent)})
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_shingles": np.diff(starts), "digest": digests})
 
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(read, "doc_id string, n_shingles long, digest binary, signatures array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return rows.mapInPandas(read, "doc_id string, n_shingles long, digest binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def _places(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(j)), F.lit(bits)) for j in (0, 1)]
+
+
+def _filter(bits: DataFrame) -> np.ndarray:
+    """Bytes of a Bloom filter, from its set bits (bit); collected as a bounded number of bitmaps.
+
+    Its size is fixed; a full filter lets all through, and what it guards stays exact.
+    """
+    parts = bits.groupBy((F.col("bit") / PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE).alias("bits"))
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for r in parts.collect():
+        at = r["page"] * PAGE // 8
+        out[at: at + PAGE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _bloom(keys: DataFrame, column: str) -> np.ndarray:
+    """The filter of a column's values, with two bits each."""
+    return _filter(keys.select(F.explode(F.array(*_places(F.col(column), BLOOM_BITS))).alias("bit")))
+
+
+def _held(bloom: np.ndarray, *places: np.ndarray) -> np.ndarray:
+    sure = np.ones(len(places[0]), bool)
+    for at in places:
+        sure &= (bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return sure
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, bit0, bit1) of rows with an id."""
+    doc = F.col(id_col).cast("long")
+    bits = [c.alias(f"bit{j}") for j, c in enumerate(_places(doc, BLOOM_BITS))]
+    return docs.where(doc.isNotNull()).select(doc.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *bits)
+
+
+def _marks(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a Bloom filter, whose size is a power of two, for a signature, which is a hash already."""
+    plain = signature.view(_U)
+    return (plain % _U(BLOOM_BITS)).astype(np.int64), ((plain >> _U(23)) % _U(BLOOM_BITS)).astype(np.int64)
+
 
+def signed_sets(docs: DataFrame, nodes: np.ndarray, shared: np.ndarray | None, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, level, need, signature) of rows that the filter `nodes` holds: all bare signatures, or whole rows of those that `shared` holds."""
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast((nodes, shared))
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """Words of a Bloom filter with two bits a node. Its size is fixed."""
-    bits = nodes.select(F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(j)), F.lit(BLOOM_BITS)) for j in (0, 1)])).alias("bit"))
-    words = bits.groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS INT)))").alias("bits"))
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    got = words.toPandas()
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(_U)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler, (mine, common) = Shingler(words), sent.value
+        for batch in batches:
+            part = batch[_held(mine, batch["bit0"].to_numpy(np.int64), batch["bit1"].to_numpy(np.int64))]
+            for s in range(0, len(part), 256):
+                some = part.iloc[s: s + 256]
+                signed = signatures(*shingler(some["text"].tolist()), percent)
+                if common is None:
+                    yield pd.DataFrame({"signature": signed.signature})
+                else:
+                    kept = _held(common, *_marks(signed.signature))
+                    ids = some["id"].to_numpy(np.int64)
+                    yield pd.DataFrame({"node": ids[signed.of[kept]], "level": signed.level[kept], "need": signed.need[kept], "signature": signed.signature[kept]})
+
+    return _texts(docs, id_col, text_col).mapInPandas(read, "signature long" if shared is None else "node long, level long, need long, signature long")
+
+
+def _signature_bloom(keys: DataFrame) -> np.ndarray:
+    """The filter of signatures, with the bits of `_marks`."""
+    low, high = F.pmod("signature", F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned("signature", 23), F.lit(BLOOM_BITS))
+    return _filter(keys.select(F.explode(F.array(low, high)).alias("bit")))
+
+
+def candidate_families(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, family) of nodes that may be linked with others, by signatures."""
+    mine = _bloom(nodes, "node")
+    bare = signed_sets(docs, mine, None, words, percent, id_col, text_col)
+    shared = cut_lineage(bare.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "shared-signatures")
+    rows = cut_lineage(signed_sets(docs, mine, _signature_bloom(shared), words, percent, id_col, text_col), "signed")
+    # The filter lets a few signatures through that come once; what it cannot hold at all sizes is settled by this join.
+    counts = rows.join(shared, "signature", "left_semi").groupBy("node", "level").agg(F.count("*").alias("n"), F.min("need").alias("least"))
+    stay = cut_lineage(counts.where("n >= least").select("node", "level"), "staying")
+    discard(shared)
+    staying = rows.join(stay, ["node", "level"], "left_semi").select("signature", "node")
+    first = staying.groupBy("signature").agg(F.min("node").alias("first"))
+    stars = staying.join(first, "signature").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    families = cut_lineage(components(stars).withColumnRenamed("component", "family"), "families")
+    discard(rows, stay)
+    return families
 
 
 def family_sets(docs: DataFrame, families: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(family, node, hashes) of every family member's sets. Rows that cannot be members are left out before the join."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(families))
+    """(family, node, hashes) of every family member's sets, repeated rows included. Rows that cannot be members are left out before the join."""
+    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(families, "node"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler, held = Shingler(words), bloom.value
         for batch in batches:
-            sure = np.ones(len(batch), bool)
-            for bit in ("bit0", "bit1"):
-                at = batch[bit].to_numpy(np.int64)
-                sure &= (held[at // 64] >> (at % 64).astype(_U)) & _U(1) == 1
-            part = batch[sure]
+            part = batch[_held(held, batch["bit0"].to_numpy(np.int64), batch["bit1"].to_numpy(np.int64))]
             for s in range(0, len(part), 256):
                 some = part.iloc[s: s + 256]
                 hashes, starts = shingler(some["text"].tolist())
                 yield pd.DataFrame({"id": some["id"].array, "hashes": [hashes[a:b].tobytes() for a, b in zip(starts, starts[1:])]})
 
-    doc = F.col(id_col).cast("long")
-    rows = docs.where(doc.isNotNull()).select(doc.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                                              *[F.pmod(F.xxhash64(doc, F.lit(j)), F.lit(BLOOM_BITS)).alias(f"bit{j}") for j in (0, 1)])
-    sets = rows.mapInPandas(read, "id long, hashes binary").where(F.length("hashes") > 0)
-    return sets.join(families, F.col("id") == F.col("node")).select("family", "node", "hashes").distinct()
+    sets = _texts(docs, id_col, text_col).mapInPandas(read, "id long, hashes binary").where(F.length("hashes") > 0)
+    return sets.join(families, F.col("id") == F.col("node")).select("family", "node", "hashes")
 
 
 def _by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -310,11 +404,24 @@ def _by_key(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield pd.concat(held)
 
 
+def _once(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted rows without those that repeat the row before, however many there are."""
+    last = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        told = batch[[*keys, "node", "hashes"]]
+        fresh = (told != told.shift()).any(axis=1)
+        fresh.iloc[0] = last is None or tuple(told.iloc[0]) != last
+        last = tuple(told.iloc[-1])
+        yield batch[fresh]
+
+
 def _linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """(a, b): new links within each key. Members with equal `settled` are connected already."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _by_key(batches, keys):
+        for group in _by_key(_once(batches, keys), keys):
             nodes = group["node"].to_numpy()
             groups, seen = Groups(len(group)), {}
             for i, s in enumerate(group["settled"]):
@@ -323,22 +430,21 @@ def _linked(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
             links = trie_links([np.frombuffer(h, _U) for h in group["hashes"]], groups, percent)
             yield pd.DataFrame({"a": [nodes[i] for i, _ in links], "b": [nodes[j] for _, j in links]}, dtype=np.int64)
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "node", "hashes")
     return dealt.select(*keys, "node", F.col("settled").cast("double").alias("settled"), "hashes").mapInPandas(read, "a long, b long")
 
 
 def exact_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): links enough to connect what is connected, each of them exact."""
     sets = sets.withColumn("n", (F.length("hashes") / 8).cast("long"))
-    loads = sets.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"), F.min("node").alias("pivot"))
-    loads = cut_lineage(loads, "loads")
-    dealt = sets.join(loads, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = cut_lineage(dealt, "family-sets")
+    members = sets.groupBy("family", "node", "n").agg(F.lit(1).alias("one"))  # repeated rows count once
+    loads = members.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK, F.count("*") / SETS)).alias("blocks"), F.min("node").alias("pivot"))
+    dealt = sets.join(cut_lineage(loads, "loads"), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     none = F.lit(None).cast("long").alias("settled")
     inside = dealt.select("family", "block", "node", "hashes", none)
     # The first node of a split family meets every block of it.
     pivots = dealt.where("node = pivot AND blocks > 1").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "hashes", none)
-    links = cut_lineage(_linked(inside.union(pivots).distinct(), ["family", "block"], percent), "links")
+    links = cut_lineage(_linked(inside.union(pivots), ["family", "block"], percent), "links")
     large = dealt.where("blocks > 1")
     if not large.limit(1).count():
         return links
@@ -353,19 +459,18 @@ def exact_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     one = there.select("family", "block", every("apart_blocks").alias("against"), "node", "hashes", "settled")
     other = there.where("apart").select("family", every("blocks").alias("block"), F.pmod(F.xxhash64("node"), F.col("apart_blocks")).alias("against"), "node", "hashes", "settled")
-    return links.union(_linked(one.union(other).distinct(), ["family", "block", "against"], percent))
+    return links.union(_linked(one.union(other), ["family", "block", "against"], percent))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    rows = cut_lineage(shingle_sets(docs, words, percent, id_col, text_col), "shingle-sets")
+    rows = cut_lineage(shingle_sets(docs, words, id_col, text_col), "shingle-sets")
     filled = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = cut_lineage(filled.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min_by("signatures", "doc_id").alias("signatures")), "classes")
-    signed = classes.select("node", F.explode("signatures").alias("signature"))
-    ties = signed.groupBy("signature").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
-    stars = signed.join(ties, "signature").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    families = cut_lineage(components(stars).withColumnRenamed("component", "family"), "families")
-    links = cut_lineage(exact_links(family_sets(docs, families, words, id_col, text_col), percent), "all-links")
+    classes = cut_lineage(filled.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
+    families = candidate_families(docs, classes, words, percent, id_col, text_col)
+    sets = cut_lineage(family_sets(docs, families, words, id_col, text_col), "family-sets")
+    links = cut_lineage(exact_links(sets, percent), "all-links")
+    discard(sets, families)
     member = filled.select("doc_id", "digest").join(classes.select("digest", "node"), "digest")
     same_id = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a")).where("a > b").select("a", "b")
     many = member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
