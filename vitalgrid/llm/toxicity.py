@@ -89,13 +89,13 @@ class Index:
         return places, scores
 
 
-def _vocabulary(texts: list[list[bytes]], labels: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
+def _vocabulary(texts: list[str], labels: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
     """Terms by chi-squared against the label, and how many examples hold each."""
     held: tuple[Counter, Counter] = (Counter(), Counter())
     known: dict[bytes, list[str]] = {}
-    for words, label in zip(texts, labels):
+    for text, label in zip(texts, labels):
         seen: set[str] = set()
-        for word in set(words):
+        for word in set(words_of(text)):
             if word not in known:
                 known[word] = terms_of(word)
             seen.update(known[word])
@@ -129,10 +129,9 @@ def _counted(words: list[bytes], terms: dict[str, int], known: dict[bytes, tuple
 
 def build_index(ids: list, texts: list[str], labels: np.ndarray, block: int = BLOCK) -> tuple[Index, list[Counter]]:
     """Index of all examples that hold a term; term counts of every example."""
-    split = [words_of(t) for t in texts]
-    terms, df = _vocabulary(split, labels)
+    terms, df = _vocabulary(texts, labels)  # texts are split one at a time, twice: the words of all do not fit a small driver
     known: dict[bytes, tuple[int, ...]] = {}
-    counts = [_counted(words, terms, known) for words in split]
+    counts = [_counted(words_of(t), terms, known) for t in texts]
     index = Index(terms, np.log((1 + len(texts)) / (1 + df)) + 1, [], np.zeros(0, bool), *[np.zeros(0)] * 4, block)
     vectors = {i: index.vector(c) for i, c in enumerate(counts) if c}
     order = sorted(vectors, key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
