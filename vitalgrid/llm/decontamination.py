@@ -7,7 +7,7 @@
    places that matched. Only windows with both anchors in place go on.
 4. Those alignments are compared word by word with the document. Matches are exact; the index only says where to look.
 
-Postings are spread by (document, item, alignment), so neither a frequent term nor a passage that many documents share meets
+Postings are spread by (document, item, alignment), rows without ids by their texts, so neither a frequent term nor a passage that many documents share meets
 in one task. Benchmark tables are joined without hints: Spark broadcasts them below its size threshold and shuffles otherwise.
 
 Null and empty texts have no words. Repeated documents give repeated rows; each row is compared with its own text,
@@ -65,29 +65,36 @@ def item_windows(items: DataFrame, counts: DataFrame, window: int = WINDOW, whol
                                           F.element_at("by", F.least(F.size("by"), F.lit(2)))["place"].alias("second"))
 
 
+def mark(id_col: str, text_col: str) -> Column:
+    """What tells rows without an id apart: a digest of their text. Rows with an id need none."""
+    return F.when(F.col(id_col).isNull(), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("mark")
+
+
 def index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Postings (term, doc_id, pos) of the given terms over all documents; positions count from 0."""
-    postings = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
-    return postings.join(terms, "term", "left_semi").select("term", "doc_id", "pos")
+    """Postings (term, doc_id, mark, pos) of the given terms over all documents; positions count from 0."""
+    postings = docs.select(F.col(id_col).alias("doc_id"), mark(id_col, text_col), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
+    return postings.join(terms, "term", "left_semi").select("term", "doc_id", "mark", "pos")
 
 
 def alignments(postings: DataFrame, items: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, item, shift, spans): windows whose anchors all lie in place when the item is laid at `shift`."""
+    """(doc_id, mark, item, shift, spans): windows whose anchors all lie in place when the item is laid at `shift`."""
     anchors = windows.select("item", F.explode(F.array("first", "second")).alias("place")).distinct()
     placed = items.select("item", F.posexplode("tokens").alias("place", "term")).join(anchors, ["item", "place"])
-    shifted = postings.join(placed, "term").select("doc_id", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
-    met = shifted.groupBy("doc_id", "item", "shift").agg(F.collect_set("place").alias("met"))
-    wanted = windows.groupBy("item").agg(F.collect_list(F.struct("start", "length", "first", "second")).alias("windows"))
+    shifted = postings.join(placed, "term").select("doc_id", "mark", "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
+    met = shifted.groupBy("doc_id", "mark", "item", "shift").agg(F.collect_set("place").alias("met"))
+    # Of the benchmark's size and staged, so that its size is known and a much-copied item can be split over tasks.
+    wanted = cut_lineage(windows.groupBy("item").agg(F.collect_list(F.struct("start", "length", "first", "second")).alias("windows")), "item-windows")
     spans = F.filter("windows", lambda w: F.array_contains("met", w["first"]) & F.array_contains("met", w["second"]) & (w["start"] + F.col("shift") >= 0))
     spans = F.transform(spans, lambda w: F.struct(w["start"].alias("start"), w["length"].alias("length")))
-    return met.join(wanted, "item").select("doc_id", "item", "shift", spans.alias("spans")).where(F.size("spans") > 0)
+    return met.join(wanted, "item").select("doc_id", "mark", "item", "shift", spans.alias("spans")).where(F.size("spans") > 0)
 
 
 def phrase_matches(docs: DataFrame, found: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: kept columns, tokens and `matches` of (item_id, start, length), the windows found word for word."""
-    named = found.join(items, "item").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "spans", F.col("tokens").alias("item_tokens"))).alias("laid"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"))
-    rows = rows.join(named.withColumnRenamed("doc_id", "_found"), F.col("doc_id").eqNullSafe(F.col("_found")), "left").drop("_found")
+    named = found.join(items, "item").groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item_id", "shift", "spans", F.col("tokens").alias("item_tokens"))).alias("laid"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"), mark(id_col, text_col).alias("_mark"))
+    named = named.withColumnsRenamed({"doc_id": "_found", "mark": "_found_mark"})
+    rows = rows.join(named, F.col("doc_id").eqNullSafe(F.col("_found")) & F.col("_mark").eqNullSafe(F.col("_found_mark")), "left").drop("_found", "_found_mark", "_mark")
     rows = rows.withColumn("tokens", words(F.col("_text"))).drop("_text")
 
     def same(place: Column, span: Column) -> Column:
