@@ -102,7 +102,7 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         rate, x = _rate(F.col("tilt"), F.col("size"), F.col("mean"), cap), F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size") * rate * WORD_UNIT
         slope = F.when(~_at_cap(F.col("tilt"), F.col("size"), F.col("mean"), cap), words * x).otherwise(F.lit(0.0))
-        sums = rows.groupBy("source").agg(F.sum(F.round(words).cast("long")).alias("_words"), F.sum(F.round(slope).cast("long")).alias("_slope"))
+        sums = rows.groupBy("source").agg(*[F.sum(F.round(v).cast("decimal(38,0)")).cast("double").alias(n) for v, n in ((words, "_words"), (slope, "_slope"))])
         moved = null_safe_join(state, sums, ["source"], "left")
         over = F.col("_words") / WORD_UNIT - F.col("target")
         low = F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))
@@ -129,6 +129,8 @@ def mix_sizes(sizes: DataFrame, cap: float = CAP, weights: tuple[int, ...] = WEI
     """`mix` over (doc_id, source, size) and any further columns, which are kept."""
     extra = [c for c in sizes.columns if c not in ("doc_id", "source", "size")]
     sizes = cut_lineage(sizes, "sizes")
+    # What tells rows apart, so that rows without an id are not one chunk.
+    told = ["doc_id", "size", *[n for n, t in sizes.dtypes if n in extra and t in ("bigint", "string")]]
     targets = cut_lineage(source_targets(sizes, weights, cap), "targets")
     counts = cut_lineage(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     tilts = balance(counts, targets, cap)
@@ -141,7 +143,7 @@ def mix_sizes(sizes: DataFrame, cap: float = CAP, weights: tuple[int, ...] = WEI
     rated = null_safe_join(filled, per_band, ["source", "band"])
     rate = F.round(_rate(F.col("tilt"), F.col("size"), F.col("mean"), cap) * RATE_UNIT).cast("long")
     rated = cut_lineage(rated.select("doc_id", "source", "size", *extra, "source_size", "target", "band",
-                                     F.pmod(F.xxhash64("doc_id"), F.col("_chunks")).alias("chunk"), rate.alias("_rate")), "rated")
+                                     F.pmod(F.xxhash64(*told), F.col("_chunks")).alias("chunk"), rate.alias("_rate")), "rated")
     totals = rated.groupBy("source", "band", "chunk").agg(F.sum("_rate").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy(F.desc("band"), "chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut_lineage(totals.select("source", "band", "chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start")), "starts")
