@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -55,22 +57,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+class Hashes(dict):
+    """Words' hashes, worked out when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sets of shingle hashes of many texts at once."""
 
     def __init__(self, words: int = WORDS) -> None:
-        self.words, self.known = words, {}
+        self.words, self.known = words, Hashes()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of all texts, one text after another, and where each begins."""
         split = [t.encode().lower().split() for t in texts]
         if len(self.known) > MEMORY:
             self.known.clear()
-        known = self.known
-        for w in set().union(*split).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
         lengths = np.array([len(s) for s in split], np.int64)
-        flat = np.fromiter((known[w] for s in split for w in s), _U, int(lengths.sum()))
+        flat = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), _U, int(lengths.sum()))
         starts = np.concatenate([[0], np.cumsum(lengths)])
         k = self.words
         owner = np.repeat(np.arange(len(texts)), lengths)
@@ -94,6 +101,7 @@ class Shingler:
         return hashes, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+@lru_cache(maxsize=None)
 def size_classes(percent: int) -> np.ndarray:
     """Lower bounds of the classes; the first has sizes at which linked sets are equal. Partners are in one class or in neighbours."""
     bounds = [1, next(n for n in range(1, 10_000) if max_difference(n, percent))]
@@ -102,6 +110,7 @@ def size_classes(percent: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
+@lru_cache(maxsize=None)
 def max_difference(small: int, percent: int) -> int:
     """Most elements by which a set and one of at least its size, `small`, may differ when linked."""
     large = small * 100 // percent
