@@ -33,7 +33,6 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vitalgrid.llm.common import cut_lineage, null_safe_join
 
@@ -168,10 +167,10 @@ def chunks(turns: DataFrame, size: int = CHUNK, conv_col: str = "conv_id", turn_
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("head"), F.col("digest")]
     dealt = entries.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "turn", "role", "text", "symbol", "copies")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         part, number, held, chars, conv = TaskContext.get().partitionId(), 0, [], 0, None
 
-        def close(more: bool) -> pd.DataFrame:
+        def close(more: bool) -> dict:
             nonlocal number, held, chars
             turn, role, text, symbol, copies = zip(*held)
             turn = [None if pd.isna(t) else int(t) for t in turn]
@@ -185,8 +184,7 @@ def chunks(turns: DataFrame, size: int = CHUNK, conv_col: str = "conv_id", turn_
                    "blank": fault("b"), "duplicate": fault("x") + alone, "truncated": sum(c.isupper() for c in symbol),
                    "illegal": sum(a + b not in LEGAL for a, b in zip(initials, initials[1:])) + sum(n - 1 for n in copies)}
             number, held, chars = number + 1, [], 0
-            out = pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
-            return out
+            return row
 
         for batch in batches:
             keys = batch["conv"].astype(object).where(batch["conv"].notna(), None)
@@ -203,17 +201,17 @@ def chunks(turns: DataFrame, size: int = CHUNK, conv_col: str = "conv_id", turn_
     return dealt.mapInPandas(lambda batches: _joined(pack(batches)), schema)
 
 
-def _joined(frames: Iterator[pd.DataFrame], rows: int = 256, chars: int = 1 << 23) -> Iterator[pd.DataFrame]:
-    """Small frames joined to larger ones."""
+def _joined(rows: Iterator[dict], most: int = 512, chars: int = 1 << 23) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size."""
     held, size = [], 0
-    for f in frames:
-        held.append(f)
-        size += sum(map(len, f["texts"].iloc[0])) if "texts" in f else 0
-        if len(held) >= rows or size >= chars:
-            yield pd.concat(held, ignore_index=True)
+    for row in rows:
+        held.append(row)
+        size += sum(map(len, row["texts"]))
+        if len(held) >= most or size >= chars:
+            yield pd.DataFrame(held, dtype=object)
             held, size = [], 0
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pd.DataFrame(held, dtype=object)
 
 
 def links(cut: DataFrame) -> DataFrame:
