@@ -372,3 +372,12 @@ def test_one_baseline_for_all_measures(spark):
     ids = {"query.mean_ms", "health.connections", "database.size_bytes", "archiver.failed_count"}
     assert {(r["snapshot_id"], r["id"]) for r in got.collect()} == {(s, i) for s in (2, 3) for i in ids}
     assert {r["first_observed"] for r in got.collect()} == {0}
+
+
+def test_settings_are_dealt_out_before_they_are_sorted(spark):
+    """One file of settings is one task: a sort ahead of the exchange would hold all of it."""
+    df = R.pivot_settings(spark.createDataFrame([(1, "fsync", "off"), (1, "wal_level", "replica"), (2, "fsync", "on"), (2, "other", "x")],
+                                                "target_id long, name string, value string"), ["fsync", "wal_level"])
+    assert sorted(map(tuple, df.collect())) == [(1, "off", "replica"), (2, "on", None)]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Exchange" in plan and "Aggregate" not in plan.split("Exchange", 1)[1] and "Sort" not in plan.split("Exchange", 1)[1]

@@ -577,8 +577,9 @@ def pivot_settings(params: DataFrame, names: Iterable[str]) -> DataFrame:
 
     Settings that carry a snapshot give one row per snapshot, so a switch that was turned off is seen off only then.
     """
-    names = list(names)
-    return (params.where(c("name").isin(*names)).groupBy(*setting_keys(params))
+    names, keys = list(names), setting_keys(params)
+    # The largest of texts is found by sorting: rows are dealt out by key first, so that no task sorts a whole split of them.
+    return (params.where(c("name").isin(*names)).repartition(*keys).groupBy(*keys)
             .agg(*[F.max(F.when(c("name") == n, c("value"))).alias("p_" + n) for n in names]))
 
 
