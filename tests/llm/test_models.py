@@ -268,3 +268,17 @@ def test_words_of_every_frequency_are_counted_in_ranges(spark, documents, rows,
     here = rows(context_mixing.score(documents(data)), "doc_id")
     monkeypatch.setattr(context_mixing, "FREQUENT", 20)
     assert [r["score"] for r in rows(context_mixing.score(documents(data)), "doc_id")] == pytest.approx([r["score"] for r in here])
+
+
+def test_classes_and_weights_are_learned_from_all_training_texts(spark, documents, monkeypatch):
+    """Every training text counts, whole: a word of the ends of long texts alone, and more texts than a sample would hold."""
+    seen = []
+    told = context_mixing.fitted
+    monkeypatch.setattr(context_mixing, "fitted", lambda top, total, k, rounds: seen.append((top, total(lambda counted: np.array([float(counted[3])])))) or told(top, total, k, rounds))
+    data = [(i, ("le la " if i % 2 else "the of ") * 3 + "x" * 5000 + " tail") for i in range(1600)]
+    plain = documents(data).select("doc_id", "text")
+    counted = context_mixing.token_counts(plain.selectExpr("text", "true AS learned"), context_mixing.Classes({}, np.zeros((0, 1)), np.zeros(1))).selectExpr("word", "n AS total")
+    classes = context_mixing.class_fit(plain, counted)
+    top, texts = seen[0]
+    assert b"tail" in top and texts.tolist() == [1600]
+    assert classes.of([b"le", b"la"]) != classes.of([b"the", b"of"])

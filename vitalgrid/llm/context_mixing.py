@@ -1,7 +1,7 @@
 """Language-model scores by logistic mixing of hashed-context bit predictors.
 
-A text is its lower-cased words, then an end. It first names its class, one of a few mixtures of words fitted on a bounded
-sample of training texts (the class that likes the text best; naming it costs its share). Each word is then spelt bit by bit, from
+A text is its lower-cased words, then an end. It first names its class, one of a few mixtures of words fitted on all
+training texts, each whole (the class that likes the text best; naming it costs its share). Each word is then spelt bit by bit, from
 its first byte to the space behind it; the end is one byte of its own. A byte's bits are those of a prefix code made from the
 most frequent words, so common bytes take few. Predictors see the last 2, 3 or 4 bytes of the word or all of it so far, with or
 without the class. The three short ones look their context and the bits of the current byte up in hashed tables of fixed size, filled with the
@@ -9,8 +9,9 @@ zeros and ones of all training tokens. The counts of the whole word so far are e
 are: words are sorted into ranges, and a range has all words of its prefixes but those its ends share with other ranges, which
 are summed apart. The log-odds are mixed by weights that two gates
 choose, the place in the word and which is the longest context known and how well, and a map from mixed odds to observed
-frequencies refines the result. Weights and map are learned before scoring, in small steps, on a bounded sample of words, each
-predicted as if one occurrence of it had not been counted, and do not change while texts are scored.
+frequencies refines the result. Weights and map are learned before scoring, in small steps, on all training words, each
+predicted as if one occurrence of it had not been counted, and do not change while texts are scored. Every range learns from its own
+words; what ranges learned is averaged by how much each saw.
 
 A word's probability so depends on word and class only; it is worked out once, into a table of all words. Within a text a last predictor adapts: a
 word seen before in the text is also expected by its share of the words so far, by a weight that follows how often words have come again.
@@ -30,7 +31,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import cut_lineage, fold
+from vitalgrid.llm.common import cut_lineage, discard, fold
 
 END = b"\n"
 #: Per predictor, from short to long: bytes that it sees (0: the whole word so far), whether it sees the class, bits of its table's slots.
@@ -48,12 +49,12 @@ PREDICTORS = ((2, True, 18), (3, True, 19), (4, False, 20), (0, True, 21))
 M, WHOLE = len(PREDICTORS), 3
 STARTS = [sum(1 << b for _, _, b in PREDICTORS[:m]) for m in range(len(PREDICTORS) + 1)]
 SLOTS, CHUNK, PIECES = STARTS[-1], 1 << 12, 4
-#: Most frequent words of classes whose counts and probabilities travel to all tasks; words of the sample; partial tables summed at once.
-FREQUENT, SAMPLE, FAN_IN = 1 << 17, 12_000, 64
+#: Most frequent words of classes whose counts and probabilities travel to all tasks; partial tables summed at once.
+FREQUENT, FAN_IN = 1 << 17, 64
 #: Bytes of words in a range.
 RANGE = 1 << 19
-#: Classes; texts they are fitted on, characters of each, words they tell apart.
-CLASSES, CLASS_TEXTS, CLASS_CHARS, CLASS_WORDS = 8, 1200, 4096, 4096
+#: Classes; most frequent words that they tell apart and that they begin from; texts looked at together.
+CLASSES, CLASS_WORDS, SEED_WORDS, CLASS_BATCH = 8, 4096, 256, 1000
 #: Words counted before a task passes its counts on.
 COUNTED = 1_000_000
 PLACES, SURE, BUCKETS, BLOCK, EPOCHS, RATE = 16, 5, 33, 4096, 2, 0.01
@@ -186,18 +187,25 @@ class Mixer:
         grid = np.tile(np.linspace(-12, 12, BUCKETS), (M + 1, 1))
         return cls(code, tables, np.zeros((PLACES, M)), np.full(((M + 1) * SURE, M), 1.5 / M), grid)
 
-    def learn(self, x: np.ndarray, place: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One online step over a few bits."""
+    def learn(self, x: np.ndarray, place: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, rate: float, seen: list[np.ndarray]) -> None:
+        """One online step over a few bits; `seen` sums the weight that each row of `parts` met."""
         z = np.clip(((self.by_place[place] + self.by_known[gate]) * x).sum(1), -11.99, 11.99)
         off = (bits - 1 / (1 + np.exp(-z))) * weight
-        for weights, chosen in ((self.by_place, place), (self.by_known, gate)):
-            share = np.sqrt(1 + np.bincount(chosen, weights=weight, minlength=len(weights)))
+        cell = gate // SURE * BUCKETS + np.rint((z + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
+        met = [np.bincount(chosen, weights=weight, minlength=len(part)) for chosen, part in zip((place, gate, cell), self.parts())]
+        for weights, chosen, mass in zip((self.by_place, self.by_known), (place, gate), met):
+            share = np.sqrt(1 + mass)
             for m in range(M):
                 weights[:, m] += rate * np.bincount(chosen, weights=off * x[:, m], minlength=len(weights)) / share
-        cell = gate // SURE * BUCKETS + np.rint((z + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
         flat = self.refined.reshape(-1)
         miss = np.bincount(cell, weights=(bits - 1 / (1 + np.exp(-flat[cell]))) * weight, minlength=flat.size)
-        flat += 0.5 * miss / (1 + np.bincount(cell, weights=weight, minlength=flat.size))
+        flat += 0.5 * miss / (1 + met[2])
+        for total, mass in zip(seen, met):
+            total += mass
+
+    def parts(self) -> list[np.ndarray]:
+        """What is learned, as rows: views of both gates' weights and of the map."""
+        return [self.by_place, self.by_known, self.refined.reshape(-1, 1)]
 
     def settle(self) -> Mixer:
         """Tabulate what scoring needs: summed weights, and final probabilities as the mean of mixed and refined ones."""
@@ -226,36 +234,35 @@ class Mixer:
         return owner, self.final[self.code.bits[at], gate // SURE, level]
 
 
-def fit_mixer(code: Code, zeros: np.ndarray, ones: np.ndarray, words: list[bytes], kinds: np.ndarray, weights: np.ndarray, whole: tuple[np.ndarray, np.ndarray, np.ndarray], seed: int = 5) -> Mixer:
-    """Learning in small steps over the sample's bits; each word is predicted from counts without one occurrence of its own.
+def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCounts, n: np.ndarray, seed: int = 5) -> list[np.ndarray]:
+    """Learning in small steps over the bits of a range's words; each word is predicted from counts without one occurrence of its own.
 
-    `whole` has the whole-word contexts' sorted keys, zeros and ones.
+    Gives the weight that each row of the mixer's parts met. `zeros` and `ones` are the short predictors' counts.
     """
-    tables = np.empty(len(zeros), np.int16)
-    for s in range(0, len(tables), 1 << 16):  # piece by piece, for the driver's memory
-        tables[s: s + (1 << 16)] = packed(zeros[s: s + (1 << 16)], ones[s: s + (1 << 16)])
-    mixer = Mixer.fresh(code, tables)
-    if not words:
-        return mixer.settle()
-    flat, word, place = spelled(words)
-    owner, at = code.spelt(flat)
-    hashes, word = contexts(flat, place, kinds[word]), word[owner]
-    bits = code.bits[at].astype(np.int64)
-    counts = [(zeros[s], ones[s]) for s in slots(hashes, owner, code.nodes[at])[:WHOLE]]
-    spot = np.searchsorted(whole[0], whole_keys(hashes, owner, code.nodes[at]))
-    counts.append((whole[1][spot], whole[2][spot]))
+    seen = [np.zeros(len(part)) for part in mixer.parts()]
+    owner, at = mixer.code.spelt(held.flat)
+    hashes, word = contexts(held.flat, held.place, held.kinds[held.word]), held.word[owner]
+    learned = n[word] > 0
+    if not learned.any():
+        return seen
+    owner, at, word, of = owner[learned], at[learned], word[learned], held.of[learned]
+    bits = mixer.code.bits[at].astype(np.int64)
+    counts = [(zeros[s], ones[s]) for s in slots(hashes, owner, mixer.code.nodes[at])[:WHOLE]]
+    counts.append((held.zeros[of], held.ones[of]))
     cells = [packed(np.maximum(z - (1 - bits), 0), np.maximum(o - bits, 0)) for z, o in counts]
-    x, gate, spot = np.stack([(c >> 3) * np.float32(1 / 256) for c in cells], axis=-1), gates(cells), np.minimum(place, PLACES - 1)[owner]
-    weight = np.minimum(weights[word] / weights.mean(), 50.0)  # a step of the online rule, not a share of the loss
+    x, gate, spot = np.stack([(c >> 3) * np.float32(1 / 256) for c in cells], axis=-1), gates(cells), np.minimum(held.place, PLACES - 1)[owner]
+    del hashes, counts, cells
+    mean = n[n > 0].mean()
+    weight = np.minimum(n[word] / mean, 50.0)  # a step of the online rule, not a share of the loss
     rng = np.random.default_rng(seed)
     step, steps = 0, EPOCHS * -(-len(bits) // BLOCK)
     for _ in range(EPOCHS):
         order = rng.permutation(len(bits))
         for s in range(0, len(order), BLOCK):
             i = order[s: s + BLOCK]
-            mixer.learn(x[i], spot[i], gate[i], bits[i], weight[i], RATE * (1 - step / steps))
+            mixer.learn(x[i], spot[i], gate[i], bits[i], weight[i], RATE * (1 - step / steps), seen)
             step += 1
-    return mixer.settle()
+    return [mass * (mean / EPOCHS) for mass in seen]
 
 
 # --- classes of texts ---------------------------------------------------------------------------------------------------------
@@ -273,38 +280,94 @@ class Classes:
         return int((self.logs[at].sum(0) + self.prior).argmax()) if at else int(self.prior.argmax())
 
 
-def fit_classes(texts: list[str], k: int = CLASSES, rounds: int = 25) -> Classes:
-    """Expectation-maximisation from the texts that are least alike."""
-    totals: Counter = Counter()
-    for text in texts:
-        totals.update(tokens_of(text))
-    top = sorted(totals, key=lambda w: (-totals[w], w))[:CLASS_WORDS]
-    words = {w: i for i, w in enumerate(top)}
-    counts = np.zeros((len(texts), len(top)), np.float32)
-    del totals
-    for row, text in zip(counts, texts):
-        at = [words[w] for w in tokens_of(text) if w in words]
-        np.add.at(row, at, 1)
-    counts = counts[counts.sum(1) > 0]
-    if not len(counts):
+Counted = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def counted_words(ids: list[np.ndarray], n: list[np.ndarray]) -> Counted:
+    """Of all texts' (word ids, counts): each entry's text, word and count, and the number of texts."""
+    return np.repeat(np.arange(len(ids)), [len(i) for i in ids]), np.concatenate(ids).astype(np.int64), np.concatenate(n).astype(float), len(ids)
+
+
+def words_in(text: str, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a text's known words, and how often each occurs."""
+    return np.unique(np.array([i for i in map(words.get, tokens_of(text)) if i is not None], np.int32), return_counts=True)
+
+
+def by_share(counted: Counted, share: np.ndarray, size: int) -> np.ndarray:
+    """(classes, words): counts of all texts' words, dealt out to classes by the texts' shares."""
+    owner, ids, n, _ = counted
+    return np.stack([np.bincount(ids, weights=n * share[owner, c], minlength=size) for c in range(share.shape[1])])
+
+
+def together(counted: Counted, size: int) -> np.ndarray:
+    """(words, words): texts that have both of two words, of the first `size` words."""
+    owner, ids, _, texts = counted
+    has = np.zeros((texts, size), np.float32)
+    first = ids < size
+    has[owner[first], ids[first]] = 1
+    return (has.T @ has).astype(float)
+
+
+def holding(counted: Counted, seeds: list[int], size: int) -> np.ndarray:
+    """Counts of the words of texts that hold each seed, then of all texts; after them how many texts those are."""
+    owner, ids, _, texts = counted
+    share = np.ones((texts, len(seeds) + 1))
+    for c, seed in enumerate(seeds):
+        share[:, c] = np.bincount(owner, weights=ids == seed, minlength=texts)
+    return np.concatenate([by_share(counted, share, size).reshape(-1), share.sum(0)])
+
+
+def expected(counted: Counted, logs: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Words' counts and texts by class, as the texts' shares in classes deal them out, and the log-likelihood of all texts."""
+    owner, ids, n, texts = counted
+    z = np.stack([np.bincount(owner, weights=n * row[ids], minlength=texts) for row in logs], axis=1) + prior
+    top = z.max(1, keepdims=True)
+    share = np.exp(z - top)
+    total = share.sum(1, keepdims=True)
+    share /= total
+    return np.concatenate([by_share(counted, share, logs.shape[1]).reshape(-1), share.sum(0), [(top + np.log(total)).sum()]])
+
+
+def fitted(top: list[bytes], total: Callable[[Callable[[Counted], np.ndarray]], np.ndarray], k: int, rounds: int) -> Classes:
+    """Expectation-maximisation from frequent words that are least often together; `total` sums a function's arrays over all texts.
+
+    It ends early once a round explains the texts no better.
+    """
+    size = len(top)
+    if not size:
         return Classes({}, np.zeros((0, k)), np.log(np.full(k, 1 / k)))
-    unit = np.sqrt(counts)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    seeds, near = [int(counts.sum(1).argmax())], np.zeros(len(counts))
+    first = min(SEED_WORDS, size)
+    pairs = total(lambda counted: together(counted, first).reshape(-1)).reshape(first, first)
+    unit = pairs / np.linalg.norm(pairs, axis=1, keepdims=True)
+    seeds, near = [0], np.zeros(first)
     for _ in range(k - 1):
         near = np.maximum(near, unit @ unit[seeds[-1]])
-        seeds.append(int((near - 1e-3 * np.log(counts.sum(1))).argmin()))
-    logs = np.log(counts[seeds] + counts.mean(0) + 1e-3)
+        seeds.append(int(np.round(near, 9).argmin()))
+    held = total(lambda counted: holding(counted, seeds, size))
+    means = held[: -k - 1].reshape(k + 1, size) / held[-k - 1:, None]
+    logs = np.log(means[:k] + means[k] + 1e-3)
     logs -= np.log(np.exp(logs).sum(1, keepdims=True))
-    prior = np.log(np.full(k, 1 / k))
+    prior, texts, before = np.log(np.full(k, 1 / k)), held[-1], -math.inf
     for _ in range(rounds):
-        z = counts @ logs.T + prior
-        share = np.exp(z - z.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
-        logs = np.log(share.T @ counts + 0.05)
+        here = total(lambda counted, logs=logs, prior=prior: expected(counted, logs, prior))
+        logs = np.log(here[: k * size].reshape(k, size) + 0.05)
         logs -= np.log(np.exp(logs).sum(1, keepdims=True))
-        prior = np.log((share.sum(0) + 1) / (len(counts) + k))
-    return Classes(words, logs.T.copy(), prior)
+        prior = np.log((here[k * size: -1] + 1) / (texts + k))
+        if here[-1] - before <= 1e-6 * abs(here[-1]):
+            break
+        before = here[-1]
+    return Classes({w: i for i, w in enumerate(top)}, np.round(logs.T, 9), np.round(prior, 9))
+
+
+def fit_classes(texts: list[str], k: int = CLASSES, rounds: int = 25) -> Classes:
+    """Classes of a few texts at hand; `class_fit` has the same of a table."""
+    totals: Counter = Counter()
+    for text in texts:
+        totals.update(tokens_of(text))
+    top = sorted(totals, key=lambda w: (-totals[w], w))[:CLASS_WORDS]
+    found = [words_in(text, {w: i for i, w in enumerate(top)}) for text in texts]
+    found = [f for f in found if len(f[0])]
+    return fitted(top if found else [], lambda f: f(counted_words(*map(list, zip(*found)))), k, rounds)
 
 
 def adapted(ids: np.ndarray, logs: np.ndarray) -> float:
@@ -328,14 +391,39 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def class_sample(train: DataFrame) -> list[str]:
-    """A bounded sample of training texts, of a long one a piece placed by hash."""
-    text = F.col("text")
-    room = F.greatest(F.length(text) - CLASS_CHARS, F.lit(0))
-    start = (F.pmod(F.xxhash64("doc_id"), room + 1) + 1).cast("int")
-    mark = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    rows = train.select(mark.alias("mark"), F.substr(text, start, F.lit(CLASS_CHARS)).alias("text")).orderBy("mark", "text").limit(CLASS_TEXTS)
-    return rows.toPandas()["text"].tolist()
+def class_fit(train: DataFrame, counted: DataFrame, k: int = CLASSES, rounds: int = 25) -> Classes:
+    """Classes of all training texts, each whole; `counted` has all training words as (word, total)."""
+    ranked = counted.where(F.col("word") != F.lit(END)).orderBy(F.desc("total"), "word").limit(CLASS_WORDS).select("word").toPandas()
+    top = [bytes(w) for w in ranked["word"]]
+    words = {w: i for i, w in enumerate(top)}
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in range(0, len(batch), CLASS_BATCH):
+                found = [words_in(text, words) for text in batch["text"].iloc[s: s + CLASS_BATCH]]
+                found = [(i.astype(np.int32).tobytes(), n.astype(np.int32).tobytes()) for i, n in found if len(i)]
+                yield pd.DataFrame(found, columns=["ids", "n"])
+
+    texts = cut_lineage(train.select("text").mapInPandas(count, "ids binary, n binary"), "class-words") if top else None
+
+    def total(f: Callable[[Counted], np.ndarray]) -> np.ndarray:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = None
+            for batch in batches:
+                for s in range(0, len(batch), CLASS_BATCH):
+                    part = batch.iloc[s: s + CLASS_BATCH]
+                    here = f(counted_words(*[[np.frombuffer(x, np.int32) for x in part[c]] for c in ("ids", "n")]))
+                    out = here if out is None else out + here
+            if out is not None:
+                yield pd.DataFrame({"at": np.arange(len(out)), "value": out})
+
+        sums = texts.mapInPandas(add, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas()  # one row per place of the array
+        return sums.sort_values("at")["value"].to_numpy()
+
+    fit = fitted(top, total, k, rounds)
+    if texts is not None:
+        discard(texts)
+    return fit
 
 
 def token_counts(texts: DataFrame, classes: Classes) -> DataFrame:
@@ -484,19 +572,31 @@ def word_scores(ranges: DataFrame, edges: DataFrame, mixer: Mixer) -> DataFrame:
     return ranges.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(weigh, "kind int, word binary, n long, log double")
 
 
-def sums_of(summed: DataFrame, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Zeros and ones of the wanted (sorted) keys, the sample's."""
-    told = summed.sparkSession.sparkContext.broadcast(wanted)
+def learned_mixer(ranges: DataFrame, edges: DataFrame, code: Code, zeros: np.ndarray, ones: np.ndarray) -> Mixer:
+    """Weights and map of all training words: each range learns from its own, and averages by what each met come to the driver."""
+    tables = np.empty(len(zeros), np.int16)
+    for s in range(0, len(tables), 1 << 16):  # piece by piece, for the driver's memory
+        tables[s: s + (1 << 16)] = packed(zeros[s: s + (1 << 16)], ones[s: s + (1 << 16)])
+    told = ranges.sparkSession.sparkContext.broadcast((code, zeros, ones))  # bounded: fixed-size tables
 
-    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[among(batch["key"].to_numpy(np.int64).view(_U), told.value)]
+    def learn(group: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        spelling, no, yes = told.value
+        held = RangeCounts(spelling, group)
+        held.replace(shared["key"].to_numpy(np.int64).view(_U), shared["zeros"].to_numpy(float), shared["ones"].to_numpy(float))
+        mixer = Mixer.fresh(spelling, np.zeros(0, np.int16))
+        seen = fit_range(mixer, no, yes, held, group["n"].to_numpy(float))
+        mass = np.concatenate([np.repeat(m, part.shape[1]) for m, part in zip(seen, mixer.parts())])
+        return pd.DataFrame({"at": np.arange(len(mass)), "mass": mass, "value": mass * np.concatenate([part.reshape(-1) for part in mixer.parts()])})
 
-    zeros, ones = np.zeros(len(wanted)), np.zeros(len(wanted))
-    found = summed.mapInPandas(mine, summed.schema).toPandas()  # at most one row per wanted key
-    at = np.searchsorted(wanted, found["key"].to_numpy(np.int64).view(_U))
-    zeros[at], ones[at] = found["zeros"], found["ones"]
-    return wanted, zeros, ones
+    mixer = Mixer.fresh(code, tables)
+    sums = (ranges.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(learn, "at int, mass double, value double")
+            .groupBy("at").agg(F.sum("mass").alias("mass"), F.sum("value").alias("value")).where("mass > 0").toPandas())  # one row per weight
+    flat = np.concatenate([part.reshape(-1) for part in mixer.parts()])
+    flat[sums["at"].to_numpy(np.int64)] = np.round((sums["value"] / sums["mass"]).to_numpy(), 9)
+    for part, values in zip(mixer.parts(), np.split(flat, np.cumsum([part.size for part in mixer.parts()])[:-1])):
+        part[:] = values.reshape(part.shape)
+    told.unpersist()
+    return mixer.settle()
 
 
 def byte_weights(by_class: DataFrame) -> np.ndarray:
@@ -523,26 +623,20 @@ def text_score(ids: np.ndarray, logs: np.ndarray, c: np.ndarray, prior: float) -
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row; fold `held_out` is not learned from."""
     plain = _plain(docs, id_col, text_col).withColumn("learned", fold(F.col("doc_id")) != held_out)
-    classes = fit_classes(class_sample(plain.where("learned")))
-    ranges = cut_lineage(word_ranges(token_counts(plain, classes)), "class-counts")
-    by_class = ranges.where("n > 0")
-    counted = cut_lineage(by_class.groupBy("word").agg(F.sum("n").alias("total")), "token-counts")
+    everything = Classes({}, np.zeros((0, 1)), np.zeros(1))
+    counted = cut_lineage(token_counts(plain.where("learned"), everything).select("word", F.col("n").alias("total")), "token-counts")
     totals = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(totals["n"]), int(totals["v"])
-    # The sample: the most frequent words of classes by their counts, and drawn ones that stand for all others.
-    head = by_class.select("kind", "word", "n").orderBy(F.desc("n"), "word", "kind").limit(SAMPLE).toPandas()
-    edge = int(head["n"].iloc[-1]) if len(head) == SAMPLE else 0
-    others = by_class.select("kind", "word", "n").where(F.col("n") < edge)
-    drawn = others.orderBy(F.xxhash64("word", "kind"), "word", "kind").limit(SAMPLE).toPandas()
-    weights = np.concatenate([head["n"].to_numpy(float), drawn["n"].to_numpy(float) * (others.count() / max(len(drawn), 1))])
-    sample = pd.concat([head, drawn])
-    words, kinds = [bytes(w) for w in sample["word"]], sample["kind"].to_numpy(np.int64)
+    classes = class_fit(plain.where("learned"), counted)
+    words = cut_lineage(token_counts(plain, classes), "class-words")  # counted once: ranges read them more than once
+    ranges = cut_lineage(word_ranges(words), "class-counts")
+    discard(words)
+    by_class = ranges.where("n > 0")
     code = Code.of(byte_weights(by_class))
-    wanted = RangeCounts(code, sample).keys if len(sample) else np.zeros(0, _U)
-    shared = cut_lineage(shared_counts(ranges, code, wanted), "shared-counts")
-    summed = cut_lineage(shared.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")), "shared-sums")
-    mixer = fit_mixer(code, *bit_tables(by_class, code), words, kinds, weights, sums_of(summed, wanted))
-    edges = shared.where("edge").select("part", "key").join(summed, "key")
+    shared = cut_lineage(shared_counts(ranges, code, np.zeros(0, _U)), "shared-counts")
+    summed = shared.groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    edges = cut_lineage(shared.where("edge").select("part", "key").join(summed, "key"), "shared-sums")
+    mixer = learned_mixer(ranges, edges, code, *bit_tables(by_class, code))
     scores = word_scores(ranges, edges, mixer).join(counted, "word", "left").select("kind", "word", "n", "log", F.coalesce("total", F.lit(0)).alias("total"))
     scores = cut_lineage(scores, "word-scores")
     top = scores.orderBy(F.desc("n"), "word", "kind").limit(FREQUENT).toPandas()
