@@ -381,3 +381,13 @@ def test_settings_are_dealt_out_before_they_are_sorted(spark):
     assert sorted(map(tuple, df.collect())) == [(1, "off", "replica"), (2, "on", None)]
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "Exchange" in plan and "Aggregate" not in plan.split("Exchange", 1)[1] and "Sort" not in plan.split("Exchange", 1)[1]
+
+
+def test_settings_of_one_file_are_spread_in_many_tasks(spark):
+    """Every instance gives a row per setting; a task that spreads a whole file's instances holds all those rows for the next exchange."""
+    from vitalgrid.sources.testbed import Testbed
+
+    settings = Testbed(spark, "/root/testdata/sf0.001").params()
+    sizes = [r["count"] for r in settings.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 19 * spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert max(sizes) < sum(sizes) / 3

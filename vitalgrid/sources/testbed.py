@@ -131,7 +131,10 @@ class Testbed:
             "ssl_key_file": text(b % 7, ".key"),
         }
         rows = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in values.items()])
-        return (self.raw("customer")
+        # Every row becomes one row per setting: rows are dealt out while they are few, into partitions that are not merged again,
+        # so that no task holds all settings of a file to write them to the next exchange.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return (self.raw("customer").repartition(parts, "c_custkey")
                 .select((k + INSTANCE_BASE).alias("target_id"), F.inline(rows)))
 
     def settings_history(self) -> DataFrame:
