@@ -282,3 +282,36 @@ def test_classes_and_weights_are_learned_from_all_training_texts(spark, document
     top, texts = seen[0]
     assert b"tail" in top and texts.tolist() == [1600]
     assert classes.of([b"le", b"la"]) != classes.of([b"the", b"of"])
+
+
+def test_bits_of_a_range_are_worked_on_in_pieces(monkeypatch):
+    """What a task holds for a range is a few arrays of its bits; results do not depend on the pieces."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcdefghij", k=rng.randint(2, 24))).encode() for _ in range(60_000)})
+    group = pd.DataFrame({"kind": 0, "word": words, "n": [rng.randint(0, 9) for _ in words]})
+    code, size = context_mixing.Code.of(np.arange(1, 257)), context_mixing.STARTS[context_mixing.WHOLE]
+    zeros, ones = np.full(size, 3, np.float32), np.full(size, 2, np.float32)
+    tables = context_mixing.packed(zeros, ones)
+    monkeypatch.setattr(context_mixing, "EPOCHS", 1)
+
+    def learned(rows):
+        held, mixer = context_mixing.RangeCounts(code, rows), context_mixing.Mixer.fresh(code, tables)
+        seen = context_mixing.fit_range(mixer, zeros, ones, held, rows["n"].to_numpy(float))
+        logs = mixer.settle().log10_bits(held.flat, held.place, held.kinds[held.word], context_mixing.packed(held.zeros, held.ones)[held.of])[1]
+        return [held.keys, held.of, held.zeros, held.ones, held.ends(), *mixer.parts(), *seen, logs]
+
+    few = group.iloc[:2000]
+    want = learned(few)
+    monkeypatch.setattr(context_mixing, "PIECE", 1000, raising=False)
+    assert all((a == b).all() for a, b in zip(learned(few), want))
+    monkeypatch.undo()
+    monkeypatch.setattr(context_mixing, "EPOCHS", 1)
+    tracemalloc.start()
+    bits = len(learned(group)[-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bits > 3_000_000 and peak < 80 * bits

@@ -51,8 +51,8 @@ STARTS = [sum(1 << b for _, _, b in PREDICTORS[:m]) for m in range(len(PREDICTOR
 SLOTS, CHUNK, PIECES = STARTS[-1], 1 << 12, 4
 #: Most frequent words of classes whose counts and probabilities travel to all tasks; partial tables summed at once.
 FREQUENT, FAN_IN = 1 << 17, 64
-#: Bytes of words in a range.
-RANGE = 1 << 19
+#: Bytes of words in a range; bits of them that are worked on at once.
+RANGE, PIECE = 1 << 19, 1 << 18
 #: Classes; most frequent words that they tell apart and that they begin from; texts looked at together.
 CLASSES, CLASS_WORDS, SEED_WORDS, CLASS_BATCH = 8, 4096, 256, 1000
 #: Words counted before a task passes its counts on.
@@ -112,9 +112,10 @@ class Code:
     def spelt(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each bit of all bytes: which byte it belongs to, and its place among the codes' nodes."""
         lengths = self.lengths[flat]
-        owner = np.repeat(np.arange(len(flat)), lengths)
         ends = np.cumsum(lengths)
-        return owner, np.arange(len(owner)) + np.repeat(self.begin[flat] - ends + lengths, lengths)
+        kind = np.int32 if not len(ends) or ends[-1] < 1 << 31 else np.int64
+        owner = np.repeat(np.arange(len(flat), dtype=kind), lengths)
+        return owner, np.arange(len(owner), dtype=kind) + np.repeat((self.begin[flat] - ends + lengths).astype(kind), lengths)
 
 
 def contexts(flat: np.ndarray, place: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
@@ -145,6 +146,11 @@ def slots(hashes: list[np.ndarray], owner: np.ndarray, nodes: np.ndarray) -> lis
     return [((h[owner] + spread) * _K2 >> _U(64 - bits)).astype(np.int64) + STARTS[m] for m, (h, (_, _, bits)) in enumerate(zip(hashes, PREDICTORS))]
 
 
+def pieces(n: int) -> Iterator[slice]:
+    """Slices of at most PIECE bits: what is worked out per bit takes many times the memory of what is kept."""
+    return (slice(s, s + PIECE) for s in range(0, n, PIECE))
+
+
 def whole_keys(hashes: list[np.ndarray], owner: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """A 64-bit name of each bit's whole-word context and node."""
     return (hashes[WHOLE][owner] ^ (nodes + _U(1)) * _K1) * _K2
@@ -222,16 +228,19 @@ class Mixer:
     def log10_bits(self, flat: np.ndarray, place: np.ndarray, kind: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each bit its byte and log10 of the probability it was given; `whole` has the whole-word cells if the tables have not."""
         owner, at = self.code.spelt(flat)
-        cells = [self.tables[s] for s in slots(contexts(flat, place, kind), owner, self.code.nodes[at])[: M if whole is None else WHOLE]]
-        if whole is not None:
-            cells.append(whole)
-        gate = gates(cells)
-        cell = np.minimum(place, PLACES - 1)[owner] * len(self.by_known) + gate
-        z = np.zeros(len(owner), np.float32)
-        for weights, c in zip(self.weights, cells):
-            z += weights[cell] * (c >> 3)
-        level = np.rint(np.clip(z, -12, 12) * (1 / STEP)).astype(np.int64) + int(12 / STEP)
-        return owner, self.final[self.code.bits[at], gate // SURE, level]
+        hashes, spot, logs = contexts(flat, place, kind)[: M if whole is None else WHOLE], np.minimum(place, PLACES - 1), np.empty(len(owner))
+        for p in pieces(len(owner)):
+            cells = [self.tables[s] for s in slots(hashes, owner[p], self.code.nodes[at[p]])]
+            if whole is not None:
+                cells.append(whole[p])
+            gate = gates(cells)
+            cell = spot[owner[p]] * len(self.by_known) + gate
+            z = np.zeros(len(cell), np.float32)
+            for weights, c in zip(self.weights, cells):
+                z += weights[cell] * (c >> 3)
+            level = np.rint(np.clip(z, -12, 12) * (1 / STEP)).astype(np.int64) + int(12 / STEP)
+            logs[p] = self.final[self.code.bits[at[p]], gate // SURE, level]
+        return owner, logs
 
 
 def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCounts, n: np.ndarray, seed: int = 5) -> list[np.ndarray]:
@@ -241,26 +250,30 @@ def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCoun
     """
     seen = [np.zeros(len(part)) for part in mixer.parts()]
     owner, at = mixer.code.spelt(held.flat)
-    hashes, word = contexts(held.flat, held.place, held.kinds[held.word]), held.word[owner]
-    learned = n[word] > 0
-    if not learned.any():
+    kept = np.flatnonzero((n > 0)[held.word][owner]).astype(owner.dtype)
+    if not len(kept):
         return seen
-    owner, at, word, of = owner[learned], at[learned], word[learned], held.of[learned]
-    bits = mixer.code.bits[at].astype(np.int64)
-    counts = [(zeros[s], ones[s]) for s in slots(hashes, owner, mixer.code.nodes[at])[:WHOLE]]
-    counts.append((held.zeros[of], held.ones[of]))
-    cells = [packed(np.maximum(z - (1 - bits), 0), np.maximum(o - bits, 0)) for z, o in counts]
-    x, gate, spot = np.stack([(c >> 3) * np.float32(1 / 256) for c in cells], axis=-1), gates(cells), np.minimum(held.place, PLACES - 1)[owner]
-    del hashes, counts, cells
+    hashes, spots = contexts(held.flat, held.place, held.kinds[held.word])[:WHOLE], np.minimum(held.place, PLACES - 1).astype(np.int8)
+    cells, gate, spot, bits = np.empty((len(kept), M), np.int16), np.empty(len(kept), np.int8), np.empty(len(kept), np.int8), np.empty(len(kept), np.int8)
+    word = np.empty(len(kept), owner.dtype)
+    for p in pieces(len(kept)):
+        i = kept[p]
+        byte, here = owner[i], mixer.code.bits[at[i]].astype(np.int64)
+        counts = [(zeros[s], ones[s]) for s in slots(hashes, byte, mixer.code.nodes[at[i]])]
+        counts.append((held.zeros[held.of[i]], held.ones[held.of[i]]))
+        found = [packed(np.maximum(z - (1 - here), 0), np.maximum(o - here, 0)) for z, o in counts]
+        cells[p], gate[p], spot[p], bits[p], word[p] = np.stack(found, axis=-1), gates(found), spots[byte], here, held.word[byte]
+    del owner, at, kept, hashes
     mean = n[n > 0].mean()
-    weight = np.minimum(n[word] / mean, 50.0)  # a step of the online rule, not a share of the loss
+    weight = np.minimum(n / mean, 50.0)  # of a word's bits: a step of the online rule, not a share of the loss
     rng = np.random.default_rng(seed)
     step, steps = 0, EPOCHS * -(-len(bits) // BLOCK)
     for _ in range(EPOCHS):
         order = rng.permutation(len(bits))
         for s in range(0, len(order), BLOCK):
             i = order[s: s + BLOCK]
-            mixer.learn(x[i], spot[i], gate[i], bits[i], weight[i], RATE * (1 - step / steps), seen)
+            x = (cells[i] >> 3) * np.float32(1 / 256)
+            mixer.learn(x, spot[i], gate[i].astype(np.int64), bits[i], weight[word[i]], RATE * (1 - step / steps), seen)
             step += 1
     return [mass * (mean / EPOCHS) for mass in seen]
 
@@ -520,20 +533,35 @@ class RangeCounts:
     def __init__(self, code: Code, group: pd.DataFrame) -> None:
         self.words, self.kinds = [bytes(w) for w in group["word"]], group["kind"].to_numpy(np.int64)
         self.flat, self.word, self.place = spelled(self.words)
-        owner, at = code.spelt(self.flat)
+        self.byte, at = code.spelt(self.flat)
         hashes = contexts(self.flat, self.place, self.kinds[self.word])
-        self.owner, self.context = self.word[owner], hashes[WHOLE][owner]
-        self.keys, self.of = np.unique(whole_keys(hashes, owner, code.nodes[at]), return_inverse=True)
-        n, bits = group["n"].to_numpy(float)[self.owner], code.bits[at]
-        self.ones = np.bincount(self.of, weights=n * bits, minlength=len(self.keys))
-        self.zeros = np.bincount(self.of, weights=n * (1 - bits), minlength=len(self.keys))
+        self.context = hashes[WHOLE]
+        every = np.empty(len(at), _U)
+        for p in pieces(len(at)):
+            every[p] = whole_keys(hashes, self.byte[p], code.nodes[at[p]])
+        del hashes
+        order = np.argsort(every)
+        every = every[order]
+        first = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
+        self.keys, self.of = every[first], np.empty(len(at), at.dtype)
+        del every
+        for p in pieces(len(at)):
+            first_of = np.cumsum(first[p]) + (0 if p.start == 0 else last)
+            self.of[order[p]], last = first_of - 1, first_of[-1]
+        del order, first
+        n, self.zeros, self.ones = group["n"].to_numpy(float)[self.word], np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        for p in pieces(len(at)):
+            here, bits = n[self.byte[p]], code.bits[at[p]]
+            np.add.at(self.ones, self.of[p], here * bits)
+            np.add.at(self.zeros, self.of[p], here * (1 - bits))
 
     def ends(self) -> np.ndarray:
         """Which keys other ranges may share: those of contexts on the way to the first or the last word."""
         order = list(zip(self.kinds.tolist(), self.words))
         first, last = min(range(len(order)), key=order.__getitem__), max(range(len(order)), key=order.__getitem__)
         shared = np.zeros(len(self.keys), bool)
-        shared[self.of[among(self.context, np.unique(self.context[(self.owner == first) | (self.owner == last)]))]] = True
+        met = among(self.context, np.unique(self.context[(self.word == first) | (self.word == last)]))
+        shared[self.of[met[self.byte]]] = True
         return shared
 
     def replace(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
