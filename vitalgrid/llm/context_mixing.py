@@ -56,7 +56,7 @@ RANGE, PIECE = 1 << 19, 1 << 18
 #: Classes; most frequent words that they tell apart and that they begin from; texts looked at together.
 CLASSES, CLASS_WORDS, SEED_WORDS, CLASS_BATCH = 8, 4096, 256, 1000
 #: Words counted before a task passes its counts on.
-COUNTED = 1_000_000
+COUNTED = 1 << 18
 PLACES, SURE, BUCKETS, BLOCK, EPOCHS, RATE = 16, 5, 33, 4096, 2, 0.01
 #: Steps of the mixed log-odds to which final probabilities are tabulated.
 STEP = 1 / 32
@@ -461,8 +461,8 @@ def token_counts(texts: DataFrame, classes: Classes) -> DataFrame:
                 else:
                     for w in tokens:
                         held.setdefault(w, 0)
-            if sum(map(len, counts)) >= COUNTED:
-                yield from passed()
+                if sum(map(len, counts)) >= COUNTED:
+                    yield from passed()
         yield from passed()
 
     return texts.select("text", "learned").mapInPandas(count, "kind int, word binary, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
@@ -694,7 +694,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                     if not rare:
                         out.append((task * (1 << 33) + row, len(tokens), size, *text_score(ids, known_logs[ids], known_totals[ids], prior), kind, None, prior, []))
                     else:
-                        out.append((task * (1 << 33) + row, len(tokens), size, None, None, None, kind, zlib.compress(ids.tobytes(), 1), prior, [{"word": w, "at": i} for w, i in rare.items()]))
+                        out.append((task * (1 << 33) + row, len(tokens), size, None, None, None, kind, zlib.compress(ids.tobytes(), 1), prior, list(rare)))
                     row += 1
                 frame = pd.DataFrame(out, columns=["row", "n_tokens", "size", "n_known", "log_known", "score", "kind", "ids", "prior", "rare"])
                 frame["n_known"] = frame["n_known"].astype("Int64")
@@ -705,11 +705,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         _, _, known_logs, known_totals = told.value
         for batch in batches:
             out = []
-            for packed_ids, prior, found in zip(batch["ids"], batch["prior"], batch["found"]):
+            for packed_ids, prior, place, log, total in zip(*[batch[x] for x in ("ids", "prior", "at", "log", "total")]):
                 ids = np.frombuffer(zlib.decompress(packed_ids), np.int32)
-                own_logs, own_totals = np.zeros(len(found)), np.zeros(len(found), np.int64)
-                for f in found:
-                    own_logs[f["at"]], own_totals[f["at"]] = f["log"], f["total"]
+                own_logs, own_totals = np.zeros(len(place)), np.zeros(len(place), np.int64)
+                own_logs[place], own_totals[place] = log, total
                 at, rare = np.maximum(ids, 0), np.flatnonzero(ids < 0)
                 logs, counts = known_logs[at], known_totals[at]
                 logs[rare], counts[rare] = own_logs[-1 - ids[rare]], own_totals[-1 - ids[rare]]
@@ -720,11 +719,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     kind = docs.schema[id_col].dataType
     done = "n_tokens long, size long, n_known long, log_known double, score double"
-    form = f"doc_id string, row long, {done}, kind int, ids binary, prior double, rare array<struct<word: binary, at: int>>"
+    form = f"doc_id string, row long, {done}, kind int, ids binary, prior double, rare array<binary>"
     scored = cut_lineage(plain.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(read, form), "scored")
-    rare = scored.where("ids IS NOT NULL").select("row", "kind", F.explode("rare").alias("r")).select("row", "kind", F.col("r.word").alias("word"), F.col("r.at").alias("at"))
+    rare = scored.where("ids IS NOT NULL").select("row", "kind", F.posexplode("rare").alias("at", "word"))
     looked = rare.join(scores.select("kind", "word", "log", "total"), ["kind", "word"]).groupBy("row").agg(F.collect_list(F.struct("at", "log", "total")).alias("found"))
-    late = scored.where("ids IS NOT NULL").drop("rare").join(looked, "row").select("doc_id", "n_tokens", "size", "ids", "prior", "found")
+    late = scored.where("ids IS NOT NULL").drop("rare").join(looked, "row").select(
+        "doc_id", "n_tokens", "size", "ids", "prior", *[F.col(f"found.{x}").alias(x) for x in ("at", "log", "total")])
     columns = ["doc_id", "n_tokens", "size", "n_known", "log_known", "score"]
     whole = scored.where("ids IS NULL").select(columns).unionByName(late.mapInPandas(finish, f"doc_id string, {done}"))
     unknown = F.col("n_tokens") - F.col("n_known")
