@@ -270,6 +270,26 @@ def test_words_of_every_frequency_are_counted_in_ranges(spark, documents, rows,
     assert [r["score"] for r in rows(context_mixing.score(documents(data)), "doc_id")] == pytest.approx([r["score"] for r in here])
 
 
+def test_shared_beginnings_of_words_are_looked_up_once(spark, monkeypatch):
+    """Words with a common beginning share its bits: a range looks up and counts those of distinct steps, and scores stay those of each word's own bits."""
+    import pandas as pd
+
+    group = pd.DataFrame({"part": 0, "kind": [0] * 500 + [1] * 100, "word": [b"beginning%04d" % i for i in range(500)] + [b"beginning%03d" % i for i in range(100)], "n": [i % 4 for i in range(600)]})
+    code, size = context_mixing.Code.of(np.arange(1, 257)), context_mixing.STARTS[context_mixing.WHOLE]
+    held, asked, told = context_mixing.RangeCounts(code, group), [], context_mixing.slots
+    bits = len(held.of)
+    mixer = context_mixing.Mixer.fresh(code, (np.arange(size) % 400 * 8 + 2).astype(np.int16)).settle()
+    owner, logs = mixer.log10_bits(held.flat, held.place, held.kinds[held.word], context_mixing.packed(held.zeros, held.ones)[held.of])
+    monkeypatch.setattr(context_mixing, "slots", lambda hashes, owner, nodes: asked.append(len(nodes)) or told(hashes, owner, nodes))
+    context_mixing.fit_range(context_mixing.Mixer.fresh(code, mixer.tables), np.ones(size, np.float32), np.ones(size, np.float32), held, group["n"].to_numpy(float))
+    assert 0 < sum(asked) < bits / 3
+    monkeypatch.undo()
+    edges = spark.createDataFrame([], "part int, key long, zeros double, ones double")
+    scores = context_mixing.word_scores(spark.createDataFrame(group), edges, mixer).toPandas().set_index(["kind", "word"])["log"]
+    want = np.bincount(held.word[owner], weights=logs)
+    assert scores.loc[list(zip(group["kind"], group["word"]))].to_numpy() == pytest.approx(want)
+
+
 def test_classes_and_weights_are_learned_from_all_training_texts(spark, documents, monkeypatch):
     """Every training text counts, whole: a word of the ends of long texts alone, and more texts than a sample would hold."""
     seen = []

@@ -31,8 +31,9 @@ import heapq
 import math
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -55,8 +56,8 @@ FREQUENT, FAN_IN = 1 << 17, 64
 RANGE, PIECE = 1 << 19, 1 << 18
 #: Classes; most frequent words that they tell apart and that they begin from; texts looked at together.
 CLASSES, CLASS_WORDS, SEED_WORDS, CLASS_BATCH = 8, 4096, 256, 1000
-#: Words counted before a task passes its counts on.
-COUNTED = 1 << 18
+#: Words counted before a task passes its counts on; tokens read before it passes their texts on.
+COUNTED, FRAME = 1 << 18, 1 << 17
 PLACES, SURE, BUCKETS, BLOCK, EPOCHS, RATE = 16, 5, 33, 4096, 2, 0.01
 #: Steps of the mixed log-odds to which final probabilities are tabulated.
 STEP = 1 / 32
@@ -68,6 +69,17 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def numbered(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """A text's distinct tokens by first place, and the number of each token: large tables are asked once for each."""
+    names = list(dict.fromkeys(tokens))
+    return names, np.fromiter(map(dict(zip(names, range(len(names)))).__getitem__, tokens), np.int32, len(tokens))
+
+
+def found_in(words: dict[bytes, int], names: list[bytes]) -> np.ndarray:
+    """What the table has for each name (-1: nothing)."""
+    return np.fromiter(map(words.get, names, repeat(-1)), np.int32, len(names))
+
+
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words, each with its closing byte; each byte's word and place in it."""
     parts = [w if w == END else w + b" " for w in words]
@@ -118,23 +130,25 @@ class Code:
         return owner, np.arange(len(owner), dtype=kind) + np.repeat((self.begin[flat] - ends + lengths).astype(kind), lengths)
 
 
-def contexts(flat: np.ndarray, place: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
-    """Per predictor a hash of each byte's context; `kind` is the class of each byte's word."""
-    wide = flat.astype(_U) + _U(1)
+def contexts(flat: np.ndarray, place: np.ndarray, kind: np.ndarray, chosen: Iterable[int] = range(M)) -> list[np.ndarray]:
+    """Per chosen predictor a hash of each byte's context; `kind` is the class of each byte's word."""
+    wide, sees = flat.astype(_U) + _U(1), [PREDICTORS[m][0] for m in chosen]
     last, seen = [np.zeros(len(flat), _U)], np.zeros(len(flat), _U)
-    for back in range(1, max(n for n, _, _ in PREDICTORS) + 1):
+    for back in range(1, max(sees) + 1):
         before = np.zeros(len(flat), _U)
         inside = np.flatnonzero(place >= back)
         before[inside] = wide[inside - back]
         seen = (seen + before) * _K1
         seen ^= seen >> _U(29)
         last.append(seen)
-    # All of the word so far: sums of powers, so that any length takes the same few steps.
-    power = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, _R, _U))
-    sums = np.concatenate([[_U(0)], np.cumsum((wide * _K2 ^ (wide << _U(7))) * power[place], dtype=_U)])
-    whole = (sums[:-1] - sums[np.arange(len(flat)) - place]) * _K1 + place.astype(_U)
+    if 0 in sees:
+        # All of the word so far: sums of powers, so that any length takes the same few steps.
+        power = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, _R, _U))
+        sums = np.concatenate([[_U(0)], np.cumsum((wide * _K2 ^ (wide << _U(7))) * power[place], dtype=_U)])
+        whole = (sums[:-1] - sums[np.arange(len(flat)) - place]) * _K1 + place.astype(_U)
     out = []
-    for m, (n, by_class, _) in enumerate(PREDICTORS):
+    for m in chosen:
+        n, by_class, _ = PREDICTORS[m]
         h = ((last[n] if n else whole ^ (whole >> _U(31))) + _U(m + 1) + (kind.astype(_U) << _U(40) if by_class else _U(0))) * _K2
         out.append(h ^ (h >> _U(32)))
     return out
@@ -151,9 +165,9 @@ def pieces(n: int) -> Iterator[slice]:
     return (slice(s, s + PIECE) for s in range(0, n, PIECE))
 
 
-def whole_keys(hashes: list[np.ndarray], owner: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+def whole_keys(whole: np.ndarray, owner: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """A 64-bit name of each bit's whole-word context and node."""
-    return (hashes[WHOLE][owner] ^ (nodes + _U(1)) * _K1) * _K2
+    return (whole[owner] ^ (nodes + _U(1)) * _K1) * _K2
 
 
 def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -195,16 +209,20 @@ class Mixer:
 
     def learn(self, x: np.ndarray, place: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray, rate: float, seen: list[np.ndarray]) -> None:
         """One online step over a few bits; `seen` sums the weight that each row of `parts` met."""
-        z = np.clip(((self.by_place[place] + self.by_known[gate]) * x).sum(1), -11.99, 11.99)
+        both = place * len(self.by_known) + gate  # a cell of both gates: sums over places and over gates come from one count
+        z = np.clip(np.einsum("im,im->i", (self.by_place[:, None] + self.by_known).reshape(-1, M)[both], x), -11.99, 11.99)
         off = (bits - 1 / (1 + np.exp(-z))) * weight
         cell = gate // SURE * BUCKETS + np.rint((z + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
-        met = [np.bincount(chosen, weights=weight, minlength=len(part)) for chosen, part in zip((place, gate, cell), self.parts())]
-        for weights, chosen, mass in zip((self.by_place, self.by_known), (place, gate), met):
-            share = np.sqrt(1 + mass)
-            for m in range(M):
-                weights[:, m] += rate * np.bincount(chosen, weights=off * x[:, m], minlength=len(weights)) / share
-        flat = self.refined.reshape(-1)
-        miss = np.bincount(cell, weights=(bits - 1 / (1 + np.exp(-flat[cell]))) * weight, minlength=flat.size)
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            return np.bincount(both, weights=values, minlength=PLACES * len(self.by_known)).reshape(PLACES, -1)
+
+        mass, flat = summed(weight), self.refined.reshape(-1)
+        met = [mass.sum(1), mass.sum(0), np.bincount(cell, weights=weight, minlength=flat.size)]
+        pull = np.stack([summed(off * x[:, m]) for m in range(M)], axis=-1)
+        for weights, way, mass in zip((self.by_place, self.by_known), (1, 0), met):
+            weights += rate * pull.sum(way) / np.sqrt(1 + mass)[:, None]
+        miss = np.bincount(cell, weights=(bits - (1 / (1 + np.exp(-flat)))[cell]) * weight, minlength=flat.size)
         flat += 0.5 * miss / (1 + met[2])
         for total, mass in zip(seen, met):
             total += mass
@@ -227,8 +245,12 @@ class Mixer:
 
     def log10_bits(self, flat: np.ndarray, place: np.ndarray, kind: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each bit its byte and log10 of the probability it was given; `whole` has the whole-word cells if the tables have not."""
+        return self.log10_steps(flat, place, contexts(flat, place, kind, range(M if whole is None else WHOLE)), whole)
+
+    def log10_steps(self, flat: np.ndarray, place: np.ndarray, hashes: list[np.ndarray], whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same of bytes whose contexts are at hand."""
         owner, at = self.code.spelt(flat)
-        hashes, spot, logs = contexts(flat, place, kind)[: M if whole is None else WHOLE], np.minimum(place, PLACES - 1), np.empty(len(owner))
+        spot, logs = np.minimum(place, PLACES - 1), np.empty(len(owner))
         for p in pieces(len(owner)):
             cells = [self.tables[s] for s in slots(hashes, owner[p], self.code.nodes[at[p]])]
             if whole is not None:
@@ -243,37 +265,50 @@ class Mixer:
         return owner, logs
 
 
+#: A bit to learn from: its predictors' cells, gate, place and value, and its word.
+BIT = np.dtype([("cells", np.int16, M), ("gate", np.int8), ("place", np.int8), ("bit", np.int8), ("", np.int8), ("word", np.int32)])
+
+
 def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCounts, n: np.ndarray, seed: int = 5) -> list[np.ndarray]:
     """Learning in small steps over the bits of a range's words; each word is predicted from counts without one occurrence of its own.
 
     Gives the weight that each row of the mixer's parts met. `zeros` and `ones` are the short predictors' counts.
     """
     seen = [np.zeros(len(part)) for part in mixer.parts()]
-    owner, at = mixer.code.spelt(held.flat)
-    kept = np.flatnonzero((n > 0)[held.word][owner]).astype(owner.dtype)
-    if not len(kept):
+    learned = np.flatnonzero((n > 0)[held.word])
+    if not len(learned):
         return seen
-    hashes, spots = contexts(held.flat, held.place, held.kinds[held.word])[:WHOLE], np.minimum(held.place, PLACES - 1).astype(np.int8)
-    cells, gate, spot, bits = np.empty((len(kept), M), np.int16), np.empty(len(kept), np.int8), np.empty(len(kept), np.int8), np.empty(len(kept), np.int8)
-    word = np.empty(len(kept), owner.dtype)
-    for p in pieces(len(kept)):
-        i = kept[p]
-        byte, here = owner[i], mixer.code.bits[at[i]].astype(np.int64)
-        counts = [(zeros[s], ones[s]) for s in slots(hashes, byte, mixer.code.nodes[at[i]])]
-        counts.append((held.zeros[held.of[i]], held.ones[held.of[i]]))
+    # What a step's bits look like is worked out once; then each byte of a word takes a copy of its step's bits.
+    flat, place = held.flat[held.first], np.minimum(held.place[held.first], PLACES - 1)
+    owner, at = mixer.code.spelt(flat)
+    hashes = [h[held.first] for h in contexts(held.flat, held.place, held.kinds[held.word], range(WHOLE))]
+    looks = np.empty(len(at), BIT)
+    for p in pieces(len(at)):
+        byte, here, key = owner[p], mixer.code.bits[at[p]].astype(np.int64), held.step_of[p]
+        counts = [(zeros[s], ones[s]) for s in slots(hashes, byte, mixer.code.nodes[at[p]])]
+        counts.append((held.zeros[key], held.ones[key]))
         found = [packed(np.maximum(z - (1 - here), 0), np.maximum(o - here, 0)) for z, o in counts]
-        cells[p], gate[p], spot[p], bits[p], word[p] = np.stack(found, axis=-1), gates(found), spots[byte], here, held.word[byte]
-    del owner, at, kept, hashes
+        looks["cells"][p], looks["gate"][p], looks["place"][p], looks["bit"][p] = np.stack(found, axis=-1), gates(found), place[byte], here
+    del owner, at, hashes, flat, place
+    rows = np.empty(int(mixer.code.lengths[held.flat[learned]].sum()), BIT)
+    start = 0
+    for s in range(0, len(learned), PIECE):
+        bytes_ = learned[s: s + PIECE]
+        i, owner = held.spread(bytes_)
+        here = looks[i]
+        here["word"] = held.word[bytes_][owner]
+        rows[start: start + len(i)], start = here, start + len(i)
+    del looks, learned
     mean = n[n > 0].mean()
     weight = np.minimum(n / mean, 50.0)  # of a word's bits: a step of the online rule, not a share of the loss
     rng = np.random.default_rng(seed)
-    step, steps = 0, EPOCHS * -(-len(bits) // BLOCK)
+    step, steps, whole = 0, EPOCHS * -(-len(rows) // BLOCK), rows.view(np.complex128)  # 16 bytes that are fetched at once
     for _ in range(EPOCHS):
-        order = rng.permutation(len(bits))
+        order = rng.permutation(len(rows))
         for s in range(0, len(order), BLOCK):
-            i = order[s: s + BLOCK]
-            x = (cells[i] >> 3) * np.float32(1 / 256)
-            mixer.learn(x, spot[i], gate[i].astype(np.int64), bits[i], weight[word[i]], RATE * (1 - step / steps), seen)
+            here = whole[order[s: s + BLOCK]].view(BIT)
+            x = (here["cells"] >> 3) * np.float32(1 / 256)
+            mixer.learn(x, here["place"].astype(np.int64), here["gate"].astype(np.int64), here["bit"], weight[here["word"]], RATE * (1 - step / steps), seen)
             step += 1
     return [mass * (mean / EPOCHS) for mass in seen]
 
@@ -289,8 +324,13 @@ class Classes:
     prior: np.ndarray   # (classes,): log of shares
 
     def of(self, tokens: list[bytes]) -> int:
-        at = [i for i in map(self.words.get, tokens) if i is not None]
-        return int((self.logs[at].sum(0) + self.prior).argmax()) if at else int(self.prior.argmax())
+        return self.of_names(*numbered(tokens)) if self.words else int(self.prior.argmax())
+
+    def of_names(self, names: list[bytes], number: np.ndarray) -> int:
+        at = found_in(self.words, names)
+        known = np.flatnonzero(at >= 0)
+        n = np.bincount(number, minlength=len(names))[known]
+        return int(((self.logs[at[known]] * n[:, None]).sum(0) + self.prior).argmax()) if len(known) else int(self.prior.argmax())
 
 
 Counted = tuple[np.ndarray, np.ndarray, np.ndarray, int]
@@ -481,7 +521,7 @@ def bit_tables(counted: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]:
                 flat, word, place = spelled([bytes(w) for w in part["word"]])
                 owner, at = code.spelt(flat)
                 n, bits, any_ = part["n"].to_numpy(np.float32)[word[owner]], code.bits[at], True
-                for slot in slots(contexts(flat, place, part["kind"].to_numpy()[word]), owner, code.nodes[at])[:WHOLE]:
+                for slot in slots(contexts(flat, place, part["kind"].to_numpy()[word], range(WHOLE)), owner, code.nodes[at]):
                     np.add.at(table, slot * 2 + bits, n)
         if any_:
             blocks = table.reshape(-1, CHUNK * 2)
@@ -527,33 +567,49 @@ def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key, in order, occurs, and the number of each place's key."""
+    order = np.argsort(keys)
+    held = keys[order]
+    fresh = np.concatenate([[True], held[1:] != held[:-1]])[: len(keys)]
+    number = np.empty(len(keys), np.int32 if len(keys) < 1 << 31 else np.int64)
+    number[order] = np.cumsum(fresh, dtype=number.dtype) - 1
+    return order[fresh], number
+
+
 class RangeCounts:
-    """Bits of a range's words and the counts of their whole-word contexts within it."""
+    """Bits of a range's words and the counts of their whole-word contexts within it.
+
+    Words share their beginnings: a context and the byte behind it are one step, however many words take it, and only the bits of
+    steps are looked up and counted.
+    """
 
     def __init__(self, code: Code, group: pd.DataFrame) -> None:
         self.words, self.kinds = [bytes(w) for w in group["word"]], group["kind"].to_numpy(np.int64)
         self.flat, self.word, self.place = spelled(self.words)
-        self.byte, at = code.spelt(self.flat)
-        hashes = contexts(self.flat, self.place, self.kinds[self.word])
-        self.context = hashes[WHOLE]
-        every = np.empty(len(at), _U)
-        for p in pieces(len(at)):
-            every[p] = whole_keys(hashes, self.byte[p], code.nodes[at[p]])
-        del hashes
-        order = np.argsort(every)
-        every = every[order]
-        first = np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]
-        self.keys, self.of = every[first], np.empty(len(at), at.dtype)
-        del every
+        self.context, self.code = contexts(self.flat, self.place, self.kinds[self.word], (WHOLE,))[0], code
+        self.first, self.step = distinct((self.context ^ (self.flat.astype(_U) + _U(1)) * _K2) * _K1)
+        owner, at = code.spelt(self.flat[self.first])
+        self.begin = np.concatenate([[0], np.cumsum(code.lengths[self.flat[self.first]])]).astype(at.dtype)
+        every, whole = np.empty(len(at), _U), self.context[self.first]
         for p in pieces(len(at)):
-            first_of = np.cumsum(first[p]) + (0 if p.start == 0 else last)
-            self.of[order[p]], last = first_of - 1, first_of[-1]
-        del order, first
-        n, self.zeros, self.ones = group["n"].to_numpy(float)[self.word], np.zeros(len(self.keys)), np.zeros(len(self.keys))
-        for p in pieces(len(at)):
-            here, bits = n[self.byte[p]], code.bits[at[p]]
-            np.add.at(self.ones, self.of[p], here * bits)
-            np.add.at(self.zeros, self.of[p], here * (1 - bits))
+            every[p] = whole_keys(whole, owner[p], code.nodes[at[p]])
+        first, self.step_of = distinct(every)
+        self.keys = every[first]
+        n = np.bincount(self.step, weights=group["n"].to_numpy(float)[self.word], minlength=len(self.first))[owner]
+        self.ones = np.bincount(self.step_of, weights=n * code.bits[at], minlength=len(self.keys))
+        self.zeros = np.bincount(self.step_of, weights=n * (1 - code.bits[at]), minlength=len(self.keys))
+
+    def spread(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each bit of the chosen bytes: its place among the steps' bits, and which chosen byte it belongs to."""
+        lengths = self.code.lengths[self.flat[chosen]]
+        owner = np.repeat(np.arange(len(chosen), dtype=self.begin.dtype), lengths)
+        return np.arange(len(owner), dtype=self.begin.dtype) + np.repeat((self.begin[self.step[chosen]] - np.cumsum(lengths) + lengths).astype(self.begin.dtype), lengths), owner
+
+    @property
+    def of(self) -> np.ndarray:
+        """The key of each bit of all words."""
+        return self.step_of[self.spread(np.arange(len(self.flat)))[0]]
 
     def ends(self) -> np.ndarray:
         """Which keys other ranges may share: those of contexts on the way to the first or the last word."""
@@ -561,7 +617,7 @@ class RangeCounts:
         first, last = min(range(len(order)), key=order.__getitem__), max(range(len(order)), key=order.__getitem__)
         shared = np.zeros(len(self.keys), bool)
         met = among(self.context, np.unique(self.context[(self.word == first) | (self.word == last)]))
-        shared[self.of[met[self.byte]]] = True
+        shared[self.step_of[np.repeat(met[self.first], np.diff(self.begin))]] = True
         return shared
 
     def replace(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
@@ -592,9 +648,11 @@ def word_scores(ranges: DataFrame, edges: DataFrame, mixer: Mixer) -> DataFrame:
         model = told.value
         held = RangeCounts(model.code, group)
         held.replace(shared["key"].to_numpy(np.int64).view(_U), shared["zeros"].to_numpy(float), shared["ones"].to_numpy(float))
-        owner, logs = model.log10_bits(held.flat, held.place, held.kinds[held.word], packed(held.zeros, held.ones)[held.of])
+        hashes = [h[held.first] for h in contexts(held.flat, held.place, held.kinds[held.word], range(WHOLE))]
+        owner, logs = model.log10_steps(held.flat[held.first], held.place[held.first], hashes, packed(held.zeros, held.ones)[held.step_of])
+        steps = np.bincount(owner, weights=logs, minlength=len(held.first))
         out = group[["kind", "word", "n"]].copy()
-        out["log"] = np.bincount(held.word[owner], weights=logs, minlength=len(group))
+        out["log"] = np.bincount(held.word, weights=steps[held.step], minlength=len(group))
         return out
 
     return ranges.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(weigh, "kind int, word binary, n long, log double")
@@ -678,28 +736,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         groups, known, known_logs, known_totals = told.value
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch["text"].tolist()
-            for s in range(0, len(texts), 64):
-                out = []
-                for text in texts[s: s + 64]:
-                    tokens = tokens_of(text)
-                    kind = groups.of(tokens)
-                    tokens.append(END)
-                    find, rare = known[kind].get, {}
-                    ids = np.fromiter((find(w, -1) for w in tokens), np.int32, len(tokens))
-                    prior = float(groups.prior[kind]) / math.log(10)
-                    size = sum(map(len, tokens)) + len(tokens) - 1
-                    for i in np.flatnonzero(ids < 0).tolist():  # words that are joined: -1, -2, ... by first place
-                        ids[i] = -1 - rare.setdefault(tokens[i], len(rare))
-                    if not rare:
-                        out.append((task * (1 << 33) + row, len(tokens), size, *text_score(ids, known_logs[ids], known_totals[ids], prior), kind, None, prior, []))
-                    else:
-                        out.append((task * (1 << 33) + row, len(tokens), size, None, None, None, kind, zlib.compress(ids.tobytes(), 1), prior, list(rare)))
-                    row += 1
-                frame = pd.DataFrame(out, columns=["row", "n_tokens", "size", "n_known", "log_known", "score", "kind", "ids", "prior", "rare"])
-                frame["n_known"] = frame["n_known"].astype("Int64")
-                frame.insert(0, "doc_id", batch["doc_id"].iloc[s: s + 64].array)
-                yield frame
+            start, out, held = 0, [], 0
+
+            def frame() -> pd.DataFrame:
+                made = pd.DataFrame(out, columns=["row", "n_tokens", "size", "n_known", "log_known", "score", "kind", "ids", "prior", "rare"])
+                made["n_known"] = made["n_known"].astype("Int64")
+                made.insert(0, "doc_id", batch["doc_id"].iloc[start: start + len(out)].array)
+                return made
+
+            for text in batch["text"].tolist():
+                tokens = tokens_of(text)
+                names, number = numbered(tokens)
+                kind = groups.of_names(names, number)
+                size = sum(map(len, tokens)) + len(tokens) + len(END)
+                names.append(END)  # no word has it
+                number = np.append(number, np.int32(len(names) - 1))
+                at = found_in(known[kind], names)
+                joined = np.flatnonzero(at < 0)  # words that are joined: -1, -2, ... by first place
+                at[joined] = -1 - np.arange(len(joined), dtype=np.int32)
+                ids, prior = at[number], float(groups.prior[kind]) / math.log(10)
+                if not len(joined):
+                    out.append((task * (1 << 33) + row, len(ids), size, *text_score(ids, known_logs[ids], known_totals[ids], prior), kind, None, prior, []))
+                else:
+                    out.append((task * (1 << 33) + row, len(ids), size, None, None, None, kind, zlib.compress(ids.tobytes(), 1), prior, [names[i] for i in joined.tolist()]))
+                row, held = row + 1, held + len(ids)
+                if len(out) >= 1024 or held >= FRAME:
+                    yield frame()
+                    start, out, held = start + len(out), [], 0
+            if out:
+                yield frame()
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, _, known_logs, known_totals = told.value
