@@ -290,6 +290,15 @@ def test_shared_beginnings_of_words_are_looked_up_once(spark, monkeypatch):
     assert scores.loc[list(zip(group["kind"], group["word"]))].to_numpy() == pytest.approx(want)
 
 
+def test_bits_a_byte_count_words_their_closing_bytes_and_the_end(documents, rows):
+    """A word has its bytes and one behind it, an end has one; frames of few tokens give the same rows."""
+    data = [(i, ["", "ab c", None, "é  x\ty", "word " * 50][i % 5]) for i in range(25)]
+    sizes = {d: sum(len(w) + 1 for w in (t or "").encode().split()) + 1 for d, t in data}
+    got = rows(context_mixing.score(documents(data)), "doc_id")
+    assert sorted(r["doc_id"] for r in got) == list(range(25))
+    assert [r["bits_per_byte"] for r in got] == pytest.approx([-r["score"] / math.log10(2) / sizes[r["doc_id"]] for r in got])
+
+
 def test_classes_and_weights_are_learned_from_all_training_texts(spark, documents, monkeypatch):
     """Every training text counts, whole: a word of the ends of long texts alone, and more texts than a sample would hold."""
     seen = []

@@ -69,17 +69,6 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def numbered(tokens: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """A text's distinct tokens by first place, and the number of each token: large tables are asked once for each."""
-    names = list(dict.fromkeys(tokens))
-    return names, np.fromiter(map(dict(zip(names, range(len(names)))).__getitem__, tokens), np.int32, len(tokens))
-
-
-def found_in(words: dict[bytes, int], names: list[bytes]) -> np.ndarray:
-    """What the table has for each name (-1: nothing)."""
-    return np.fromiter(map(words.get, names, repeat(-1)), np.int32, len(names))
-
-
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words, each with its closing byte; each byte's word and place in it."""
     parts = [w if w == END else w + b" " for w in words]
@@ -324,13 +313,10 @@ class Classes:
     prior: np.ndarray   # (classes,): log of shares
 
     def of(self, tokens: list[bytes]) -> int:
-        return self.of_names(*numbered(tokens)) if self.words else int(self.prior.argmax())
+        return self.of_ids([i for i in map(self.words.get, tokens) if i is not None])
 
-    def of_names(self, names: list[bytes], number: np.ndarray) -> int:
-        at = found_in(self.words, names)
-        known = np.flatnonzero(at >= 0)
-        n = np.bincount(number, minlength=len(names))[known]
-        return int(((self.logs[at[known]] * n[:, None]).sum(0) + self.prior).argmax()) if len(known) else int(self.prior.argmax())
+    def of_ids(self, at: list[int] | np.ndarray) -> int:
+        return int((self.logs[at].sum(0) + self.prior).argmax()) if len(at) else int(self.prior.argmax())
 
 
 Counted = tuple[np.ndarray, np.ndarray, np.ndarray, int]
@@ -726,14 +712,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     scores = word_scores(ranges, edges, mixer).join(counted, "word", "left").select("kind", "word", "n", "log", F.coalesce("total", F.lit(0)).alias("total"))
     scores = cut_lineage(scores, "word-scores")
     top = scores.orderBy(F.desc("n"), "word", "kind").limit(FREQUENT).toPandas()
-    common: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-    for i, (k, w) in enumerate(zip(top["kind"].tolist(), top["word"])):
-        common[k][bytes(w)] = i
-    told = docs.sparkSession.sparkContext.broadcast((classes, common, top["log"].to_numpy(float), top["total"].to_numpy(np.int64)))  # bounded: FREQUENT words
-    del top, common
+    # Words by number, those that tell classes apart first, and each one's row in every class (-1: none; the last line is for words without number).
+    names, rows = dict(classes.words), []
+    for w in top["word"]:
+        rows.append(names.setdefault(bytes(w), len(names)))
+    places = np.full((len(names) + 1, CLASSES), -1, np.int32)
+    places[rows, top["kind"].to_numpy(np.int64)] = np.arange(len(top))
+    told = docs.sparkSession.sparkContext.broadcast((classes, names, places, top["log"].to_numpy(float), top["total"].to_numpy(np.int64)))  # bounded: FREQUENT words
+    del top, names, places, rows
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups, known, known_logs, known_totals = told.value
+        groups, names, places, known_logs, known_totals = told.value
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             start, out, held = 0, [], 0
@@ -746,19 +735,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
             for text in batch["text"].tolist():
                 tokens = tokens_of(text)
-                names, number = numbered(tokens)
-                kind = groups.of_names(names, number)
                 size = sum(map(len, tokens)) + len(tokens) + len(END)
-                names.append(END)  # no word has it
-                number = np.append(number, np.int32(len(names) - 1))
-                at = found_in(known[kind], names)
-                joined = np.flatnonzero(at < 0)  # words that are joined: -1, -2, ... by first place
-                at[joined] = -1 - np.arange(len(joined), dtype=np.int32)
-                ids, prior = at[number], float(groups.prior[kind]) / math.log(10)
-                if not len(joined):
+                tokens.append(END)
+                at = np.fromiter(map(names.get, tokens, repeat(-1)), np.int32, len(tokens))
+                kind = groups.of_ids(at[(at >= 0) & (at < len(groups.words))])
+                ids, rare, prior = places[at, kind], {}, float(groups.prior[kind]) / math.log(10)
+                for i in np.flatnonzero(ids < 0).tolist():  # words that are joined: -1, -2, ... by first place
+                    ids[i] = -1 - rare.setdefault(tokens[i], len(rare))
+                if not rare:
                     out.append((task * (1 << 33) + row, len(ids), size, *text_score(ids, known_logs[ids], known_totals[ids], prior), kind, None, prior, []))
                 else:
-                    out.append((task * (1 << 33) + row, len(ids), size, None, None, None, kind, zlib.compress(ids.tobytes(), 1), prior, [names[i] for i in joined.tolist()]))
+                    out.append((task * (1 << 33) + row, len(ids), size, None, None, None, kind, zlib.compress(ids.tobytes(), 1), prior, list(rare)))
                 row, held = row + 1, held + len(ids)
                 if len(out) >= 1024 or held >= FRAME:
                     yield frame()
@@ -767,7 +754,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
                 yield frame()
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, _, known_logs, known_totals = told.value
+        _, _, _, known_logs, known_totals = told.value
         for batch in batches:
             out = []
             for packed_ids, prior, place, log, total in zip(*[batch[x] for x in ("ids", "prior", "at", "log", "total")]):
