@@ -344,3 +344,28 @@ def test_bits_of_a_range_are_worked_on_in_pieces(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert bits > 3_000_000 and peak < 80 * bits
+
+
+def test_learning_holds_little_beside_a_ranges_bits():
+    """Contexts are of distinct steps only, bits are spread in small pieces, and a range's counts go once they are looked up."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcdefghij", k=rng.randint(2, 24))).encode() for _ in range(40_000)})
+    group = pd.DataFrame({"kind": 0, "word": words, "n": [rng.randint(1, 9) for _ in words]})
+    code, size = context_mixing.Code.of(np.arange(1, 257)), context_mixing.STARTS[context_mixing.WHOLE]
+    zeros, ones = np.full(size, 3, np.float32), np.full(size, 2, np.float32)
+
+    def learned(**last):
+        held, mixer = context_mixing.RangeCounts(code, group), context_mixing.Mixer.fresh(code, np.zeros(0, np.int16))
+        seen = context_mixing.fit_range(mixer, zeros, ones, held, group["n"].to_numpy(float), **last)
+        return [*mixer.parts(), *seen], int(code.lengths[held.flat].sum())
+
+    want, bits = learned()
+    tracemalloc.start()
+    got, _ = learned(last=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(got, want)) and peak < 60 * bits

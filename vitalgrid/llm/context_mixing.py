@@ -53,7 +53,7 @@ SLOTS, CHUNK, PIECES = STARTS[-1], 1 << 12, 4
 #: Most frequent words of classes whose counts and probabilities travel to all tasks; partial tables summed at once.
 FREQUENT, FAN_IN = 1 << 17, 64
 #: Bytes of words in a range; bits of them that are worked on at once.
-RANGE, PIECE = 1 << 19, 1 << 18
+RANGE, PIECE = 1 << 19, 1 << 16
 #: Classes; most frequent words that they tell apart and that they begin from; texts looked at together.
 CLASSES, CLASS_WORDS, SEED_WORDS, CLASS_BATCH = 8, 4096, 256, 1000
 #: Words counted before a task passes its counts on; tokens read before it passes their texts on.
@@ -119,22 +119,23 @@ class Code:
         return owner, np.arange(len(owner), dtype=kind) + np.repeat((self.begin[flat] - ends + lengths).astype(kind), lengths)
 
 
-def contexts(flat: np.ndarray, place: np.ndarray, kind: np.ndarray, chosen: Iterable[int] = range(M)) -> list[np.ndarray]:
-    """Per chosen predictor a hash of each byte's context; `kind` is the class of each byte's word."""
+def contexts(flat: np.ndarray, place: np.ndarray, kind: np.ndarray, chosen: Iterable[int] = range(M), at: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+    """Per chosen predictor a hash of each byte's context, of the bytes `at`; `kind` is the class of each of those bytes' word."""
     wide, sees = flat.astype(_U) + _U(1), [PREDICTORS[m][0] for m in chosen]
-    last, seen = [np.zeros(len(flat), _U)], np.zeros(len(flat), _U)
+    last, seen = {}, np.zeros(len(flat), _U)
     for back in range(1, max(sees) + 1):
         before = np.zeros(len(flat), _U)
         inside = np.flatnonzero(place >= back)
         before[inside] = wide[inside - back]
         seen = (seen + before) * _K1
         seen ^= seen >> _U(29)
-        last.append(seen)
+        if back in sees:
+            last[back] = seen[at]
     if 0 in sees:
         # All of the word so far: sums of powers, so that any length takes the same few steps.
         power = np.multiply.accumulate(np.full(int(place.max(initial=0)) + 1, _R, _U))
         sums = np.concatenate([[_U(0)], np.cumsum((wide * _K2 ^ (wide << _U(7))) * power[place], dtype=_U)])
-        whole = (sums[:-1] - sums[np.arange(len(flat)) - place]) * _K1 + place.astype(_U)
+        whole = ((sums[:-1] - sums[np.arange(len(flat)) - place]) * _K1 + place.astype(_U))[at]
     out = []
     for m in chosen:
         n, by_class, _ = PREDICTORS[m]
@@ -258,10 +259,11 @@ class Mixer:
 BIT = np.dtype([("cells", np.int16, M), ("gate", np.int8), ("place", np.int8), ("bit", np.int8), ("", np.int8), ("word", np.int32)])
 
 
-def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCounts, n: np.ndarray, seed: int = 5) -> list[np.ndarray]:
+def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCounts, n: np.ndarray, seed: int = 5, last: bool = False) -> list[np.ndarray]:
     """Learning in small steps over the bits of a range's words; each word is predicted from counts without one occurrence of its own.
 
-    Gives the weight that each row of the mixer's parts met. `zeros` and `ones` are the short predictors' counts.
+    Gives the weight that each row of the mixer's parts met. `zeros` and `ones` are the short predictors' counts. With `last` the
+    range's own counts are let go once each bit's look is known.
     """
     seen = [np.zeros(len(part)) for part in mixer.parts()]
     learned = np.flatnonzero((n > 0)[held.word])
@@ -270,7 +272,7 @@ def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCoun
     # What a step's bits look like is worked out once; then each byte of a word takes a copy of its step's bits.
     flat, place = held.flat[held.first], np.minimum(held.place[held.first], PLACES - 1)
     owner, at = mixer.code.spelt(flat)
-    hashes = [h[held.first] for h in contexts(held.flat, held.place, held.kinds[held.word], range(WHOLE))]
+    hashes = contexts(held.flat, held.place, held.kinds[held.word[held.first]], range(WHOLE), held.first)
     looks = np.empty(len(at), BIT)
     for p in pieces(len(at)):
         byte, here, key = owner[p], mixer.code.bits[at[p]].astype(np.int64), held.step_of[p]
@@ -278,22 +280,27 @@ def fit_range(mixer: Mixer, zeros: np.ndarray, ones: np.ndarray, held: RangeCoun
         counts.append((held.zeros[key], held.ones[key]))
         found = [packed(np.maximum(z - (1 - here), 0), np.maximum(o - here, 0)) for z, o in counts]
         looks["cells"][p], looks["gate"][p], looks["place"][p], looks["bit"][p] = np.stack(found, axis=-1), gates(found), place[byte], here
-    del owner, at, hashes, flat, place
+    del owner, at, hashes, flat, place, byte, here, key, counts, found
+    if last:
+        held.forget()
     rows = np.empty(int(mixer.code.lengths[held.flat[learned]].sum()), BIT)
     start = 0
-    for s in range(0, len(learned), PIECE):
-        bytes_ = learned[s: s + PIECE]
+    for s in range(0, len(learned), -(-PIECE // 4)):  # a byte has a few bits, and each takes a whole BIT
+        bytes_ = learned[s: s - (-PIECE // 4)]
         i, owner = held.spread(bytes_)
         here = looks[i]
         here["word"] = held.word[bytes_][owner]
         rows[start: start + len(i)], start = here, start + len(i)
-    del looks, learned
+    del looks, learned, bytes_, i, owner, here
     mean = n[n > 0].mean()
     weight = np.minimum(n / mean, 50.0)  # of a word's bits: a step of the online rule, not a share of the loss
     rng = np.random.default_rng(seed)
     step, steps, whole = 0, EPOCHS * -(-len(rows) // BLOCK), rows.view(np.complex128)  # 16 bytes that are fetched at once
+    order = np.empty(len(rows), np.int32 if len(rows) < 1 << 31 else np.int64)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
+        for p in pieces(len(rows)):
+            order[p] = np.arange(p.start, min(p.stop, len(rows)))
+        rng.shuffle(order)
         for s in range(0, len(order), BLOCK):
             here = whole[order[s: s + BLOCK]].view(BIT)
             x = (here["cells"] >> 3) * np.float32(1 / 256)
@@ -581,10 +588,13 @@ class RangeCounts:
         for p in pieces(len(at)):
             every[p] = whole_keys(whole, owner[p], code.nodes[at[p]])
         first, self.step_of = distinct(every)
-        self.keys = every[first]
+        self.keys, bits = every[first], code.bits[at]
+        del every, first, at, whole  # each is as long as all bits: what comes next takes their place
         n = np.bincount(self.step, weights=group["n"].to_numpy(float)[self.word], minlength=len(self.first))[owner]
-        self.ones = np.bincount(self.step_of, weights=n * code.bits[at], minlength=len(self.keys))
-        self.zeros = np.bincount(self.step_of, weights=n * (1 - code.bits[at]), minlength=len(self.keys))
+        del owner
+        self.ones = np.bincount(self.step_of, weights=n * bits, minlength=len(self.keys))
+        n *= 1 - bits
+        self.zeros = np.bincount(self.step_of, weights=n, minlength=len(self.keys))
 
     def spread(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each bit of the chosen bytes: its place among the steps' bits, and which chosen byte it belongs to."""
@@ -606,6 +616,10 @@ class RangeCounts:
         shared[self.step_of[np.repeat(met[self.first], np.diff(self.begin))]] = True
         return shared
 
+    def forget(self) -> None:
+        """Let all go that is not needed to spread steps' bits over words."""
+        del self.context, self.place, self.step_of, self.keys, self.zeros, self.ones
+
     def replace(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
         """Take the counts over all ranges for some of the keys."""
         at = np.searchsorted(self.keys, keys)
@@ -634,7 +648,7 @@ def word_scores(ranges: DataFrame, edges: DataFrame, mixer: Mixer) -> DataFrame:
         model = told.value
         held = RangeCounts(model.code, group)
         held.replace(shared["key"].to_numpy(np.int64).view(_U), shared["zeros"].to_numpy(float), shared["ones"].to_numpy(float))
-        hashes = [h[held.first] for h in contexts(held.flat, held.place, held.kinds[held.word], range(WHOLE))]
+        hashes = contexts(held.flat, held.place, held.kinds[held.word[held.first]], range(WHOLE), held.first)
         owner, logs = model.log10_steps(held.flat[held.first], held.place[held.first], hashes, packed(held.zeros, held.ones)[held.step_of])
         steps = np.bincount(owner, weights=logs, minlength=len(held.first))
         out = group[["kind", "word", "n"]].copy()
@@ -656,7 +670,7 @@ def learned_mixer(ranges: DataFrame, edges: DataFrame, code: Code, zeros: np.nda
         held = RangeCounts(spelling, group)
         held.replace(shared["key"].to_numpy(np.int64).view(_U), shared["zeros"].to_numpy(float), shared["ones"].to_numpy(float))
         mixer = Mixer.fresh(spelling, np.zeros(0, np.int16))
-        seen = fit_range(mixer, no, yes, held, group["n"].to_numpy(float))
+        seen = fit_range(mixer, no, yes, held, group["n"].to_numpy(float), last=True)
         mass = np.concatenate([np.repeat(m, part.shape[1]) for m, part in zip(seen, mixer.parts())])
         return pd.DataFrame({"at": np.arange(len(mass)), "mass": mass, "value": mass * np.concatenate([part.reshape(-1) for part in mixer.parts()])})
 
