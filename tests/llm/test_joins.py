@@ -100,6 +100,17 @@ def test_components_of_a_path_and_a_star(spark, rows):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
 
 
+def test_components_of_stars_take_one_move(spark, rows, monkeypatch):
+    """Stars are final once a move to the smallest neighbours changes nothing; a node with two roots is not."""
+    written, told = [], components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df, name="stage": written.append(name) or told(df, name))
+    stars = [(10 * i + j, 10 * i) for i in range(5) for j in range(1, 9)]
+    got = {r["node"]: r["component"] for r in rows(components.components(spark.createDataFrame(stars + stars, "a long, b long")))}
+    assert got == {n: n // 10 * 10 for e in stars for n in e} and written == ["edges", "large-star"]
+    tied = spark.createDataFrame([*stars, (48, 30)], "a long, b long")
+    assert {r["node"]: r["component"] for r in rows(components.components(tied))} == {**got, **{n: 30 for n in got if n >= 40}}
+
+
 def _brute_hits(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     hit, named = set(), set()
@@ -174,6 +185,19 @@ def test_mix_meets_targets(documents, rows):
     assert mixing.mix(documents([])).count() == 0
 
 
+def test_a_newton_step_joins_once(spark, documents, monkeypatch):
+    """A step hands each source's state to its counts and takes the moved state from their sums: a join more is a table more in the driver."""
+    joins, states = [], []
+    join, staged = mixing.null_safe_join, mixing._staged
+    monkeypatch.setattr(mixing, "null_safe_join", lambda *args: joins.append(1) or join(*args))
+    monkeypatch.setattr(mixing, "_staged", lambda state: states.append(staged(state)) or states[-1])
+    sizes = mixing.cut_lineage(mixing.sized(documents([(i, "w " * (i * i % 41 + 1), ["a", "b", None][i * i % 3]) for i in range(200)])))
+    targets = mixing.source_targets(sizes)
+    out = mixing.balance(sizes.groupBy("source", "size").count().withColumnRenamed("count", "n"), targets).collect()
+    assert len(states) > 2 and states[-1][1] == 0 and len(joins) == len(states)
+    assert {(r["source"], r["target"]) for r in out} == {(r["source"], r["target"]) for r in targets.collect()}
+
+
 def test_rates_are_the_tilts_of_the_dual(documents, rows):
     data = [(i, "w " * (i % 37 + 1), "abc"[i % 3]) for i in range(300)]
     for source in "abc":

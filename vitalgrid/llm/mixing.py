@@ -78,7 +78,7 @@ def _staged(state: DataFrame) -> tuple[DataFrame, int]:
 
 
 def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance: float = 1e-5, steps: int = 80) -> DataFrame:
-    """(source, mean, tilt) with sum(n * size * rate) = target per source.
+    """(source, source_size, target, mean, tilt) with sum(n * size * rate) = target per source.
 
     `counts` has (source, size, n) with positive sizes. A source whose target is its cap gets the tilt at which its
     smallest document reaches the cap. Both ends of the bracket are exact bounds, so the steps cannot leave it.
@@ -102,8 +102,9 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         rate, x = _rate(F.col("tilt"), F.col("size"), F.col("mean"), cap), F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size") * rate * WORD_UNIT
         slope = F.when(~_at_cap(F.col("tilt"), F.col("size"), F.col("mean"), cap), words * x).otherwise(F.lit(0.0))
-        sums = rows.groupBy("source").agg(*[F.sum(F.round(v).cast("decimal(38,0)")).cast("double").alias(n) for v, n in ((words, "_words"), (slope, "_slope"))])
-        moved = null_safe_join(state, sums, ["source"], "left")
+        # A source's state comes along with its sums, which spares the driver a join, and sources that are done stay as they are.
+        sums = [F.sum(F.round(v).cast("decimal(38,0)")).cast("double").alias(n) for v, n in ((words, "_words"), (slope, "_slope"))]
+        moved = rows.groupBy("source").agg(*sums, *[F.first(c).alias(c) for c in state.columns if c not in ("source", "done")])
         over = F.col("_words") / WORD_UNIT - F.col("target")
         low = F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(over >= 0, F.col("tilt")).otherwise(F.col("high"))
@@ -113,10 +114,9 @@ def balance(counts: DataFrame, targets: DataFrame, cap: float = CAP, tolerance:
         stuck = (high - low) <= 1e-13 * F.greatest(F.abs(high), F.abs(low))
         state, left = _staged(moved.select(
             "source", "source_size", "target", "mean",
-            F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"),
-            F.when(F.col("done") | near, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2).alias("tilt"),
-            (F.col("done") | near | stuck).alias("done")))
-    return state.select("source", "mean", "tilt")
+            low.alias("low"), high.alias("high"), F.when(near, F.col("tilt")).when(inside, newton).otherwise((low + high) / 2).alias("tilt"),
+            (near | stuck).alias("done")).unionByName(state.where("done")))
+    return state.select("source", "source_size", "target", "mean", "tilt")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = CAP,
@@ -134,10 +134,9 @@ def mix_sizes(sizes: DataFrame, cap: float = CAP, weights: tuple[int, ...] = WEI
     targets = cut_lineage(source_targets(sizes, weights, cap), "targets")
     counts = cut_lineage(sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     tilts = balance(counts, targets, cap)
-    per = null_safe_join(targets, tilts, ["source"], "left")
     band = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double"))).cast("int")
     chunks = counts.groupBy("source", band.alias("band")).agg(F.ceil(F.sum("n") / CHUNK).alias("_chunks"))
-    per_band = cut_lineage(null_safe_join(per, chunks, ["source"]), "bands")
+    per_band = cut_lineage(null_safe_join(tilts, chunks, ["source"]), "bands")
 
     filled = sizes.where("size > 0").withColumn("band", band)
     rated = null_safe_join(filled, per_band, ["source", "band"])
