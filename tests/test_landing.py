@@ -104,6 +104,22 @@ def test_documents_of_tables_give_the_tables_findings(spark, tmp_path):
     assert {(r["id"], r["score"]) for r in plain.collect()} == {(r["id"], r["score"]) for r in got.where("id = 'table_bloat'").collect()}
 
 
+def test_documents_hold_all_entries_of_a_snapshot(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from vitalgrid.sources.assemble import assemble, write_documents
+
+    slots = spark.range(1203).select(F.lit(7).cast("long").alias("target_id"), F.lit(86_400).cast("long").alias("snapshot_id"), F.concat(F.lit("s"), "id").alias("name"),
+                                     F.lit(False).alias("active"), F.lit("lost").alias("wal_status"), F.col("id").alias("retained_bytes"))
+    heads = spark.createDataFrame([(7, 86_400, 86_400)], "target_id long, snapshot_id long, collected_at long")
+    docs = assemble(heads, {"slots": slots})
+    whole = json.loads(docs.first()["document"])
+    assert [s["retained_bytes"] for s in whole["replication"]["slots"]] == list(range(1202, -1, -1)) and "truncated" not in whole
+    write_documents(docs, str(tmp_path / "out"))
+    got = Fleet(spark).from_contexts(str(tmp_path / "out"), str(tmp_path / "landed"), lines=True).findings(only=["replication_slot_inactive"])
+    assert {r["object"] for r in got.collect()} == {f"slot:s{i}" for i in range(1203)}
+
+
 def test_guards_follow_the_state(spark):
     from vitalgrid.plans.exports import scan_results
     from vitalgrid.plans.records import MEANING, finding_records, record_guards

@@ -1,7 +1,8 @@
 """Context documents put together from telemetry tables, in the layout that ``contexts`` reads.
 
-Every table becomes rows of (snapshot, section, rank, JSON text); one union and one grouping nest them. Lists are bounded: a
-section keeps its first ``LIMIT`` entries, the largest first, and says in ``truncated`` how many there were; the tables hold the rest.
+Every table becomes rows of (snapshot, section, rank, JSON text); one union and one grouping nest them. A section holds all entries of
+its snapshot, the largest first. A caller may ask for short documents: with ``limit`` a section keeps so many entries and says in
+``truncated`` how many there were.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from pyspark.sql import functions as F
 from vitalgrid.plans.rules import dead_ratio
 
 SNAP = ["target_id", "snapshot_id"]
-LIMIT = 500
 c = F.col
 
 
@@ -60,10 +60,11 @@ def _settings(params: DataFrame) -> DataFrame:
     return one.groupBy(*SNAP).agg(pairs.alias("params")).select(*SNAP, F.lit("settings.params").alias("section"), F.lit(1).alias("rank"), F.lit(1).cast("long").alias("total"), F.to_json("params").alias("body"))
 
 
-def assemble(heads: DataFrame, tables: dict[str, DataFrame], *, limit: int = LIMIT, version: str = "1.2.0") -> DataFrame:
+def assemble(heads: DataFrame, tables: dict[str, DataFrame], *, limit: int | None = None, version: str = "1.2.0") -> DataFrame:
     """(target_id, snapshot_id, document): a JSON document per snapshot of ``heads`` (target_id, snapshot_id, collected_at, and ``fingerprint`` if known).
 
-    ``tables`` is named as in ``LISTS``, and ``params``. Sections without rows in a snapshot are absent from its document.
+    ``tables`` is named as in ``LISTS``, and ``params``. Sections without rows in a snapshot are absent from its document. Lists are whole
+    unless ``limit`` says otherwise.
     """
     parts = []
     for name, df in tables.items():
@@ -74,11 +75,13 @@ def assemble(heads: DataFrame, tables: dict[str, DataFrame], *, limit: int = LIM
         df = dead_ratio(df) if name == "table_stats" and "dead_ratio" not in df.columns else df
         body = F.to_json(F.struct(*fields(df)))
         rows = df.select(*SNAP, F.lit(section).alias("section"), c(first).alias("_order"), body.alias("body"))
-        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*SNAP).orderBy(c("_order").desc_nulls_last(), "body"))).where(c("rank") <= limit)
-        totals = df.groupBy(*SNAP).agg(F.count("*").alias("total"))
-        parts.append(ranked.join(totals, SNAP).select(*SNAP, "section", "rank", "total", "body"))
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*SNAP).orderBy(c("_order").desc_nulls_last(), "body")))
+        if limit is None:
+            counted = ranked.withColumn("total", F.lit(None).cast("long"))
+        else:
+            counted = ranked.where(c("rank") <= limit).join(df.groupBy(*SNAP).agg(F.count("*").alias("total")), SNAP)
+        parts.append(counted.select(*SNAP, "section", "rank", "total", "body"))
     every = reduce(DataFrame.unionByName, parts)
-    # At most `limit` entries of each of the known sections.
     nested = every.groupBy(*SNAP).agg(F.sort_array(F.collect_list(F.struct("section", "rank", "total", "body"))).alias("_rows"))
 
     def entries(section: str) -> Column:
@@ -97,8 +100,10 @@ def assemble(heads: DataFrame, tables: dict[str, DataFrame], *, limit: int = LIM
             inner.append(F.when(F.size(entries(section)) > 0, F.concat(F.lit(f'"{section.split(".")[1]}":'), value)))
         joined = F.concat_ws(",", *inner)
         pieces.append(F.when(joined != "", F.concat(F.lit(f'"{name}":{{'), joined, F.lit("}"))))
-    cut = F.array_distinct(F.transform(F.filter("_rows", lambda r: (r["rank"] == 1) & (r["total"] > limit)), lambda r: F.concat(F.lit('"'), r["section"], F.lit('":'), r["total"].cast("string"))))
-    truncated = F.when(F.size(cut) > 0, F.concat(F.lit('"truncated":{'), F.array_join(cut, ","), F.lit("}")))
+    truncated = F.lit(None).cast("string")
+    if limit is not None:
+        cut = F.array_distinct(F.transform(F.filter("_rows", lambda r: (r["rank"] == 1) & (r["total"] > limit)), lambda r: F.concat(F.lit('"'), r["section"], F.lit('":'), r["total"].cast("string"))))
+        truncated = F.when(F.size(cut) > 0, F.concat(F.lit('"truncated":{'), F.array_join(cut, ","), F.lit("}")))
     own = c("fingerprint") if "fingerprint" in heads.columns else c("target_id").cast("string")
     head = F.to_json(F.struct(F.lit(version).alias("schema_version"), own.alias("fingerprint"), F.timestamp_seconds("collected_at").alias("collected_at")))
     text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.when(F.concat_ws(",", *pieces) != "", ",").otherwise(""), F.concat_ws(",", *pieces, truncated), F.lit("}"))
