@@ -222,3 +222,30 @@ def test_proximity_finds_a_short_item_with_one_word_replaced(spark, documents, r
     docs = documents([(1, "so alpha beta CHANGED delta epsilon zeta it goes"), (2, "alpha alone and nothing else")])
     found = rows(decontamination.proximity_matches(docs, items))
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, "short")} and all(r["n_anchors"] == 2 for r in found)
+
+
+def test_signatures_that_come_once_are_not_written(spark, documents, tmp_path, monkeypatch):
+    """However small the filters are: of texts that share nothing no signature is kept, of copies with one word changed some are; common ones fill no bucket."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngram_join, "BLOOM_BITS", 1 << 15)
+    written = {}
+    cut = ngram_join.cut_lineage
+
+    def told(df, name):
+        out = cut(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut_lineage", told)
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(300)]
+    ngram_join.join(documents(texts)).count()
+    assert written["signed"] == 0
+    near = [(1000 + i, " ".join(f"w0x{j}" if j != 30 else f"other{i}" for j in range(60))) for i in range(2)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(documents(texts + near), percent=80).collect()}
+    assert written["signed"] > 0 and got[1000] == got[1001] == 0 and sum(d != c for d, c in got.items()) == 2
+    same = np.full(5000, 77, np.int64)
+    packed = ngram_join._packed([(same, np.arange(5000), np.full(5000, 3), np.full(5000, 2))], 16)
+    assert max(len(x) // ngram_join.CELL for x in packed["packed"]) < 400
+    frame = spark.createDataFrame(packed).withColumn("packed", F.col("packed").cast("binary"))
+    assert frame.count() == 16 and ngram_join.shared_signatures(frame).select("node").distinct().count() == 5000

@@ -7,7 +7,7 @@
    prevent. The others' nodes with a common signature are then tied to the smallest of them, which takes one edge
    per node, however many share it. No linked pair is lost: sizes fall into classes as wide as the threshold, and a set signs
    for its own class and, if a smaller partner may be there, for the class below. Empty parts sign only for sets that have at least e of them.
-   What is shuffled first are bare signatures; those that come once go no further.
+   Signatures are shuffled once, packed by the bucket they fall into; those that come once go no further.
 3. Connected nodes form families. Only families' texts are read again (a Bloom filter of fixed size stands before the join).
 4. Within a family the sets are put into one global order, which makes a trie: sets in lexicographic order are its paths, and
    the longest common prefix of neighbours its branches. A walk keeps, per trie node, the overlaps of the path so far with all sets of the
@@ -43,6 +43,8 @@ from vitalgrid.llm.components import components
 WORDS, PERCENT = 3, 90
 #: Words a worker remembers; elements and sets of a block; bits of the Bloom filters.
 MEMORY, BLOCK, SETS, BLOOM_BITS = 400_000, 1 << 21, 4096, 1 << 25
+#: Signatures a task holds before it deals them out, those of a bucket as estimated, the least number of buckets, bytes of a packed signature.
+HELD, BUCKET, BUCKETS, CELL = 1 << 19, 1 << 18, 256, 20
 #: Bits of a page of a filter; fixed by Spark's bitmap functions.
 PAGE = 1 << 15
 _U = np.uint64
@@ -325,50 +327,87 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(doc.isNotNull()).select(doc.alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *bits)
 
 
-def _marks(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a Bloom filter, whose size is a power of two, for a signature, which is a hash already."""
-    plain = signature.view(_U)
-    return (plain % _U(BLOOM_BITS)).astype(np.int64), ((plain >> _U(23)) % _U(BLOOM_BITS)).astype(np.int64)
+def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pd.DataFrame:
+    """(bucket, packed) of some sets' signatures: equal signatures share a bucket, and a bucket's entries become one text of bytes.
 
-
-def signed_sets(docs: DataFrame, nodes: np.ndarray, shared: np.ndarray | None, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, level, need, signature) of rows that the filter `nodes` holds: all bare signatures, or whole rows of those that `shared` holds."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast((nodes, shared))
+    Of a signature that comes several times here one entry goes to that bucket; the others, known to be shared already, are dealt out evenly.
+    Their need is negative, so a signature that very many sets have fills no bucket.
+    """
+    signature, node, level, need = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(signature, kind="stable")
+    signature, node, level, need = signature[order], node[order], level[order], need[order]
+    again = np.zeros(len(signature), bool)
+    again[1:] = signature[1:] == signature[:-1]
+    known = again.copy()
+    known[:-1] |= again[1:]
+    bucket = signature % buckets
+    bucket[again] = np.arange(int(again.sum())) % buckets
+    cells = np.empty((len(signature), CELL), np.uint8)  # bytes of equal weight stand together in a text, which compresses them
+    for at, width, values in ((0, 6, signature), (6, 8, node), (14, 2, level), (16, 4, np.where(known, -need, need))):
+        cells[:, at: at + width] = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :width]
+    by = np.argsort(bucket, kind="stable")
+    cells, names = cells[by], bucket[by]
+    cuts = np.flatnonzero(np.diff(names)) + 1
+    spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]))
+    return pd.DataFrame({"bucket": [names[a] for a, _ in spans], "packed": [cells[a:b].T.tobytes() for a, b in spans]})
+
+
+def _unpacked(packed: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Signatures, nodes, levels and needs of `_packed` texts."""
+    cells = np.concatenate([np.frombuffer(x, np.uint8).reshape(CELL, -1) for x in packed], axis=1)
+
+    def whole(at: int, width: int) -> np.ndarray:
+        out = np.zeros((cells.shape[1], 8), np.uint8)
+        out[:, :width] = cells[at: at + width].T
+        return out.view("<i8").ravel()
+
+    return whole(0, 6), whole(6, 8), whole(14, 2), whole(16, 4).astype(np.int32).astype(np.int64)
+
+
+def packed_signatures(docs: DataFrame, nodes: np.ndarray, buckets: int, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(bucket, packed): signatures of rows that the filter `nodes` holds, see `_packed`."""
+    sent = docs.sparkSession.sparkContext.broadcast(nodes)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, (mine, common) = Shingler(words), sent.value
+        shingler, mine, held, n = Shingler(words), sent.value, [], 0
         for batch in batches:
             part = batch[_held(mine, batch["bit0"].to_numpy(np.int64), batch["bit1"].to_numpy(np.int64))]
             for s in range(0, len(part), 256):
                 some = part.iloc[s: s + 256]
                 signed = signatures(*shingler(some["text"].tolist()), percent)
-                if common is None:
-                    yield pd.DataFrame({"signature": signed.signature})
-                else:
-                    kept = _held(common, *_marks(signed.signature))
-                    ids = some["id"].to_numpy(np.int64)
-                    yield pd.DataFrame({"node": ids[signed.of[kept]], "level": signed.level[kept], "need": signed.need[kept], "signature": signed.signature[kept]})
+                held.append((signed.signature, some["id"].to_numpy(np.int64)[signed.of], signed.level, signed.need))
+                n += len(signed.of)
+                if n >= HELD:
+                    yield _packed(held, buckets)
+                    held, n = [], 0
+        if n:
+            yield _packed(held, buckets)
+
+    return _texts(docs, id_col, text_col).mapInPandas(read, "bucket long, packed binary")
+
 
-    return _texts(docs, id_col, text_col).mapInPandas(read, "signature long" if shared is None else "node long, level long, need long, signature long")
+def shared_signatures(packed: DataFrame) -> DataFrame:
+    """(node, level, need, signature) of all signatures that come more than once."""
 
+    def meet(bucket: pd.DataFrame) -> pd.DataFrame:
+        signature, node, level, need = _unpacked(bucket["packed"].tolist())
+        order = np.argsort(signature, kind="stable")
+        same = np.diff(signature[order]) == 0
+        shared = need < 0
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        return pd.DataFrame({"node": node[shared], "level": level[shared], "need": np.abs(need[shared]), "signature": signature[shared]})
 
-def _signature_bloom(keys: DataFrame) -> np.ndarray:
-    """The filter of signatures, with the bits of `_marks`."""
-    low, high = F.pmod("signature", F.lit(BLOOM_BITS)), F.pmod(F.shiftrightunsigned("signature", 23), F.lit(BLOOM_BITS))
-    return _filter(keys.select(F.explode(F.array(low, high)).alias("bit")))
+    return packed.groupBy("bucket").applyInPandas(meet, "node long, level long, need long, signature long")
 
 
-def candidate_families(docs: DataFrame, nodes: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, family) of nodes that may be linked with others, by signatures."""
+def candidate_families(docs: DataFrame, nodes: DataFrame, shingles: int, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, family) of nodes that may be linked with others, by signatures. `shingles`, of all rows, says how many buckets there are."""
     mine = _bloom(nodes, "node")
-    bare = signed_sets(docs, mine, None, words, percent, id_col, text_col)
-    shared = cut_lineage(bare.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "shared-signatures")
-    rows = cut_lineage(signed_sets(docs, mine, _signature_bloom(shared), words, percent, id_col, text_col), "signed")
-    # The filter lets a few signatures through that come once; what it cannot hold at all sizes is settled by this join.
-    counts = rows.join(shared, "signature", "left_semi").groupBy("node", "level").agg(F.count("*").alias("n"), F.min("need").alias("least"))
+    buckets = max(BUCKETS, shingles * 2 * (100 - percent) // 100 // BUCKET)
+    rows = cut_lineage(shared_signatures(packed_signatures(docs, mine, buckets, words, percent, id_col, text_col)), "signed")
+    counts = rows.groupBy("node", "level").agg(F.count("*").alias("n"), F.min("need").alias("least"))
     stay = cut_lineage(counts.where("n >= least").select("node", "level"), "staying")
-    discard(shared)
     staying = rows.join(stay, ["node", "level"], "left_semi").select("signature", "node")
     first = staying.groupBy("signature").agg(F.min("node").alias("first"))
     stars = staying.join(first, "signature").where("node > first").select(F.col("node").alias("a"), F.col("first").alias("b"))
@@ -476,7 +515,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     rows = cut_lineage(shingle_sets(docs, words, id_col, text_col), "shingle-sets")
     filled = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     classes = cut_lineage(filled.groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    families = candidate_families(docs, classes, words, percent, id_col, text_col)
+    shingles = filled.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    families = candidate_families(docs, classes, shingles, words, percent, id_col, text_col)
     sets = cut_lineage(family_sets(docs, families, words, id_col, text_col), "family-sets")
     links = cut_lineage(exact_links(sets, percent), "all-links")
     discard(sets, families)
